@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,3 +21,21 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
+
+
+def keyed(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds the key columns __id and __th of a document row: its id (null as the largest long) and its text's hash.
+
+    Repeated rows share a key and so a decision; rows of one id with other texts have keys of their own.
+    """
+    return df.withColumns({"__id": F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)), "__th": F.xxhash64(F.col(text_col))})
+
+
+def apart(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later lambdas read again and again.
+
+    A Generate over one row stands between, so the optimizer cannot paste their expressions into the lambdas.
+    """
+    tmp = "__apart"
+    one = df.withColumn(tmp, F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+    return one.select(*(df[c] for c in df.columns if c not in columns), f"{tmp}.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, packing, topk
+from tidemark.llm import chat_format, decontaminate, line_dedup, packing, topk
 from tidemark.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.maximal(table(spark, sf_dir, "conversations"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"))
 
@@ -24,6 +32,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
+    "op6_chat_format": op6_chat_format,
+    "op7_line_dedup": op7_line_dedup,
     "op9_packing": op9_packing,
     "op10_topk": op10_topk,
 }
@@ -44,6 +54,14 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN p USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op6_chat_format": """
+        WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -9223372036854775808) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        p AS (SELECT conv_id, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS n_turns,
+                     string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '') OVER w AS rendered
+              FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+        whole AS (SELECT n_turns, rendered, min(conv_id) AS conv_id, count(*) - 1 AS n_collapsed FROM p WHERE n = n_turns GROUP BY n_turns, rendered)
+        SELECT conv_id, n_turns, n_collapsed, rendered FROM whole
+        WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.n < p.n_turns AND p.n = whole.n_turns AND p.rendered = whole.rendered)""",
     "op10_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
