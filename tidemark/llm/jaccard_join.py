@@ -263,19 +263,27 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, n: int
     return cut(common.where(100 * F.col("n") >= percent * (F.col("size_a") + F.col("size_b") - F.col("n"))).select("a", "b"))
 
 
-def _cross(rows: DataFrame) -> DataFrame:
-    """Pairs of bucket members that are in different components, from rows (key, cls, role, component)."""
+COLUMNS = ("key", "cls", "role", "component", "size", "sketch")
 
-    def pairs(run: np.ndarray, cls: np.ndarray, role: np.ndarray, component: np.ndarray) -> Iterator[pd.DataFrame]:
-        starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+
+def _cross(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of bucket members that are in different components and pass the bounds, from rows of COLUMNS."""
+
+    def pairs(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        key, cls, role, component, size = (b[c].to_numpy() for c in COLUMNS[:5])
+        bits = np.stack(b["sketch"].to_numpy()).view(np.uint64)
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         found: list[np.ndarray] = []
         held = 0
-        for s, e in zip(starts, np.r_[starts[1:], len(run)], strict=True):
+        for s, e in zip(starts, np.r_[starts[1:], len(key)], strict=True):
             if (component[s:e] == component[s]).all():
                 continue
             for i in range(s, e - 1):
                 j = np.arange(i + 1, e)
-                j = j[(component[j] != component[i]) & ((role[j] == 1) | (role[i] == 1)) & (cls[j] != cls[i])]
+                j = j[(component[j] != component[i]) & ((role[j] == 1) | (role[i] == 1)) & (percent * np.maximum(size[j], size[i]) <= 100 * np.minimum(size[j], size[i]))]
+                if len(j):
+                    apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+                    j = j[apart * (100 + percent) <= (100 - percent) * (size[j] + size[i])]
                 if len(j):
                     found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], 1))
                     held += len(j)
@@ -294,9 +302,9 @@ def _cross(rows: DataFrame) -> DataFrame:
             last = int(np.searchsorted(key, key[-1], side="left")) if len(key) else 0
             rest, done = b.iloc[last:], b.iloc[:last]
             if last:
-                yield from pairs(*(done[c].to_numpy() for c in ("key", "cls", "role", "component")))
+                yield from pairs(done)
         if rest is not None and len(rest):
-            yield from pairs(*(rest[c].to_numpy() for c in ("key", "cls", "role", "component")))
+            yield from pairs(rest)
 
     return rows.repartition("key").sortWithinPartitions("key", "component", "cls").mapInPandas(run, "a long, b long")
 
@@ -321,7 +329,8 @@ def components(documents: DataFrame, *, n: int = 4, percent: int = 85) -> DataFr
     rows = found.where("kind = 1").select("key", F.col("a").alias("doc_id"), F.col("b").alias("role")).join(of, "doc_id")
     rows = rows.join(joined.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", "role", F.coalesce("component", "cls").alias("component"))
     apart = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = _verified(_cross(rows.join(apart, "key", "left_semi").distinct()).distinct(), classes, documents, n, percent)
+    left = rows.join(apart, "key", "left_semi").distinct().join(classes, "cls").select(*COLUMNS)
+    rest = _verified(_cross(left, percent).distinct(), classes, documents, n, percent)
     joined = connected_components(linked.union(rest), "a", "b")
     out = members.join(joined.withColumnRenamed("id", "cls"), "cls", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component_id"))
