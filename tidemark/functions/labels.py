@@ -87,7 +87,7 @@ def failure_reasons(reasons: dict[str, Column]) -> Column:
 def binned(x: Column, edges: list[float], labels: list[str]) -> Column:
     """Label of the left-closed bin between edges; null outside."""
     out = F.when(F.lit(False), "")
-    for low, high, name in zip(edges, edges[1:], labels, strict=True):
+    for low, high, name in zip(edges[:-1], edges[1:], labels, strict=True):
         out = out.when((x >= low) & (x < high), name)
     return out
 
