@@ -23,6 +23,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def short_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
+    """Rows of an Arrow batch that Python gets at once, where the session doesn't say: long texts by the thousand."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def keyed(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the key columns __id and __th of a document row: its id (null as the largest long) and its text's hash.
 

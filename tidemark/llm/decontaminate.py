@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import short_batches
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Words of one automaton at most; a larger benchmark is cut into several automata.
 BLOCK_WORDS = 1_000_000
@@ -150,7 +152,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, *, window: int = 13, id_col
     The items are read in blocks of at most BLOCK_WORDS words; each block is one broadcast
     automaton of that bounded size, and a text is streamed through the blocks one after another.
     """
-    sc = documents.sparkSession.sparkContext
+    sc = short_batches(documents).sparkSession.sparkContext
     out = documents.withColumn(into, F.lit(None).cast(f"struct<{HITS.replace(' long', ':long').replace('items ', 'items:').replace('spans ', 'spans:')}>"))
     for automaton in _blocks(benchmark, id_col, text_col, window):
         out = out.withColumn(into, _through(sc.broadcast(automaton))(F.col(text_col), F.col(into)))

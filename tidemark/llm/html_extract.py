@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import short_batches
+
 #: Element names of HTML by their role.
 SKIPPED = "script style noscript template svg math iframe object canvas audio video title textarea"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -251,5 +253,5 @@ def main_text(html: str = "html"):
 
 
 def report(pages: DataFrame) -> DataFrame:
-    out = pages.select("page_id", "url", main_text().alias("text"))
+    out = short_batches(pages).select("page_id", "url", main_text().alias("text"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

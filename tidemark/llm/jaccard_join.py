@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, short_batches
 from tidemark.operators.graph import connected_components
 
 #: Width ratio of size bands; sets smaller than this use one-deletion neighbours.
@@ -311,7 +311,7 @@ def _cross(rows: DataFrame, percent: int) -> DataFrame:
 
 def components(documents: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
-    sized = cut(_sets(documents, n))
+    sized = cut(_sets(short_batches(documents), n))
     first = sized.where("n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("cls"))
     members = sized.join(first, "same", "left").select("doc_id", "n_shingles", "sketch", F.coalesce("cls", "doc_id").alias("cls"))
     classes = members.where("doc_id = cls AND n_shingles > 0").select("cls", F.col("n_shingles").alias("size"), "sketch").dropDuplicates(["cls"])

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import short_batches
+
 WIDTH, END = 1_024, 0
 #: Tokens of a block, whose index one task holds.
 BLOCK_TOKENS = 1_000_000
@@ -159,4 +161,4 @@ def pieces(documents: DataFrame, *, width: int = WIDTH) -> DataFrame:
         shard.end()
         yield shard.taken()
 
-    return documents.select("doc_id", "text").mapInPandas(pack, PIECES)
+    return short_batches(documents).select("doc_id", "text").mapInPandas(pack, PIECES)

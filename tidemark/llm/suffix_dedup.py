@@ -31,16 +31,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, short_batches
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 #: Shallow depth of the quicksort in bytes; groups up to SMALL are sorted by plain comparison.
 SHALLOW, SMALL = 48, 8
+#: Anchors of a task that meet before they are dealt out.
+GATHERED = 500_000
 #: Bytes of a chunk that a task works on at once, and suffixes sorted at once.
 CHUNK, SORTED = 1 << 18, 30_000
-#: Documents of the sample for frequent grams, their least share, and the most of them.
-SAMPLE, FREQUENT, MOST = 10_000, 0.01, 50_000
+#: Contexts of one gram that a task sorts at once (HOLD * 168 bytes); grams that have more, as a
+#: sample of about SAMPLE documents tells, are dealt out by window.  At most MOST such grams.
+HOLD, SAMPLE, MOST = 200_000, 10_000, 50_000
 MULTIPLIERS = (np.random.default_rng(20).integers(0, 2**63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -142,26 +145,31 @@ def _anchors(keyed: DataFrame, frequent: np.ndarray) -> DataFrame:
     """gram, context, id, place of the anchors.  What repeats within a batch of a task goes on once; the rest is RESOLVED and dealt out evenly."""
     shared = keyed.sparkSession.sparkContext.broadcast(frequent)
 
+    def settle(held: list[np.ndarray]) -> pd.DataFrame:
+        gram, context, doc, place = np.concatenate(held, axis=1)
+        order = np.lexsort((place, doc, context, gram))
+        gram, context, doc, place = gram[order], context[order], doc[order], place[order]
+        again = np.r_[False, (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])]
+        same = np.r_[False, again[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])]
+        later = again & ~same
+        first = np.maximum.accumulate(np.where(again, 0, np.arange(len(gram))))
+        # a repeated row of one document is no earlier occurrence
+        later &= ~((doc == doc[first]) & (place == place[first]))
+        gram = np.where(later, mixed((doc * 1_000_003 + place).view(np.uint64)).view(np.int64), gram)
+        place = np.where(later, place | RESOLVED, place)
+        return pd.DataFrame({"gram": gram[~same], "context": context[~same], "id": doc[~same], "place": place[~same]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
         for b in batches:
-            held: list[np.ndarray] = []
             for chunk, ids, ths in _chunks(b):
                 rows = np.stack([chunk.gram[chunk.at].view(np.int64), chunk.contexts().view(np.int64), ids[chunk.doc], _place(ths[chunk.doc], chunk.pos, chunk.high, chunk.low)])
                 held.append(rows[:, ~np.isin(chunk.gram[chunk.at], shared.value)] if len(shared.value) else rows)
-            if not held:
-                continue
-            gram, context, doc, place = np.concatenate(held, axis=1)
-            order = np.lexsort((place, doc, context, gram))
-            gram, context, doc, place = gram[order], context[order], doc[order], place[order]
-            again = np.r_[False, (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])]
-            same = np.r_[False, again[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])]
-            later = again & ~same
-            first = np.maximum.accumulate(np.where(again, 0, np.arange(len(gram))))
-            # a repeated row of one document is no earlier occurrence
-            later &= ~((doc == doc[first]) & (place == place[first]))
-            gram = np.where(later, mixed((doc * 1_000_003 + place).view(np.uint64)).view(np.int64), gram)
-            place = np.where(later, place | RESOLVED, place)
-            yield pd.DataFrame({"gram": gram[~same], "context": context[~same], "id": doc[~same], "place": place[~same]})
+                if sum(h.shape[1] for h in held) > GATHERED:
+                    yield settle(held)
+                    held = []
+        if held:
+            yield settle(held)
 
     return keyed.mapInPandas(run, "gram long, context long, id long, place long")
 
@@ -201,19 +209,17 @@ def _resolved(anchors: DataFrame) -> DataFrame:
 
 
 def _frequent_grams(keyed: DataFrame, total: int) -> np.ndarray:
-    """Grams in over FREQUENT of a bounded sample of documents; they only change how work is dealt out."""
+    """Grams with over HOLD contexts, as a bounded sample of documents tells; they only change how work is dealt out."""
     share = min(1.0, SAMPLE / max(1, total))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            held = [np.unique(np.stack([c.gram[c.at].view(np.int64), c.doc + (k << 32)]), axis=1)[0] for k, (c, _, _) in enumerate(_chunks(b))]
-            if held:
-                grams, n = np.unique(np.concatenate(held), return_counts=True)
-                keep = n > max(1, FREQUENT * len(b) / 2)
-                yield pd.DataFrame({"gram": grams[keep], "n": n[keep]})
+            for chunk, _, _ in _chunks(b):
+                pairs = np.unique(np.stack([chunk.gram[chunk.at].view(np.int64), chunk.contexts().view(np.int64)]), axis=1)
+                yield pd.DataFrame({"gram": pairs[0], "context": pairs[1]})
 
     drawn = keyed.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < share * 1e6)
-    found = drawn.mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > max(20, FREQUENT * min(total, SAMPLE)))
+    found = drawn.mapInPandas(run, "gram long, context long").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(20, HOLD * share))
     return np.sort(np.array([r["gram"] for r in found.orderBy(F.desc("n"), "gram").limit(MOST).collect()], dtype=np.int64).view(np.uint64))
 
 
@@ -387,7 +393,7 @@ def _sorted_windows(contexts: DataFrame) -> DataFrame:
 
 def repeats(documents: DataFrame) -> DataFrame:
     """id, th, spans: the bytes of each document that repeated windows cover, overlaps included."""
-    keyed = _keyed(documents)
+    keyed = _keyed(short_batches(documents))
     frequent = _frequent_grams(keyed, documents.count())
     resolved = cut(_resolved(_anchors(keyed, frequent)))
     found = resolved.where("kind = 0").select("id", "th", "start", "end").union(_sorted_windows(_contexts(keyed, resolved)))
