@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 def curve(df: DataFrame, group: list[str], score: str, label: str, weight: Column | None = None) -> DataFrame:
     """tp, fp at each distinct score from high to low, the totals, and tp and fp of the score before."""
     w = F.lit(1.0) if weight is None else weight
-    by_score = df.where(F.col(score).isNotNull()).groupBy(*group, score).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0.0).otherwise(w)).alias("n"))
+    by_score = df.where(F.col(score).isNotNull()).groupBy(*group, score).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("__p"), F.sum(F.when(F.col(label) == 1, 0.0).otherwise(w)).alias("__n"))
     down = Window.partitionBy(*group).orderBy(F.desc(score))
     run, whole = down.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*group)
-    out = by_score.withColumns({"tp": F.sum("p").over(run), "fp": F.sum("n").over(run), "pos": F.sum("p").over(whole), "neg": F.sum("n").over(whole)})
+    out = by_score.withColumns({"tp": F.sum("__p").over(run), "fp": F.sum("__n").over(run), "pos": F.sum("__p").over(whole), "neg": F.sum("__n").over(whole)})
     return out.withColumns({"tp0": F.coalesce(F.lag("tp").over(down), F.lit(0.0)), "fp0": F.coalesce(F.lag("fp").over(down), F.lit(0.0)), "tp1": F.lead("tp").over(down), "fp1": F.lead("fp").over(down)})
 
 

@@ -79,7 +79,7 @@ def exact_selection(groups: DataFrame, key: str, size: str, targets: list[int],
             left = ordered.where(cond) if chosen is None else ordered.join(chosen, key, "left_anti")
             left = left.where((F.col(size) <= room) & (F.col(size) > 0))
             if last is not None:
-                left = left.where(F.struct("h", key) > F.struct(F.lit(last[0]), F.lit(last[1])))
+                left = left.where((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col(key) > last[1])))
             took = _fitting_prefix(left, key, size, room)
             summary = took.agg(F.sum(size).alias("s"), F.max(F.struct("h", key)).alias("last")).first()
             if summary["s"] is None:

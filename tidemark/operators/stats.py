@@ -26,7 +26,7 @@ def rank_sum(df: DataFrame, value: str, group: str, names: tuple[str, str]) -> D
     u = F.col("r1") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
     z = F.try_divide(F.abs(u - n1 * n2 / 2) - 0.5, sd)
-    return s.select("n1", "n2", u.alias("u"), (2 * u / (n1 * n2) - 1).alias("cliffs_delta"), z.alias("z"))
+    return s.select(n1.alias("n1"), n2.alias("n2"), u.alias("u"), (2 * u / (n1 * n2) - 1).alias("cliffs_delta"), z.alias("z"))
 
 
 def two_sided_p(z: float) -> float:
