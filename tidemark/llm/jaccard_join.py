@@ -9,9 +9,9 @@ segments must be wide to be selective; in the others a set probes the H + 1 chea
 segments, where empty ones and those of frequent shingles only are dear.
 
 Equal sets are one class from the start.  In each bucket of a signature the members meet one
-representative; after the components of those links are known, the members of different components
-still meet each other, so no link between different components is lost and a group of near copies
-isn't expanded.  Candidates pass a bound on the symmetric difference (hamming distance of parity
+representative, then the member with the most links so far; after the components of those links are
+known, the members of different components still meet each other, so no link between different
+components is lost and a group of near copies isn't expanded.  Candidates pass a bound on the symmetric difference (hamming distance of parity
 sketches) and are then verified on the sets themselves (64-bit hashes of shingles).
 
 Null texts and texts without words have empty sets and no links; a text of fewer words than the
@@ -239,15 +239,18 @@ def _bucket_pairs(b: pd.DataFrame, whole_bucket: bool = True) -> Iterator[pd.Dat
         yield pd.DataFrame({"kind": 1, "key": key[more], "a": cls[more], "b": role[more]})
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that reach the threshold."""
+def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and sketches allow the threshold: a, b, size_a, size_b."""
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     known = pairs.join(side("a"), "a").join(side("b"), "b")
     close = F.lit(percent) * F.greatest("size_a", "size_b") <= 100 * F.least("size_a", "size_b")
     bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     # |x ^ y| <= (100 - p) / (100 + p) * (|x| + |y|) for a linked pair
-    maybe = cut(known.where(close).where(bits * (100 + percent) <= (100 - percent) * (F.col("size_a") + F.col("size_b"))).select("a", "b", "size_a", "size_b"))
-    wanted = maybe.select(F.col("a").alias("doc_id")).union(maybe.select("b")).distinct()
+    return known.where(close).where(bits * (100 + percent) <= (100 - percent) * (F.col("size_a") + F.col("size_b"))).select("a", "b", "size_a", "size_b")
+
+
+def _sets_of(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """cls, set: the shingles of the wanted documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = Words()
@@ -257,42 +260,68 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, n: int
                 yield pd.DataFrame({"cls": part["doc_id"], "set": [shingles(t, n, cache).view(np.int64) for t in part["text"]]})
 
     texts = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = texts.mapInPandas(run, "cls long, set array<long>")
-    both = maybe.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
+    return texts.mapInPandas(run, "cls long, set array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, size_a, size_b) whose sets reach the threshold: a, b."""
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
     common = both.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("n"))
     return cut(common.where(100 * F.col("n") >= percent * (F.col("size_a") + F.col("size_b") - F.col("n"))).select("a", "b"))
 
 
-COLUMNS = ("key", "cls", "role", "component", "size", "sketch")
+COLUMNS = ("key", "cls", "role", "component", "size", "degree", "sketch")
+
+
+def _possible(i: np.ndarray, j: np.ndarray, cls, role, component, size, bits, percent: int) -> np.ndarray:
+    """Which of the pairs (i, j) are in different components, have a probe, and pass the bounds."""
+    ok = (component[j] != component[i]) & ((role[j] == 1) | (role[i] == 1)) & (percent * np.maximum(size[j], size[i]) <= 100 * np.minimum(size[j], size[i]))
+    at = np.flatnonzero(ok)
+    apart = np.bitwise_count(bits[j[at]] ^ bits[i[at]]).sum(1, dtype=np.int64)
+    return at[apart * (100 + percent) <= (100 - percent) * (size[j[at]] + size[i[at]])]
+
+
+def _ordered(i: np.ndarray, j: np.ndarray, cls: np.ndarray) -> pd.DataFrame:
+    out = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], 1), axis=0)
+    return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+
 
+def _meet(rows: DataFrame, percent: int, hubs: bool) -> DataFrame:
+    """Pairs (a, b) of bucket members in different components that pass the bounds, from rows of COLUMNS.
 
-def _cross(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of bucket members that are in different components and pass the bounds, from rows of COLUMNS."""
+    With ``hubs`` each member meets only the bucket's member with the most links so far, which in a
+    group of near copies is close to all others; else all members of different components meet.
+    """
 
     def pairs(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        key, cls, role, component, size = (b[c].to_numpy() for c in COLUMNS[:5])
+        key, cls, role, component, size, degree = (b[c].to_numpy() for c in COLUMNS[:6])
         bits = np.stack(b["sketch"].to_numpy()).view(np.uint64)
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        found: list[np.ndarray] = []
-        held = 0
-        for s, e in zip(starts, np.r_[starts[1:], len(key)], strict=True):
+        sizes = np.diff(np.r_[starts, len(key)])
+        run = np.repeat(np.arange(len(starts)), sizes)
+        if hubs:
+            by = np.lexsort((cls, -degree, role == 2, run))
+            i, j = np.repeat(by[starts], sizes), np.arange(len(key))
+            at = _possible(i, j, cls, role, component, size, bits, percent)
+            if len(at):
+                yield _ordered(i[at], j[at], cls)
+            return
+        left, right, held = [], [], 0
+        for s, e in zip(starts, starts + sizes, strict=True):
             if (component[s:e] == component[s]).all():
                 continue
-            for i in range(s, e - 1):
-                j = np.arange(i + 1, e)
-                j = j[(component[j] != component[i]) & ((role[j] == 1) | (role[i] == 1)) & (percent * np.maximum(size[j], size[i]) <= 100 * np.minimum(size[j], size[i]))]
-                if len(j):
-                    apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-                    j = j[apart * (100 + percent) <= (100 - percent) * (size[j] + size[i])]
-                if len(j):
-                    found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], 1))
-                    held += len(j)
-                if held > 200_000:
-                    out, found, held = np.unique(np.concatenate(found), axis=0), [], 0
-                    yield pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
-        if found:
-            out = np.unique(np.concatenate(found), axis=0)
-            yield pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+            for k in range(s, e - 1):
+                j = np.arange(k + 1, e)
+                i = np.full(len(j), k)
+                at = _possible(i, j, cls, role, component, size, bits, percent)
+                left.append(i[at])
+                right.append(j[at])
+                held += len(at)
+            if held > 200_000:
+                yield _ordered(np.concatenate(left), np.concatenate(right), cls)
+                left, right, held = [], [], 0
+        if held:
+            yield _ordered(np.concatenate(left), np.concatenate(right), cls)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -306,7 +335,7 @@ def _cross(rows: DataFrame, percent: int) -> DataFrame:
         if rest is not None and len(rest):
             yield from pairs(rest)
 
-    return rows.repartition("key").sortWithinPartitions("key", "component", "cls").mapInPandas(run, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key", "component", "cls").mapInPandas(run, "a long, b long").distinct()
 
 
 def components(documents: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
@@ -323,15 +352,21 @@ def components(documents: DataFrame, *, n: int = 4, percent: int = 85) -> DataFr
         c = pairs.join(a, "a").join(b, "b").where("ca <> cb")
         return c.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
 
-    linked = _verified(of_classes(found.where("kind = 0").select("a", "b").distinct()), classes, documents, n, percent)
+    stars = cut(_bounded(of_classes(found.where("kind = 0").select("a", "b").distinct()), classes, percent))
+    rows = cut(found.where("kind = 1").select("key", F.col("a").alias("doc_id"), F.col("b").alias("role")).join(of, "doc_id").select("key", "cls", "role").distinct())
+    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).union(rows.select("cls")).distinct()
+    sets = cut(_sets_of(documents, wanted, n))
+    linked = _verified(stars, sets, percent)
     joined = connected_components(linked, "a", "b")
-    # members of one bucket that are still apart meet each other
-    rows = found.where("kind = 1").select("key", F.col("a").alias("doc_id"), F.col("b").alias("role")).join(of, "doc_id")
-    rows = rows.join(joined.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", "role", F.coalesce("component", "cls").alias("component"))
-    apart = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = rows.join(apart, "key", "left_semi").distinct().join(classes, "cls").select(*COLUMNS)
-    rest = _verified(_cross(left, percent).distinct(), classes, documents, n, percent)
-    joined = connected_components(linked.union(rest), "a", "b")
+    # members of one bucket that are still apart meet the best linked one, then each other
+    for hubs in (True, False):
+        now = rows.join(joined.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        apart = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        degree = linked.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
+        left = now.join(apart, "key", "left_semi").join(classes, "cls").join(degree, "cls", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        more = _verified(_bounded(_meet(left.select(*COLUMNS), percent, hubs), classes, percent), sets, percent)
+        linked = linked.union(more)
+        joined = connected_components(linked, "a", "b")
     out = members.join(joined.withColumnRenamed("id", "cls"), "cls", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component_id"))
 
