@@ -9,9 +9,9 @@ segments must be wide to be selective; in the others a set probes the H + 1 chea
 segments, where empty ones and those of frequent shingles only are dear.
 
 Equal sets are one class from the start.  In each bucket of a signature the members meet one
-representative, then the member with the most links so far; after the components of those links are
-known, the members of different components still meet each other, so no link between different
-components is lost and a group of near copies isn't expanded.  Candidates pass a bound on the symmetric difference (hamming distance of parity
+representative; after the components of those links are known, the members of different components
+still meet each other, so no link between different components is lost and a group of near copies
+isn't expanded.  Candidates pass a bound on the symmetric difference (hamming distance of parity
 sketches) and are then verified on the sets themselves (64-bit hashes of shingles).
 
 Null texts and texts without words have empty sets and no links; a text of fewer words than the
@@ -34,7 +34,7 @@ from tidemark.operators.graph import connected_components
 #: Width ratio of size bands; sets smaller than this use one-deletion neighbours.
 RATIO, SMALL = 1.5, 48
 #: Bits of the parity sketch.
-SKETCH = 512
+SKETCH = 1_024
 #: Frequent shingles: in over FREQUENT of a sample of about SAMPLE documents; at most MOST of them.
 SAMPLE, FREQUENT, MOST = 20_000, 0.002, 100_000
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -270,7 +270,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(common.where(100 * F.col("n") >= percent * (F.col("size_a") + F.col("size_b") - F.col("n"))).select("a", "b"))
 
 
-COLUMNS = ("key", "cls", "role", "component", "size", "degree", "sketch")
+COLUMNS = ("key", "cls", "role", "component", "size", "sketch")
 
 
 def _possible(i: np.ndarray, j: np.ndarray, cls, role, component, size, bits, percent: int) -> np.ndarray:
@@ -286,28 +286,16 @@ def _ordered(i: np.ndarray, j: np.ndarray, cls: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
 
-def _meet(rows: DataFrame, percent: int, hubs: bool) -> DataFrame:
+def _meet(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of bucket members in different components that pass the bounds, from rows of COLUMNS.
-
-    With ``hubs`` each member meets only the bucket's member with the most links so far, which in a
-    group of near copies is close to all others; else all members of different components meet.
     """
 
     def pairs(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        key, cls, role, component, size, degree = (b[c].to_numpy() for c in COLUMNS[:6])
+        key, cls, role, component, size = (b[c].to_numpy() for c in COLUMNS[:5])
         bits = np.stack(b["sketch"].to_numpy()).view(np.uint64)
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.r_[starts, len(key)])
-        run = np.repeat(np.arange(len(starts)), sizes)
-        if hubs:
-            by = np.lexsort((cls, -degree, role == 2, run))
-            i, j = np.repeat(by[starts], sizes), np.arange(len(key))
-            at = _possible(i, j, cls, role, component, size, bits, percent)
-            if len(at):
-                yield _ordered(i[at], j[at], cls)
-            return
         left, right, held = [], [], 0
-        for s, e in zip(starts, starts + sizes, strict=True):
+        for s, e in zip(starts, np.r_[starts[1:], len(key)], strict=True):
             if (component[s:e] == component[s]).all():
                 continue
             for k in range(s, e - 1):
@@ -358,14 +346,14 @@ def components(documents: DataFrame, *, n: int = 4, percent: int = 85) -> DataFr
     sets = cut(_sets_of(documents, wanted, n))
     linked = _verified(stars, sets, percent)
     joined = connected_components(linked, "a", "b")
-    # members of one bucket that are still apart meet the best linked one, then each other
-    for hubs in (True, False):
-        now = rows.join(joined.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    # members of one bucket that are still apart meet each other: first in an eighth of the buckets, which
+    # joins most near copies, as they share many; then in the others
+    eighth = F.pmod(F.xxhash64("key"), F.lit(8)) == 0
+    for some in (rows.where(eighth), rows.where(~eighth)):
+        now = some.join(joined.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         apart = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        degree = linked.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
-        left = now.join(apart, "key", "left_semi").join(classes, "cls").join(degree, "cls", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        more = _verified(_bounded(_meet(left.select(*COLUMNS), percent, hubs), classes, percent), sets, percent)
-        linked = linked.union(more)
+        left = now.join(apart, "key", "left_semi").join(classes, "cls").select(*COLUMNS)
+        linked = linked.union(_verified(_bounded(_meet(left, percent), classes, percent), sets, percent))
         joined = connected_components(linked, "a", "b")
     out = members.join(joined.withColumnRenamed("id", "cls"), "cls", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component_id"))
