@@ -1,0 +1,437 @@
+"""Operators against brute-force versions and on odd rows: nulls, empty and long texts, repeats, empty tables, clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, line_dedup, packing, pii, suffix_dedup, topk
+from tidemark.llm.queries import QUERIES
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t ", "xx", None, 4), (None, "the word of the text", "en", "a", 20), (4, "x" * 50_000, "en", "a", 50_000), (5, "the word of the text", "en", "a", 20), (5, "the word of the text", "en", "a", 20), (6, "ünï😀 \u0000 z", "de", "b", 9)]
+
+
+@pytest.fixture
+def odd(spark):
+    return spark.createDataFrame(ODD, DOC)
+
+
+@pytest.fixture
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def rows(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def words_like(rng, n):
+    return " ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "ff", "gg", "hh", "ii", "jj"]) + str(rng.randrange(9)) for _ in range(n))
+
+
+# --- decontamination
+
+
+def brute_hits(text, items):
+    tok = lambda t: [] if t is None else re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    w, mask, found = tok(text), set(), set()
+    for i, t in items:
+        x = tok(t)
+        for k in range(max(1, len(x) - 12) if x else 0):
+            win = x[k : k + 13]
+            for at in range(len(w) - len(win) + 1):
+                if w[at : at + len(win)] == win:
+                    mask |= set(range(at, at + len(win)))
+                    found.add(str(i))
+    return len(w), len(mask), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+
+
+def test_decontamination_brute_force(spark):
+    rng = random.Random(5)
+    items = [(i, words_like(rng, n)) for i, n in enumerate((20, 30, 13, 12, 5, 1, 14, 25))] + [(90, ""), (91, None), (92, "a1 a1 a1"), (93, "a1 a1")]
+    texts = [None, "", "A1 a1! a1 a1", *(words_like(rng, 30) + " " + items[i % 8][1][: rng.randrange(10, 90)].upper() + " " + items[(i + 3) % 8][1] + " " + words_like(rng, 9) for i in range(30))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(decontaminate.report(docs, spark.createDataFrame(items, "item_id long, text string")))
+    for i, t in enumerate(texts):
+        e = brute_hits(t, items)
+        assert tuple(got[i])[1:] == (*e, e[1] > 0 and 20 * e[1] >= e[0]), i
+
+
+def test_decontamination_blocks_agree(spark, monkeypatch):
+    rng = random.Random(6)
+    items = spark.createDataFrame([(i, words_like(rng, 20)) for i in range(12)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, words_like(rng, 10) + " " + r["text"]) for i, r in enumerate(items.collect())], "doc_id long, text string")
+    whole = sorted(map(tuple, decontaminate.report(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 50)
+    assert sorted(map(tuple, decontaminate.report(docs, items).collect())) == whole
+
+
+def test_decontamination_odd_rows(spark, odd, empty):
+    b = spark.createDataFrame([(0, "the word of the text"), (1, None)], "item_id long, text string")
+    out = decontaminate.report(odd, b)
+    assert out.count() == len(ODD) and out.where("contaminated").count() == 3
+    assert decontaminate.report(empty, b).count() == 0 and decontaminate.report(odd, b.limit(0)).where("contaminated").count() == 0
+    clash = odd.withColumns({"hits": F.lit(1), "n_words": F.lit(2), "items": F.lit("x")})
+    kept = decontaminate.decontaminate(clash, b)
+    assert kept.columns == clash.columns and kept.count() == len(ODD) - 3
+
+
+def test_long_spans_are_cut(spark):
+    item = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, "Before, " + " ".join(f"x{i}" for i in range(3000)) + " " + item.upper() + "! After.")], "doc_id long, text string")
+    text = decontaminate.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), coverage=0.05).first().text
+    assert "W5 " not in text and text.startswith("Before, x0") and text.endswith("! After.")
+
+
+# --- n-gram Jaccard join
+
+
+def brute_components(docs, n=4, percent=85):
+    sets = {}
+    for i, t in docs:
+        w = t.encode().lower().split() if t else []
+        sets[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+    comp = {i: i for i in sets}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if b < a and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                comp[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_jaccard_brute_force(spark):
+    rng = random.Random(8)
+    docs = []
+    for size in (1, 2, 3, 4, 5, 8, 15, 40, 60, 120, 300):
+        base = [f"t{rng.randrange(10**6)}" for _ in range(size)]
+        for _ in range(9):
+            w = list(base)
+            for _ in range(rng.randrange(0, 1 + max(1, size // 40))):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            docs.append(" ".join(w))
+    passage = [f"p{i}" for i in range(30)]
+    docs += [" ".join(passage + [f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 12))]) for _ in range(60)]
+    rng.shuffle(docs)
+    table = [(i, t) for i, t in enumerate(docs)] + [(900, ""), (901, None), (902, "  ")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got == brute_components(table)
+
+
+def test_jaccard_odd_rows(odd, empty):
+    out = jaccard_join.components(odd).collect()
+    assert {r.component_id for r in out if r.doc_id == 5} == {5} and sum(r.doc_id == 5 for r in out) == 2
+    assert jaccard_join.components(empty).count() == 0
+    clash = odd.withColumns({"cls": F.lit(1), "key": F.lit(2), "component": F.lit(3)})
+    assert jaccard_join.deduplicated(clash).columns == clash.columns
+
+
+# --- suffix dedup
+
+
+def brute_repeats(docs):
+    seen, out = set(), {}
+    for i, t in docs:
+        raw = (t or "").encode()
+        mask = bytearray(len(raw))
+        for k in range(len(raw) - 99):
+            if raw[k : k + 100] in seen:
+                mask[k : k + 100] = b"\1" * 100
+            seen.add(raw[k : k + 100])
+        kept = bytes(x for x, m in zip(raw, mask, strict=True) if not m)
+        out[i] = (len(raw), sum(mask), sum(m and (k == 0 or not mask[k - 1]) for k, m in enumerate(mask)), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hold", [200_000, 0])
+def test_suffix_dedup_brute_force(spark, monkeypatch, hold):
+    monkeypatch.setattr(suffix_dedup, "HOLD", hold)
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdéf gh\n") for _ in range(n))
+    passages = [text(n) for n in (90, 99, 100, 101, 130, 180, 400, 900)]
+    docs = [(i, text(rng.randrange(0, 200)) + rng.choice(passages) + text(rng.randrange(0, 40)) + rng.choice(passages)[: rng.randrange(80, 300)] + text(30)) for i in range(60)]
+    docs += [(100 + i, passages[i % 8] + passages[(i + 1) % 8]) for i in range(16)] + [(200, "a" * 700), (201, "ab" * 300), (202, None), (203, ""), (204, docs[3][1]), (205, docs[3][1])]
+    docs += [(300 + i, text(3) + passages[5] + text(20)) for i in range(40)]
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_repeats(docs)
+
+
+def test_deep_shallow_sorts():
+    rng = np.random.default_rng(3)
+    a = rng.integers(97, 99, (3_000, 100), dtype=np.uint8)
+    a[::3, :90] = a[0, :90]
+    a[::7] = a[0]
+    order, common = suffix_dedup.deep_shallow(a)
+    strings = [bytes(a[i]) for i in order]
+    assert strings == sorted(map(bytes, a))
+    for k in (1, 50, 999, 2_999):
+        x, y = strings[k - 1], strings[k]
+        assert common[k] == next((i for i in range(100) if x[i] != y[i]), 100)
+
+
+def test_suffix_dedup_odd_rows(odd, empty):
+    out = suffix_dedup.report(odd)
+    assert out.count() == len(ODD) and suffix_dedup.report(empty).count() == 0
+    assert {r.n_removed for r in out.where("doc_id = 5").collect()} == {0}
+    assert out.where("doc_id = 4").first().n_removed == 50_000 - 1
+
+
+# --- line dedup
+
+
+def test_line_dedup(spark):
+    rng = random.Random(9)
+    line = lambda: words_like(rng, 8)
+    block = [line() for _ in range(40)]
+    docs = [(i, "\n".join([line() for _ in range(rng.randrange(1, 6))] + block + [line() for _ in range(3)])) for i in range(6)] + [(10 + i, "\n".join(line() for _ in range(20))) for i in range(20)]
+    out = line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), counts=True).collect()
+    by = {r.doc_id: r for r in out}
+    texts = dict(docs)
+    assert by[0].text == texts[0] and all(by[i].text == texts[i] for i in range(10, 30))
+    for i in range(1, 6):
+        assert by[i].__getitem__("__removed") > 20
+        kept = by[i].text.split("\n")
+        assert not Counter(kept) - Counter(texts[i].split("\n")) and len(kept) == len(texts[i].split("\n")) - by[i]["__removed"]
+        assert set(texts[i].split("\n")) - set(kept) <= set(block)
+
+
+def test_line_dedup_odd_rows(odd, empty):
+    clash = odd.withColumns({"lines": F.lit(1), "h": F.lit(2), "n": F.lit(3)})
+    out = line_dedup.dedup(clash)
+    assert out.columns == clash.columns and out.count() == len(ODD)
+    assert {r.text for r in out.where("doc_id = 5").collect()} == {"the word of the text"} and out.where("doc_id = 1").first().text is None
+    assert line_dedup.report(empty).count() == 0
+
+
+# --- chat
+
+
+def test_chat_snapshots_collapse(spark):
+    turns = ["hi", "hello", "how?", "fine", "bye"]
+    data = [(c, t, "user" if t % 2 == 0 else "assistant", turns[t]) for c, n in ((1, 2), (2, 4), (3, 4), (4, 5), (5, 1)) for t in range(n)]
+    data += [(6, 0, "user", "hi"), (6, 1, "assistant", "other"), (7, 0, "user", None), (None, 0, "user", "hi"), (6, 1, "assistant", "other"), (8, None, None, "x")]
+    out = {r.conv_id: r for r in chat_format.maximal(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(out) == {4, 6, 7, 8} and out[6].n_turns == 2
+    assert out[4].rendered == "".join(f"<|{'user' if t % 2 == 0 else 'assistant'}|>\n{turns[t]}<|end|>\n" for t in range(5))
+
+
+def test_chat_equal_conversations_and_empty(spark):
+    s = "conv_id long, turn long, role string, text string"
+    data = [(c, 0, "user", "same") for c in range(50)]
+    assert [(r.conv_id, r.n_collapsed) for r in chat_format.maximal(spark.createDataFrame(data, s)).collect()] == [(0, 49)]
+    assert chat_format.maximal(spark.createDataFrame([], s)).count() == 0
+
+
+# --- personal data
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def sound(kind, s):
+    d = re.sub("[^0-9]", "", s)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in s.split("."))
+    if kind == "card":
+        t = sum((lambda v: v - 9 if v > 9 else v)(int(c) * (1 + i % 2)) for i, c in enumerate(reversed(d)))
+        return 16 <= len(d) <= 19 and t % 10 == 0
+    return kind != "phone" or 8 <= len(d) <= 15
+
+
+def brute_spans(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, text or "") if sound(k, m[0])]
+
+
+def test_base_spans_brute_force(spark):
+    rng = random.Random(12)
+    bits = ["a.b@c.de", "x@y", "@", "1.2.3.4", "256.1.1.1", "001.02.3.255", "1.2.3.4.5.6.7.8.9", "4111 1111 1111 1111", "4111-1111-1111-1112", "4111111111111111", "+1 (168) 555-5254", "+12", "+1234567", "+49.30.123456789012345", "é😀", "5 5", "--", "0" * 17, "12-", " - ", "word", "a@b.c.", "x@-.-.z", "+1()5"]
+    docs = [(i, "".join(rng.choice(bits) + rng.choice(["", " ", "-", ".", "\n"]) for _ in range(12))) for i in range(250)] + [(900, None), (901, ""), (902, "7" * 30_000), (903, "1 " * 20_000)]
+    got = rows(pii.report(spark.createDataFrame(docs, "doc_id long, text string")))
+    for i, t in docs:
+        want = brute_spans(t)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), (t, want)
+        assert [got[i][f"n_{k}"] for k in PATTERNS] == [sum(x.startswith(k + ":") for x in want) for k in PATTERNS]
+
+
+def test_disclosing_terms(spark):
+    docs = [(i, f"note {i}: zebrafish lab, write to ann@lab.org about item{i}xq today") for i in range(5)] + [(10 + i, f"plain text number {i} about the today of a lab") for i in range(60)]
+    docs += [(100 + i, "kiwifruit mail bob@x.org") for i in range(5)]
+    found = rows(pii.report(spark.createDataFrame(docs, "doc_id long, text string")))
+    text = dict(docs)[0]
+    terms = {text[int(a) : int(b)] for a, b in re.findall(r"term:(\d+):(\d+)", found[0].spans)}
+    assert "zebrafish" in terms and not terms & {"today", "about"} and "term" not in found[10].spans
+    assert "term" not in found[100].spans  # copies of one text prove nothing
+    clean = rows(pii.sanitise(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert "<email>" in clean[0].text and "zebrafish" not in clean[0].text and clean[10].text == dict(docs)[10]
+
+
+def test_pii_odd_rows(odd, empty):
+    assert pii.report(odd).count() == len(ODD) and pii.report(empty).count() == 0
+    clash = odd.withColumns({"email": F.lit(1), "term": F.lit(2), "spans": F.lit(3)})
+    assert pii.sanitise(clash).columns == clash.columns and pii.sanitise(clash).count() == len(ODD)
+
+
+# --- packing
+
+
+def test_packing_round_trip(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    rng = random.Random(1)
+    docs = [(i, words_like(rng, rng.randrange(0, 400))) for i in range(80)] + [(100, None), (101, ""), (102, "<|endoftext|> ünï😀 \u0000"), (103, words_like(rng, 4000))]
+    out = packing.pieces(spark.createDataFrame(docs, "doc_id long, text string")).toPandas()
+    ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in docs}
+    for i, g in out.groupby("doc_id"):
+        at = 0
+        for p in g.sort_values("start").itertuples():
+            assert p.start == at and p.doc_tokens == len(ids[i])
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[i][at : at + p.length], dtype="<u4").tobytes())
+            at += p.length
+        assert at == len(ids[i])
+    assert set(out["doc_id"]) == set(ids)
+    for _, g in out.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert list(g["offset"]) == [0, *np.cumsum(g["length"])[:-1]]
+        n = g["length"].sum()
+        assert n == 1024 or n & (n - 1) == 0
+
+
+def test_packing_prefers_neighbours():
+    rng = np.random.default_rng(0)
+    docs = [np.concatenate([rng.integers(100, 130, 50), np.full(20, 1000 + i % 5)]).astype(np.uint16) for i in range(40)]
+    index = packing.Index(docs)
+    near = index.neighbours(docs[0], np.ones(40) - np.eye(40)[0], 5)
+    assert {i % 5 for i in near} == {0}
+
+
+def test_packing_odd_rows(odd, empty):
+    assert packing.pieces(odd).where("start = 0").count() == len(ODD) and packing.pieces(empty).count() == 0
+
+
+# --- top-k
+
+
+def test_topk_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 16)).astype(np.float32)
+    x[50:60] = x[50]
+    data = [(i, [float(v) for v in row], 0) for i, row in enumerate(x)] + [(500, None, 0), (550, [float("nan")] * 16, 0), (600, [1.0] * 15 + [None], 0), (None, [0.5] * 16, 0)]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search_table(spark.createDataFrame(data, "vec_id long, embedding array<float>, rank int")).collect()}
+    q = np.floor(256 * np.vstack([x.astype(float), np.full(16, 0.5)])).astype(int)
+    for i in range(0, 400, 50):
+        s = q @ q[i]
+        order = [j for j in np.lexsort((np.arange(401), -s)) if j != i][:5]
+        assert [got[i, k + 1] for k in range(5)] == [(None if j == 400 else j, s[j]) for j in order]
+
+
+def test_topk_stops_early():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 32)) * 400
+    x = np.floor(np.repeat(centres, 200, 0) + rng.normal(size=(4000, 32)) * 20)
+    pivots = centres
+    at, done = topk.best(x[0], topk._distances(x[:1], pivots)[0], x, topk._distances(x, pivots), np.arange(4000), 5)
+    s = x @ x[0]
+    assert list(at) == list(np.lexsort((np.arange(4000), -s))[:5]) and done < 4000
+
+
+def test_topk_repeated_rows_and_empty(spark):
+    s = "vec_id long, embedding array<float>"
+    out = topk.search_table(spark.createDataFrame([(50, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [0.5, 0.0])], s)).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in out] == [(50, 65536), (1, 32768)]
+    assert topk.search_table(spark.createDataFrame([], s)).count() == 0
+
+
+# --- language ID
+
+
+def test_language_accuracy(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = d.where("doc_id % 3 = 0")
+    out = language_id.identify(d.withColumn("declared", F.when(F.col("doc_id") % 3 != 0, F.col("lang"))), declared="declared")
+    good = out.join(held.select("doc_id"), "doc_id").agg(F.avg((F.col("__lang") == F.col("lang")).cast("int")).alias("a"), F.avg(F.col("__accepted").cast("int")).alias("k")).first()
+    assert good.a > 0.97 and good.k > 0.99
+
+
+def test_language_odd_rows(odd, empty):
+    out = language_id.identify(odd.withColumns({"score": F.lit(1), "rank": F.lit(2)}))
+    assert out.count() == len(ODD) and not out.where("doc_id IN (1, 2, 3)").where("__accepted").count()
+    assert language_id.accepted(empty).count() == 0
+
+
+def test_language_evidence_helpers(spark):
+    df = spark.createDataFrame([("https://a.example.de/x", "<html lang='de-AT'>"), ("http://b.org/fr/1", '<HTML class="q" LANG="FR">'), (None, None)], "u string, h string")
+    assert [tuple(r) for r in df.select(language_id.suffix_of(F.col("u")), language_id.declared_of(F.col("h"))).collect()] == [("de", "de"), ("fr", "fr"), (None, None)]
+
+
+# --- HTML
+
+
+def test_html_templates():
+    m = html_extract.Model()
+    page = "<body><header><h1>Site</h1></header><div class='sidebar'><p>foo</p></div><main><article><h2>T&eacute;st</h2><p>Para <a href='x'>link</a>  one<br>two<p>B &amp; C</article></main><section id='comments'><p>c1</p></section><footer>f</footer>"
+    assert html_extract.extract(page, m) == "Tést\nPara link one two\nB & C"
+    for odd in (None, "", "<", "<p", "</div></p>", "<script>x", "<!-- x", "<p title='a>b'>t</p>", "<div>" * 3000 + "deep", "&#x41;&nbsp;&lt;b&gt;"):
+        html_extract.extract(odd, m)
+    assert html_extract.extract("<p>&#x41;&nbsp;&lt;b&gt;", m) == "A <b>"
+
+
+def test_html_labelled_pages_are_learnt():
+    m = html_extract.Model()
+    wrong = total = 0
+    for source in html_extract.LABELLED:
+        page = html_extract.Page(source)
+        label = []
+        for i, a in enumerate(page.attrs):
+            x = re.search(r'data-l="([01])"', a)
+            label.append(int(x[1]) if x else label[page.parent[i]])
+        guess = [p >= 0.5 for p in m.marginals(page)]
+        wrong += sum(g != bool(x) for g, x in zip(guess, label, strict=True))
+        total += len(label)
+    assert wrong <= 0.02 * total
+
+
+def test_html_marginals_equal_enumeration():
+    m = html_extract.Model()
+    page = html_extract.Page("<body><nav>a</nav><div><p>b</p></div></body>")
+    n = len(page.parent)
+    sums = np.zeros((n, 2))
+    for state in np.ndindex(*(2,) * n):
+        w = (0.02, 0.98)[state[0]]
+        for i in range(n):
+            w *= m.potential(page.features[i])[state[i]]
+            if i:
+                w *= m.edge[state[page.parent[i]]][state[i]]
+        for i in range(n):
+            sums[i, state[i]] += w
+    assert np.allclose(m.marginals(page), sums[:, 1] / sums.sum(1))
+
+
+def test_html_query(spark):
+    df = spark.createDataFrame([(1, "u", None), (1, "u", "<p>x"), (1, "u", "<p>x")], "page_id long, url string, html string")
+    assert sorted((r.text, r.n_chars) for r in html_extract.report(df).collect()) == [("", 0), ("x", 1), ("x", 1)]
+
+
+# --- queries against SQL
+
+
+def test_queries_run(spark, sf):
+    for name in ("op1_language_id", "op7_line_dedup", "op8_pii"):
+        assert QUERIES[name](spark, sf).count() > 0

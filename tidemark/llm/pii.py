@@ -89,12 +89,20 @@ def _has_base() -> Column:
     return F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
 
 
+def _value_of(kind: str):
+    return lambda x: F.concat(F.lit(f"{kind}:"), _digits(x["s"]))
+
+
+def _named(kind: str):
+    return lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"))
+
+
 def entities(found: DataFrame) -> DataFrame:
     """__id, __th, entity: the normalised values that a document holds."""
     value = F.concat(
         F.transform("email", lambda x: F.concat(F.lit("email:"), F.lower(x["s"]))),
         F.transform("ip", lambda x: F.concat(F.lit("ip:"), x["s"])),
-        *(F.transform(k, lambda x, k=k: F.concat(F.lit(f"{k}:"), _digits(x["s"]))) for k in ("card", "phone")),
+        *(F.transform(kind, _value_of(kind)) for kind in ("card", "phone")),
     )
     return found.where(_has_base()).select("__id", "__th", F.explode(F.array_distinct(value)).alias("entity"))
 
@@ -145,7 +153,7 @@ def report(documents: DataFrame) -> DataFrame:
 def sanitise(documents: DataFrame) -> DataFrame:
     """The documents with each span generalised to its kind; where spans overlap, the first one counts."""
     found = all_spans(documents.select("doc_id", "text")).drop("doc_id").dropDuplicates(["__id", "__th"])
-    every = F.array_sort(F.concat(*(F.transform(F.coalesce(k, F.array().cast(f"array<{SPAN}>")), lambda x, k=k: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(k).alias("kind"))) for k in (*KINDS, "term"))))
+    every = F.array_sort(F.concat(*(F.transform(F.coalesce(k, F.array().cast(f"array<{SPAN}>")), _named(k)) for k in (*KINDS, "term"))))
     d = keyed(documents.withColumn("__text", F.coalesce("text", F.lit(""))), "__text").join(found.select("__id", "__th", every.alias("__spans")), ["__id", "__th"], "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

@@ -175,12 +175,11 @@ def _anchors(keyed: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def _resolved(anchors: DataFrame) -> DataFrame:
-    """From anchors sorted by gram: kind 0, bytes start to end of repeated anchors; kind 1, anchors (place in start) of grams with several contexts."""
+    """From anchors sorted by gram: id, place of repeated anchors (gram null), and of the first anchors of each context where a gram has several."""
 
     def settle(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         gram, context, doc, place = (b[c].to_numpy() for c in ("gram", "context", "id", "place"))
         done = (place & RESOLVED) != 0
-        th, pos, high, low = _parts(place)
         run = np.cumsum(np.r_[True, gram[1:] != gram[:-1]]) - 1
         new_context = np.r_[True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])]
         first = np.maximum.accumulate(np.where(new_context, np.arange(len(gram)), 0))
@@ -188,10 +187,10 @@ def _resolved(anchors: DataFrame) -> DataFrame:
         several = (np.bincount(run, new_context & ~done, run[-1] + 1) > 1)[run] if len(run) else done
         if repeated.any():
             k = repeated
-            yield pd.DataFrame({"kind": 0, "id": doc[k], "th": th[k], "start": pos[k] - high[k], "end": pos[k] - low[k] + LENGTH, "gram": 0})
+            yield pd.DataFrame({"id": doc[k], "place": place[k] & ~RESOLVED, "gram": pd.array([None] * int(k.sum()), dtype="Int64")})
         k = several & new_context & ~done
         if k.any():
-            yield pd.DataFrame({"kind": 1, "id": doc[k], "th": th[k], "start": place[k], "end": 0, "gram": gram[k]})
+            yield pd.DataFrame({"id": doc[k], "place": place[k], "gram": pd.array(gram[k], dtype="Int64")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -205,7 +204,7 @@ def _resolved(anchors: DataFrame) -> DataFrame:
         if rest is not None and len(rest):
             yield from settle(rest)
 
-    return anchors.repartition("gram").sortWithinPartitions("gram", "context", "id", "place").mapInPandas(run, "kind int, id long, th long, start long, end long, gram long")
+    return anchors.repartition("gram").sortWithinPartitions("gram", "context", "id", "place").mapInPandas(run, "id long, place long, gram long")
 
 
 def _frequent_grams(keyed: DataFrame, total: int) -> np.ndarray:
@@ -336,9 +335,19 @@ def repeated_windows(left: np.ndarray, right: np.ndarray, low: np.ndarray, high:
     return np.concatenate(anchors), np.concatenate(offsets)
 
 
+def _th():
+    return F.shiftright("place", 46).bitwiseAND(F.lit(0xFFFF))
+
+
+def _covered(resolved: DataFrame) -> DataFrame:
+    """id, th, start, end of the bytes that repeated anchors' windows cover."""
+    pos, high, low = F.shiftright("place", 14).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("place", 7).bitwiseAND(F.lit(127)), F.col("place").bitwiseAND(F.lit(127))
+    return resolved.where("gram IS NULL").select("id", _th().alias("th"), (pos - high).alias("start"), (pos - low + LENGTH).alias("end"))
+
+
 def _contexts(keyed: DataFrame, resolved: DataFrame) -> DataFrame:
     """gram, id, place, and the bytes on both sides of each anchor to sort."""
-    wanted = resolved.where("kind = 1").groupBy("id", "th").agg(F.collect_list(F.struct("gram", "start")).alias("wanted"))
+    wanted = resolved.where("gram IS NOT NULL").groupBy("id", _th().alias("th")).agg(F.collect_list(F.struct("gram", "place")).alias("wanted"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -346,7 +355,7 @@ def _contexts(keyed: DataFrame, resolved: DataFrame) -> DataFrame:
             for doc, text, wanted in zip(b["id"].to_numpy(), b["text"], b["wanted"], strict=True):
                 raw = bytes(LENGTH) + text.encode("utf-8", "surrogatepass") + bytes(LENGTH)
                 for w in wanted:
-                    place = w["start"]
+                    place = w["place"]
                     at = LENGTH + ((place >> 14) & 0xFFFFFFFF)
                     rows.append((w["gram"], doc, place, raw[at - SPAN + 1 : at + LENGTH]))
                 if len(rows) > 20_000:
@@ -396,7 +405,7 @@ def repeats(documents: DataFrame) -> DataFrame:
     keyed = _keyed(short_batches(documents))
     frequent = _frequent_grams(keyed, documents.count())
     resolved = cut(_resolved(_anchors(keyed, frequent)))
-    found = resolved.where("kind = 0").select("id", "th", "start", "end").union(_sorted_windows(_contexts(keyed, resolved)))
+    found = _covered(resolved).union(_sorted_windows(_contexts(keyed, resolved)))
     if len(frequent):
         found = found.union(_frequent_windows(keyed, frequent))
     return found.groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
@@ -426,7 +435,6 @@ def _cut_out(with_bytes: bool):
 
 def report(documents: DataFrame, *, with_bytes: bool = False) -> DataFrame:
     """One row for each document: bytes, removed bytes and runs, and the hash of what is left (``with_bytes``: what is left itself)."""
-    d = documents.select("doc_id", "text")
-    joined = d.withColumns({"id": F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)), "th": F.pmod(F.xxhash64("text"), F.lit(1 << 16))}).join(repeats(d), ["id", "th"], "left")
+    joined = _keyed(documents).join(repeats(documents), ["id", "th"], "left").withColumn("doc_id", F.when(F.col("id") != 2**63 - 1, F.col("id")))
     out = joined.withColumn("r", _cut_out(with_bytes)(F.col("text"), F.col("spans")))
     return out.select("doc_id", "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256", *(["r.kept"] if with_bytes else []))
