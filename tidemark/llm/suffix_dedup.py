@@ -138,7 +138,7 @@ def _parts(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.select(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("id"), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).alias("th"), "text")
+    return documents.select(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("id"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).alias("th"), "text")
 
 
 def _anchors(keyed: DataFrame, frequent: np.ndarray) -> DataFrame:
