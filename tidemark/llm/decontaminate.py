@@ -10,7 +10,6 @@ window.  Repeated items are items of their own.  All columns of the documents pa
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -221,7 +220,3 @@ def report(documents: DataFrame, benchmark: DataFrame, *, window: int = 13) -> D
         F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
         ((F.col("hits.n_hit") > 0) & (20 * F.col("hits.n_hit") >= F.col("hits.n_words"))).alias("contaminated"),
     )
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

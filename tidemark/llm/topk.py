@@ -17,7 +17,6 @@ meet with the missing components as 0.  Integer scores are exact up to 2^53.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
