@@ -47,9 +47,9 @@ def p03(t: Tables) -> DataFrame:
     return annotated(t).select(*(c.alias(k) for k, c in flags.items())).groupBy(*flags).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p04_key_normalisation", "SELECT 'AGC_' || CAST(s_suppkey AS VARCHAR) AS k1, CAST(s_nationkey AS VARCHAR) || '::' || CAST(s_suppkey AS VARCHAR) AS k2 FROM supplier")
+@query("p04_key_normalisation", "SELECT 'KEY_' || CAST(s_suppkey AS VARCHAR) AS k1, CAST(s_nationkey AS VARCHAR) || '::' || CAST(s_suppkey AS VARCHAR) AS k2 FROM supplier")
 def p04(t: Tables) -> DataFrame:
-    return t.supplier.select(F.concat(F.lit("AGC_"), F.col("s_suppkey").cast("string")).alias("k1"), F.concat_ws("::", F.col("s_nationkey").cast("string"), F.col("s_suppkey").cast("string")).alias("k2"))
+    return t.supplier.select(F.concat(F.lit("KEY_"), F.col("s_suppkey").cast("string")).alias("k1"), F.concat_ws("::", F.col("s_nationkey").cast("string"), F.col("s_suppkey").cast("string")).alias("k2"))
 
 
 @query("p05_key_extraction", r"SELECT c_custkey, nullif(regexp_extract(c_name, '^([A-Za-z]+)#0*([1-9][0-9]*)$', 2), '') AS number, nullif(regexp_extract(c_name, '^X_(.*)$', 1), '') AS none FROM customer")
