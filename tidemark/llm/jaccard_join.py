@@ -113,7 +113,8 @@ def signatures(s: np.ndarray, plan: Plan, frequent: np.ndarray) -> tuple[np.ndar
                 role[:] = 1
             else:
                 need = plan.most(len(s)) + 1
-                rare = np.bincount(seg, minlength=m) if not len(frequent) else np.bincount(seg, ~np.isin(s, frequent), m)
+                common = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
+                rare = np.bincount(seg, ~common, m)
                 role[np.argsort(-(np.minimum(rare, 3) * 64 + np.minimum(np.bincount(seg, minlength=m), 63)), kind="stable")[:need]] = 1
         keys.append(whole)
         roles.append(role)
@@ -287,8 +288,7 @@ def _ordered(i: np.ndarray, j: np.ndarray, cls: np.ndarray) -> pd.DataFrame:
 
 
 def _meet(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of bucket members in different components that pass the bounds, from rows of COLUMNS.
-    """
+    """Pairs (a, b) of bucket members in different components that pass the bounds, from rows of COLUMNS."""
 
     def pairs(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         key, cls, role, component, size = (b[c].to_numpy() for c in COLUMNS[:5])
