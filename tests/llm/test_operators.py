@@ -134,6 +134,38 @@ def test_jaccard_brute_force(spark):
     assert got == brute_components(table)
 
 
+@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
+def test_jaccard_pairs_across_band_edges_share_a_live_bucket(n, percent):
+    rng = np.random.default_rng(21)
+    plan = jaccard_join.Plan(percent)
+    none = np.zeros(0, np.uint64)
+    tried = 0
+    for edge in (e for e in plan.edges[1:] if e < 140):
+        for a in range(max(1, edge - 8), edge):
+            for b in range(edge, edge + 8):
+                common = -(-percent * (a + b) // (100 + percent))
+                if common > a:
+                    continue
+                for _ in range(6):
+                    pool = rng.integers(0, 2**64, a + b - common, dtype=np.uint64)
+                    small, large = np.sort(pool[:a]), np.sort(pool[a - common :])
+                    rows = []
+                    for i, s in enumerate((small, large)):
+                        key, role = jaccard_join.signatures(s, plan, none)
+                        rows.append(pd.DataFrame({"key": key.view(np.int64), "tag": i * 4 + role.astype(np.int64)}))
+                    found = list(jaccard_join._bucket_pairs(pd.concat(rows).sort_values(["key", "tag"], ignore_index=True)))
+                    assert any(((f["kind"] == 0) & (f["a"] == 0) & (f["b"] == 1)).any() for f in found), (a, b, common)
+                    tried += 1
+    assert tried > 100
+
+
+def test_jaccard_own_deletions_probe_when_members_meet():
+    role, zeros = np.array([3, 0, 2, 3, 1]), np.zeros((5, 16), np.uint64)
+    i, j = np.triu_indices(5, 1)
+    at = jaccard_join._possible(i, j, np.arange(5), role, np.arange(5), np.full(5, 18), zeros, 85)
+    assert {(int(i[k]), int(j[k])) for k in at} == {(0, 1), (1, 3), (0, 4), (1, 4), (2, 4), (3, 4)}
+
+
 def test_jaccard_odd_rows(odd, empty):
     out = jaccard_join.components(odd).collect()
     assert {r.component_id for r in out if r.doc_id == 5} == {5} and sum(r.doc_id == 5 for r in out) == 2

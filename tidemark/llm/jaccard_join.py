@@ -95,7 +95,7 @@ class Plan:
 
 
 def signatures(s: np.ndarray, plan: Plan, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set and their roles: 0 index, 1 probe and index, 2 deletion (meets whole segments only)."""
+    """Signatures of a set and their roles: 0 index, 1 probe and index, 2 deletion (meets probing whole segments only), 3 deletion in the set's own band (a probe that meets whole segments only)."""
     keys, roles = [], []
     own = plan.band(len(s))
     bands = [own] + ([own - 1] if own and plan.percent * len(s) < 100 * plan.edges[own] else [])
@@ -120,7 +120,7 @@ def signatures(s: np.ndarray, plan: Plan, frequent: np.ndarray) -> tuple[np.ndar
         roles.append(role)
         if deletions:
             keys.append(np.unique(mixed(base[seg] + sums[seg] - value)))
-            roles.append(np.full(len(keys[-1]), 2, dtype=np.int8))
+            roles.append(np.full(len(keys[-1]), 3 if band == own else 2, dtype=np.int8))
     return np.concatenate(keys), np.concatenate(roles)
 
 
@@ -217,8 +217,8 @@ def _bucket_pairs(b: pd.DataFrame, whole_bucket: bool = True) -> Iterator[pd.Dat
     sizes = np.diff(np.r_[starts, len(key)])
     run = np.repeat(np.arange(len(starts)), sizes)
     role = tag & 3
-    probes = np.bincount(run, role == 1, len(starts)) > 0
-    whole = np.bincount(run, role != 2, len(starts)) > 0
+    probes = np.bincount(run, (role & 1) == 1, len(starts)) > 0
+    whole = np.bincount(run, role < 2, len(starts)) > 0
     live = (sizes > 1) & probes & whole if whole_bucket else sizes > 0
     keep = live[run]
     if not keep.any():
@@ -227,7 +227,7 @@ def _bucket_pairs(b: pd.DataFrame, whole_bucket: bool = True) -> Iterator[pd.Dat
     cls = tag >> 2
     # the representative: the whole segment with the least hash, one of four orders by key
     order = mixed((cls.astype(np.uint64) << np.uint64(2)) + (key.astype(np.uint64) & np.uint64(3)))
-    order[role == 2] = M64
+    order[role >= 2] = M64
     by = np.lexsort((order, run))
     first = by[np.flatnonzero(np.r_[True, run[by][1:] != run[by][:-1]])]
     rep = np.repeat(cls[first], np.diff(np.r_[np.flatnonzero(np.r_[True, run[1:] != run[:-1]]), len(run)]))
@@ -276,7 +276,8 @@ COLUMNS = ("key", "cls", "role", "component", "size", "sketch")
 
 def _possible(i: np.ndarray, j: np.ndarray, cls, role, component, size, bits, percent: int) -> np.ndarray:
     """Which of the pairs (i, j) are in different components, have a probe, and pass the bounds."""
-    ok = (component[j] != component[i]) & ((role[j] == 1) | (role[i] == 1)) & (percent * np.maximum(size[j], size[i]) <= 100 * np.minimum(size[j], size[i]))
+    probe = (role[j] == 1) | (role[i] == 1) | (np.maximum(role[j], role[i]) == 3) & (np.minimum(role[j], role[i]) == 0)
+    ok = (component[j] != component[i]) & probe & (percent * np.maximum(size[j], size[i]) <= 100 * np.minimum(size[j], size[i]))
     at = np.flatnonzero(ok)
     apart = np.bitwise_count(bits[j[at]] ^ bits[i[at]]).sum(1, dtype=np.int64)
     return at[apart * (100 + percent) <= (100 - percent) * (size[j[at]] + size[i[at]])]
