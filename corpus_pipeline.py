@@ -22,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Multi-line chunks that occur earlier are cut from the texts."""
+    """Passages of two or more lines that occur earlier are cut from the texts."""
     return line_dedup.dedup(docs)
 
 
@@ -49,7 +49,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can't express the stages: a trained model, content-defined chunks, a tokenizer.
+#: SQL can't express the stages: a trained model, a tokenizer.
 ORACLE_SQL: str | None = None
 
 

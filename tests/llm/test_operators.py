@@ -243,6 +243,36 @@ def test_line_dedup(spark):
         assert set(texts[i].split("\n")) - set(kept) <= set(block)
 
 
+def brute_lines(docs):
+    seen, out = set(), {}
+    for i, t in docs:
+        lines, gone, first = t.split("\n"), set(), {}
+        blank = [not x.strip(" \t\r") for x in lines]
+        for s in range(len(lines)):
+            for e in range(s + 2, len(lines) + 1):
+                run = tuple(lines[s:e])
+                inner = e - s > 2 and (blank[s] or blank[e - 1] or not all(blank[s + 1 : e - 1]))
+                if all(blank[s:e]) or inner:
+                    continue
+                if run in seen or s >= first.setdefault(run, e):
+                    gone |= set(range(s, e))
+        seen |= {tuple(lines[s:e]) for s in range(len(lines)) for e in range(s + 2, len(lines) + 1)}
+        out[i] = (len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
+def test_line_dedup_short_passages_in_other_text(spark):
+    rng = random.Random(12)
+    line = lambda: words_like(rng, 8)
+    some = lambda n: [line() for _ in range(n)]
+    passages = [some(n) for n in (2, 2, 2, 3, 3, 5, 9)] + [[line(), "", line()], [line(), "", " ", "", "", line()], ["", ""]]
+    docs = [(i, "\n".join([*some(rng.randrange(0, 5)), *passages[i % 10], *some(rng.randrange(1, 5)), *passages[(i * 3 + 1) % 10], *some(2)])) for i in range(50)]
+    docs += [(60, "a\na\na"), (61, "b\nb\nb\nb\nb"), (62, "\n".join(passages[0] + some(1) + passages[0])), (63, passages[0][0]), (64, "\n".join([*some(2), passages[0][1], passages[1][0]]))]
+    got = {r.doc_id: (r["__removed"], r.text) for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), counts=True).collect()}
+    assert got == brute_lines(docs)
+    assert got[60][0] == 0 and got[61][0] == 3 and got[64][0] == 0 and sum(n for n, _ in got.values()) > 200
+
+
 def test_line_dedup_odd_rows(odd, empty):
     clash = odd.withColumns({"lines": F.lit(1), "h": F.lit(2), "n": F.lit(3)})
     out = line_dedup.dedup(clash)

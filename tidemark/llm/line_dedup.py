@@ -1,12 +1,14 @@
-"""Line dedup over content-defined chunks of lines.
+"""Line dedup over all neighbouring lines.
 
-A text's lines are hashed; where the rolling hash of ROLL neighbouring line hashes hits a residue,
-a chunk ends.  Boundaries depend on nearby lines only, so they stay in place when lines are put in
-elsewhere.  A chunk of two or more lines that also occurs earlier (in a smaller doc_id, or earlier
-in the same document) is removed; the first occurrence stays.  Chunks are found by hash, and a
-group of equal hashes is acted on only when all its texts are the same bytes.
+A passage of two or more lines that also occurs earlier (in a smaller doc_id, or earlier in the same
+document, not overlapping) is removed; the first occurrence stays.  Such a passage is a run of pairs
+of neighbouring lines that each occur earlier, so every pair is looked up, whatever text is around,
+and the lines that found pairs cover are the maximal runs.  Where three or more blank lines lie
+between two others, the passage from one to the other is looked up as well, so the blank lines go
+with it.  Passages are found by hash, and a group of equal hashes is acted on only when all its
+texts are the same bytes.
 
-Null texts stay null, empty texts stay empty.  Chunks of blank lines are left.  Repeated rows of one
+Null texts stay null, empty texts stay empty.  Pairs of blank lines are left.  Repeated rows of one
 doc_id and text are one document: each keeps what the other keeps.  Null ids come last in order.
 All columns pass through; n_chars, where there is one, follows the text.
 """
@@ -18,52 +20,50 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import apart, keyed
 
-#: Lines under the rolling hash; one boundary for so many lines on average.
-ROLL, EVERY = 2, 3
 
-
-def chunks(documents: DataFrame) -> DataFrame:
-    """Multi-line chunks: __id, __th, first and end line, and two hashes of the chunk's text."""
+def passages(documents: DataFrame) -> DataFrame:
+    """The passages to look up: __id, __th, first and end line, and two hashes of the lines."""
     d = apart(keyed(documents).where("text IS NOT NULL").select("__id", "__th", "text"), lines=F.split("text", "\n")).drop("text")
-    d = apart(d, h=F.transform("lines", lambda x: F.xxhash64(x)))
-    at = F.filter(
-        F.when(F.size("h") >= ROLL, F.sequence(F.lit(ROLL - 1), F.size("h") - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.pmod(F.xxhash64(F.slice("h", i - (ROLL - 2), F.lit(ROLL))), F.lit(EVERY)) == 0,
-    )
-    d = apart(d.withColumn("n", F.size("lines")), cuts=at)
-    d = apart(d, spans=F.zip_with(F.concat(F.array(F.lit(0)), "cuts"), F.concat("cuts", F.array("n")), lambda a, b: F.struct(a.alias("start"), b.alias("end"))))
-    body = F.transform(
-        F.filter("spans", lambda s: s["end"] - s["start"] >= 2),
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.array_join(F.slice("lines", s["start"] + 1, s["end"] - s["start"]), "\n").alias("text")),
-    )
-    hashed = F.transform(body, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.xxhash64(c["text"]).alias("k1"), F.xxhash64(F.lit("second"), c["text"]).alias("k2"), (F.trim(F.translate(c["text"], "\n\t\r", "   ")) != "").alias("full")))
-    return d.select("__id", "__th", F.explode(hashed).alias("c")).select("__id", "__th", "c.*").where("full").drop("full")
+    d = apart(
+        d,
+        h=F.transform("lines", lambda x: F.xxhash64(x)),
+        g=F.transform("lines", lambda x: F.hash(x)),
+        full=F.transform("lines", lambda x: F.trim(F.translate(x, "\t\r", "  ")) != ""),
+    ).drop("lines")
+    d = apart(d, at=F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.get("full", i)))
+    span = lambda start, end: F.struct(start.alias("start"), end.alias("end"), F.xxhash64(F.slice("h", start + 1, end - start)).alias("k1"), F.hash(F.slice("g", start + 1, end - start)).alias("k2"))
+    pairs = F.when(F.size("h") > 1, F.sequence(F.lit(0), F.size("h") - 2)).otherwise(F.array().cast("array<int>"))
+    pairs = F.transform(F.filter(pairs, lambda i: F.get("full", i) | F.get("full", i + 1)), lambda i: span(i, i + 2))
+    gaps = F.zip_with("at", F.slice("at", 2, F.size("at")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    gaps = F.transform(F.filter(gaps, lambda x: x["b"] - x["a"] > 3), lambda x: span(x["a"], x["b"] + 1))
+    return d.select("__id", "__th", F.explode(F.concat(pairs, gaps)).alias("c")).select("__id", "__th", "c.*")
 
 
 def repeated(documents: DataFrame) -> DataFrame:
-    """The chunks to remove: __id, __th, start, end."""
-    all_chunks = chunks(documents)
-    groups = all_chunks.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first_id")).where("n > 1").drop("n")
-    found = all_chunks.join(groups, ["k1", "k2"])
-    # texts of the found chunks, cut from the documents that hold any
-    spans = found.groupBy("__id", "__th").agg(F.collect_set(F.struct("start", "end", "k1", "k2", "first_id")).alias("found"))
+    """The passages to remove: __id, __th, start, end."""
+    looked_up = passages(documents)
+    groups = looked_up.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first_id")).where("n > 1").drop("n")
+    found = looked_up.join(groups, ["k1", "k2"])
+    # texts of the found passages, cut from the documents that hold any
+    spans = found.groupBy("__id", "__th").agg(F.collect_set(F.struct("start", "end", "k1", "k2")).alias("found"))
     texts = keyed(documents).select("__id", "__th", "text").dropDuplicates(["__id", "__th"]).join(spans, ["__id", "__th"])
     texts = apart(texts, lines=F.split("text", "\n")).drop("text")
-    texts = texts.select("__id", "__th", "lines", F.explode("found").alias("c")).select("__id", "__th", "c.*", F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.end") - F.col("c.start")), "\n").alias("chunk"))
-    same = texts.groupBy("k1", "k2").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most")).where("least = most").select("k1", "k2")
+    texts = texts.select("lines", F.explode("found").alias("c")).select("c.k1", "c.k2", F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.end") - F.col("c.start")), "\n").alias("passage"))
+    same = texts.groupBy("k1", "k2").agg(F.min("passage").alias("least"), F.max("passage").alias("most")).where("least = most").select("k1", "k2")
     earlier = Window.partitionBy("__id", "__th", "k1", "k2")
-    later = found.withColumn("first_start", F.min("start").over(earlier)).where("__id <> first_id OR start <> first_start")
+    later = found.withColumn("first_end", F.min("end").over(earlier)).where("__id <> first_id OR start >= first_end")
     return later.join(same, ["k1", "k2"], "left_semi").select("__id", "__th", "start", "end").distinct()
 
 
 def dedup(documents: DataFrame, *, counts: bool = False) -> DataFrame:
-    """The documents without globally repeated multi-line chunks; ``counts`` adds __lines and __removed."""
-    gone = repeated(documents).groupBy("__id", "__th").agg(F.collect_list(F.struct("start", "end")).alias("__gone"))
+    """The documents without globally repeated passages of lines; ``counts`` adds __lines and __removed."""
+    gone = repeated(documents).groupBy("__id", "__th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("end") - 1)))).alias("__gone"))
     joined = keyed(documents).join(gone, ["__id", "__th"], "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.exists("__gone", lambda g: (i >= g["start"]) & (i < g["end"])))
+    joined = apart(joined, __split=F.when(F.col("__gone").isNotNull(), F.split("text", "\n")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), "__gone"), lambda i: F.get("__split", i))
     out = joined.withColumns({"text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))} | ({
         "__lines": F.coalesce(F.size(F.split("text", "\n")), F.lit(0)),
-        "__removed": F.coalesce(F.aggregate("__gone", F.lit(0), lambda a, g: a + g["end"] - g["start"]), F.lit(0)),
+        "__removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")),
     } if counts else {}))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(documents.schema["n_chars"].dataType)))
