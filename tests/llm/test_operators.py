@@ -166,6 +166,30 @@ def test_jaccard_own_deletions_probe_when_members_meet():
     assert {(int(i[k]), int(j[k])) for k in at} == {(0, 1), (1, 3), (0, 4), (1, 4), (2, 4), (3, 4)}
 
 
+def test_jaccard_parts_of_a_bucket_all_go_on(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PART", 40)
+    tags = [i * 4 + 1 for i in range(50)] + [i * 4 + 2 for i in range(50, 121)]
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        found = jaccard_join._stars(spark.createDataFrame([(7, t) for t in tags], "key long, tag long")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert {(r.a, r.b) for r in found if r.kind == 1} == {(t >> 2, t & 3) for t in tags}
+
+
+def test_jaccard_blocks_meet_like_whole_buckets(spark, monkeypatch):
+    rng = random.Random(4)
+    data = [(key, i, rng.choice([0, 1, 2, 3]), rng.choice([1, 2, 100 + i]), 18, [0] * 16, n) for key, n in ((1, 60), (2, 3)) for i in range(n)]
+    table = spark.createDataFrame(data, "key long, cls long, role long, component long, size long, sketch array<long>, n long")
+    meets = lambda p, q: p == 1 or q == 1 or {p, q} == {0, 3}
+    brute = {(a[1], b[1]) for a in data for b in data if a[0] == b[0] and a[1] < b[1] and a[3] != b[3] and meets(a[2], b[2])}
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    assert {tuple(r) for r in jaccard_join._meet(table, 85).collect()} == brute
+    dealt = jaccard_join._blocks(table, 7).groupBy("key", "x", "y").count().collect()
+    assert max(r["count"] for r in dealt) < 45 and len(dealt) == 46
+
+
 def test_jaccard_odd_rows(odd, empty):
     out = jaccard_join.components(odd).collect()
     assert {r.component_id for r in out if r.doc_id == 5} == {5} and sum(r.doc_id == 5 for r in out) == 2

@@ -37,6 +37,8 @@ RATIO, SMALL = 1.5, 48
 SKETCH = 1_024
 #: Frequent shingles: in over FREQUENT of a sample of about SAMPLE documents; at most MOST of them.
 SAMPLE, FREQUENT, MOST = 20_000, 0.002, 100_000
+#: Rows of one bucket that are settled at once, and members of a bucket that one task compares with as many others.
+PART, BLOCK = 200_000, 2_000
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -192,26 +194,34 @@ def _stars(signed: DataFrame) -> DataFrame:
     """From sorted signatures: pairs (a, b) with each bucket's representative, and the rows of buckets of three or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest, parted = None, None
         for b in batches:
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
             key = b["key"].to_numpy()
             last = int(np.searchsorted(key, key[-1], side="left")) if len(key) else 0
-            if last == 0 and len(b) > 200_000:
+            if last == 0 and len(b) > PART:
                 # a bucket larger than memory should hold: settle what is there, keep one row as its link to the rest
-                yield from _bucket_pairs(b, whole_bucket=False)
-                rest = b.iloc[:1]
+                yield from _bucket_pairs(b, parted=key[0])
+                rest, parted = _link(b), key[0]
                 continue
             rest = b.iloc[last:]
             if last:
-                yield from _bucket_pairs(b.iloc[:last])
+                yield from _bucket_pairs(b.iloc[:last], parted)
         if rest is not None and len(rest):
-            yield from _bucket_pairs(rest)
+            yield from _bucket_pairs(rest, parted)
 
     return signed.repartition("key").sortWithinPartitions("key", "tag").mapInPandas(run, "kind int, key long, a long, b long")
 
 
-def _bucket_pairs(b: pd.DataFrame, whole_bucket: bool = True) -> Iterator[pd.DataFrame]:
+def _link(b: pd.DataFrame) -> pd.DataFrame:
+    """A row of a part of one bucket: a whole segment if there is one."""
+    whole = np.flatnonzero((b["tag"].to_numpy() & 3) < 2)
+    at = int(whole[0]) if len(whole) else 0
+    return b.iloc[at : at + 1]
+
+
+def _bucket_pairs(b: pd.DataFrame, parted: int | None = None) -> Iterator[pd.DataFrame]:
+    """Star pairs and rows of whole buckets; ``parted`` is the key of one that comes in parts, whose rows all go on, as other parts may have what they meet."""
     key, tag = b["key"].to_numpy(), b["tag"].to_numpy()
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
@@ -219,7 +229,8 @@ def _bucket_pairs(b: pd.DataFrame, whole_bucket: bool = True) -> Iterator[pd.Dat
     role = tag & 3
     probes = np.bincount(run, (role & 1) == 1, len(starts)) > 0
     whole = np.bincount(run, role < 2, len(starts)) > 0
-    live = (sizes > 1) & probes & whole if whole_bucket else sizes > 0
+    part = key[starts] == parted if parted is not None else np.zeros(len(starts), bool)
+    live = (sizes > 1) & probes & whole | part
     keep = live[run]
     if not keep.any():
         return
@@ -235,7 +246,7 @@ def _bucket_pairs(b: pd.DataFrame, whole_bucket: bool = True) -> Iterator[pd.Dat
     pairs = np.unique(np.stack([np.minimum(rep, cls)[pair], np.maximum(rep, cls)[pair]], 1), axis=0)
     if len(pairs):
         yield pd.DataFrame({"kind": 0, "key": 0, "a": pairs[:, 0], "b": pairs[:, 1]})
-    more = np.bincount(run, minlength=len(starts))[run] > 2
+    more = ((sizes > 2) | part)[run]
     if more.any():
         yield pd.DataFrame({"kind": 1, "key": key[more], "a": cls[more], "b": role[more]})
 
@@ -288,27 +299,36 @@ def _ordered(i: np.ndarray, j: np.ndarray, cls: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
 
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows of buckets of ``n`` members in blocks: each row once for every pair of blocks (x, y) that it takes part in, and whether it is on x's side."""
+    count = F.ceil(F.col("n") / size).cast("int")
+    dealt = rows.withColumn("count", count).withColumn("own", F.pmod(F.xxhash64("cls", "role"), F.col("count")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+    return met.select(*COLUMNS, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("left"))
+
+
 def _meet(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of bucket members in different components that pass the bounds, from rows of COLUMNS."""
+    """Pairs (a, b) of bucket members in different components that pass the bounds, from rows of COLUMNS and n, the members of their bucket."""
 
-    def pairs(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        key, cls, role, component, size = (b[c].to_numpy() for c in COLUMNS[:5])
+    def pairs(b: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
+        _, cls, role, component, size = (b[c].to_numpy() for c in COLUMNS[:5])
         bits = np.stack(b["sketch"].to_numpy()).view(np.uint64)
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        across, on_left = (b["x"] != b["y"]).to_numpy(), b["left"].to_numpy()
         left, right, held = [], [], 0
-        for s, e in zip(starts, np.r_[starts[1:], len(key)], strict=True):
+        for s, e in zip(starts, np.r_[starts[1:], len(b)], strict=True):
             if (component[s:e] == component[s]).all():
                 continue
-            for k in range(s, e - 1):
-                j = np.arange(k + 1, e)
+            sides = (s + np.flatnonzero(on_left[s:e]), s + np.flatnonzero(~on_left[s:e])) if across[s] else (np.arange(s, e), None)
+            for k in sides[0]:
+                j = np.arange(k + 1, e) if sides[1] is None else sides[1]
                 i = np.full(len(j), k)
                 at = _possible(i, j, cls, role, component, size, bits, percent)
                 left.append(i[at])
                 right.append(j[at])
                 held += len(at)
-            if held > 200_000:
-                yield _ordered(np.concatenate(left), np.concatenate(right), cls)
-                left, right, held = [], [], 0
+                if held > 200_000:
+                    yield _ordered(np.concatenate(left), np.concatenate(right), cls)
+                    left, right, held = [], [], 0
         if held:
             yield _ordered(np.concatenate(left), np.concatenate(right), cls)
 
@@ -316,15 +336,17 @@ def _meet(rows: DataFrame, percent: int) -> DataFrame:
         rest = None
         for b in batches:
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            key = b["key"].to_numpy()
-            last = int(np.searchsorted(key, key[-1], side="left")) if len(key) else 0
+            key, x, y = (b[c].to_numpy() for c in ("key", "x", "y"))
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(b) else np.zeros(1, int)
+            last = int(starts[-1])
             rest, done = b.iloc[last:], b.iloc[:last]
             if last:
-                yield from pairs(done)
+                yield from pairs(done, starts[:-1])
         if rest is not None and len(rest):
-            yield from pairs(rest)
+            yield from pairs(rest, np.zeros(1, int))
 
-    return rows.repartition("key").sortWithinPartitions("key", "component", "cls").mapInPandas(run, "a long, b long").distinct()
+    dealt = _blocks(rows, BLOCK).repartition("key", "x", "y")
+    return dealt.sortWithinPartitions("key", "x", "y", "component", "cls").mapInPandas(run, "a long, b long").distinct()
 
 
 def components(documents: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
@@ -352,8 +374,8 @@ def components(documents: DataFrame, *, n: int = 4, percent: int = 85) -> DataFr
     eighth = F.pmod(F.xxhash64("key"), F.lit(8)) == 0
     for some in (rows.where(eighth), rows.where(~eighth)):
         now = some.join(joined.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        apart = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        left = now.join(apart, "key", "left_semi").join(classes, "cls").select(*COLUMNS)
+        apart = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
+        left = now.join(apart, "key").join(classes, "cls").select(*COLUMNS, "n")
         linked = linked.union(_verified(_bounded(_meet(left, percent), classes, percent), sets, percent))
         joined = connected_components(linked, "a", "b")
     out = members.join(joined.withColumnRenamed("id", "cls"), "cls", "left")
