@@ -228,6 +228,19 @@ def test_suffix_dedup_brute_force(spark, monkeypatch, hold):
     assert got == brute_repeats(docs)
 
 
+@pytest.mark.parametrize("hold", [200_000, 0])
+def test_suffix_dedup_many_null_ids(spark, monkeypatch, hold):
+    monkeypatch.setattr(suffix_dedup, "HOLD", hold)
+    rng = random.Random(13)
+    passage = words_like(rng, 40)
+    texts = [f"{words_like(rng, 6)} {i} {passage if i % 2 else words_like(rng, 30)} {i} {words_like(rng, 6)}" for i in range(4_000)]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    place = {r.text: r.th for r in docs.select("text", F.xxhash64("text").alias("th")).collect()}
+    assert len({h & 0xFFFF for h in place.values()}) < len(texts)
+    want = brute_repeats([(t, t) for t in sorted(texts, key=place.get)])
+    assert sorted(tuple(r)[1:] for r in suffix_dedup.report(docs).collect()) == sorted(want.values())
+
+
 def test_deep_shallow_sorts():
     rng = np.random.default_rng(3)
     a = rng.integers(97, 99, (3_000, 100), dtype=np.uint8)

@@ -125,45 +125,45 @@ def _chunks(b: pd.DataFrame) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray]]:
         yield Chunk(texts), np.array(ids, dtype=np.int64), np.array(ths, dtype=np.int64)
 
 
-#: place = text hash (16 bits) | position (32 bits) | highest offset (7) | lowest offset (7); RESOLVED marks a repeated anchor.
+#: place = position (32 bits) | highest offset (7) | lowest offset (7); RESOLVED marks a repeated anchor.
 RESOLVED = 1 << 62
 
 
-def _place(th: np.ndarray, pos: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return (th << 46) | (pos << 14) | (high << 7) | low
+def _place(pos: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (pos << 14) | (high << 7) | low
 
 
-def _parts(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return (place >> 46) & 0xFFFF, (place >> 14) & 0xFFFFFFFF, (place >> 7) & 127, place & 127
+def _parts(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return (place >> 14) & 0xFFFFFFFF, (place >> 7) & 127, place & 127
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.select(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("id"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).alias("th"), "text")
+    return documents.select(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("id"), F.xxhash64("text").alias("th"), "text")
 
 
 def _anchors(keyed: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """gram, context, id, place of the anchors.  What repeats within a batch of a task goes on once; the rest is RESOLVED and dealt out evenly."""
+    """gram, context, id, th, place of the anchors.  What repeats within a batch of a task goes on once; the rest is RESOLVED and dealt out evenly."""
     shared = keyed.sparkSession.sparkContext.broadcast(frequent)
 
     def settle(held: list[np.ndarray]) -> pd.DataFrame:
-        gram, context, doc, place = np.concatenate(held, axis=1)
-        order = np.lexsort((place, doc, context, gram))
-        gram, context, doc, place = gram[order], context[order], doc[order], place[order]
+        gram, context, doc, th, place = np.concatenate(held, axis=1)
+        order = np.lexsort((place, th, doc, context, gram))
+        gram, context, doc, th, place = gram[order], context[order], doc[order], th[order], place[order]
         again = np.r_[False, (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])]
-        same = np.r_[False, again[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])]
+        same = np.r_[False, again[1:] & (doc[1:] == doc[:-1]) & (th[1:] == th[:-1]) & (place[1:] == place[:-1])]
         later = again & ~same
         first = np.maximum.accumulate(np.where(again, 0, np.arange(len(gram))))
         # a repeated row of one document is no earlier occurrence
-        later &= ~((doc == doc[first]) & (place == place[first]))
-        gram = np.where(later, mixed((doc * 1_000_003 + place).view(np.uint64)).view(np.int64), gram)
+        later &= ~((doc == doc[first]) & (th == th[first]) & (place == place[first]))
+        gram = np.where(later, mixed((doc * 1_000_003 + th + place).view(np.uint64)).view(np.int64), gram)
         place = np.where(later, place | RESOLVED, place)
-        return pd.DataFrame({"gram": gram[~same], "context": context[~same], "id": doc[~same], "place": place[~same]})
+        return pd.DataFrame({"gram": gram[~same], "context": context[~same], "id": doc[~same], "th": th[~same], "place": place[~same]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
         for b in batches:
             for chunk, ids, ths in _chunks(b):
-                rows = np.stack([chunk.gram[chunk.at].view(np.int64), chunk.contexts().view(np.int64), ids[chunk.doc], _place(ths[chunk.doc], chunk.pos, chunk.high, chunk.low)])
+                rows = np.stack([chunk.gram[chunk.at].view(np.int64), chunk.contexts().view(np.int64), ids[chunk.doc], ths[chunk.doc], _place(chunk.pos, chunk.high, chunk.low)])
                 held.append(rows[:, ~np.isin(chunk.gram[chunk.at], shared.value)] if len(shared.value) else rows)
                 if sum(h.shape[1] for h in held) > GATHERED:
                     yield settle(held)
@@ -171,26 +171,26 @@ def _anchors(keyed: DataFrame, frequent: np.ndarray) -> DataFrame:
         if held:
             yield settle(held)
 
-    return keyed.mapInPandas(run, "gram long, context long, id long, place long")
+    return keyed.mapInPandas(run, "gram long, context long, id long, th long, place long")
 
 
 def _resolved(anchors: DataFrame) -> DataFrame:
-    """From anchors sorted by gram: id, place of repeated anchors (gram null), and of the first anchors of each context where a gram has several."""
+    """From anchors sorted by gram: id, th, place of repeated anchors (gram null), and of the first anchors of each context where a gram has several."""
 
     def settle(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        gram, context, doc, place = (b[c].to_numpy() for c in ("gram", "context", "id", "place"))
+        gram, context, doc, th, place = (b[c].to_numpy() for c in ("gram", "context", "id", "th", "place"))
         done = (place & RESOLVED) != 0
         run = np.cumsum(np.r_[True, gram[1:] != gram[:-1]]) - 1
         new_context = np.r_[True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])]
         first = np.maximum.accumulate(np.where(new_context, np.arange(len(gram)), 0))
-        repeated = done | ((doc != doc[first]) | (place != place[first]))
+        repeated = done | ((doc != doc[first]) | (th != th[first]) | (place != place[first]))
         several = (np.bincount(run, new_context & ~done, run[-1] + 1) > 1)[run] if len(run) else done
         if repeated.any():
             k = repeated
-            yield pd.DataFrame({"id": doc[k], "place": place[k] & ~RESOLVED, "gram": pd.array([None] * int(k.sum()), dtype="Int64")})
+            yield pd.DataFrame({"id": doc[k], "th": th[k], "place": place[k] & ~RESOLVED, "gram": pd.array([None] * int(k.sum()), dtype="Int64")})
         k = several & new_context & ~done
         if k.any():
-            yield pd.DataFrame({"id": doc[k], "place": place[k], "gram": pd.array(gram[k], dtype="Int64")})
+            yield pd.DataFrame({"id": doc[k], "th": th[k], "place": place[k], "gram": pd.array(gram[k], dtype="Int64")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -204,7 +204,7 @@ def _resolved(anchors: DataFrame) -> DataFrame:
         if rest is not None and len(rest):
             yield from settle(rest)
 
-    return anchors.repartition("gram").sortWithinPartitions("gram", "context", "id", "place").mapInPandas(run, "id long, place long, gram long")
+    return anchors.repartition("gram").sortWithinPartitions("gram", "context", "id", "th", "place").mapInPandas(run, "id long, th long, place long, gram long")
 
 
 def _frequent_grams(keyed: DataFrame, total: int) -> np.ndarray:
@@ -232,14 +232,13 @@ def _frequent_windows(keyed: DataFrame, frequent: np.ndarray) -> DataFrame:
                 which = np.flatnonzero(np.isin(chunk.gram[chunk.at], shared.value))
                 if len(which):
                     anchor, start, one, two = chunk.windows(which)
-                    yield pd.DataFrame({"one": one.view(np.int64), "two": two.view(np.int64), "id": ids[chunk.doc[anchor]], "at": (ths[chunk.doc[anchor]] << 32) | start})
+                    yield pd.DataFrame({"one": one.view(np.int64), "two": two.view(np.int64), "id": ids[chunk.doc[anchor]], "th": ths[chunk.doc[anchor]], "start": start})
 
-    rows = keyed.mapInPandas(run, "one long, two long, id long, at long")
+    rows = keyed.mapInPandas(run, "one long, two long, id long, th long, start long")
     first = rows.groupBy("one", "two").agg(F.min("id").alias("first_id"))
-    first = rows.join(first, ["one", "two"]).where("id = first_id").groupBy("one", "two", "first_id").agg(F.min("at").alias("first_at"))
-    later = rows.join(first, ["one", "two"]).where("id <> first_id OR at <> first_at")
-    start = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
-    return later.select("id", F.shiftright("at", 32).alias("th"), start.alias("start"), (start + LENGTH).alias("end"))
+    first = rows.join(first, ["one", "two"]).where("id = first_id").groupBy("one", "two", "first_id").agg(F.min(F.struct("th", "start")).alias("first"))
+    later = rows.join(first, ["one", "two"]).where("id <> first_id OR th <> first.th OR start <> first.start")
+    return later.select("id", "th", "start", (F.col("start") + LENGTH).alias("end"))
 
 
 # --- deep-shallow sorting of fixed-length byte strings
@@ -335,45 +334,41 @@ def repeated_windows(left: np.ndarray, right: np.ndarray, low: np.ndarray, high:
     return np.concatenate(anchors), np.concatenate(offsets)
 
 
-def _th():
-    return F.shiftright("place", 46).bitwiseAND(F.lit(0xFFFF))
-
-
 def _covered(resolved: DataFrame) -> DataFrame:
     """id, th, start, end of the bytes that repeated anchors' windows cover."""
     pos, high, low = F.shiftright("place", 14).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("place", 7).bitwiseAND(F.lit(127)), F.col("place").bitwiseAND(F.lit(127))
-    return resolved.where("gram IS NULL").select("id", _th().alias("th"), (pos - high).alias("start"), (pos - low + LENGTH).alias("end"))
+    return resolved.where("gram IS NULL").select("id", "th", (pos - high).alias("start"), (pos - low + LENGTH).alias("end"))
 
 
 def _contexts(keyed: DataFrame, resolved: DataFrame) -> DataFrame:
-    """gram, id, place, and the bytes on both sides of each anchor to sort."""
-    wanted = resolved.where("gram IS NOT NULL").groupBy("id", _th().alias("th")).agg(F.collect_list(F.struct("gram", "place")).alias("wanted"))
+    """gram, id, th, place, and the bytes on both sides of each anchor to sort."""
+    wanted = resolved.where("gram IS NOT NULL").groupBy("id", "th").agg(F.collect_list(F.struct("gram", "place")).alias("wanted"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, text, wanted in zip(b["id"].to_numpy(), b["text"], b["wanted"], strict=True):
+            for doc, th, text, wanted in zip(b["id"].to_numpy(), b["th"].to_numpy(), b["text"], b["wanted"], strict=True):
                 raw = bytes(LENGTH) + text.encode("utf-8", "surrogatepass") + bytes(LENGTH)
                 for w in wanted:
                     place = w["place"]
                     at = LENGTH + ((place >> 14) & 0xFFFFFFFF)
-                    rows.append((w["gram"], doc, place, raw[at - SPAN + 1 : at + LENGTH]))
+                    rows.append((w["gram"], doc, th, place, raw[at - SPAN + 1 : at + LENGTH]))
                 if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=["gram", "id", "place", "context"])
+                    yield pd.DataFrame(rows, columns=["gram", "id", "th", "place", "context"])
                     rows = []
-            yield pd.DataFrame(rows, columns=["gram", "id", "place", "context"])
+            yield pd.DataFrame(rows, columns=["gram", "id", "th", "place", "context"])
 
     texts = keyed.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"])
-    return texts.mapInPandas(run, "gram long, id long, place long, context binary")
+    return texts.mapInPandas(run, "gram long, id long, th long, place long, context binary")
 
 
 def _sorted_windows(contexts: DataFrame) -> DataFrame:
     """id, th, start, end of the repeated windows among anchors of one gram, by deep-shallow sorting."""
 
     def settle(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["id", "place"], kind="stable")
+        b = b.sort_values(["id", "th", "place"], kind="stable")
         rows = np.frombuffer(b"".join(b["context"]), dtype=np.uint8).reshape(len(b), SPAN - 1 + LENGTH)
-        th, pos, high, low = _parts(b["place"].to_numpy())
+        th, (pos, high, low) = b["th"].to_numpy(), _parts(b["place"].to_numpy())
         anchor, offset = repeated_windows(np.ascontiguousarray(rows[:, SPAN - 2 :: -1]), np.ascontiguousarray(rows[:, SPAN - 1 :]), low, high)
         order = np.lexsort((offset, anchor))
         anchor, offset = anchor[order], offset[order]
