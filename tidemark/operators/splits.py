@@ -86,7 +86,7 @@ def exact_selection(groups: DataFrame, key: str, size: str, targets: list[int],
                 break
             took = took.select(key, size, F.lit(level).alias("level"))
             chosen = took if chosen is None else chosen.union(took)
-            from tidemark.operators.graph import reliable
+            from tidemark.operators.shared import reliable
 
             chosen = reliable(chosen)
             have, last = have + summary["s"], tuple(summary["last"])

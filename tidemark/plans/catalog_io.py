@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import contracts as C
+from tidemark.operators.shared import shared_folder
 from tidemark.plans import pipelines as P
 from tidemark.plans.catalog_models import sequences
 from tidemark.plans.registry import Tables, query, r
@@ -18,8 +18,7 @@ from tidemark.streaming.registry import append_available
 
 def scratch(t: Tables, name: str) -> str:
     """A new path in the folder that all executors share."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}/{name}"
+    return f"{shared_folder(t.spark).rstrip('/')}/tables-{uuid.uuid4().hex}/{name}"
 
 
 @query("s01_delimited_scan", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE n_name END AS n_name FROM nation")
