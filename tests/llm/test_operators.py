@@ -135,12 +135,15 @@ def test_jaccard_brute_force(spark):
 
 
 @pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
-def test_jaccard_pairs_across_band_edges_share_a_live_bucket(n, percent):
+@pytest.mark.parametrize("deletions", [True, False, None])
+def test_jaccard_pairs_across_band_edges_share_a_live_bucket(n, percent, deletions):
     rng = np.random.default_rng(21)
     plan = jaccard_join.Plan(percent)
+    if deletions is not None:
+        plan.choose({b: next((o for o in plan.options(b) if o[1] == deletions), plan.options(b)[0]) for b in range(15)})
     none = np.zeros(0, np.uint64)
     tried = 0
-    for edge in (e for e in plan.edges[1:] if e < 140):
+    for edge in (int(e) for e in plan.edges[1:] if e < 140):
         for a in range(max(1, edge - 8), edge):
             for b in range(edge, edge + 8):
                 common = -(-percent * (a + b) // (100 + percent))
@@ -148,12 +151,10 @@ def test_jaccard_pairs_across_band_edges_share_a_live_bucket(n, percent):
                     continue
                 for _ in range(6):
                     pool = rng.integers(0, 2**64, a + b - common, dtype=np.uint64)
-                    small, large = np.sort(pool[:a]), np.sort(pool[a - common :])
-                    rows = []
-                    for i, s in enumerate((small, large)):
-                        key, role = jaccard_join.signatures(s, plan, none)
-                        rows.append(pd.DataFrame({"key": key.view(np.int64), "tag": i * 4 + role.astype(np.int64)}))
-                    found = list(jaccard_join._bucket_pairs(pd.concat(rows).sort_values(["key", "tag"], ignore_index=True)))
+                    flat = np.concatenate([np.sort(pool[:a]), np.sort(pool[a - common :])])
+                    place, key, role = jaccard_join.signatures(flat, np.array([a, b]), plan, none)
+                    by = np.argsort(key.view(np.int64))
+                    found = [f.to_pandas() for f in jaccard_join._bucket_pairs(key.view(np.int64)[by], place[by], role.astype(np.int32)[by])]
                     assert any(((f["kind"] == 0) & (f["a"] == 0) & (f["b"] == 1)).any() for f in found), (a, b, common)
                     tried += 1
     assert tried > 100
@@ -162,39 +163,77 @@ def test_jaccard_pairs_across_band_edges_share_a_live_bucket(n, percent):
 def test_jaccard_own_deletions_probe_when_members_meet():
     role, zeros = np.array([3, 0, 2, 3, 1]), np.zeros((5, 16), np.uint64)
     i, j = np.triu_indices(5, 1)
-    at = jaccard_join._possible(i, j, np.arange(5), role, np.arange(5), np.full(5, 18), zeros, 85)
+    at = jaccard_join._possible(i, j, role, np.full(5, 18), zeros, 85)
     assert {(int(i[k]), int(j[k])) for k in at} == {(0, 1), (1, 3), (0, 4), (1, 4), (2, 4), (3, 4)}
 
 
 def test_jaccard_parts_of_a_bucket_all_go_on(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "PART", 40)
-    tags = [i * 4 + 1 for i in range(50)] + [i * 4 + 2 for i in range(50, 121)]
+    tags = [(i, 1) for i in range(50)] + [(i, 2) for i in range(50, 121)]
     batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     try:
-        found = jaccard_join._stars(spark.createDataFrame([(7, t) for t in tags], "key long, tag long")).collect()
+        found = jaccard_join._stars(spark.createDataFrame([(7, *t) for t in tags], "key long, doc_id long, tag int")).collect()
+        dealt = jaccard_join._stars(spark.createDataFrame([(7, i, 4 * (1 + i % 3) + r) for i, r in tags] + [(8, 1, 1), (8, 2, 2)], "key long, doc_id long, tag int")).collect()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-    assert {(r.a, r.b) for r in found if r.kind == 1} == {(t >> 2, t & 3) for t in tags}
+    assert {(r.a, r.b) for r in found if r.kind == 1} == set(tags) == {(r.a, r.b) for r in dealt if r.kind == 1}
+    assert (1, 2) in {(r.a, r.b) for r in dealt if r.kind == 0}
 
 
 def test_jaccard_blocks_meet_like_whole_buckets(spark, monkeypatch):
     rng = random.Random(4)
-    data = [(key, i, rng.choice([0, 1, 2, 3]), rng.choice([1, 2, 100 + i]), 18, [0] * 16, n) for key, n in ((1, 60), (2, 3)) for i in range(n)]
+    data = [(key, i, rng.choice([0, 1, 2, 3]), rng.choice([1, 1, 1, 2, 100 + i]), 18, [0] * 16, n) for key, n in ((1, 60), (2, 3)) for i in range(n)]
     table = spark.createDataFrame(data, "key long, cls long, role long, component long, size long, sketch array<long>, n long")
     meets = lambda p, q: p == 1 or q == 1 or {p, q} == {0, 3}
     brute = {(a[1], b[1]) for a in data for b in data if a[0] == b[0] and a[1] < b[1] and a[3] != b[3] and meets(a[2], b[2])}
+    assert {tuple(r)[:2] for r in jaccard_join._meet(table, 85).collect()} == brute
     monkeypatch.setattr(jaccard_join, "BLOCK", 7)
-    assert {tuple(r) for r in jaccard_join._meet(table, 85).collect()} == brute
+    assert {tuple(r)[:2] for r in jaccard_join._meet(table, 85).collect()} == brute
     dealt = jaccard_join._blocks(table, 7).groupBy("key", "x", "y").count().collect()
     assert max(r["count"] for r in dealt) < 45 and len(dealt) == 46
 
 
+@pytest.mark.parametrize("part,block", [(30, 5), (200_000, 2_000)])
+def test_jaccard_copies_in_parts_and_large_ids(spark, monkeypatch, part, block):
+    """A group of near copies and one of chained copies, whose buckets are larger than the limits, with 64-bit ids."""
+    monkeypatch.setattr(jaccard_join, "PART", part)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = random.Random(17)
+    base, docs = [f"w{rng.randrange(10**6)}" for _ in range(120)], []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        docs.append((2**62 + 7 * i, " ".join(w)))
+    for i in range(40):
+        base[3 * i : 3 * i + 2] = [f"c{i}", f"d{i}"]
+        docs.append((-5 - i, " ".join(base)))
+    docs += [(2**63 - 1, "x y z"), (2**61, "x y z"), (-(2**63), None)]
+    rng.shuffle(docs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_components(docs)
+
+
+def test_jaccard_rows_of_one_id_and_null_ids(spark):
+    rng = random.Random(18)
+    words = lambda: [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    a, b, c, d = words(), words(), words(), words()
+    near = lambda w: " ".join([*w, "more"])
+    data = [(1, " ".join(a)), (1, " ".join(b)), (2, near(b)), (None, near(a)), (5, near([*a, "still"])), (None, " ".join(c)), (None, near(c)), (7, " ".join(d)), (7, " ".join(d)), (8, None), (None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted(map(str, (tuple(r) for r in jaccard_join.components(df).collect())))
+    want = [(1, 57, 1), (1, 57, 1), (2, 58, 1), (None, 58, 1), (5, 59, 1), (None, 57, None), (None, 58, None), (7, 57, 7), (7, 57, 7), (8, 0, 8), (None, 0, None)]
+    assert got == sorted(map(str, want))
+    kept = [tuple(r) for r in jaccard_join.deduplicated(df, n=4, percent=85).collect()]
+    assert sorted(map(str, kept[:])) == sorted(map(str, [data[0], data[1], data[7], data[8], data[9], data[10], next(k for k in kept if k[0] is None and k[1])]))
+
+
 def test_jaccard_odd_rows(odd, empty):
     out = jaccard_join.components(odd).collect()
-    assert {r.component_id for r in out if r.doc_id == 5} == {5} and sum(r.doc_id == 5 for r in out) == 2
+    assert len(out) == len(ODD) and {r.component_id for r in out if r.doc_id in (5, None)} == {5} and sum(r.doc_id == 5 for r in out) == 2
     assert jaccard_join.components(empty).count() == 0
-    clash = odd.withColumns({"cls": F.lit(1), "key": F.lit(2), "component": F.lit(3)})
+    clash = odd.withColumns({"cls": F.lit(1), "key": F.lit(2), "component": F.lit(3), "th": F.lit(4)})
     assert jaccard_join.deduplicated(clash).columns == clash.columns
 
 

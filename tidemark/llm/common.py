@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.shared import reliable
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
-
-    A folder of our own is set only where the session names none, as in local tests.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
-
-
-def short_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
-    """Rows of an Arrow batch that Python gets at once, where the session doesn't say: long texts by the thousand."""
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+    """Cut lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names."""
+    return reliable(df)
 
 
 def keyed(df: DataFrame, text_col: str = "text") -> DataFrame:

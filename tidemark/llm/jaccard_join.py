@@ -4,18 +4,23 @@ Sets are grouped into size bands.  In a band every shingle belongs, by hash, to
 Two sets that reach the threshold differ in at most H shingles, so if the segments that a set
 probes have allowances that add up to more than H, some probed segment differs by no more than its
 allowance: 0 (the segment is equal) or 1 (equal but for one shingle; found by one-deletion
-neighbours).  The allocation is by cost: bands of small sets use one-deletion throughout, as their
-segments must be wide to be selective; in the others a set probes the H + 1 cheapest of its
-segments, where empty ones and those of frequent shingles only are dear.
+neighbours).  The allocation is by cost: for each band the choice between one-deletion throughout
+and different numbers of exact segments is made on a sample, by the rows that it writes and the
+chance meetings that it leads to; and a set probes the H + 1 cheapest of its exact segments, where
+empty ones and those of frequent shingles only are dear.  The sample steers the work only.
 
 Equal sets are one class from the start.  In each bucket of a signature the members meet one
 representative; after the components of those links are known, the members of different components
 still meet each other, so no link between different components is lost and a group of near copies
-isn't expanded.  Candidates pass a bound on the symmetric difference (hamming distance of parity
-sketches) and are then verified on the sets themselves (64-bit hashes of shingles).
+isn't expanded.  Buckets that the sample shows to hold a large share of all sets are dealt out in
+parts, and the parts of one bucket meet like its members.  Candidates pass a bound on the symmetric
+difference (hamming distance of parity sketches) and are then verified on the sets themselves
+(64-bit hashes of shingles).
 
 Null texts and texts without words have empty sets and no links; a text of fewer words than the
-shingle is one shingle.  Repeated rows are equal sets.  Rows with a null id take no part.
+shingle is one shingle.  Repeated rows are equal sets.  Rows of one doc_id with different texts, and
+rows with a null doc_id, are sets of their own and link like any other; component_id is the smallest
+doc_id that is not null, or null if there is none.
 """
 
 from __future__ import annotations
@@ -24,21 +29,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, short_batches
+from tidemark.llm.common import cut
 from tidemark.operators.graph import connected_components
 
-#: Width ratio of size bands; sets smaller than this use one-deletion neighbours.
-RATIO, SMALL = 1.5, 48
+#: Width ratio of size bands.
+RATIO = 1.5
 #: Bits of the parity sketch.
 SKETCH = 1_024
-#: Frequent shingles: in over FREQUENT of a sample of about SAMPLE documents; at most MOST of them.
-SAMPLE, FREQUENT, MOST = 20_000, 0.002, 100_000
-#: Rows of one bucket that are settled at once, and members of a bucket that one task compares with as many others.
+#: The sample that steers: documents of it, and sets of one band of them; a chance meeting costs as much as so many rows.
+SAMPLE, BAND_SAMPLE, MEETING = 10_000, 600, 4
+#: Frequent shingles are in over this share of the sample; at most MOST of them are kept.
+FREQUENT, MOST = 0.002, 100_000
+#: Rows of one bucket that are settled at once (larger ones are dealt out in parts), and members of a bucket that one task compares with as many others.
 PART, BLOCK = 200_000, 2_000
+#: Texts that are shingled at once.
+CHUNK = 500
+#: Ids that are broadcast for a semi or anti join; more go through a shuffle.
+FEW = 1_000_000
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -58,221 +70,326 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, n: int, cache: Words) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams of a text (A-Z lower-cased, words between ASCII white space)."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    w = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
-    k = min(n, len(w))
-    h = np.full(len(w) - k + 1, k, dtype=np.uint64)
-    for i in range(k):
-        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + w[i : len(w) - k + 1 + i])
-    return np.unique(h)
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ..."""
+    return np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum()) if len(sizes) else np.zeros(0, np.int64)
+
+
+def shingles(texts: list[str | None], n: int, cache: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of the word n-grams of each text, one text after the other, and how many each has.
+
+    A-Z is lower-cased, words stand between ASCII white space.
+    """
+    words = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
+    counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    w = np.fromiter((h for some in words for h in map(cache.__getitem__, some)), dtype=np.uint64, count=int(counts.sum()))
+    first = np.cumsum(counts) - counts
+    taken = np.minimum(n, counts)
+    made = np.where(counts > 0, counts - taken + 1, 0)
+    at = ragged(first, made)
+    k = np.repeat(taken, made)
+    h = k.astype(np.uint64)
+    for i in range(n):
+        on = slice(None) if (taken >= min(n, i + 1)).all() else k > i
+        h[on] = mixed(h[on] * np.uint64(0x9E3779B97F4A7C15) + w[at[on] + i])
+    end = np.cumsum(made)
+    for s, e in zip(end - made, end, strict=True):
+        h[s:e].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[(end - made)[made > 0]] = True
+    sizes = np.diff(np.r_[0, np.cumsum(new)][np.r_[0, end]])
+    return h[new], sizes
 
 
 class Plan:
-    """Bands, segments and probes for a threshold of percent/100."""
+    """Bands, and the segments and probes of each, for a threshold of percent/100."""
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.edges = [1]
-        while self.edges[-1] < 2**31:
-            self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * RATIO)))
-        self.edge_array = np.array(self.edges)
-
-    def band(self, size: int) -> int:
-        return int(np.searchsorted(self.edge_array, size, side="right")) - 1
-
-    def most(self, smaller: int) -> int:
+        edges = [1]
+        while edges[-1] < 2**31:
+            edges.append(max(edges[-1] + 1, int(edges[-1] * RATIO)))
+        self.edges = np.array(edges)
+        self.choose({})
+
+    def choose(self, chosen: dict[int, tuple[int, bool]]) -> Plan:
+        """Sets the number of segments, and whether probes use one-deletion neighbours, of some bands; the others keep a middle course."""
+        both = [chosen.get(b) or self.options(b)[-2:][0] for b in range(len(self.edges) - 1)]
+        self.m, self.deletions = np.array([m for m, _ in both]), np.array([d for _, d in both])
+        return self
+
+    def bands(self, sizes: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.edges, sizes, side="right") - 1
+
+    def most(self, smaller):
         """Largest symmetric difference of a linked pair whose smaller set has this size."""
         return (100 - self.percent) * smaller // self.percent
 
-    def segments(self, band: int) -> tuple[int, bool]:
-        """Number of segments, and whether probes use one-deletion neighbours."""
-        h = self.most(self.edges[band + 1] - 1)
-        if h == 0 or self.edges[band] >= SMALL:
-            return (h + 1 + (0 if h == 0 else 3 + h // 50)), False
-        return -(-(h + 1) // 2), True
-
-
-def signatures(s: np.ndarray, plan: Plan, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set and their roles: 0 index, 1 probe and index, 2 deletion (meets probing whole segments only), 3 deletion in the set's own band (a probe that meets whole segments only)."""
-    keys, roles = [], []
-    own = plan.band(len(s))
-    bands = [own] + ([own - 1] if own and plan.percent * len(s) < 100 * plan.edges[own] else [])
-    for band in bands:
-        m, deletions = plan.segments(band)
-        seg = ((s >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
-        base = mixed(np.arange(m, dtype=np.uint64) + np.uint64(band << 32 | 1))
-        value = mixed(s ^ np.uint64(0x5851F42D4C957F2D))
-        sums = np.zeros(m, dtype=np.uint64)
-        np.add.at(sums, seg, value)
-        whole = mixed(base + sums)
-        role = np.zeros(m, dtype=np.int8)
-        if band == own:
-            if deletions:
-                role[:] = 1
-            else:
-                need = plan.most(len(s)) + 1
-                common = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
-                rare = np.bincount(seg, ~common, m)
-                role[np.argsort(-(np.minimum(rare, 3) * 64 + np.minimum(np.bincount(seg, minlength=m), 63)), kind="stable")[:need]] = 1
-        keys.append(whole)
-        roles.append(role)
-        if deletions:
-            keys.append(np.unique(mixed(base[seg] + sums[seg] - value)))
-            roles.append(np.full(len(keys[-1]), 3 if band == own else 2, dtype=np.int8))
-    return np.concatenate(keys), np.concatenate(roles)
-
-
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the set's elements in each of SKETCH places."""
-    return np.packbits((np.bincount((s >> np.uint64(5)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+    def options(self, band: int) -> list[tuple[int, bool]]:
+        """What a band can choose from."""
+        h = int(self.most(self.edges[band + 1] - 1))
+        if h == 0:
+            return [(1, False)]
+        return [(-(-(h + 1) // 2), True), *((h + 1 + more, False) for more in sorted({0, 3 + h // 50, 6 + h // 4}))]
+
+
+def signatures(flat: np.ndarray, sizes: np.ndarray, plan: Plan, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of sets (as from ``shingles``): the set's place, the key and the role.
+
+    Roles: 0 index, 1 probe and index, 2 deletion (meets probing whole segments only), 3 deletion in
+    the set's own band (a probe that meets whole segments only).
+    """
+    starts = np.cumsum(sizes) - sizes
+    own_band = plan.bands(sizes)
+    whose = np.flatnonzero(sizes > 0)
+    below = whose[(own_band[whose] > 0) & (plan.percent * sizes[whose] < 100 * plan.edges[own_band[whose]])]
+    # an entry is a set in a band: its own, and the one below where it can have a smaller partner there
+    doc = np.r_[whose, below]
+    own = np.arange(len(doc)) < len(whose)
+    band = own_band[doc] - ~own
+    m, deletions = plan.m[band], plan.deletions[band]
+    x = flat[ragged(starts[doc], sizes[doc])]
+    entry = np.repeat(np.arange(len(doc)), sizes[doc])
+    first = np.cumsum(m) - m
+    seg = first[entry] + ((x >> np.uint64(33)) % m[entry].astype(np.uint64)).astype(np.int64)
+    total = int(m.sum())
+    of = np.repeat(np.arange(len(doc)), m)
+    value = mixed(x ^ np.uint64(0x5851F42D4C957F2D))
+    sums = np.zeros(total, np.uint64)
+    np.add.at(sums, seg, value)
+    base = mixed((np.arange(total) - first[of]).astype(np.uint64) + (band[of].astype(np.uint64) << np.uint64(32) | np.uint64(1)))
+    common = frequent[np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)] == x if len(frequent) else np.zeros(len(x), bool)
+    rare = np.bincount(seg, ~common, total).astype(np.int64)
+    worth = np.minimum(rare, 3) * 64 + np.minimum(np.bincount(seg, minlength=total), 63)
+    order = np.argsort(of * 256 + 255 - worth, kind="stable")
+    need = np.where(deletions, m, plan.most(sizes[doc]) + 1) * own
+    role = np.zeros(total, np.int8)
+    role[order[np.arange(total) - first[of[order]] < need[of[order]]]] = 1
+    gone = deletions[entry]
+    return (
+        np.r_[doc[of], doc[entry[gone]]],
+        np.r_[mixed(base + sums), mixed(base[seg[gone]] + sums[seg[gone]] - value[gone])],
+        np.r_[role, np.where(own[entry[gone]], 3, 2).astype(np.int8)],
+    )
+
+
+def sketches(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Parity of each set's elements in SKETCH places, as rows of 64-bit words."""
+    at = np.repeat(np.arange(len(sizes)), sizes) * SKETCH + ((flat >> np.uint64(5)).astype(np.int64) & (SKETCH - 1))
+    odd = np.bincount(at, minlength=len(sizes) * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sizes), SKETCH // 64)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], n: int, cache: Words) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Some rows, and the shingles of their texts."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, CHUNK):
+            some = batch.slice(start, CHUNK)
+            yield some, *shingles(some["text"].to_pylist(), n, cache)
+
+
+def _longs(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), _longs(flat))
 
 
 def _sets(documents: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash of the set, and its sketch."""
+    """doc_id, th, n_shingles, a 128-bit hash of the set, and its sketch."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = Words()
-        for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                s = shingles(text, n, cache)
-                rows.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), sketch(s)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "same", "sketch"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, flat, sizes in _chunks(batches, n, Words()):
+            end = np.cumsum(sizes)
+            same = [xxhash.xxh3_128_digest(flat[e - k : e].tobytes()) for e, k in zip(end, sizes, strict=True)]
+            bits = sketches(flat, sizes)
+            yield pa.RecordBatch.from_arrays(
+                [some["doc_id"], some["th"], pa.array(sizes), pa.array(same, pa.binary()), _lists(bits.ravel(), np.full(len(bits), SKETCH // 64))], ["doc_id", "th", "n_shingles", "same", "sketch"]
+            )
 
-    return documents.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(run, "doc_id long, n_shingles long, same binary, sketch array<long>")
+    return documents.mapInArrow(run, "doc_id long, th long, n_shingles long, same binary, sketch array<long>")
 
 
-def _frequent(documents: DataFrame, n: int) -> np.ndarray:
-    """Hashes of frequent shingles, from a bounded sample of documents; they only steer the allocation."""
-    total = documents.count()
-    share = min(1.0, SAMPLE / max(1, total))
+def _frequent(drawn: DataFrame, n: int) -> np.ndarray:
+    """Hashes of the shingles that are in many of the sampled documents."""
+    total = drawn.count()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = Words()
-        for b in batches:
-            sets = [shingles(t, n, cache) for t in b["text"]]
-            values, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-            # a shingle that is frequent overall is in several documents of some batch
-            keep = counts > max(1, FREQUENT * len(sets) / 2)
-            yield pd.DataFrame({"s": values[keep].view(np.int64), "n": counts[keep]})
-
-    drawn = documents.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share * 1e6)
-    found = drawn.select("text").mapInPandas(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > max(2, FREQUENT * min(total, SAMPLE)))
-    return np.sort(np.array([r["s"] for r in found.orderBy(F.desc("n"), "s").limit(MOST).collect()], dtype=np.int64).view(np.uint64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, flat, sizes in _chunks(batches, n, Words()):
+            values, counts = np.unique(flat, return_counts=True)
+            # a shingle that is frequent overall is in several documents of some chunk
+            keep = counts > max(1, FREQUENT * len(sizes) / 2)
+            yield pa.RecordBatch.from_arrays([_longs(values[keep]), pa.array(counts[keep])], ["s", "n"])
 
+    found = drawn.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > max(2, FREQUENT * total))
+    return np.sort(np.array([r["s"] for r in found.orderBy(F.desc("n"), "s").limit(MOST).collect()], dtype=np.int64).view(np.uint64))
 
-def _signed(documents: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """key, tag (doc_id and role): the signatures of each document whose set is new to its task."""
-    shared = documents.sparkSession.sparkContext.broadcast(frequent)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, plan, seen = Words(), Plan(percent), set()
-        for b in batches:
-            for start in range(0, len(b), 500):
-                keys, tags = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for doc, text in zip(b["doc_id"].iloc[start : start + 500], b["text"].iloc[start : start + 500], strict=True):
-                    s = shingles(text, n, cache)
-                    same = xxhash.xxh3_128_digest(s.tobytes())
-                    if not len(s) or same in seen:
-                        continue
-                    if len(seen) > 1_000_000:
-                        seen.clear()
+def _unlike(flat: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Places of sets of which no two may be linked."""
+    bits = sketches(flat, sizes).view(np.uint64)
+    kept: list[int] = []
+    for i in range(len(sizes)):
+        apart = np.bitwise_count(bits[kept] ^ bits[i]).sum(1, dtype=np.int64)
+        if (apart * (100 + percent) > (100 - percent) * (sizes[kept] + sizes[i])).all():
+            kept.append(i)
+    return np.array(kept, dtype=np.int64)
+
+
+def _chosen(drawn: DataFrame, n: int, percent: int, frequent: np.ndarray, scale: float) -> Plan:
+    """The plan whose bands have the cheapest allocation on the sampled sets; ``scale`` is how many documents one sampled stands for."""
+    plan = Plan(percent)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, flat, sizes in _chunks(batches, n, Words()):
+            yield pa.RecordBatch.from_arrays([pa.array(plan.bands(sizes)), some["doc_id"], _lists(flat, sizes)], ["band", "doc_id", "set"])
+
+    def weigh(group: pd.DataFrame) -> pd.DataFrame:
+        band, total = int(group["band"].iloc[0]), len(group)
+        group = group.sort_values("doc_id").head(BAND_SAMPLE)
+        flat, sizes = np.concatenate(group["set"].to_numpy()).view(np.uint64), group["set"].map(len).to_numpy(np.int64)
+        kept = _unlike(flat, sizes, percent)
+        flat, sizes = flat[ragged((np.cumsum(sizes) - sizes)[kept], sizes[kept])], sizes[kept]
+        costs = []
+        for m, deletions in plan.options(band):
+            _, key, role = signatures(flat, sizes, Plan(percent).choose({band: (m, deletions)}), frequent)
+            _, run, times = np.unique(key, return_inverse=True, return_counts=True)
+            met = (times > 1) & (np.bincount(run, (role & 1) == 1) > 0)
+            pairs = (times[met] * (times[met] - 1) / 2).sum() / len(sizes) * (total * scale / len(sizes))
+            rows = len(key) / len(sizes)
+            costs.append((rows + MEETING * min(rows, 2 * pairs), m, deletions))
+        _, m, deletions = min(costs)
+        return pd.DataFrame({"band": [band], "m": [m], "deletions": [deletions]})
+
+    found = drawn.mapInArrow(sets, "band long, doc_id long, set array<long>").where("band >= 0").groupBy("band").applyInPandas(weigh, "band int, m int, deletions boolean")
+    return plan.choose({r["band"]: (r["m"], r["deletions"]) for r in found.collect()})
+
+
+def _signed(documents: DataFrame, n: int, plan: Plan, frequent: np.ndarray, hot: dict[int, int]) -> DataFrame:
+    """key, doc_id, tag: the signatures of each document whose set is new to its task.  A tag is 4 * part + role; buckets of ``hot`` keys are dealt out in so many parts from 1, the others are part 0."""
+    hot_keys = np.array(sorted(hot), dtype=np.int64)
+    shared = documents.sparkSession.sparkContext.broadcast((plan, frequent, hot_keys, np.array([hot[k] for k in sorted(hot)], dtype=np.uint64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        plan, frequent, hot_keys, parts = shared.value
+        for some, flat, sizes in _chunks(batches, n, Words()):
+            if len(seen) > 1_000_000:
+                seen.clear()
+            end = np.cumsum(sizes)
+            new = np.zeros(len(sizes), bool)
+            for i, (e, k) in enumerate(zip(end, sizes, strict=True)):
+                if k and (same := xxhash.xxh3_128_digest(flat[e - k : e].tobytes())) not in seen:
                     seen.add(same)
-                    key, role = signatures(s, plan, shared.value)
-                    keys.append(key)
-                    tags.append(doc * 4 + role.astype(np.int64))
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "tag": np.concatenate(tags)})
+                    new[i] = True
+            doc = some["doc_id"].to_numpy(zero_copy_only=False)[new]
+            place, key, role = signatures(flat[np.repeat(new, sizes)], sizes[new], plan, frequent)
+            key, doc, tag = key.view(np.int64), doc[place], role.astype(np.int32)
+            if len(hot_keys):
+                at = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
+                split = hot_keys[at] == key
+                tag[split] += 4 * (1 + mixed(doc[split].view(np.uint64) ^ key[split].view(np.uint64)) % parts[at[split]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(tag)], ["key", "doc_id", "tag"])
+
+    return documents.mapInArrow(run, "key long, doc_id long, tag int")
 
-    return documents.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(run, "key long, tag long")
+
+def _hot(drawn: DataFrame, n: int, plan: Plan, frequent: np.ndarray, scale: float) -> dict[int, int]:
+    """Keys whose buckets the sample shows to be larger than PART, and the parts to deal each out in."""
+    least = max(10, PART / scale)
+    found = _signed(drawn, n, plan, frequent, {}).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    return {r["key"]: int(1 + r["n"] * scale // PART) for r in found.orderBy(F.desc("n"), "key").limit(MOST).collect()}
 
 
 def _stars(signed: DataFrame) -> DataFrame:
-    """From sorted signatures: pairs (a, b) with each bucket's representative, and the rows of buckets of three or more."""
+    """From signatures: pairs (a, b) with each bucket's representative, and the rows of buckets of three or more."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest, parted = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, parted = [], 0, None
         for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            key = b["key"].to_numpy()
-            last = int(np.searchsorted(key, key[-1], side="left")) if len(key) else 0
-            if last == 0 and len(b) > PART:
-                # a bucket larger than memory should hold: settle what is there, keep one row as its link to the rest
-                yield from _bucket_pairs(b, parted=key[0])
-                rest, parted = _link(b), key[0]
+            held.append([b[c].to_numpy() for c in ("key", "doc_id", "tag")])
+            size += b.num_rows
+            if size < PART:
                 continue
-            rest = b.iloc[last:]
+            key, doc, tag = (np.concatenate(x) for x in zip(*held, strict=True))
+            last = int(np.searchsorted(key, key[-1], side="left"))
+            # the last bucket may go on; one that is all there is, is settled as far as it came, and a row of it links that to the rest
             if last:
-                yield from _bucket_pairs(b.iloc[:last], parted)
-        if rest is not None and len(rest):
-            yield from _bucket_pairs(rest, parted)
-
-    return signed.repartition("key").sortWithinPartitions("key", "tag").mapInPandas(run, "kind int, key long, a long, b long")
+                yield from _bucket_pairs(key[:last], doc[:last], tag[:last], parted)
+                held = [[key[last:], doc[last:], tag[last:]]]
+            else:
+                yield from _bucket_pairs(key, doc, tag, parted := key[0])
+                at = int(np.argmin(tag & 2))
+                held = [[key[at : at + 1], doc[at : at + 1], tag[at : at + 1]]]
+            size = len(held[0][0])
+        if held:
+            yield from _bucket_pairs(*(np.concatenate(x) for x in zip(*held, strict=True)), parted)
 
+    dealt = signed.repartition("key", F.shiftright("tag", 2))
+    return dealt.sortWithinPartitions("key").mapInArrow(run, "kind int, key long, a long, b long")
 
-def _link(b: pd.DataFrame) -> pd.DataFrame:
-    """A row of a part of one bucket: a whole segment if there is one."""
-    whole = np.flatnonzero((b["tag"].to_numpy() & 3) < 2)
-    at = int(whole[0]) if len(whole) else 0
-    return b.iloc[at : at + 1]
 
+def _bucket_pairs(key: np.ndarray, doc: np.ndarray, tag: np.ndarray, parted: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Star pairs, and rows of buckets of three or more, of whole buckets.
 
-def _bucket_pairs(b: pd.DataFrame, parted: int | None = None) -> Iterator[pd.DataFrame]:
-    """Star pairs and rows of whole buckets; ``parted`` is the key of one that comes in parts, whose rows all go on, as other parts may have what they meet."""
-    key, tag = b["key"].to_numpy(), b["tag"].to_numpy()
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    Of one that comes in parts (``parted`` is its key, or its tags have parts) all rows go on, as
+    other parts may have what they meet.
+    """
+    if not len(key):
+        return
+    if (tag > 3).any():
+        by = np.lexsort((tag >> 2, key))
+        key, doc, tag = key[by], doc[by], tag[by]
+    part, role = tag >> 2, tag & 3
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
     sizes = np.diff(np.r_[starts, len(key)])
-    run = np.repeat(np.arange(len(starts)), sizes)
-    role = tag & 3
-    probes = np.bincount(run, (role & 1) == 1, len(starts)) > 0
-    whole = np.bincount(run, role < 2, len(starts)) > 0
-    part = key[starts] == parted if parted is not None else np.zeros(len(starts), bool)
-    live = (sizes > 1) & probes & whole | part
-    keep = live[run]
-    if not keep.any():
+    some = (part[starts] > 0) | (key[starts] == parted if parted is not None else False)
+    probes, whole = (np.add.reduceat(x.astype(np.int64), starts) > 0 for x in ((role & 1) == 1, role < 2))
+    live = (sizes > 1) & probes & whole | some
+    keep = np.repeat(live, sizes)
+    if not live.any():
         return
-    key, tag, role, run = key[keep], tag[keep], role[keep], run[keep]
-    cls = tag >> 2
+    key, doc, role, sizes, some = key[keep], doc[keep], role[keep], sizes[live], some[live]
+    run = np.repeat(np.arange(len(sizes)), sizes)
     # the representative: the whole segment with the least hash, one of four orders by key
-    order = mixed((cls.astype(np.uint64) << np.uint64(2)) + (key.astype(np.uint64) & np.uint64(3)))
+    order = mixed((doc.view(np.uint64) << np.uint64(2)) + (key.view(np.uint64) & np.uint64(3)))
     order[role >= 2] = M64
-    by = np.lexsort((order, run))
-    first = by[np.flatnonzero(np.r_[True, run[by][1:] != run[by][:-1]])]
-    rep = np.repeat(cls[first], np.diff(np.r_[np.flatnonzero(np.r_[True, run[1:] != run[:-1]]), len(run)]))
-    pair = rep != cls
-    pairs = np.unique(np.stack([np.minimum(rep, cls)[pair], np.maximum(rep, cls)[pair]], 1), axis=0)
-    if len(pairs):
-        yield pd.DataFrame({"kind": 0, "key": 0, "a": pairs[:, 0], "b": pairs[:, 1]})
-    more = ((sizes > 2) | part)[run]
-    if more.any():
-        yield pd.DataFrame({"kind": 1, "key": key[more], "a": cls[more], "b": role[more]})
-
-
-def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    first = np.lexsort((order, run))[np.cumsum(sizes) - sizes]
+    rep = doc[first][run]
+    pair = rep != doc
+    pairs = np.unique(np.stack([np.minimum(rep, doc)[pair], np.maximum(rep, doc)[pair]], 1), axis=0)
+    more = ((sizes > 2) | some)[run]
+    none = np.zeros(len(pairs), np.int64)
+    columns = [np.r_[none, np.ones(more.sum(), np.int64)].astype(np.int32), np.r_[none, key[more]], np.r_[pairs[:, 0], doc[more]], np.r_[pairs[:, 1], role[more].astype(np.int64)]]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "a", "b"])
+
+
+def _bounded(pairs: DataFrame, classes: DataFrame, sketch: str, percent: int) -> DataFrame:
     """The pairs whose sizes and sketches allow the threshold: a, b, size_a, size_b."""
-    side = lambda x: classes.select(F.col("cls").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    known = pairs.join(side("a"), "a").join(side("b"), "b")
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("size").alias(f"size_{x}"), F.col(sketch).alias(f"sketch_{x}"))
+    known = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     close = F.lit(percent) * F.greatest("size_a", "size_b") <= 100 * F.least("size_a", "size_b")
     bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     # |x ^ y| <= (100 - p) / (100 + p) * (|x| + |y|) for a linked pair
     return known.where(close).where(bits * (100 + percent) <= (100 - percent) * (F.col("size_a") + F.col("size_b"))).select("a", "b", "size_a", "size_b")
 
 
+def _some(table: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on doc_id with a checkpointed table of ids, which is broadcast if it is small."""
+    return table.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", how)
+
+
 def _sets_of(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """cls, set: the shingles of the wanted documents."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = Words()
-        for b in batches:
-            for start in range(0, len(b), 500):
-                part = b.iloc[start : start + 500]
-                yield pd.DataFrame({"cls": part["doc_id"], "set": [shingles(t, n, cache).view(np.int64) for t in part["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, flat, sizes in _chunks(batches, n, Words()):
+            yield pa.RecordBatch.from_arrays([some["doc_id"], _lists(flat, sizes)], ["cls", "set"])
 
-    texts = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return texts.mapInPandas(run, "cls long, set array<long>")
+    texts = _some(documents.select("doc_id", "text"), cut(wanted), "left_semi").dropDuplicates(["doc_id"])
+    return texts.mapInArrow(run, "cls long, set array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -285,20 +402,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 COLUMNS = ("key", "cls", "role", "component", "size", "sketch")
 
 
-def _possible(i: np.ndarray, j: np.ndarray, cls, role, component, size, bits, percent: int) -> np.ndarray:
-    """Which of the pairs (i, j) are in different components, have a probe, and pass the bounds."""
+def _possible(i: np.ndarray, j: np.ndarray, role, size, bits, percent: int) -> np.ndarray:
+    """Which of the pairs (i, j) have a probe and pass the bounds."""
     probe = (role[j] == 1) | (role[i] == 1) | (np.maximum(role[j], role[i]) == 3) & (np.minimum(role[j], role[i]) == 0)
-    ok = (component[j] != component[i]) & probe & (percent * np.maximum(size[j], size[i]) <= 100 * np.minimum(size[j], size[i]))
-    at = np.flatnonzero(ok)
+    at = np.flatnonzero(probe & (percent * np.maximum(size[j], size[i]) <= 100 * np.minimum(size[j], size[i])))
     apart = np.bitwise_count(bits[j[at]] ^ bits[i[at]]).sum(1, dtype=np.int64)
     return at[apart * (100 + percent) <= (100 - percent) * (size[j[at]] + size[i[at]])]
 
 
-def _ordered(i: np.ndarray, j: np.ndarray, cls: np.ndarray) -> pd.DataFrame:
-    out = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], 1), axis=0)
-    return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
-
-
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
     """Rows of buckets of ``n`` members in blocks: each row once for every pair of blocks (x, y) that it takes part in, and whether it is on x's side."""
     count = F.ceil(F.col("n") / size).cast("int")
@@ -307,8 +418,32 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     return met.select(*COLUMNS, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("left"))
 
 
+def _apart(component: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places in different components, a place against many at a time: of one side, or between two.
+
+    Each component meets the rest from its smaller side, so a component of nearly all members costs no more than the others.
+    """
+    if not len(left):
+        return
+    names, which, counts = np.unique(component[left], return_inverse=True, return_counts=True)
+    order = np.argsort(counts[which] * (len(names) + 1) + which, kind="stable")
+    left, which = left[order], which[order]
+    starts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
+    for s, e in zip(starts, np.r_[starts[1:], len(left)], strict=True):
+        ours = left[s:e]
+        others = left[e:] if right is None else right[component[right] != component[ours[0]]]
+        few, many = (ours, others) if len(ours) <= len(others) else (others, ours)
+        for k in few:
+            yield np.full(len(many), k), many
+
+
 def _meet(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of bucket members in different components that pass the bounds, from rows of COLUMNS and n, the members of their bucket."""
+    """Pairs (a, b, size_a, size_b) of bucket members in different components that pass the bounds, from rows of COLUMNS and n, the members of their bucket."""
+
+    def ordered(i: np.ndarray, j: np.ndarray, cls: np.ndarray, size: np.ndarray) -> pd.DataFrame:
+        swap = cls[i] > cls[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return pd.DataFrame({"a": cls[i], "b": cls[j], "size_a": size[i], "size_b": size[j]}).drop_duplicates()
 
     def pairs(b: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
         _, cls, role, component, size = (b[c].to_numpy() for c in COLUMNS[:5])
@@ -316,21 +451,17 @@ def _meet(rows: DataFrame, percent: int) -> DataFrame:
         across, on_left = (b["x"] != b["y"]).to_numpy(), b["left"].to_numpy()
         left, right, held = [], [], 0
         for s, e in zip(starts, np.r_[starts[1:], len(b)], strict=True):
-            if (component[s:e] == component[s]).all():
-                continue
             sides = (s + np.flatnonzero(on_left[s:e]), s + np.flatnonzero(~on_left[s:e])) if across[s] else (np.arange(s, e), None)
-            for k in sides[0]:
-                j = np.arange(k + 1, e) if sides[1] is None else sides[1]
-                i = np.full(len(j), k)
-                at = _possible(i, j, cls, role, component, size, bits, percent)
+            for i, j in _apart(component, *sides):
+                at = _possible(i, j, role, size, bits, percent)
                 left.append(i[at])
                 right.append(j[at])
                 held += len(at)
                 if held > 200_000:
-                    yield _ordered(np.concatenate(left), np.concatenate(right), cls)
+                    yield ordered(np.concatenate(left), np.concatenate(right), cls, size)
                     left, right, held = [], [], 0
         if held:
-            yield _ordered(np.concatenate(left), np.concatenate(right), cls)
+            yield ordered(np.concatenate(left), np.concatenate(right), cls, size)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -346,44 +477,79 @@ def _meet(rows: DataFrame, percent: int) -> DataFrame:
             yield from pairs(rest, np.zeros(1, int))
 
     dealt = _blocks(rows, BLOCK).repartition("key", "x", "y")
-    return dealt.sortWithinPartitions("key", "x", "y", "component", "cls").mapInPandas(run, "a long, b long").distinct()
+    return dealt.sortWithinPartitions("key", "x", "y").mapInPandas(run, "a long, b long, size_a long, size_b long").distinct()
+
+
+def _named(documents: DataFrame, sized: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Documents and sets whose doc_id names one text: a new id stands for (doc_id, text) if an id is null or has several."""
+    texts = sized.where("n_shingles > 0").groupBy("doc_id").agg(F.min("th").alias("x"), F.max("th").alias("y"))
+    if not texts.where("doc_id IS NULL OR x <> y").limit(1).count():
+        return documents.where("doc_id IS NOT NULL"), sized.withColumn("told", F.col("doc_id")), False
+    names = cut(cut(sized.select(F.col("doc_id").alias("told"), "th").distinct()).withColumn("name", F.monotonically_increasing_id()))
+
+    def renamed(df: DataFrame) -> DataFrame:
+        d = df.withColumnRenamed("th", "th_")
+        return d.join(names, d["doc_id"].eqNullSafe(names["told"]) & (d["th_"] == names["th"])).drop("doc_id", "th_").withColumnRenamed("name", "doc_id")
+
+    return renamed(documents).select("doc_id", "th", "text"), cut(renamed(sized)), True
+
+
+def _labelled(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, bool]:
+    """doc_id, th, n_shingles, component_id, and whether the row is the one of its component that stays; and whether doc_id alone doesn't name a text."""
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    documents, sized, renamed = _named(documents, cut(_sets(documents, n)))
+    first = sized.where("n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("cls"))
+    members = cut(sized.join(first, "same", "left").select("doc_id", "told", "th", "n_shingles", F.coalesce("cls", "doc_id").alias("cls"), F.when(F.col("cls") == F.col("doc_id"), F.col("sketch")).alias("sketch")))
+    words = SKETCH // 64
+    folded = F.array(*(F.expr(" ^ ".join(f"sketch[{i + 4 * k}]" for k in range(words // 4))) for i in range(4)))
+    classes = cut(members.where("sketch IS NOT NULL").dropDuplicates(["cls"]).select("cls", F.col("n_shingles").alias("size"), "sketch", folded.alias("folded")))
+    moved = members.where("doc_id <> cls").select("doc_id", F.col("cls").alias("of")).distinct()
+
+    total = members.count()
+    share = min(1.0, SAMPLE / max(1, total))
+    drawn = cut(documents.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share * 1e6))
+    frequent = _frequent(drawn, n)
+    plan = _chosen(drawn, n, percent, frequent, 1 / share)
+    found = cut(_stars(_signed(documents, n, plan, frequent, _hot(drawn, n, plan, frequent, 1 / share))))
+
+    def of_class(df: DataFrame, name: str) -> DataFrame:
+        return df.join(moved.withColumnsRenamed({"doc_id": name, "of": "__of"}), name, "left").withColumn(name, F.coalesce("__of", name)).drop("__of")
+
+    pairs = of_class(of_class(found.where("kind = 0").select("a", "b"), "a"), "b").where("a <> b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    stars = cut(_bounded(_bounded(pairs, classes, "folded", percent), classes, "sketch", percent))
+    rows = cut(of_class(found.where("kind = 1").select("key", F.col("a").alias("cls"), F.col("b").alias("role")), "cls").distinct())
+    linked = _verified(stars, _sets_of(documents, stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct(), n), percent)
+    joined = cut(connected_components(linked, "a", "b"))
+    # members of one bucket that are still apart meet each other
+    now = rows.join(joined.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    apart = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
+    left = now.join(apart, "key").join(classes, "cls").select(*COLUMNS, "n")
+    met = cut(_meet(left, percent))
+    more = _verified(met, _sets_of(documents, met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct(), n), percent)
+    # the new links join components
+    to = joined.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+    ends = more.join(to, "a", "left").join(to.withColumnsRenamed({"a": "b", "ca": "cb"}), "b", "left")
+    edges = joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(ends.select(F.coalesce("ca", "a"), F.coalesce("cb", "b")))
+    joined = connected_components(edges, "a", "b")
+    out = members.join(joined.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    if not renamed:
+        return out.select("doc_id", "th", "n_shingles", F.col("component").alias("component_id"), F.expr("doc_id <=> component").alias("stays")), False
+    least = out.groupBy("component").agg(F.min(F.struct(F.col("told").isNull(), "told", "doc_id")).alias("least"))
+    out = out.join(least, "component").withColumn("stays", F.col("doc_id") == F.col("least.doc_id"))
+    return out.select(F.col("told").alias("doc_id"), "th", "n_shingles", F.col("least.told").alias("component_id"), "stays"), True
 
 
 def components(documents: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
-    sized = cut(_sets(short_batches(documents), n))
-    first = sized.where("n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("cls"))
-    members = sized.join(first, "same", "left").select("doc_id", "n_shingles", "sketch", F.coalesce("cls", "doc_id").alias("cls"))
-    classes = members.where("doc_id = cls AND n_shingles > 0").select("cls", F.col("n_shingles").alias("size"), "sketch").dropDuplicates(["cls"])
-    of = members.where("n_shingles > 0").select("doc_id", "cls").distinct()
-    found = cut(_stars(_signed(documents, n, percent, _frequent(documents, n))))
-
-    def of_classes(pairs: DataFrame) -> DataFrame:
-        a, b = of.select(F.col("doc_id").alias("a"), F.col("cls").alias("ca")), of.select(F.col("doc_id").alias("b"), F.col("cls").alias("cb"))
-        c = pairs.join(a, "a").join(b, "b").where("ca <> cb")
-        return c.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-
-    stars = cut(_bounded(of_classes(found.where("kind = 0").select("a", "b").distinct()), classes, percent))
-    rows = cut(found.where("kind = 1").select("key", F.col("a").alias("doc_id"), F.col("b").alias("role")).join(of, "doc_id").select("key", "cls", "role").distinct())
-    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).union(rows.select("cls")).distinct()
-    sets = cut(_sets_of(documents, wanted, n))
-    linked = _verified(stars, sets, percent)
-    joined = connected_components(linked, "a", "b")
-    # members of one bucket that are still apart meet each other: first in an eighth of the buckets, which
-    # joins most near copies, as they share many; then in the others
-    eighth = F.pmod(F.xxhash64("key"), F.lit(8)) == 0
-    for some in (rows.where(eighth), rows.where(~eighth)):
-        now = some.join(joined.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        apart = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
-        left = now.join(apart, "key").join(classes, "cls").select(*COLUMNS, "n")
-        linked = linked.union(_verified(_bounded(_meet(left, percent), classes, percent), sets, percent))
-        joined = connected_components(linked, "a", "b")
-    out = members.join(joined.withColumnRenamed("id", "cls"), "cls", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component_id"))
+    return _labelled(documents, n, percent)[0].select("doc_id", "n_shingles", "component_id")
 
 
 def deduplicated(documents: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the smallest id of their component; rows without an id stay."""
-    c = components(documents, n=n, percent=percent)
-    gone = c.where("doc_id <> component_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    """The document of each component with the smallest id (null ids come last), with all its repeated rows."""
+    labelled, renamed = _labelled(documents, n, percent)
+    gone = cut(labelled.where("NOT stays").select("doc_id", "th").distinct())
+    if not renamed:
+        return _some(documents, gone.select("doc_id"), "left_anti").select(*documents.columns)
+    left = documents.withColumn("__th", F.xxhash64("text"))
+    return left.join(gone, left["doc_id"].eqNullSafe(gone["doc_id"]) & (left["__th"] == gone["th"]), "left_anti").select(*documents.columns)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, short_batches
+from tidemark.llm.common import cut
 
 #: Rows of a language that the text model is fitted on, at most; hashed n-gram buckets.
 SAMPLE, LANGUAGES, BUCKETS = 2_000, 200, 1 << 16
@@ -66,7 +66,7 @@ def fit(documents: DataFrame, text: str, label: str) -> tuple[list[str], np.ndar
 
 def text_scores(df: DataFrame, text: str, model: tuple[list[str], np.ndarray], into: str) -> DataFrame:
     """Adds the array of tempered log likelihoods, by language and then ``und``; null without n-grams."""
-    shared = short_batches(df).sparkSession.sparkContext.broadcast(model[1].astype(np.float32))
+    shared = df.sparkSession.sparkContext.broadcast(model[1].astype(np.float32))
 
     @F.pandas_udf("array<double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
