@@ -47,6 +47,8 @@ SAMPLE, BAND_SAMPLE, MEETING = 10_000, 600, 4
 FREQUENT, MOST = 0.002, 100_000
 #: Rows of one bucket that are settled at once (larger ones are dealt out in parts), and members of a bucket that one task compares with as many others.
 PART, BLOCK = 200_000, 2_000
+#: Members of a bucket, of different components, that all others meet before everyone meets everyone.
+LEADERS = 8
 #: Texts that are shingled at once.
 CHUNK = 500
 #: Ids that are broadcast for a semi or anti join; more go through a shuffle.
@@ -437,14 +439,22 @@ def _apart(component: np.ndarray, left: np.ndarray, right: np.ndarray | None) ->
             yield np.full(len(many), k), many
 
 
-def _meet(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, size_a, size_b) of bucket members in different components that pass the bounds, from rows of COLUMNS and n, the members of their bucket."""
+def _meet(rows: DataFrame, percent: int, *, leaders: int = 0) -> DataFrame:
+    """Pairs (a, b, size_a, size_b) of bucket members in different components that pass the bounds, from rows of COLUMNS and n, the members of their bucket.
+
+    With ``leaders``, only pairs with one of so many members of each bucket (or of a block of it).
+    """
 
     def ordered(i: np.ndarray, j: np.ndarray, cls: np.ndarray, size: np.ndarray) -> pd.DataFrame:
         swap = cls[i] > cls[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         return pd.DataFrame({"a": cls[i], "b": cls[j], "size_a": size[i], "size_b": size[j]}).drop_duplicates()
 
+    def led(component: np.ndarray, s: int, e: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in s + np.sort(np.unique(component[s:e], return_index=True)[1])[:leaders]:
+            many = s + np.flatnonzero(component[s:e] != component[k])
+            yield np.full(len(many), k), many
+
     def pairs(b: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
         _, cls, role, component, size = (b[c].to_numpy() for c in COLUMNS[:5])
         bits = np.stack(b["sketch"].to_numpy()).view(np.uint64)
@@ -452,7 +462,7 @@ def _meet(rows: DataFrame, percent: int) -> DataFrame:
         left, right, held = [], [], 0
         for s, e in zip(starts, np.r_[starts[1:], len(b)], strict=True):
             sides = (s + np.flatnonzero(on_left[s:e]), s + np.flatnonzero(~on_left[s:e])) if across[s] else (np.arange(s, e), None)
-            for i, j in _apart(component, *sides):
+            for i, j in led(component, s, e) if leaders else _apart(component, *sides):
                 at = _possible(i, j, role, size, bits, percent)
                 left.append(i[at])
                 right.append(j[at])
@@ -476,7 +486,8 @@ def _meet(rows: DataFrame, percent: int) -> DataFrame:
         if rest is not None and len(rest):
             yield from pairs(rest, np.zeros(1, int))
 
-    dealt = _blocks(rows, BLOCK).repartition("key", "x", "y")
+    dealt = _blocks(rows, BLOCK)
+    dealt = (dealt.where("x = y") if leaders else dealt).repartition("key", "x", "y")
     return dealt.sortWithinPartitions("key", "x", "y").mapInPandas(run, "a long, b long, size_a long, size_b long").distinct()
 
 
@@ -521,17 +532,19 @@ def _labelled(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, bo
     rows = cut(of_class(found.where("kind = 1").select("key", F.col("a").alias("cls"), F.col("b").alias("role")), "cls").distinct())
     linked = _verified(stars, _sets_of(documents, stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct(), n), percent)
     joined = cut(connected_components(linked, "a", "b"))
-    # members of one bucket that are still apart meet each other
-    now = rows.join(joined.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    apart = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
-    left = now.join(apart, "key").join(classes, "cls").select(*COLUMNS, "n")
-    met = cut(_meet(left, percent))
-    more = _verified(met, _sets_of(documents, met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct(), n), percent)
-    # the new links join components
-    to = joined.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    ends = more.join(to, "a", "left").join(to.withColumnsRenamed({"a": "b", "ca": "cb"}), "b", "left")
-    edges = joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(ends.select(F.coalesce("ca", "a"), F.coalesce("cb", "b")))
-    joined = connected_components(edges, "a", "b")
+    # members of one bucket that are still apart meet: first its leaders, which joins what most of a group of near copies has in common, then each other
+    for leaders in (LEADERS, 0):
+        now = rows.join(joined.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        apart = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
+        rows = cut(now.join(apart, "key").select("key", "cls", "role", "component", "n"))
+        met = cut(_meet(rows.join(classes, "cls").select(*COLUMNS, "n"), percent, leaders=leaders))
+        rows = rows.select("key", "cls", "role")
+        more = _verified(met, _sets_of(documents, met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct(), n), percent)
+        # the new links join components
+        to = joined.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+        ends = more.join(to, "a", "left").join(to.withColumnsRenamed({"a": "b", "ca": "cb"}), "b", "left")
+        edges = joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(ends.select(F.coalesce("ca", "a"), F.coalesce("cb", "b")).union(more))
+        joined = cut(connected_components(edges, "a", "b"))
     out = members.join(joined.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     if not renamed:
         return out.select("doc_id", "th", "n_shingles", F.col("component").alias("component_id"), F.expr("doc_id <=> component").alias("stays")), False
