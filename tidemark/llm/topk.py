@@ -1,32 +1,42 @@
 """Exact top-k by inner product with a pivot table (LAESA).
 
 |q-x|^2 = |q|^2 + |x|^2 - 2<q,x>, so a lower bound of the distance bounds the score from above.
-Every vector keeps its distances to a fixed set of pivots; max_p |d(q,p) - d(x,p)| bounds d(q,x)
-from below.  A query takes the candidates of a block in the order of their upper bounds and stops
-when the next bound is under its k-th score, so no candidate that could enter is left out.
+The pivot table holds every vector's distances to a fixed set of pivots, computed once;
+max_p |d(q,p) - d(x,p)| bounds d(q,x) from below.  A query takes candidates in the order of their
+upper bounds and stops when the next bound is under its k-th score, so no candidate that could enter
+is left out.
+
+Vectors are dealt out in blocks by their nearest pivot, queries likewise.  First each query meets
+one block of its own neighbourhood; its k-th score there goes along to all others.  A pair of a
+block of queries and a block of vectors is left out if the ranges of their pivot distances show that
+no score can reach; each other pair is a group of its own, of bounded size.
 
 Pivots are a bounded sample (PIVOTS vectors, farthest-first out of SAMPLE rows with the smallest
-hashes); they change the work, never the result.  Vectors and queries are dealt out by hash in
-blocks of bounded size, and every query block meets every vector block once.
+hashes); they change the work, never the result.
 
 Vectors that are null or hold null or non-finite components take no part; nor do null ids as
-queries.  Equal scores go to the smaller id.  A repeated row is a candidate of its own; a query's
-own row is left out once.  Repeated equal query rows are one query.  Vectors of different lengths
-meet with the missing components as 0.  Integer scores are exact up to 2^53.
+queries.  Equal scores go to the smaller id, null ids last.  A repeated row is a candidate of its
+own; a query's own row is left out.  Query rows of equal id and vector are one query; those of one
+id with different vectors are queries of their own, each with its own k rows.  Vectors of different
+lengths meet with the missing components as 0.  Integer scores are exact up to 2^53.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import cut
+
 PIVOTS, SAMPLE = 32, 2_000
-#: Rows of a block of vectors, and of a block of queries.
-VECTORS, QUERIES = 4_096, 1_024
-OUT = "query_id long, vec_id long, score long, own int"
+#: Rows of a block of vectors, and of a block of queries; queries whose bounds are held at once.
+VECTORS, QUERIES, TOGETHER = 4_096, 2_048, 256
+OUT = "query long, query_id long, vec_id long, score long"
 
 
 def quantised(embedding: str = "embedding", scale: int = 256) -> Column:
@@ -36,7 +46,7 @@ def quantised(embedding: str = "embedding", scale: int = 256) -> Column:
     return F.when(x.isNotNull() & sound, F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")))
 
 
-def _matrix(rows: pd.Series, width: int) -> np.ndarray:
+def _matrix(rows, width: int) -> np.ndarray:
     out = np.zeros((len(rows), width))
     for i, v in enumerate(rows):
         out[i, : len(v)] = v
@@ -63,64 +73,118 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * (x @ p.T)))
 
 
-def best(q: np.ndarray, q_to: np.ndarray, x: np.ndarray, x_to: np.ndarray, ids: np.ndarray, k: int, step: int = 256) -> tuple[np.ndarray, int]:
-    """Positions of the k best candidates of one query, and how many were evaluated."""
-    low = np.abs(x_to - q_to).max(1) if x_to.shape[1] else np.zeros(len(x))
-    bound = (q @ q + (x * x).sum(1) - np.maximum(0, low - 1e-6) ** 2) / 2 + 1e-3
-    order = np.argsort(-bound, kind="stable")
-    at = np.zeros(0, dtype=np.int64)
-    score = np.zeros(0)
-    done = 0
+def pivot_table(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """row, vec_id, q, norm (squared), to (distances to the pivots), near (the nearest pivot); kept in the shared folder."""
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch["q"].to_pylist()
+            x = _matrix(rows, max(map(len, rows)))
+            to = _distances(x, pivots)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * to.shape[1]), pa.array(to.ravel()))
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["q"], pa.array((x * x).sum(1)), flat, pa.array(to.argmin(1).astype(np.int32))], ["vec_id", "q", "norm", "to", "near"])
+
+    table = vectors.select("vec_id", "q").mapInArrow(run, "vec_id long, q array<long>, norm double, to array<double>, near int")
+    return cut(cut(table).withColumn("row", F.monotonically_increasing_id()))
+
+
+def bounds(q_norm: np.ndarray, q_to: np.ndarray, norm: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Upper bounds of the scores of queries (rows) and vectors (columns)."""
+    low = np.zeros((len(q_norm), len(norm)))
+    for p in range(q_to.shape[1]):
+        np.maximum(low, np.abs(q_to[:, p, None] - to[None, :, p]), out=low)
+    return (q_norm[:, None] + norm[None] - np.maximum(0, low - 1e-6) ** 2) / 2 + 1e-3
+
+
+def best(q: np.ndarray, bound: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floor: float = -np.inf, step: int = 256) -> tuple[np.ndarray, int]:
+    """Positions of the k best candidates of one query whose scores are not under ``floor``, and how many were evaluated."""
+    order = np.flatnonzero((bound >= floor) & (bound > -np.inf))
+    order = order[np.argsort(-bound[order], kind="stable")]
+    at, score, done = np.zeros(0, dtype=np.int64), np.zeros(0), 0
     while done < len(order) and (len(at) < k or bound[order[done]] >= score[-1]):
         more = order[done : done + step]
         done += len(more)
         at, score = np.concatenate([at, more]), np.concatenate([score, x[more] @ q])
         keep = np.lexsort((ids[at], -score))[:k]
         at, score = at[keep], score[keep]
-    return at, done
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5) -> DataFrame:
-    """The k candidates of ``vectors`` (vec_id, q) with the highest scores for each of ``queries`` (vec_id, q)."""
-    shared = vectors.sparkSession.sparkContext.broadcast(_pivots(vectors))
-    n = vectors.count()
-    blocks = max(1, -(-n // VECTORS))
-    query_blocks = max(1, -(-queries.count() // QUERIES))
-
-    def packed(df: DataFrame, to: int, name: str) -> DataFrame:
-        return df.withColumn(name, F.pmod(F.xxhash64("vec_id", "q", F.lit(7)), F.lit(to)).cast("int"))
-
-    left = packed(queries.where("vec_id IS NOT NULL").dropDuplicates(["vec_id", "q"]), query_blocks, "qb").withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    salted = vectors.withColumn("salt", F.monotonically_increasing_id())
-    right = salted.withColumn("vb", F.pmod(F.xxhash64("vec_id", "salt"), F.lit(blocks)).cast("int")).select("vb", "vec_id", "q")
-    both = left.select("vb", "qb", "vec_id", "q").groupBy("vb").cogroup(right.groupBy("vb"))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            width = max(*map(len, left["q"]), *map(len, right["q"]))
-            x, ids = _matrix(right["q"], width), right["vec_id"].fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
-            absent = right["vec_id"].isna().to_numpy()
-            x_to = _distances(x, shared.value)
-            for _, part in left.groupby("qb"):
-                qs = _matrix(part["q"], width)
-                q_to = _distances(qs, shared.value)
-                for i, query in enumerate(part["vec_id"]):
-                    at, _ = best(qs[i], q_to[i], x, x_to, ids, k + 1)
-                    own = (ids[at] == query) & (x[at] == qs[i]).all(1) & ~absent[at]
-                    found.append(pd.DataFrame({"query_id": query, "vec_id": [None if absent[j] else ids[j] for j in at], "score": (x[at] @ qs[i]).astype(np.int64), "own": own.astype(int)}))
-        return pd.concat(found) if found else pd.DataFrame({c.split()[0]: [] for c in OUT.split(", ")})
-
-    local = both.applyInPandas(search, OUT)
-    # its own row is left out once: the copies of an equal row are candidates
-    by = Window.partitionBy("query_id")
-    copies = Window.partitionBy("query_id", "own").orderBy("score", "vec_id")
-    ranked = local.withColumn("nth", F.row_number().over(copies)).where("own = 0 OR nth > 1")
-    ranked = ranked.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))))
+    return at[score >= floor], done
+
+
+def _search(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of a block of vectors for each query of a block (with its ``floor``): OUT."""
+    found = []
+    right = right.rename(columns=lambda c: c.removeprefix("x_"))
+    if len(left) and len(right):
+        width = max(*map(len, left["q"]), *map(len, right["q"]))
+        x, ids = _matrix(right["q"].to_numpy(), width), right["vec_id"].fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
+        absent, row, to, norm = right["vec_id"].isna().to_numpy(), right["row"].to_numpy(), np.stack(right["to"].to_numpy()), right["norm"].to_numpy()
+        for start in range(0, len(left), TOGETHER):
+            part = left.iloc[start : start + TOGETHER]
+            qs = _matrix(part["q"].to_numpy(), width)
+            upper = bounds(part["norm"].to_numpy(), np.stack(part["to"].to_numpy()), norm, to)
+            for i, (own, query, floor) in enumerate(zip(part["row"], part["vec_id"], part["floor"], strict=True)):
+                upper[i, row == own] = -np.inf
+                at, _ = best(qs[i], upper[i], x, ids, k, floor)
+                found.append(pd.DataFrame({"query": own, "query_id": int(query), "vec_id": pd.array([None if absent[j] else ids[j] for j in at], dtype="Int64"), "score": (x[at] @ qs[i]).astype(np.int64)}))
+    return pd.concat(found) if found else pd.DataFrame({c.split()[0]: [] for c in OUT.split(", ")})
+
+
+def _dealt(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """The rows with a block number: about ``size`` rows of the same or neighbouring pivots."""
+    counts = {r["near"]: r["count"] for r in rows.groupBy("near").count().collect()}
+    blocks = max(1, -(-sum(counts.values()) // size))
+    if not counts:
+        return rows.withColumn(name, F.lit(0)), 1
+    starts, start = {}, 0
+    for near in sorted(counts):
+        starts[near] = start
+        start += counts[near]
+    of = lambda table: F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[F.col("near")]
+    place = of(starts) + F.pmod(F.xxhash64("row", F.lit(7)), of(counts))
+    return rows.withColumn(name, F.floor(place * blocks / start).cast("int")), blocks
+
+
+def _ranges(rows: DataFrame, name: str, pivots: int) -> DataFrame:
+    """Of each block: the least and the most distance to each pivot, the largest norm."""
+    at = lambda f, p: f(F.col("to")[p])
+    low, high = (F.array(*(at(f, p) for p in range(pivots))) if pivots else F.array().cast("array<double>") for f in (F.min, F.max))
+    return rows.groupBy(name).agg(low.alias(f"{name}_low"), high.alias(f"{name}_high"), F.max("norm").alias(f"{name}_norm"))
+
+
+def _other(table: DataFrame, *columns: str) -> DataFrame:
+    """The columns under names of their own, as both sides of a cogroup come from one table."""
+    return table.select(*(F.col(c).alias(f"x_{c}") for c in columns))
+
+
+def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5) -> DataFrame:
+    """query_id, rank, vec_id, score: the k rows of ``vectors`` (vec_id, q) with the highest scores for each of those that are queries."""
+    pivots = _pivots(vectors)
+    table, _ = _dealt(pivot_table(vectors, pivots), VECTORS, "vb")
+    queries, _ = _dealt(table.where(F.col("vec_id").isNotNull() & is_query).dropDuplicates(["vec_id", "q"]).drop("vb"), QUERIES, "qb")
+    queries = cut(queries.join(table.select("row", "vb"), "row"))
+    side = ["row", "vec_id", "q", "norm", "to"]
+    first = queries.select("vb", *side, F.lit(float("-inf")).alias("floor")).groupBy("vb").cogroup(_other(table, "vb", *side).groupBy("x_vb"))
+    at_home = first.applyInPandas(lambda a, b: _search(a, b, k), OUT).groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("floor"))
+    queries = cut(queries.drop("vb").join(at_home.withColumnRenamed("query", "row"), "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))))
+
+    asked = _ranges(queries, "qb", len(pivots)).join(queries.groupBy("qb").agg(F.min("floor").alias("least")), "qb")
+    gaps = F.zip_with(F.zip_with("qb_low", "vb_high", lambda a, b: a - b), F.zip_with("vb_low", "qb_high", lambda a, b: a - b), lambda a, b: F.greatest(a, b))
+    low = F.greatest(F.lit(0.0), F.coalesce(F.array_max(gaps), F.lit(0.0)) - 1e-6)
+    # blocks against blocks: a pair stays unless its ranges exclude it
+    pairs = asked.join(_ranges(table, "vb", len(pivots)), (F.col("qb_norm") + F.col("vb_norm") - low * low) / 2 + 1e-3 >= F.col("least")).select("qb", "vb")
+    pairs = cut(pairs)
+    left = queries.join(pairs, "qb").select("qb", "vb", *side, "floor").groupBy("qb", "vb")
+    right = _other(table.join(pairs, "vb"), "qb", "vb", *side).groupBy("x_qb", "x_vb")
+    local = left.cogroup(right).applyInPandas(lambda a, b: _search(a, b, k), OUT)
+    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search_table(embeddings: DataFrame, *, every: int = 50, k: int = 5) -> DataFrame:
     """Top k of the rows whose id is divisible by ``every``, against all rows."""
     vectors = embeddings.select(F.col("vec_id"), quantised().alias("q")).where("q IS NOT NULL")
-    return top_k(vectors, vectors.where(F.col("vec_id") % every == 0), k=k)
+    return top_k(vectors, F.col("vec_id") % every == 0, k=k)
