@@ -1,12 +1,16 @@
 """Personal data: base patterns, and terms that reveal a protected entity.
 
 Base spans are the leftmost non-overlapping matches of each kind; matches that fail their kind's
-check are dropped without another try.  The matched values are protected entities.  A term t
-discloses an entity e of its document when the corpus says that it gives most of e's information
-away: PMI(e; t) >= DISCLOSURE * IC(e), with IC(e) = log(N / df(e)) and PMI(e; t) =
+check are dropped without another try.  Runs of letters with digits between them whose own entropy is
+that of a key (SECRET_BITS) are spans of the kind ``secret``.  What these spans hold is protected, as entities
+of three levels: the value, the group that it shares with others (mail domain, network, number
+prefix), and the kind as such, i.e. that a text holds one.
+
+A term t discloses an entity e of its document when the corpus says that it gives most of e's
+information away: PMI(e; t) >= DISCLOSURE * IC(e), with IC(e) = log(N / df(e)) and PMI(e; t) =
 log(N df(e, t) / (df(e) df(t))), and e and t occur together in at least SUPPORT different texts.
-Its occurrences in documents that hold e are spans of the kind ``term``.  Sanitised texts have
-each span generalised to its kind.
+Its occurrences in documents that hold e, outside of protected spans, are spans of the kind
+``term``.  Sanitised texts have each span generalised to its kind.
 
 All counts are of documents, over all of them; a pair also needs SUPPORT different texts, so
 copies of one text prove nothing.  Null and
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import apart, keyed
+from tidemark.llm.common import apart, cut, keyed
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns.  Those of the contract, written without repeated groups where Java's would recurse.
@@ -30,14 +34,19 @@ PHONE = r"\+[0-9][\x20().0-9\-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP_SOUND = rf"^{BYTE}(?:\.{BYTE}){{3}}$"
 TERM = r"[\p{L}]{4,}"
+#: Candidates of secrets, and the bits that one has at least: its length times the entropy of its characters.
+SECRET, SECRET_BITS = r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+(?![A-Za-z0-9])", 64.0
+#: Terms of pairs that are broadcast at most.
+FEW = 1_000_000
 #: Least number of different texts for a pair, and share of the entity's information that may not be given away.
 SUPPORT, DISCLOSURE = 3, 0.9
 SPAN = "struct<start:int,end:int,s:string>"
 
 
-def _placed(text: Column, pattern: str) -> Column:
+def _placed(text: Column, pattern: str | Column) -> Column:
     """Matches of a pattern with their code point offsets: lengths of the pieces between them, added up."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     walk = F.zip_with(pieces, found, lambda gap, s: F.struct(F.length(gap).alias("gap"), F.length(s).alias("n"), s.alias("s")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
@@ -79,18 +88,27 @@ def base(text: Column) -> dict[str, Column]:
     }
 
 
-def spans(documents: DataFrame) -> DataFrame:
-    """__id, __th, doc_id and the base spans by kind."""
-    d = keyed(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    return apart(d, **base(F.col("text")))
+def _bits(s: Column) -> Column:
+    """Length times the entropy of the characters, in bits."""
+    n = F.length(s)
+    times = lambda c: (n - F.length(F.replace(s, c, F.lit("")))) / n
+    return n * F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0), lambda a, c: a - times(c) * F.log2(times(c)))
+
+
+def _secrets(text: Column) -> Column:
+    mixed = lambda s: F.regexp_like(s, F.lit("[0-9][A-Za-z]+[0-9]"))
+    found = F.filter(_placed(text, SECRET), lambda x: mixed(x["s"]) & (_bits(x["s"]) >= SECRET_BITS))
+    return F.when(F.regexp_like(text, F.lit("[A-Za-z0-9]{20}")), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def _has_base() -> Column:
-    return F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
+def spans(documents: DataFrame) -> DataFrame:
+    """__id, __th, doc_id, text and the protected spans by kind."""
+    d = keyed(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    return apart(d, **base(F.col("text")), secret=_secrets(F.col("text")))
 
 
-def _value_of(kind: str):
-    return lambda x: F.concat(F.lit(f"{kind}:"), _digits(x["s"]))
+def _holds_any() -> Column:
+    return sum((F.size(k) for k in (*KINDS, "secret")), F.lit(0)) > 0
 
 
 def _named(kind: str):
@@ -98,45 +116,56 @@ def _named(kind: str):
 
 
 def entities(found: DataFrame) -> DataFrame:
-    """__id, __th, entity: the normalised values that a document holds."""
-    value = F.concat(
-        F.transform("email", lambda x: F.concat(F.lit("email:"), F.lower(x["s"]))),
-        F.transform("ip", lambda x: F.concat(F.lit("ip:"), x["s"])),
-        *(F.transform(kind, _value_of(kind)) for kind in ("card", "phone")),
+    """__id, __th, entity: what a document holds, at each level."""
+
+    def levels(kind: str, value, group) -> Column:
+        some = lambda *parts: F.concat(F.lit(f"{kind}:"), *parts)
+        one = F.transform(kind, lambda x: F.array(some(F.lit("value:"), value(x["s"])), *([] if group is None else [some(F.lit("group:"), group(x["s"]))])))
+        return F.when(F.size(kind) > 0, F.concat(F.flatten(one), F.array(F.lit(kind)))).otherwise(F.array().cast("array<string>"))
+
+    every = F.concat(
+        levels("email", F.lower, lambda s: F.lower(F.substring_index(s, "@", -1))),
+        levels("ip", lambda s: s, lambda s: F.substring_index(s, ".", 2)),
+        levels("card", _digits, lambda s: F.substring(_digits(s), 1, 6)),
+        levels("phone", _digits, lambda s: F.substring(_digits(s), 1, 4)),
+        levels("secret", lambda s: s, None),
     )
-    return found.where(_has_base()).select("__id", "__th", F.explode(F.array_distinct(value)).alias("entity"))
+    return found.select("__id", "__th", F.explode(F.array_distinct(every)).alias("entity"))
+
 
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
-def disclosing(documents: DataFrame) -> DataFrame:
-    """__id, __th, terms: the disclosing terms of each document that has any."""
-    found = spans(documents)
+
+def disclosing(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """__th, terms: the disclosing terms of each text that has any; ``found`` are the documents with protected spans."""
     held = entities(found)
     by_text = held.groupBy("entity", "__th").agg(F.count(F.lit(1)).alias("times"))
     df_entity = by_text.groupBy("entity").agg(F.sum("times").alias("df_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts")
-    held = held.join(df_entity, "entity")
-    words = lambda text: F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
-    private = found.where(_has_base()).groupBy("__th").agg(F.min("text").alias("text"))
-    texts = private.join(by_text.join(df_entity, "entity"), "__th")
-    pairs = texts.select("entity", "df_e", "times", F.explode(words(F.col("text"))).alias("term"))
+    outside = F.regexp_replace(F.regexp_replace("text", f"{EMAIL}|{IP}", " "), SECRET, " ")
+    texts = found.groupBy("__th").agg(F.min("text").alias("text")).select("__th", _words(outside).alias("words"))
+    pairs = cut(texts.join(by_text.join(df_entity, "entity"), "__th").select("__th", "entity", "df_e", "times", F.explode("words").alias("term")))
     together = pairs.groupBy("entity", "df_e", "term").agg(F.sum("times").alias("df_et"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT)
-    corpus = documents.where("text IS NOT NULL")
-    df_all = corpus.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
-    n = corpus.agg(F.count(F.lit(1)).alias("n_texts"))
-    scored = together.join(df_all, "term").crossJoin(F.broadcast(n))
-    information = F.log(F.col("n_texts") / F.col("df_e"))
-    pmi = F.log(F.col("n_texts") * F.col("df_et") / (F.col("df_e") * F.col("df_t")))
-    revealing = scored.where((information > 0) & (pmi >= DISCLOSURE * information)).select("entity", "term")
-    return held.join(revealing, "entity").groupBy("__id", "__th").agg(F.collect_set("term").alias("terms"))
+    df_all = documents.where("text IS NOT NULL").select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
+    n = F.lit(documents.where("text IS NOT NULL").count())
+    scored = together.join(df_all, "term")
+    information = F.log(n / F.col("df_e"))
+    pmi = F.log(n * F.col("df_et") / (F.col("df_e") * F.col("df_t")))
+    revealing = cut(scored.where((information > 0) & (pmi >= DISCLOSURE * information)).select("entity", "term"))
+    revealing = F.broadcast(revealing) if revealing.count() <= FEW else revealing
+    return pairs.join(revealing, ["entity", "term"], "left_semi").groupBy("__th").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
 def all_spans(documents: DataFrame) -> DataFrame:
-    """doc_id, __id, __th, the base spans by kind, and ``term``."""
-    found = spans(documents)
-    terms = disclosing(documents)
-    texts = found.where(_has_base()).select("__id", "__th", "text").dropDuplicates(["__id", "__th"]).join(terms, ["__id", "__th"])
-    texts = apart(texts, lowered=F.lower("text"))
-    placed = texts.select("__id", "__th", F.filter(_placed(F.col("text"), r"(?i)" + TERM), lambda x: F.array_contains("terms", F.lower(x["s"]))).alias("term"))
-    return found.drop("text").join(placed, ["__id", "__th"], "left")
+    """__id, __th, the protected spans by kind and ``term``, of the documents that have any; one row for each (__id, __th)."""
+    found = cut(spans(documents).where(_holds_any()))
+    terms = disclosing(documents, found)
+    each = found.dropDuplicates(["__id", "__th"]).join(terms, "__th", "left")
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
+    each = apart(each, protected=F.concat(*(F.transform(k, lambda x: F.struct(x["start"], x["end"])) for k in (*KINDS, "secret"))), pattern=pattern)
+    placed = F.when(F.col("terms").isNotNull(), _placed(F.col("text"), F.col("pattern"))).otherwise(F.array().cast(f"array<{SPAN}>"))
+    free = F.filter(placed, lambda x: ~F.exists("protected", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
+    return each.withColumn("term", free).select("__id", "__th", *KINDS, "secret", "term")
 
 
 def _listed(kind: str, name: str) -> Column:
@@ -144,16 +173,18 @@ def _listed(kind: str, name: str) -> Column:
 
 
 def report(documents: DataFrame) -> DataFrame:
-    d = all_spans(documents.select("doc_id", "text"))
+    """One row for each document: counts of the base kinds, a digest of the base spans, and all spans."""
+    none = F.array().cast(f"array<{SPAN}>")
+    d = keyed(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).drop("text").join(all_spans(documents.select("doc_id", "text")), ["__id", "__th"], "left")
+    d = d.withColumns({k: F.coalesce(k, none) for k in (*KINDS, "secret", "term")})
     own = F.concat(*(_listed(k, k) for k in KINDS))
-    term = F.coalesce(_listed("term", "term"), F.array().cast("array<string>"))
-    return d.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(F.array_join(own, ","), 256).alias("base_sha256"), F.array_join(F.concat(own, term), ",").alias("spans"))
+    return d.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(F.array_join(own, ","), 256).alias("base_sha256"), F.array_join(F.concat(own, _listed("secret", "secret"), _listed("term", "term")), ",").alias("spans"), *(F.size(k).cast("long").alias(f"n_{k}") for k in ("secret", "term")))
 
 
 def sanitise(documents: DataFrame) -> DataFrame:
     """The documents with each span generalised to its kind; where spans overlap, the first one counts."""
-    found = all_spans(documents.select("doc_id", "text")).drop("doc_id").dropDuplicates(["__id", "__th"])
-    every = F.array_sort(F.concat(*(F.transform(F.coalesce(k, F.array().cast(f"array<{SPAN}>")), _named(k)) for k in (*KINDS, "term"))))
+    found = all_spans(documents.select("doc_id", "text"))
+    every = F.array_sort(F.concat(*(F.transform(k, _named(k)) for k in (*KINDS, "secret", "term"))))
     d = keyed(documents.withColumn("__text", F.coalesce("text", F.lit(""))), "__text").join(found.select("__id", "__th", every.alias("__spans")), ["__id", "__th"], "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
