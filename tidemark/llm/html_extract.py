@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 
 #: Element names of HTML by their role.
-SKIPPED = "script style noscript template svg math iframe object canvas audio video title textarea"
+RAW = "script style iframe title textarea"
+HIDDEN = frozenset("noscript template svg math object canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -47,13 +48,17 @@ MAIN = frozenset("article body content entry main maintext post prose story text
 TAGS = {"h1": "h", "h2": "h", "h3": "h", "h4": "h", "h5": "h", "h6": "h", "ul": "list", "ol": "list", "dl": "list", "menu": "menu", "button": "control", "select": "control", "option": "control", "optgroup": "control", "fieldset": "control", "legend": "control", "dialog": "dialog", "search": "form", "p": "p", "li": "li", "dd": "li", "dt": "li"}
 KNOWN = frozenset("h list menu control dialog form p li article main nav header footer aside div section body html table td blockquote pre figure".split())
 
+#: A value after "=" is quoted, or runs to the next blank or the tag's end, quotes inside included.
+ATTRS = r"(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^>=]|=)*+"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(SKIPPED.split())})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|([^<]++|<)",
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW.split())})(?=[\s/>]){ATTRS}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({ATTRS})>|<[!?/][^>]*(?:>|\Z)|([^<]++|<)",
     re.DOTALL | re.IGNORECASE,
 )
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
 
+#: Features of a node: element, use by its names, place by the core of the page, links, share of the page's text.
+FEATURES = 5
 #: Labelled pages: data-l="1" opens a content part, data-l="0" one that is not; a part's label holds until the next one inside.
 TEXT = "<p>A paragraph of running text, as pages have many of them, one after another.</p>" * 8
 BARE = f'<div><p>Opening words, with <a>a link</a> in them.</p>{TEXT}<ul><li>One</li><li>Two</li></ul><h2>Part</h2>{TEXT}</div>'
@@ -72,6 +77,12 @@ LABELLED = (
     f'<html data-l="1"><body><div class="page">{BARE}<div class="comments" data-l="0"><p>What a page this is</p></div></div><form data-l="0"><p>Write to us</p></form></body></html>',
     f'<html data-l="1"><body><article><header data-l="0"><h2>Section of the paper</h2><p>By a writer</p></header>{TEXT}<aside data-l="0"><p>A box of facts</p></aside>{TEXT}<footer data-l="0"><p>Filed under things</p></footer></article></body></html>',
     f'<html data-l="1"><body><main><header data-l="0"><p>Our site</p></header><nav data-l="0"><ul><li>On this page</li></ul></nav>{TEXT}<section>{TEXT}<div class="ad" data-l="0"><p>Buy this thing</p></div></section><form data-l="0"><p>Search here</p></form><aside data-l="0"><p>More on it</p></aside><footer data-l="0"><p>Last changed on a Monday</p></footer></main></body></html>',
+    f'<html data-l="1"><body class="page with-sidebar menu-closed"><div class="header-fixed wrapper"><div class="share-story"><h1>Title</h1>{TEXT}</div></div></body></html>',
+    f'<html data-l="1"><body class="has-cookie-banner"><div id="page-ad-free"><article class="article-share-body">{TEXT}<p>And an end.</p></article><div class="share-bar" data-l="0"><a>Post it</a></div></div></body></html>',
+    '<html data-l="1"><body><div class="post-share-text"><p>The only text of a page, in a part whose name also has a word of frames.</p></div></body></html>',
+    '<html data-l="1"><body><nav data-l="0"><ul><li><a>Home</a></li><li><a>About us</a></li></ul></nav></body></html>',
+    '<html data-l="1"><body><div class="login" data-l="0"><form><label>Name</label><p>Please log in to read on.</p><button>Go</button></form></div></body></html>',
+    '<html data-l="1"><body><div id="cookie-consent" data-l="0"><p>This site keeps cookies. By going on you agree to them.</p></div></body></html>',
 )
 
 
@@ -83,10 +94,19 @@ class Page:
         own, linked = [0], [0]
         self.pieces: list[tuple[int, int, str]] = []
         stack: list[tuple[str, int]] = [("html", 0)]
-        block, links = 0, 0
+        block, links, hidden = 0, 0, 0
+
+        def close(i: int) -> None:
+            nonlocal links, hidden
+            links -= sum(t == "a" for t, _ in stack[i:])
+            hidden -= sum(t in HIDDEN for t, _ in stack[i:])
+            del stack[i:]
+
         for m in TOKEN.finditer(source):
             text = m[5]
             if text is not None:
+                if hidden:
+                    continue
                 node = stack[-1][1]
                 self.pieces.append((node, block, text))
                 size = len(text.strip())
@@ -101,24 +121,28 @@ class Page:
                 block += name in BLOCK
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
+                        close(i)
                         break
                 continue
             if name in VOID:
                 block += name == "hr"
-                if name == "br":
+                if name == "br" and not hidden:
                     self.pieces.append((stack[-1][1], block, " "))
                 continue
             if name == "html":
                 self.attrs[0] = m[4]
                 continue
             block += name in BLOCK
+            if name in BLOCK and hidden:
+                # a block element ends a drawing or formula that it stands in
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] in ("svg", "math"):
+                        close(i)
+                        break
             if ends := CLOSES.get(name):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] in ends:
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
+                        close(i)
                     elif stack[i][0] in BOUNDS:
                         break
             node = stack[-1][1]
@@ -132,6 +156,7 @@ class Page:
             if m[4].endswith("/") and name not in BLOCK:
                 continue
             links += name == "a"
+            hidden += name in HIDDEN
             stack.append((name, node))
         self._features(own, linked)
 
@@ -151,11 +176,12 @@ class Page:
         self.features = []
         for i in range(n):
             names = _names(self.attrs[i])
-            use = "aside" if names & ASIDE else "main" if names & MAIN else "none"
+            use = "both" if names & ASIDE and names & MAIN else "aside" if names & ASIDE else "main" if names & MAIN else "none"
+            size = "all" if total[0] and total[i] >= 0.9 * total[0] else "part" if total[i] else "empty"
             place = "no core" if not some else "inside" if inside[i] else "above" if above[i] else "outside"
             tag = TAGS.get(self.tag[i], self.tag[i])
             share = links[i] / total[i] if total[i] else 0
-            self.features.append((tag if tag in KNOWN else "other", use, place, "links" if share > 0.5 else "some" if share > 0 else "no"))
+            self.features.append((tag if tag in KNOWN else "other", use, place, "links" if share > 0.5 else "some" if share > 0 else "no", size))
 
 
 def _names(attrs: str) -> set[str]:
@@ -180,9 +206,9 @@ class Model:
                     edges[label[page.parent[i]]][label[i]] += 1
                 for k, f in enumerate(page.features[i]):
                     counts[label[i]][k][f] += 1
-        values = [{f for c in counts for f in c[k]} for k in range(4)]
-        self.node = [[{f: (counts[b][k][f] + smooth) / (labels[b] + smooth * (len(values[k]) + 1)) for f in values[k]} for k in range(4)] for b in (0, 1)]
-        self.unseen = [[smooth / (labels[b] + smooth * (len(values[k]) + 1)) for k in range(4)] for b in (0, 1)]
+        values = [{f for c in counts for f in c[k]} for k in range(FEATURES)]
+        self.node = [[{f: (counts[b][k][f] + smooth) / (labels[b] + smooth * (len(values[k]) + 1)) for f in values[k]} for k in range(FEATURES)] for b in (0, 1)]
+        self.unseen = [[smooth / (labels[b] + smooth * (len(values[k]) + 1)) for k in range(FEATURES)] for b in (0, 1)]
         self.edge = [[(edges[a][b] + smooth * 0.1) / (sum(edges[a].values()) + smooth * 0.2) for b in (0, 1)] for a in (0, 1)]
         self.cache: dict[tuple, tuple[float, float]] = {}
 
