@@ -3,17 +3,18 @@
 The posterior of a language is proportional to
     prior(language | host) * P(declared | language) * P(suffix | language) * P(text | language)^power
 - text: smoothed 3-gram models of lower-cased bytes, one for each declared language, fitted on a
-  bounded sample (about SAMPLE rows of a language, drawn by hash, for the LANGUAGES most declared); the power is min(1, EVIDENCE / n-grams), as
-  neighbouring n-grams are not independent.  An ``und`` class has all n-grams equally likely;
+  bounded sample of labelled rows (at most SAMPLE different texts of a language, drawn by hash, for
+  the LANGUAGES most declared); the power is min(1, EVIDENCE / n-grams), as neighbouring n-grams are
+  not independent.  An ``und`` class has all n-grams equally likely;
 - declared markup language and address suffix: their rates given the text's language, counted over
-  all rows by grouped aggregation and smoothed;
+  all rows by grouped aggregation and smoothed, for every value that occurs;
 - host: counted over all rows and smoothed hierarchically, host -> site -> everything.
-Rows whose best class is ``und`` are rejected.
+Rows whose best class is ``und`` are rejected, unless they declare a language that has no model:
+those keep the declared one.
 
-Null and empty texts have no n-grams: the other evidence decides, and rows without any n-gram are
-``und`` and rejected.  Null declared languages, suffixes and hosts are no evidence.  Repeated rows
-count each.  Without any labelled row there is no language and everything is rejected.
-All columns pass through.
+Null and empty texts have no n-grams: rows without any n-gram are ``und`` and rejected.  Null
+declared languages, suffixes and hosts are no evidence.  Repeated rows count each.  Without any
+labelled row there is no language and everything is rejected.  All columns pass through.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
-#: Rows of a language that the text model is fitted on, at most; hashed n-gram buckets.
+#: Texts of a language that its model is fitted on, at most; languages that get a model; hashed n-gram buckets.
 SAMPLE, LANGUAGES, BUCKETS = 2_000, 200, 1 << 16
 #: Share of a language's n-grams that any bucket is equally likely to get.
 UNSEEN = 0.1
@@ -37,8 +38,8 @@ EVIDENCE, HOST_WEIGHT, RATE_WEIGHT = 60.0, 8.0, 4.0
 UND = "und"
 #: Prior weight of ``und`` at the root.
 UND_PRIOR = 0.0001
-#: Hosts whose priors are broadcast at most; more are joined by a shuffle.
-BROADCAST_HOSTS = 200_000
+#: Numbers (of 8 bytes) in a table of priors or rates that is broadcast at most; a larger one is joined by a shuffle.
+BROADCAST = 2_000_000
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -51,15 +52,23 @@ def grams(text: str | None) -> np.ndarray:
 
 def fit(documents: DataFrame, text: str, label: str) -> tuple[list[str], np.ndarray]:
     """Languages, and the log probability of each bucket by language."""
-    sizes = {r[label]: r["count"] for r in documents.where(F.col(label).isNotNull() & (F.length(text) > 0)).groupBy(label).count().orderBy(F.desc("count")).limit(LANGUAGES).collect()}
+    labelled = documents.where(F.col(label).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(label).alias("__label"), F.col(text).alias("__text"))
+    sizes = {r[0]: r[1] for r in labelled.groupBy("__label").count().orderBy(F.desc("count"), "__label").limit(LANGUAGES).collect()}
     languages = sorted(sizes)
-    share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, SAMPLE / n)))) if sizes else None
     counts = np.zeros((len(languages), BUCKETS))
     if languages:
-        drawn = F.pmod(F.xxhash64(text, F.lit(1)), F.lit(1_000_000)) / 1e6
-        rows = documents.where((drawn < share[F.col(label)]) & (F.length(text) > 0)).select(label, text).limit(2 * SAMPLE * len(languages))
-        for r in rows.toLocalIterator():
-            counts[languages.index(r[0])] += np.bincount(grams(r[1]), minlength=BUCKETS)
+        share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 2 * SAMPLE / n))))
+        drawn = F.xxhash64("__text", F.lit(1))
+        rows = labelled.withColumn("__drawn", drawn).where(F.pmod("__drawn", F.lit(1_000_000)) / 1e6 < share[F.col("__label")])
+        place = F.row_number().over(Window.partitionBy("__label").orderBy("__drawn"))
+        rows = rows.dropDuplicates(["__label", "__drawn"]).withColumn("__place", place).where(F.col("__place") <= SAMPLE).select("__label", "__text")
+
+        def count(texts: pd.DataFrame) -> pd.DataFrame:
+            n = sum((np.bincount(grams(t), minlength=BUCKETS) for t in texts["__text"]), np.zeros(BUCKETS, np.int64))
+            return pd.DataFrame({"label": [texts["__label"].iloc[0]], "n": [n.tobytes()]})
+
+        for r in rows.groupBy("__label").applyInPandas(count, "label string, n binary").toLocalIterator():
+            counts[languages.index(r[0])] = np.frombuffer(r[1], dtype=np.int64)
     share_seen = counts / np.maximum(1, counts.sum(1, keepdims=True))
     return languages, np.log((1 - UNSEEN) * share_seen + UNSEEN / BUCKETS)
 
@@ -100,20 +109,19 @@ def declared_of(html: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(html, r"(?is)<html[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit(""))
 
 
-def _rates(counted: DataFrame, column: str, languages: list[str]) -> dict[str, list[float]]:
-    """P(value | language) of the frequent values, smoothed towards the uniform rate."""
-    rows = counted.where(F.col(column).isNotNull()).groupBy(column, "__best").agg(F.sum("n").alias("n")).groupBy(column).agg(F.map_from_entries(F.collect_list(F.struct("__best", "n"))).alias("by"), F.sum("n").alias("n")).orderBy(F.desc("n"), column).limit(500).collect()
-    totals = [sum(r["by"].get(k, 0) for r in rows) for k in range(len(languages))]
-    flat = 1 / (len(rows) + 1)
-    return {r[column]: [*(float(np.log((r["by"].get(k, 0) + RATE_WEIGHT * flat) / (totals[k] + RATE_WEIGHT))) for k in range(len(languages))), float(np.log(flat))] for r in rows}
+def _rates(counted: DataFrame, column: str, languages: list[str]) -> DataFrame:
+    """column, __rate: log P(value | language) of every value by language and then ``und``, smoothed towards the uniform rate."""
+    per = [F.sum(F.when(F.col("__best") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(len(languages))]
+    values = counted.where(F.col(column).isNotNull()).groupBy(column).agg(*per)
+    totals = values.agg(F.count(F.lit(1)), *(F.sum(f"c{k}") for k in range(len(languages)))).first()
+    flat = 1 / (totals[0] + 1)
+    logs = [F.ln((F.col(f"c{k}") + RATE_WEIGHT * flat) / F.lit((totals[k + 1] or 0) + RATE_WEIGHT)) for k in range(len(languages))]
+    return _fitting(values.select(column, F.array(*logs, F.lit(float(np.log(flat)))).alias("__rate")), totals[0] * (len(languages) + 1))
 
 
-def _lookup(table: dict[str, list[float]], value: Column, width: int) -> Column:
-    nothing = F.array(*(F.lit(0.0),) * width)
-    if not table:
-        return nothing
-    entries = F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    return F.coalesce(F.try_element_at(entries, value), nothing)
+def _fitting(table: DataFrame, numbers: int) -> DataFrame:
+    """The table, marked for broadcast if its numbers are few enough."""
+    return F.broadcast(table) if numbers <= BROADCAST else table
 
 
 def identify(df: DataFrame, *, text: str = "text", declared: str = "lang", suffix: str | None = None, host: str = "source") -> DataFrame:
@@ -133,7 +141,6 @@ def posterior(scored: DataFrame, languages: list[str]) -> DataFrame:
     small = scored.select("__declared", "__suffix", "__host", "__scores").where("__scores IS NOT NULL")
     counted = small.withColumn("__best", best).groupBy("__declared", "__suffix", "__host", "__best").agg(F.count(F.lit(1)).alias("n"))
     counted = cut(counted)
-    rates = {c: _rates(counted, c, languages) for c in ("__declared", "__suffix")}
     # priors: counts by host and by site, smoothed down the hierarchy
     root_counts = {r["__best"]: r["n"] for r in counted.groupBy("__best").agg(F.sum("n").alias("n")).collect()}
     total = sum(root_counts.values())
@@ -149,14 +156,19 @@ def posterior(scored: DataFrame, languages: list[str]) -> DataFrame:
         host_total = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
         smoothed = F.zip_with("c", "s", lambda c, s: F.ln((c + HOST_WEIGHT * s) / (host_total + HOST_WEIGHT) * (1 - UND_PRIOR)))
         priors = by_host.withColumn("__site", site(F.col("__host"))).join(site_p, "__site").select("__host", F.concat(smoothed, F.array(F.lit(float(np.log(UND_PRIOR))))).alias("__prior"))
-        priors = F.broadcast(priors) if by_host.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else priors
+        priors = _fitting(priors, by_host.count() * width)
     scored = scored.join(priors, "__host", "left") if priors is not None else scored.withColumn("__prior", F.lit(None).cast("array<double>"))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    logs = add(add(F.coalesce("__prior", log_root), F.col("__scores")), add(_lookup(rates["__declared"], F.col("__declared"), width), _lookup(rates["__suffix"], F.col("__suffix"), width)))
-    scored = scored.withColumn("__logs", logs)
+    scored = scored.withColumn("__logs", add(F.coalesce("__prior", log_root), F.col("__scores")))
+    for column in ("__declared", "__suffix") if languages else ():
+        rates = _rates(counted, column, languages)
+        scored = scored.join(rates, column, "left").withColumn("__logs", F.when(F.col("__rate").isNull(), F.col("__logs")).otherwise(add(F.col("__logs"), F.col("__rate")))).drop("__rate")
     top = F.array_max("__logs")
     p = 1 / F.aggregate("__logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("__logs")))
     lang = F.coalesce(F.get(F.array(*map(F.lit, names)), F.array_position("__logs", top).cast("int") - 1), F.lit(UND))
+    # a declared language without a model is kept where the models see nothing in the text
+    other = F.col("__scores").isNotNull() & F.col("__declared").isNotNull() & ~F.array_contains(F.array(*map(F.lit, names)), F.col("__declared"))
+    lang = F.when((lang == UND) & other, F.col("__declared")).otherwise(lang)
     return scored.withColumns({"__lang": lang, "__p": F.coalesce(p, F.lit(1.0)), "__accepted": lang != UND})
 
 
