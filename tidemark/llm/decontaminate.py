@@ -13,15 +13,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import over_texts
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Words of one automaton at most; a larger benchmark is cut into several automata.
 BLOCK_WORDS = 1_000_000
 HITS = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -158,22 +160,20 @@ def hits(documents: DataFrame, benchmark: DataFrame, *, window: int = 13, id_col
 
 
 def _through(shared):
-    @F.pandas_udf(HITS)
-    def through(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+    def through(texts: list, before: list) -> list:
         automaton = shared.value
-        for texts, before in batches:
-            rows = []
-            for text, old_items, old_spans in zip(texts, before["items"], before["spans"], strict=True):
-                words = words_of(text)
-                spans, items = automaton.scan(words)
-                if old_items is not None:
-                    items = items.union(old_items)
-                    spans += [(x["start"], x["end"]) for x in old_spans]
-                spans = merged(spans) if spans else spans
-                rows.append((len(words), sum(e - s for s, e in spans), sorted(items), [{"start": s, "end": e} for s, e in spans]))
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
+        rows = []
+        for text, old in zip(texts, before, strict=True):
+            words = words_of(text)
+            spans, items = automaton.scan(words)
+            if old is not None:
+                items = items.union(old["items"])
+                spans += [(x["start"], x["end"]) for x in old["spans"]]
+            spans = merged(spans) if spans else spans
+            rows.append({"n_words": len(words), "n_hit": sum(e - s for s, e in spans), "items": sorted(items), "spans": [{"start": s, "end": e} for s, e in spans]})
+        return rows
 
-    return through
+    return over_texts(through, HITS, ARROW)
 
 
 def contaminated(hit: str = "hits", coverage: float = 0.05) -> Column:
@@ -181,11 +181,11 @@ def contaminated(hit: str = "hits", coverage: float = 0.05) -> Column:
     return (F.col(f"{hit}.n_hit") > 0) & (F.col(f"{hit}.n_hit") >= F.lit(coverage) * F.col(f"{hit}.n_words"))
 
 
-def _without_spans(texts: pd.Series, hit: pd.DataFrame, longest: pd.Series) -> pd.Series:
+def _without_spans(texts: list, hit: list, longest: list) -> list:
     """The text without its hit runs of over ``longest`` words."""
     out = []
-    for text, spans, most in zip(texts, hit["spans"], longest, strict=True):
-        long = [] if spans is None else [x for x in spans if x["end"] - x["start"] > most]
+    for text, spans, most in zip(texts, hit, longest, strict=True):
+        long = [] if spans is None else [x for x in spans["spans"] if x["end"] - x["start"] > most]
         if text is not None and long:
             raw = text.encode("utf-8", "surrogatepass")
             at = [m.span() for m in WORD.finditer(raw.lower())]
@@ -195,7 +195,7 @@ def _without_spans(texts: pd.Series, hit: pd.DataFrame, longest: pd.Series) -> p
                 last = at[x["end"] - 1][1]
             text = b"".join([*kept, raw[last:]]).decode("utf-8", "surrogatepass")
         out.append(text)
-    return pd.Series(out, dtype=object)
+    return out
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = 13, coverage: float = 0.05, longest_span: int = 50) -> DataFrame:
@@ -204,7 +204,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = 1
     scanned = hits(documents, benchmark, window=window, into=tmp)
     kept = scanned.where(~contaminated(tmp, coverage))
     long = F.exists(F.col(f"{tmp}.spans"), lambda x: x["end"] - x["start"] > longest_span)
-    text = F.when(long, F.pandas_udf(_without_spans, "string")(F.col("text"), F.col(tmp), F.lit(longest_span))).otherwise(F.col("text"))
+    text = F.when(long, over_texts(_without_spans, "string", pa.string())(F.col("text"), F.col(tmp), F.lit(longest_span))).otherwise(F.col("text"))
     return kept.withColumn("text", text).select(*documents.columns)
 
 

@@ -19,10 +19,11 @@ import html as entities
 import re
 from collections import Counter, defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import over_texts
 
 #: Element names of HTML by their role.
 RAW = "script style iframe title textarea"
@@ -270,11 +271,7 @@ def extract(source: str | None, model: Model) -> str:
 def main_text(html: str = "html"):
     """Column of the main text of a page's source."""
     model = Model()
-
-    def run(pages: pd.Series) -> pd.Series:
-        return pd.Series([extract(p, model) for p in pages], dtype=object)
-
-    return F.pandas_udf(run, "string")(F.col(html))
+    return over_texts(lambda pages: [extract(p, model) for p in pages], "string", pa.string())(F.col(html))
 
 
 def report(pages: DataFrame) -> DataFrame:

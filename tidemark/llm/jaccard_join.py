@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, slices
 from tidemark.operators.graph import connected_components
 
 #: Width ratio of size bands.
@@ -60,7 +60,7 @@ class Words(dict):
     """64-bit hash of a word, kept while there are few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -185,10 +185,8 @@ def sketches(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _chunks(batches: Iterator[pa.RecordBatch], n: int, cache: Words) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Some rows, and the shingles of their texts."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, CHUNK):
-            some = batch.slice(start, CHUNK)
-            yield some, *shingles(some["text"].to_pylist(), n, cache)
+    for some in slices(batches, CHUNK):
+        yield some, *shingles(some["text"].to_pylist(), n, cache)
 
 
 def _longs(x: np.ndarray) -> pa.Array:
@@ -278,7 +276,7 @@ def _signed(documents: DataFrame, n: int, plan: Plan, frequent: np.ndarray, hot:
         seen: set[bytes] = set()
         plan, frequent, hot_keys, parts = shared.value
         for some, flat, sizes in _chunks(batches, n, Words()):
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             end = np.cumsum(sizes)
             new = np.zeros(len(sizes), bool)

@@ -19,15 +19,15 @@ labelled row there is no language and everything is rejected.  All columns pass
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, over_texts
 
 #: Texts of a language that its model is fitted on, at most; languages that get a model; hashed n-gram buckets.
 SAMPLE, LANGUAGES, BUCKETS = 2_000, 200, 1 << 16
@@ -77,19 +77,17 @@ def text_scores(df: DataFrame, text: str, model: tuple[list[str], np.ndarray], i
     """Adds the array of tempered log likelihoods, by language and then ``und``; null without n-grams."""
     shared = df.sparkSession.sparkContext.broadcast(model[1].astype(np.float32))
 
-    @F.pandas_udf("array<double>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(texts: list) -> list:
         table = shared.value
         flat = -np.log(BUCKETS)
-        for texts in batches:
-            out = []
-            for t in texts:
-                g = grams(t)
-                power = min(1.0, EVIDENCE / len(g)) if len(g) else 0
-                out.append([*(float(row[g].sum() * power) for row in table), float(len(g) * flat * power)] if len(g) and t.strip() else None)
-            yield pd.Series(out, dtype=object)
-
-    return df.withColumn(into, score(F.col(text)))
+        out = []
+        for t in texts:
+            g = grams(t)
+            power = min(1.0, EVIDENCE / len(g)) if len(g) else 0
+            out.append([*(float(row[g].sum() * power) for row in table), float(len(g) * flat * power)] if len(g) and t.strip() else None)
+        return out
+
+    return df.withColumn(into, over_texts(score, "array<double>", pa.list_(pa.float64()))(F.col(text)))
 
 
 def site(host: Column) -> Column:

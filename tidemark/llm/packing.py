@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, slices
 
 WIDTH, END = 1_024, 0
 #: Tokens of a block, whose index one task holds.
@@ -177,7 +177,7 @@ def tokenised(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
-        for batch in batches:
+        for batch in slices(batches):
             ids = [np.array([*encode(text or ""), END], dtype="<u2").tobytes() for text in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -189,7 +189,7 @@ def statistics(tokens: DataFrame) -> Corpus:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(VOCABULARY, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for ids in batch["ids"].to_pylist():
                 df[np.unique(np.frombuffer(ids, dtype="<u2"))] += 1
         at = np.flatnonzero(df)
@@ -208,7 +208,7 @@ def ordered(tokens: DataFrame, corpus: Corpus) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             keys = np.array([corpus.key(np.frombuffer(ids, dtype="<u2")) for ids in batch["ids"].to_pylist()], dtype=np.int32).reshape(-1, KEY)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(keys[:, i]) for i in range(KEY))], ["doc_id", "ids", *names])
 
@@ -228,7 +228,7 @@ def pieces(documents: DataFrame, *, width: int = WIDTH) -> DataFrame:
         names: list = []
         docs: list[np.ndarray] = []
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc, ids in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), strict=True):
                 docs.append(np.frombuffer(ids, dtype="<u2"))
                 names.append(doc)

@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, map_frames, over_texts
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
@@ -137,8 +138,8 @@ def _parts(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (place >> 14) & 0xFFFFFFFF, (place >> 7) & 127, place & 127
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.select(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("id"), F.xxhash64("text").alias("th"), "text")
+def _keyed(documents: DataFrame, *columns: str) -> DataFrame:
+    return documents.select(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("id"), F.xxhash64("text").alias("th"), "text", *columns)
 
 
 def _anchors(keyed: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -171,7 +172,7 @@ def _anchors(keyed: DataFrame, frequent: np.ndarray) -> DataFrame:
         if held:
             yield settle(held)
 
-    return keyed.mapInPandas(run, "gram long, context long, id long, th long, place long")
+    return map_frames(keyed, run, "gram long, context long, id long, th long, place long")
 
 
 def _resolved(anchors: DataFrame) -> DataFrame:
@@ -218,7 +219,7 @@ def _frequent_grams(keyed: DataFrame, total: int) -> np.ndarray:
                 yield pd.DataFrame({"gram": pairs[0], "context": pairs[1]})
 
     drawn = keyed.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < share * 1e6)
-    found = drawn.mapInPandas(run, "gram long, context long").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(20, HOLD * share))
+    found = map_frames(drawn, run, "gram long, context long").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(20, HOLD * share))
     return np.sort(np.array([r["gram"] for r in found.orderBy(F.desc("n"), "gram").limit(MOST).collect()], dtype=np.int64).view(np.uint64))
 
 
@@ -234,7 +235,7 @@ def _frequent_windows(keyed: DataFrame, frequent: np.ndarray) -> DataFrame:
                     anchor, start, one, two = chunk.windows(which)
                     yield pd.DataFrame({"one": one.view(np.int64), "two": two.view(np.int64), "id": ids[chunk.doc[anchor]], "th": ths[chunk.doc[anchor]], "start": start})
 
-    rows = keyed.mapInPandas(run, "one long, two long, id long, th long, start long")
+    rows = map_frames(keyed, run, "one long, two long, id long, th long, start long")
     first = rows.groupBy("one", "two").agg(F.min("id").alias("first_id"))
     first = rows.join(first, ["one", "two"]).where("id = first_id").groupBy("one", "two", "first_id").agg(F.min(F.struct("th", "start")).alias("first"))
     later = rows.join(first, ["one", "two"]).where("id <> first_id OR th <> first.th OR start <> first.start")
@@ -359,7 +360,7 @@ def _contexts(keyed: DataFrame, resolved: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["gram", "id", "th", "place", "context"])
 
     texts = keyed.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"])
-    return texts.mapInPandas(run, "gram long, id long, th long, place long, context binary")
+    return map_frames(texts, run, "gram long, id long, th long, place long, context binary")
 
 
 def _sorted_windows(contexts: DataFrame) -> DataFrame:
@@ -407,10 +408,11 @@ def repeats(documents: DataFrame) -> DataFrame:
 
 
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+ARROW = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
 def _cut_out(with_bytes: bool):
-    def run(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    def run(texts: list, spans: list) -> list:
         rows = []
         for text, found in zip(texts, spans, strict=True):
             raw = text.encode("utf-8", "surrogatepass") if text else b""
@@ -422,14 +424,14 @@ def _cut_out(with_bytes: bool):
                 end = max(end, e)
                 at = end
             kept = b"".join([*kept, raw[at:]])
-            rows.append((len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in DIGEST.split(", ")])
+            rows.append({"n_bytes": len(raw), "n_removed": len(raw) - len(kept), "n_spans": runs, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept if with_bytes else None})
+        return rows
 
-    return F.pandas_udf(run, DIGEST)
+    return over_texts(run, DIGEST, ARROW)
 
 
 def report(documents: DataFrame, *, with_bytes: bool = False) -> DataFrame:
     """One row for each document: bytes, removed bytes and runs, and the hash of what is left (``with_bytes``: what is left itself)."""
-    joined = _keyed(documents).join(repeats(documents), ["id", "th"], "left").withColumn("doc_id", F.when(F.col("id") != 2**63 - 1, F.col("id")))
+    joined = _keyed(documents, "doc_id").join(repeats(documents), ["id", "th"], "left")
     out = joined.withColumn("r", _cut_out(with_bytes)(F.col("text"), F.col("spans")))
     return out.select("doc_id", "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256", *(["r.kept"] if with_bytes else []))
