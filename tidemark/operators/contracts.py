@@ -82,6 +82,22 @@ def vector_contract(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     )
 
 
+def label_audit(rows: DataFrame, annotated: str, known: tuple[str, str], unknown: tuple[str, str], broad: str) -> DataFrame:
+    """One row on recomputed and stored flags (pairs of columns): rows that differ, rows in both classes, and breaches of the subset rules."""
+    n = lambda c: F.count_if(c)
+    (k, k_stored), (u, u_stored) = ([F.col(c) for c in pair] for pair in (known, unknown))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        n(~k.eqNullSafe(k_stored)).alias("known_differs"),
+        n(~u.eqNullSafe(u_stored)).alias("unknown_differs"),
+        n(k & u).alias("in_both"),
+        n(k & ~F.col(annotated)).alias("known_without_annotation"),
+        n(u & ~F.col(broad)).alias("unknown_outside_broad"),
+        n(k_stored & u_stored).alias("stored_in_both"),
+        n(u_stored & ~F.col(broad)).alias("stored_outside_broad"),
+    )
+
+
 def contiguity(df: DataFrame, shard: str, index: str) -> DataFrame:
     """By shard: rows, and rows whose index isn't their place 0..n-1."""
     from pyspark.sql import Window

@@ -61,6 +61,15 @@ def modal_columns(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
     return ranked.select(group, "column", F.col("value").alias("modal"), (F.col("n_filled") / F.col("n_rows")).alias("coverage"), F.when(F.col("value").isNotNull(), F.col("n") / F.col("n_filled")).alias("purity"))
 
 
+def group_taxonomy(df: DataFrame, group: str, ranks: list[str], flags: dict[str, Column]) -> DataFrame:
+    """One row for each group: n, of each rank the modal value, its coverage and purity, and the mean of each flag."""
+    modal = modal_columns(df, group, ranks)
+    at = lambda rank, c: F.max(F.when(F.col("column") == rank, F.col(c))).alias(f"{rank}_{c}")
+    wide = modal.groupBy(group).agg(*(at(k, c) for k in ranks for c in ("modal", "coverage", "purity")))
+    means = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c.cast("int")).alias(k) for k, c in flags.items()))
+    return means.join(wide, group)
+
+
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in a full order."""
     return df.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__place = 1").drop("__place")

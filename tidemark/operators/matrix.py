@@ -66,6 +66,18 @@ def group_scores(groups: dict[str, list[str]], *, mean: bool = False) -> dict[st
     return {g: sum((positive(c) for c in cols), F.lit(0.0)) / (len(cols) if mean else 1) for g, cols in groups.items()}
 
 
+def driver_labels(groups: dict[str, list[str]], none: str = "unassigned") -> dict[str, Column]:
+    """The group of the best variable (rule a), the group of the best mean (b) and of the best sum (c) of positive scores; ``none`` where no score is positive."""
+    of = {c: g for g, columns in groups.items() for c in columns}
+    top = best_two(list(of))
+    rules = {"rule_a": F.when(top["best"] <= 0, none).otherwise(F.element_at(F.create_map(*(F.lit(x) for pair in of.items() for x in pair)), top["best_name"]))}
+    for rule, mean in (("rule_b", True), ("rule_c", False)):
+        scores = group_scores(groups, mean=mean)
+        ranked = F.sort_array(F.array(*(F.struct(s.alias("s"), F.lit(-i).alias("p"), F.lit(g).alias("g")) for i, (g, s) in enumerate(scores.items()))), asc=False)
+        rules[rule] = F.when(F.element_at(ranked, 1)["s"] <= 0, none).otherwise(F.element_at(ranked, 1)["g"])
+    return rules
+
+
 def row_counts(columns: list[str]) -> dict[str, Column]:
     """Negatives, minimum and maximum over a family of columns."""
     a = F.array(*columns)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import cosine, logsumexp, softmax_max
 
+#: Classes whose state is broadcast at most.
+CLASSES = 2_000
+
 
 def msp(logits: Column) -> Column:
     """1 - the largest softmax; a single logit z becomes [-z, z]."""
@@ -31,7 +33,7 @@ def distance_state(train: DataFrame, label: str, vector: str, floor: float = 1e-
     """One row for each class: its mean, the global mean and the pooled within-class variance (ddof 1)."""
     long = train.select(label, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
     means = long.groupBy(label, "dim").agg(F.avg("x").alias("m"), F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    joined = long.join(F.broadcast(means.select(label, "dim", "m")), [label, "dim"])
+    joined = long.join(means.select(label, "dim", "m"), [label, "dim"])
     pooled = joined.groupBy("dim").agg((F.sum((F.col("x") - F.col("m")) ** 2) / (F.count(F.lit(1)) - 1)).alias("v"))
     whole = means.groupBy("dim").agg((F.sum("s") / F.sum("n")).alias("g"))
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("dim", F.col(c).alias("x")))), lambda t: t["x"])
@@ -47,18 +49,20 @@ def mahalanobis(x: Column, mean: Column, variance: Column) -> Column:
 def distance_scores(df: DataFrame, key: str, vector: str, state: DataFrame, label: str) -> DataFrame:
     """Diagonal Mahalanobis, its relative form, and prototype cosine; the state is one row for each class."""
     x = F.transform(vector, lambda v: v.cast("double"))
-    both = df.select(key, x.alias("__x")).crossJoin(F.broadcast(state))
+    # classes against rows: the state is small in any sane problem, and beyond that Spark has to shuffle it
+    both = df.select(key, x.alias("__x")).crossJoin(F.broadcast(state) if state.count() <= CLASSES else state)
     d = mahalanobis(F.col("__x"), F.col("mean"), F.col("variance"))
     g = mahalanobis(F.col("__x"), F.col("global_mean"), F.col("variance"))
     return both.groupBy(key).agg(F.min(d).alias("mahalanobis"), F.min(d - g).alias("relative_mahalanobis"), (1 - F.max(cosine(F.col("__x"), F.col("mean")))).alias("prototype_cosine"))
 
 
 def nearest_cosine(queries: DataFrame, train: DataFrame, key: str, vector: str, k: int = 10, block: int = 2_048) -> DataFrame:
-    """1 - mean of the k largest cosines, exactly; both sides are dealt out in blocks that meet once, and a block keeps its k best."""
+    """1 - mean of the k largest cosines, exactly; both sides are dealt out in blocks, each pair of blocks is a group of its own and keeps its k best."""
     n_train = max(1, -(-train.count() // block))
     n_query = max(1, -(-queries.count() // block))
-    q = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_query))).withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(n_train - 1))))
-    t = train.select(F.col(vector).alias("v")).withColumn("tb", F.pmod(F.xxhash64("v"), F.lit(n_train)).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_query)).cast("int")).withColumn("tb", every(n_train))
+    t = train.select(F.col(key).alias("t"), F.col(vector).alias("u")).withColumn("ub", F.pmod(F.xxhash64("t", F.lit(1)), F.lit(n_train)).cast("int")).withColumn("pb", every(n_query))
 
     def unit(v: pd.Series) -> np.ndarray:
         m = np.stack(v.to_numpy()).astype(float)
@@ -67,14 +71,10 @@ def nearest_cosine(queries: DataFrame, train: DataFrame, key: str, vector: str,
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"q": [], "c": []})
-        y, out = unit(b["v"]), []
-        for start in range(0, len(a), 1_024):
-            part = a.iloc[start : start + 1_024]
-            c = unit(part["v"]) @ y.T
-            top = -np.sort(-c, axis=1)[:, :k]
-            out.append(pd.DataFrame({"q": np.repeat(part["q"].to_numpy(), top.shape[1]), "c": top.ravel()}))
-        return pd.concat(out)
-
-    local = q.groupBy("tb").cogroup(t.groupBy("tb")).applyInPandas(best, f"q {queries.schema[key].dataType.simpleString()}, c double")
+        c = unit(a["v"]) @ unit(b["u"]).T
+        top = -np.partition(-c, min(k, c.shape[1]) - 1, axis=1)[:, :k]
+        return pd.DataFrame({"q": np.repeat(a["q"].to_numpy(), top.shape[1]), "c": top.ravel()})
+
+    local = q.groupBy("qb", "tb").cogroup(t.groupBy("pb", "ub")).applyInPandas(best, f"q {queries.schema[key].dataType.simpleString()}, c double")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("c")))
     return local.withColumn("place", place).where(F.col("place") <= k).groupBy("q").agg((1 - F.avg("c")).alias("knn_cosine")).withColumnRenamed("q", key)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +33,7 @@ def nucleotide_quality(s: Column) -> dict[str, Column]:
 
 def codons(s: Column) -> Column:
     """Codons in frame."""
-    n = F.floor(F.length(s) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substr(s, 3 * i + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(s, F.lit("(?s).{3}"), F.lit(0)), F.array().cast("array<string>"))
 
 
 def translated(s: Column) -> Column:
@@ -78,21 +80,51 @@ def protein_composition(s: Column) -> dict[str, Column]:
     return {f"aa_{a}": F.coalesce(F.try_divide(letters(s, a), n), F.lit(0.0)) for a in PROTEIN_LETTERS}
 
 
-def kmer_spectrum(df: DataFrame, key: str, s: str, sizes: range) -> DataFrame:
-    """key, k, kmer, share among the record's valid k-mers of that size."""
-    from pyspark.sql import Window
+def kmer_counts(df: DataFrame, key: str, s: str, sizes: range) -> DataFrame:
+    """key, k, kmers, counts: of each record and size the k-mers of valid bases that occur, in order, and how often.
+
+    A k-mer is a number in base four, made from that of the size before it, so a record takes time in
+    proportion to its length.  Null and short records give empty rows.
+    """
+    value = np.full(256, -1, dtype=np.int64)
+    value[np.frombuffer(b"ACGT", dtype=np.uint8)] = np.arange(4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = {k: pa.array(["".join(x) for x in product("ACGT", repeat=k)]) for k in sizes}
+        for batch in batches:
+            keys, found, counts = [], [], []
+            for i, text in enumerate(batch[1].to_pylist()):
+                base = value[np.frombuffer((text or "").encode("ascii", "replace"), dtype=np.uint8)]
+                code = base
+                for k in range(1, sizes[-1] + 1):
+                    if k > 1:
+                        head, tail = code[: max(0, len(base) - k + 1)], base[k - 1 :]
+                        code = np.where((head < 0) | (tail < 0), -1, head * 4 + tail)
+                    if k in sizes:
+                        n = np.bincount(code[code >= 0], minlength=4**k)
+                        at = np.flatnonzero(n)
+                        keys.append((i, k))
+                        found.append(names[k].take(pa.array(at)))
+                        counts.append(n[at])
+            ends = pa.array(np.r_[0, np.cumsum([len(c) for c in counts])].astype(np.int32))
+            at, k = (np.array(x, dtype=np.int64) for x in zip(*keys, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [batch[0].take(pa.array(at)), pa.array(k.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.concat_arrays(found)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(counts)))], [key, "k", "kmers", "counts"]
+            )
+
+    return df.select(key, s).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, k int, kmers array<string>, counts array<long>")
 
-    text = F.col(s)
-    one = lambda k: F.when(F.length(text) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1))), lambda i: F.struct(F.lit(k).alias("k"), F.substr(text, i, F.lit(k)).alias("kmer")))).otherwise(F.array().cast("array<struct<k:int,kmer:string>>"))
-    rows = df.select(key, F.explode(F.flatten(F.array(*map(one, sizes)))).alias("x")).select(key, "x.*").where(~F.regexp_like("kmer", F.lit("[^ACGT]")))
-    return rows.groupBy(key, "k", "kmer").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(key, "k")))
+
+def kmer_spectrum(df: DataFrame, key: str, s: str, sizes: range) -> DataFrame:
+    """key, k, kmer, n, share among the record's valid k-mers of that size."""
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = kmer_counts(df, key, s, sizes).select(key, "k", total.alias("total"), F.inline(F.arrays_zip(F.col("kmers").alias("kmer"), F.col("counts").alias("n"))))
+    return rows.select(key, "k", "kmer", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def windows(df: DataFrame, key: str, s: str, width: int) -> DataFrame:
     """Non-overlapping windows of a record: key, window (from 0), part."""
-    n = F.length(s)
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(width)), lambda i: F.substr(F.col(s), i + 1, F.lit(width)))
-    return df.where(n > 0).select(key, F.posexplode(cut).alias("window", "part"))
+    return df.select(key, F.posexplode(F.regexp_extract_all(F.col(s), F.lit(f"(?s).{{1,{width}}}"), F.lit(0))).alias("window", "part"))
 
 
 def eligible(length: Column, context: int, special: int = 2) -> Column:

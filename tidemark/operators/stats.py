@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.metrics import running_sums
+
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
     """(a d) / (b c) of counts; 0.5 is added to all cells only if one is 0."""
@@ -17,9 +22,8 @@ def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 def rank_sum(df: DataFrame, value: str, group: str, names: tuple[str, str]) -> DataFrame:
     """Mann-Whitney U of two groups with average ranks, normal p with tie correction, and Cliff's delta."""
-    by_value = df.where(F.col(value).isNotNull() & F.col(group).isin(*names)).groupBy(value).agg(F.count_if(F.col(group) == names[0]).alias("a"), F.count(F.lit(1)).alias("t"))
-    before = F.sum("t").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")
-    ranked = by_value.withColumn("rank", before + (F.col("t") + 1) / 2)
+    by_value = df.where(F.col(value).isNotNull() & F.col(group).isin(*names)).groupBy(value).agg(F.count_if(F.col(group) == names[0]).cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("t"))
+    ranked = running_sums(by_value, value, {"t": "upto"}).withColumn("rank", F.col("upto") - F.col("t") + (F.col("t") + 1) / 2)
     s = ranked.agg(F.sum("a").alias("n1"), F.sum(F.col("t") - F.col("a")).alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
@@ -79,27 +83,100 @@ def logistic(df: DataFrame, target: str, numeric: list[str], categorical: list[s
     return df.sparkSession.createDataFrame(rows, "term string, beta double, se double, odds_ratio double, low double, high double, p double")
 
 
+def nested_models(df: DataFrame, target: str, specs: dict[str, tuple[list[str], list[str]]], *, category: str, top: int = 20, sensitivity: Column | None = None) -> DataFrame:
+    """A ladder of logistic models on one set of complete cases: model, n and the rows of ``logistic``.
+
+    The cases are complete in all numeric and categorical columns of the ladder.  Two more models
+    follow the last one given: with the ``top`` most frequent values of ``category`` (the rest are
+    'other'), and that on the rows of the ``sensitivity`` condition.
+    """
+    numeric, categorical = specs[list(specs)[-1]]
+    needed = sorted({target, category, *(c for n, k in specs.values() for c in (*n, *k))})
+    rows = df.dropna(subset=needed)
+    frequent = [r[0] for r in rows.groupBy(category).count().orderBy(F.desc("count"), category).limit(top).collect()]
+    rows = rows.withColumn(category, F.when(F.col(category).isin(frequent), F.col(category)).otherwise("other")).persist()
+    try:
+        ladder = [(name, rows, n, k) for name, (n, k) in specs.items()]
+        ladder.append((f"M{len(specs)}", rows, numeric, [*categorical, category]))
+        if sensitivity is not None:
+            ladder.append((f"M{len(specs) + 1}", rows.where(sensitivity), numeric, [*categorical, category]))
+        out = [logistic(d, target, n, k).withColumns({"model": F.lit(name), "n": F.lit(d.count())}) for name, d, n, k in ladder]
+    finally:
+        rows.unpersist()
+    return reduce(DataFrame.unionByName, out)
+
+
 def bootstrap_mean(df: DataFrame, value: str, replicates: int = 500, seed: int = 0) -> DataFrame:
-    """Percentile interval of the mean.  A row's weight in a replicate is Poisson(1) by hash, so rows never move between replicates or tasks."""
-    u = F.pmod(F.xxhash64(F.col(value), F.col("__row"), F.col("r"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    cumulative = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cumulative), F.lit(0))
-    rows = df.where(F.col(value).isNotNull()).select(value).groupBy(value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__row", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
-    drawn = rows.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
-    means = drawn.groupBy("r").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
+    """Percentile interval of the mean of the finite values.
+
+    A row's weight in a replicate is Poisson(1), so n rows of one value weigh Poisson(n): each
+    distinct value draws one number for each replicate, seeded by its hash, and a task adds them up.
+    """
+    x = F.col(value).cast("double")
+    counts = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("v", F.lit(seed)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weight, total = np.zeros(replicates), np.zeros(replicates)
+        for b in batches:
+            for v, n, h in zip(b["v"], b["n"], b["h"], strict=True):
+                w = np.random.Generator(np.random.Philox(h & 0x7FFFFFFFFFFFFFFF)).poisson(n, replicates)
+                weight += w
+                total += w * v
+        yield pd.DataFrame({"r": np.arange(replicates), "w": weight, "s": total})
+
+    means = counts.mapInPandas(run, "r long, w double, s double").groupBy("r").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.count("m").alias("replicates"))
 
 
-def paired_bootstrap(df: DataFrame, group: str, left: str, right: str, label: str, replicates: int, seed: int = 0) -> DataFrame:
-    """Replicates of the AUROC of two scores on the same resampled groups: r, left, right, delta.  Replicates of one class are skipped."""
+def paired_bootstrap(df: DataFrame, group: str, left: str, right: str, label: str, replicates: int, seed: int = 0, least: int = 0) -> DataFrame:
+    """Replicates of the AUROC of two scores on the same resampled groups: r, left, right, delta.
+
+    A group's weight in a replicate is Poisson(1), seeded by its hash and the same for both scores.
+    Rows are counted by group and score first; a task adds weights up by score, so rows aren't
+    multiplied.  Replicates of one class are skipped; fewer than ``least`` valid ones raise.
+    """
     from tidemark.operators.metrics import ranking
 
-    u = F.pmod(F.xxhash64(F.col(group), F.col("r"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    cumulative = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
-    weights = df.select(group).distinct().withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", sum((F.when(u >= c, 1).otherwise(0) for c in cumulative), F.lit(0))).where("w > 0")
-    rows = df.join(weights, group)
-    side = lambda s, name: ranking(rows, ["r"], s, label, F.col("w").cast("double")).where("auroc IS NOT NULL").select("r", F.col("auroc").alias(name))
-    return side(left, "left").join(side(right, "right"), "r").withColumn("delta", F.col("left") - F.col("right"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            drawn = {h: np.random.Generator(np.random.Philox(h & 0x7FFFFFFFFFFFFFFF)).poisson(1, replicates) for h in b["h"].unique()}
+            for score, rows in b.groupby("score"):
+                p, n = np.zeros(replicates), np.zeros(replicates)
+                for h, pos, neg in zip(rows["h"], rows["pos"], rows["neg"], strict=True):
+                    p += drawn[h] * pos
+                    n += drawn[h] * neg
+                yield pd.DataFrame({"r": np.tile(np.arange(replicates), 2), "score": score, "y": np.repeat([1, 0], replicates), "w": np.concatenate([p, n])}).query("w > 0")
+
+    def side(score: str, name: str) -> DataFrame:
+        counts = df.where(F.col(score).isNotNull()).groupBy(F.xxhash64(group, F.lit(seed)).alias("h"), F.col(score).cast("double").alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+        weighed = counts.repartition("score").mapInPandas(run, "r long, score double, y int, w double").groupBy("r", "score", "y").agg(F.sum("w").alias("w"))
+        return ranking(weighed, ["r"], "score", "y", F.col("w")).where("auroc IS NOT NULL").select("r", F.col("auroc").alias(name))
+
+    out = side(left, "left").join(side(right, "right"), "r").withColumn("delta", F.col("left") - F.col("right"))
+    if least and (valid := out.count()) < least:
+        raise ValueError(f"{valid} valid replicates, {least} are needed")
+    return out
+
+
+def run_summary(runs: DataFrame, run: str, keys: list[str], value: str, replicates: int = 1_000) -> DataFrame:
+    """By key over at least two runs: runs, mean, deviation, least, most, and the bootstrap interval of the mean.
+
+    All runs must have the same keys, once each.  A replicate draws as many runs as there are, by
+    hash, the same ones for every key.
+    """
+    names = runs.select(run).distinct()
+    k = names.count()
+    if k < 2:
+        raise ValueError("fewer than two runs")
+    if runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(run).alias("d")).where((F.col("n") != k) | (F.col("d") != k)).limit(1).count():
+        raise ValueError("runs differ in their keys")
+    by = Window.orderBy(run)
+    placed = runs.join(F.broadcast(names.withColumn("__place", F.row_number().over(by) - 1)), run)
+    values = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__place", F.col(value).alias("v")))).alias("__v"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most"))
+    draws = lambda r: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.get("__v", F.pmod(F.xxhash64(r, j), F.lit(k)).cast("int"))["v"])
+    means = values.withColumn("__m", F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: F.aggregate(draws(r), F.lit(0.0), lambda a, x: a + x) / k))
+    at = lambda q: F.get(F.array_sort("__m"), F.lit(int(q * (replicates - 1))))
+    return means.select(*keys, F.lit(k).alias("runs"), "mean", "sd", "least", "most", at(0.025).alias("low"), at(0.975).alias("high"))
 
 
 def delta_summary(replicates: DataFrame, by: list[str], delta: str = "delta") -> DataFrame:

@@ -50,9 +50,21 @@ def a03(t: Tables) -> DataFrame:
     return s.withColumns({"unit_ratio": r("unit_ratio"), "unknown_share": r("unknown_share")}).select("cluster", "n_rows", "n_units", "n_known", "n_unknown", "category", "unit_ratio", "unknown_share")
 
 
-@query("q02_cluster_mapping", _STATS.replace("rows_.cluster, n_rows,", "rows_.cluster,"))
+_MAPPING = _STATS.replace("    SELECT rows_.cluster", """,
+    k AS (SELECT cluster, count(*) AS n_pairs, count(*) FILTER (n > 1) AS n_shared_units FROM p JOIN (SELECT l_partkey, count(DISTINCT nullif(cluster, '')) AS n FROM p GROUP BY 1) USING (l_partkey) GROUP BY 1),
+    y AS (SELECT canonical AS cluster, count(*) FILTER (reason = 'representative_row') AS by_representative, count(*) FILTER (reason = 'representative_tiebreak') AS by_tiebreak, count(*) FILTER (reason = 'largest_support') AS by_support, count(*) FILTER (reason = 'lexical_tiebreak') AS by_name FROM canon GROUP BY 1)
+    SELECT rows_.cluster""").replace("unknown_share FROM rows_ LEFT JOIN s USING (cluster)", "unknown_share, n_pairs, n_shared_units, coalesce(by_representative, 0) AS by_representative, coalesce(by_tiebreak, 0) AS by_tiebreak, coalesce(by_support, 0) AS by_support, coalesce(by_name, 0) AS by_name FROM rows_ LEFT JOIN s USING (cluster) LEFT JOIN k USING (cluster) LEFT JOIN y USING (cluster)")
+
+
+@query("q02_cluster_mapping", _MAPPING)
 def q02(t: Tables) -> DataFrame:
-    return a03(t).drop("n_rows")
+    """Pairs, their cardinality, the canonical assignment with its reasons, and the statistics, by cluster."""
+    pairs = link_pairs(t)
+    several = pairs.groupBy("l_partkey").agg(F.count_distinct(F.nullif("cluster", F.lit(""))).alias("k"))
+    shared = pairs.join(several, "l_partkey").groupBy("cluster").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("k") > 1).alias("n_shared_units"))
+    reasons = {"representative_row": "by_representative", "representative_tiebreak": "by_tiebreak", "largest_support": "by_support", "lexical_tiebreak": "by_name"}
+    chosen = M.canonical(pairs, "l_partkey", "cluster").groupBy(F.col("canonical").alias("cluster")).agg(*(F.count_if(F.col("reason") == k).alias(v) for k, v in reasons.items()))
+    return a03(t).join(shared, "cluster", "left").join(chosen, "cluster", "left").fillna(0, [*reasons.values()])
 
 
 @query("a04_stable_mode", "SELECT p_brand, coalesce(mode(nullif(trim(CASE WHEN p_size < 5 THEN ' ' ELSE p_type END), '') ORDER BY p_type), '') AS modal FROM part GROUP BY p_brand")
@@ -72,10 +84,23 @@ def a05(t: Tables) -> DataFrame:
     return M.modal_columns(p, "p_brand", ["p_type", "size"]).withColumns({"coverage": r("coverage"), "purity": r("purity")})
 
 
-@query("a06_group_taxonomy", "SELECT n_regionkey AS g, mode(n_name ORDER BY n_name) AS modal, round(avg(CAST(s_acctbal > 0 AS INT)), 9) AS share_positive, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
+_RANKS = ("r1", "r2", "r3", "r4", "r5")
+_TAXONOMY = """WITH b AS (SELECT p_brand AS g, CASE WHEN p_size < 5 THEN ' ' ELSE p_type END AS r1, CAST(p_size % 7 AS VARCHAR) AS r2, substr(p_name, 1, 7) AS r3, CASE WHEN p_size % 3 = 0 THEN 'third' END AS r4, '' AS r5, p_size > 25 AS big, p_retailprice > 1200 AS dear FROM part),
+    v AS (SELECT g, unnest(['r1', 'r2', 'r3', 'r4', 'r5']) AS c, nullif(trim(unnest([r1, r2, r3, r4, r5])), '') AS value FROM b), c AS (SELECT g, c, value, count(*) AS n FROM v GROUP BY ALL),
+    k AS (SELECT *, sum(n) OVER w AS t, sum(CASE WHEN value IS NOT NULL THEN n ELSE 0 END) OVER w AS f, row_number() OVER (PARTITION BY g, c ORDER BY value IS NULL, n DESC, value) AS place FROM c WINDOW w AS (PARTITION BY g, c)),
+    m AS (SELECT g, c, value, round(f / t, 9) AS cov, CASE WHEN value IS NOT NULL THEN round(n / f, 9) END AS pur FROM k WHERE place = 1),
+    x AS (SELECT g, """ + ", ".join(f"max(value) FILTER (c = '{k}') AS {k}_modal, max(cov) FILTER (c = '{k}') AS {k}_coverage, max(pur) FILTER (c = '{k}') AS {k}_purity" for k in _RANKS) + """ FROM m GROUP BY g)
+    SELECT x.*, n, big_share, dear_share FROM x JOIN (SELECT g, count(*) AS n, round(avg(CAST(big AS INT)), 9) AS big_share, round(avg(CAST(dear AS INT)), 9) AS dear_share FROM b GROUP BY g) USING (g)"""
+
+
+@query("a06_group_taxonomy", _TAXONOMY)
 def a06(t: Tables) -> DataFrame:
-    j = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
-    return j.groupBy(F.col("n_regionkey").alias("g")).agg(M.stable_mode(F.col("n_name")).alias("modal"), r(F.avg((F.col("s_acctbal") > 0).cast("int"))).alias("share_positive"), F.count(F.lit(1)).alias("n"))
+    """Five ranks: mode, coverage and purity of each, and the means of two flags."""
+    size = F.col("p_size")
+    ranks = [F.when(size < 5, " ").otherwise(F.col("p_type")), (size % 7).cast("string"), F.substring("p_name", 1, 7), F.when(size % 3 == 0, "third"), F.lit("")]
+    p = t.part.select(F.col("p_brand").alias("g"), *(c.alias(k) for k, c in zip(_RANKS, ranks, strict=True)), "p_size", "p_retailprice")
+    out = M.group_taxonomy(p, "g", list(_RANKS), {"big_share": F.col("p_size") > 25, "dear_share": F.col("p_retailprice") > 1200})
+    return out.withColumns({c: r(c) for c in out.columns if c.endswith(("_coverage", "_purity", "_share"))})
 
 
 @query("a07_crosswalk", f"WITH a AS ({ANNOTATED}) SELECT a1 <> '-' AS stored, l_linenumber < 4 AS recomputed, category, count(*) AS n FROM a GROUP BY ALL")
@@ -350,10 +375,20 @@ def v07(t: Tables) -> DataFrame:
     return f.join(m, "variable", "full").select("variable", F.col("found").isNull().alias("unexpected"), F.col("k").isNull().alias("missing"), (F.coalesce("k", F.lit(0)) > 1).alias("duplicated"))
 
 
-@query("v10_label_audit", "SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS n_both, count(*) FILTER (quality NOT IN (0, 1) OR toxic NOT IN (0, 1)) AS n_invalid, count(*) - count(DISTINCT doc_id) AS n_repeated FROM labels")
+_FLAGS = f"""WITH a AS ({ANNOTATED}), b AS (SELECT *, trim(a1) NOT IN ('', '-', 'NA', 'nan') OR trim(a2) NOT IN ('', '-', 'NA', 'nan') OR trim(coalesce(a3, '')) NOT IN ('', '-', 'NA', 'nan') AS annotated, CASE WHEN category = 'SINGL' THEN single ELSE category END AS e FROM a),
+    f AS (SELECT *, coalesce(e IN ('K', 'KWP'), false) AS kn, coalesce(e IN ('GU', 'EU'), false) AS un FROM b),
+    g AS (SELECT *, annotated AND kn AS strict_known, NOT annotated AND un AS strict_unknown, NOT annotated AS broad_unknown, a1 <> '-' AND category IN ('K', 'KWP') AS stored_known, a1 = '-' AND a2 = ' NA ' AS stored_unknown FROM f)"""
+
+
+@query("v10_label_audit", f"""{_FLAGS} SELECT count(*) AS n, count(*) FILTER (strict_known IS DISTINCT FROM stored_known) AS known_differs, count(*) FILTER (strict_unknown IS DISTINCT FROM stored_unknown) AS unknown_differs, count(*) FILTER (strict_known AND strict_unknown) AS in_both,
+    count(*) FILTER (strict_known AND NOT annotated) AS known_without_annotation, count(*) FILTER (strict_unknown AND NOT broad_unknown) AS unknown_outside_broad, count(*) FILTER (stored_known AND stored_unknown) AS stored_in_both, count(*) FILTER (stored_unknown AND NOT broad_unknown) AS stored_outside_broad FROM g""")
 def v10(t: Tables) -> DataFrame:
-    q, x = F.col("quality"), F.col("toxic")
-    return t.labels.agg(F.count_if((q == 1) & (x == 1)).alias("n_both"), F.count_if(~q.isin(0, 1) | ~x.isin(0, 1)).alias("n_invalid"), (F.count(F.lit(1)) - F.countDistinct("doc_id")).alias("n_repeated"))
+    """Recomputed against stored flags, exclusivity and subset rules."""
+    from tidemark.functions.labels import function_flags
+
+    stored = {"stored_known": (F.col("a1") != "-") & F.col("category").isin("K", "KWP"), "stored_unknown": (F.col("a1") == "-") & (F.col("a2") == " NA ")}
+    rows = annotated(t).withColumns(stored).withColumns(function_flags(["a1", "a2", "a3"], "category", "single"))
+    return C.label_audit(rows, "annotated", ("strict_known", "stored_known"), ("strict_unknown", "stored_unknown"), "broad_unknown")
 
 
 @query("v11_value_bounds", "SELECT count(*) FILTER (l_discount < 0 OR l_discount > 1) AS out_of_bounds, count(*) FILTER (NOT isfinite(l_extendedprice)) AS not_finite, (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) AS joined FROM lineitem")
@@ -413,9 +448,26 @@ def q05(t: Tables) -> DataFrame:
     return j.groupBy("s_nationkey").agg(F.count("specificity").alias("n"), r(F.avg("specificity"), 8).alias("mean"), r(F.percentile("specificity", F.lit(0.5)), 8).alias("median"))
 
 
-@query("q10_taxonomy_covariates", _MODAL.replace("round(f / t, 9) AS coverage, ", ""))
+_COVARIATES = """WITH k AS (SELECT c_custkey, c_mktsegment AS g, TRY_CAST(nullif(regexp_extract(c_name, '#0*([1-9][0-9]*)$', 1), '') AS BIGINT) AS contig, CASE c_custkey % 3 WHEN 0 THEN 'AFRICA' WHEN 1 THEN 'Asia ' END AS domain FROM customer),
+    l AS (SELECT c_custkey AS contig, CASE WHEN c_custkey % 7 = 0 THEN 'unclassified' ELSE concat_ws('; ', 'root', r_name, n_name) END AS lineage FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 5 <> 0),
+    j AS (SELECT g, domain, CASE WHEN lower(trim(coalesce(lineage, ''))) IN ('', 'root', 'unclassified') THEN '' ELSE trim(string_split(lineage, ';')[2]) END AS rank0, CASE WHEN lower(trim(coalesce(lineage, ''))) IN ('', 'root', 'unclassified') THEN '' ELSE trim(string_split(lineage, ';')[3]) END AS rank1 FROM k LEFT JOIN l USING (contig)),
+    b AS (SELECT *, coalesce(domain, '') <> '' AND rank0 <> '' AND lower(trim(domain)) <> lower(trim(rank0)) AS conflicts FROM j),
+    v AS (SELECT g, unnest(['rank0', 'rank1']) AS rank, nullif(unnest([rank0, rank1]), '') AS value FROM b), c AS (SELECT g, rank, value, count(*) AS n FROM v GROUP BY ALL),
+    m AS (SELECT *, sum(n) OVER w AS t, sum(CASE WHEN value IS NOT NULL THEN n ELSE 0 END) OVER w AS f, row_number() OVER (PARTITION BY g, rank ORDER BY value IS NULL, n DESC, value) AS place FROM c WINDOW w AS (PARTITION BY g, rank))
+    SELECT g, rank, value AS modal, round(f / t, 9) AS coverage, CASE WHEN value IS NOT NULL THEN round(n / f, 9) END AS purity, CAST(t AS BIGINT) AS n_rows, CAST(f AS BIGINT) AS n_annotated, conflict_share FROM m JOIN (SELECT g, round(avg(CAST(conflicts AS INT)), 9) AS conflict_share FROM b GROUP BY g) USING (g) WHERE place = 1"""
+
+
+@query("q10_taxonomy_covariates", _COVARIATES)
 def q10(t: Tables) -> DataFrame:
-    return a05(t).drop("coverage")
+    """Contig key, lineage join, ranks, conflict with the stored domain, group taxonomy, and coverage of each rank."""
+    from tidemark.plans.pipelines import taxonomy_covariates
+
+    n = F.col("c_custkey") % 3
+    records = t.customer.select(F.col("c_mktsegment").alias("g"), "c_name", F.when(n == 0, "AFRICA").when(n == 1, "Asia ").alias("domain"))
+    places = t.customer.where("c_custkey % 5 <> 0").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    lineage = F.when(F.col("c_custkey") % 7 == 0, "unclassified").otherwise(F.concat_ws("; ", F.lit("root"), "r_name", "n_name"))
+    out = taxonomy_covariates(records, places.select(F.col("c_custkey").cast("string").alias("contig"), lineage.alias("lineage")), "g", "c_name", r"#0*([1-9][0-9]*)$", "domain", 2)
+    return out.withColumns({c: r(c) for c in ("coverage", "purity", "conflict_share")})
 
 
 @query("q11_report_numbers", "WITH m AS (SELECT event_type, count(*) AS n, round(avg(value), 8) AS mean, max(value) AS top FROM events GROUP BY 1) SELECT event_type, n, mean, top, row_number() OVER (ORDER BY mean DESC, event_type) = 1 AS is_best FROM m")
@@ -425,11 +477,25 @@ def q11(t: Tables) -> DataFrame:
     return m.join(F.broadcast(best), "event_type", "left").select("event_type", "n", "mean", "top", F.coalesce("b", F.lit(False)).alias("is_best"))
 
 
-@query("l12_phenotype", f"{_FAMILY} SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN s1 >= s2 AND s1 >= s3 THEN 's1' WHEN s2 >= s3 THEN 's2' ELSE 's3' END AS top, CAST(s1 < 0 AS BIGINT) + CAST(s2 < 0 AS BIGINT) + CAST(s3 < 0 AS BIGINT) AS n_negative, l_extendedprice > 50000 AS strong FROM f")
+_PHENOTYPE = """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_linestatus AS fraction, l_discount * 8 AS r2, l_tax - 0.04 AS s1, l_discount - 0.05 AS s2, (l_quantity - 25) / 500 AS s3 FROM lineitem),
+    g AS (SELECT *, greatest(s1, 0) + greatest(s2, 0) AS a, greatest(s3, 0) AS b FROM f)
+    SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN s1 >= s2 AND s1 >= s3 THEN 's1' WHEN s2 >= s3 THEN 's2' ELSE 's3' END AS top, CAST(s1 < 0 AS BIGINT) + CAST(s2 < 0 AS BIGINT) + CAST(s3 < 0 AS BIGINT) AS n_negative, round(a, 9) AS score_a, round(b, 9) AS score_b,
+    CASE WHEN greatest(a, b) <= 0 THEN 'unassigned' WHEN a >= b THEN 'a' ELSE 'b' END AS dominant, r2 > CASE WHEN fraction = 'F' THEN 0.10 ELSE 0.15 END AS predictable, r2 > 0.50 AS strong FROM g"""
+
+
+@query("l12_phenotype", _PHENOTYPE)
 def l12(t: Tables) -> DataFrame:
     from tidemark.plans.pipelines import phenotype
 
-    return phenotype(_family(t), ["s1", "s2", "s3"], F.col("l_extendedprice") > 50000).select("l_orderkey", "l_linenumber", "l_partkey", "top", "n_negative", "strong")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_linestatus").alias("fraction"), (F.col("l_discount") * 8).alias("r2"), (F.col("l_tax") - 0.04).alias("s1"), (F.col("l_discount") - 0.05).alias("s2"), ((F.col("l_quantity") - 25) / 500).alias("s3"))
+    out = phenotype(rows, {"a": ["s1", "s2"], "b": ["s3"]}, F.col("r2"), F.col("fraction"), {"F": 0.10, "O": 0.15})
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "top", "n_negative", r("score_a").alias("score_a"), r("score_b").alias("score_b"), "dominant", "predictable", "strong")
+
+
+@query("l11_driver_labels", f"""{_FAMILY}, g AS (SELECT *, greatest(s1, s2, s3) AS best, CASE WHEN s1 >= s2 AND s1 >= s3 THEN 's1' WHEN s2 >= s3 THEN 's2' ELSE 's3' END AS top, greatest(s1, 0) + greatest(s2, 0) AS a, greatest(s3, 0) AS b FROM f)
+    SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN best <= 0 THEN 'unassigned' WHEN top = 's3' THEN 'b' ELSE 'a' END AS rule_a, CASE WHEN greatest(a / 2, b) <= 0 THEN 'unassigned' WHEN a / 2 >= b THEN 'a' ELSE 'b' END AS rule_b, CASE WHEN greatest(a, b) <= 0 THEN 'unassigned' WHEN a >= b THEN 'a' ELSE 'b' END AS rule_c FROM g""")
+def l11(t: Tables) -> DataFrame:
+    return _family(t).select("l_orderkey", "l_linenumber", "l_partkey", *(c.alias(k) for k, c in X.driver_labels({"a": ["s1", "s2"], "b": ["s3"]}).items()))
 
 
 @query("e09_state_of_deltas", "WITH d AS (SELECT l_linestatus, l_quantity - 25 AS d FROM lineitem) SELECT l_linestatus, round(avg(d), 8) AS mean, round(quantile_cont(d, 0.5), 8) AS median, round(quantile_cont(d, 0.025), 8) AS low, round(quantile_cont(d, 0.975), 8) AS high, round(avg(CAST(d > 0 AS INT)), 9) AS p_positive, count(d) AS valid, CASE WHEN quantile_cont(d, 0.025) > 0 THEN 'SUPPORTED' WHEN quantile_cont(d, 0.975) < 0 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS state FROM d GROUP BY 1")

@@ -69,13 +69,21 @@ def s08(t: Tables) -> DataFrame:
     return scans.fasta(t.spark, f"{path}/subset=all").select("id", F.length("seq").alias("n"))
 
 
-@query("s10_json_status", "SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS n FROM supplier GROUP BY 1")
+@query("s02_lenient_scan", "SELECT CAST(n_nationkey AS VARCHAR) AS k, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE n_name END AS a, CASE WHEN n_nationkey % 3 > 0 THEN CAST(n_regionkey AS VARCHAR) END AS b FROM nation")
+def s02(t: Tables) -> DataFrame:
+    path = scratch(t, "nation.txt")
+    name = F.when(F.col("n_nationkey") % 4 == 0, "").otherwise(F.col("n_name"))
+    t.nation.select(F.concat_ws("\t", F.col("n_nationkey").cast("string"), name, F.when(F.col("n_nationkey") % 3 > 0, F.col("n_regionkey").cast("string"))).alias("line")).write.text(path)
+    return scans.lenient(t.spark, path, ["k", "a", "b"])
+
+
+@query("s10_json_status", "SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS n FROM (SELECT * FROM supplier ORDER BY s_suppkey) GROUP BY 1")
 def s10(t: Tables) -> DataFrame:
+    """One document for each supplier."""
     path = scratch(t, "reports")
     one = t.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, "FAIL").otherwise("PASS").alias("status"))
-    sinks.jsonl(one.repartition(8, "s_suppkey"), path)
-    lines = t.spark.read.text(path).select(F.try_variant_get(F.try_parse_json("value"), "$.status", "string").alias("status"))
-    return lines.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    one.repartition(8, "s_suppkey").sortWithinPartitions("s_suppkey").write.option("maxRecordsPerFile", 1).json(path)
+    return scans.json_status(t.spark, path)
 
 
 @query("s12_tabular_profile", "SELECT count(*) AS rows, 0::BIGINT AS odd_rows FROM customer")
@@ -136,7 +144,7 @@ def q06(t: Tables) -> DataFrame:
     R, Fs = F.col("l_returnflag") == "R", F.col("l_linestatus") == "F"
     cells = t.lineitem.agg(F.count_if(R & Fs).alias("a"), F.count_if(R & ~Fs).alias("b"), F.count_if(~R & Fs).alias("c"), F.count_if(~R & ~Fs).alias("d"))
     odds = cells.select(E.odds_ratio(*(F.col(k) for k in "abcd")).alias("odds_ratio"))
-    return E.rank_sum(t.lineitem, "l_quantity", "l_returnflag", ("A", "R")).crossJoin(F.broadcast(odds)).crossJoin(F.broadcast(E.bootstrap_mean(t.lineitem.where(R), "l_quantity", 50)))
+    return E.rank_sum(t.lineitem, "l_quantity", "l_returnflag", ("A", "R")).crossJoin(F.broadcast(odds)).crossJoin(F.broadcast(E.bootstrap_mean(t.lineitem.where(R), "l_quantity", 500)))
 
 
 @query("q09_composition_regression")
@@ -150,13 +158,58 @@ def q09(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "term string, beta double, se double, low double, high double")
 
 
+@query("k07_shard_ledger", "SELECT CAST(CAST('0x' || substr(sha256(CAST(vec_id AS VARCHAR)), 1, 16) AS UBIGINT) % 4 AS INTEGER) AS shard, count(*) AS rows, max(CAST(len(embedding) AS INTEGER)) AS width, 'DONE' AS status FROM embeddings GROUP BY 1")
+def k07b(t: Tables) -> DataFrame:
+    from tidemark.functions.hashing import bucket
+
+    path = scratch(t, "vectors")
+    sinks.vector_shards(t.embeddings.select(F.col("vec_id").alias("id"), "embedding", bucket(F.col("vec_id"), 4).alias("shard")), path)
+    return t.spark.read.parquet(f"{path}_ledger").select("shard", "rows", "width", "status")
+
+
+@query("v04_manifest", "SELECT CASE WHEN s_suppkey % 5 = 1 THEN 'FAIL' ELSE 'PASS' END AS status, s_suppkey % 5 <> 4 AS checked, count(*) AS n FROM supplier GROUP BY 1, 2")
+def v04(t: Tables) -> DataFrame:
+    """A file for each supplier; a manifest with digests, a fifth of them wrong and a fifth blank."""
+    from tidemark.operators.packages import verify_manifest
+
+    path = scratch(t, "artifacts")
+    body = F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string"))
+    t.supplier.select(F.col("s_suppkey").alias("k"), body.alias("value")).write.partitionBy("k").text(path)
+    files = scans.file_digests(t.spark, path).select("path", F.regexp_extract("path", r"k=(\d+)/", 1).cast("long").alias("k"))
+    line = F.concat(body, F.lit("\n"))
+    wrong = F.col("s_suppkey") % 5
+    digest = F.when(wrong == 1, F.sha2(body, 256)).when(wrong != 4, F.sha2(line, 256))
+    manifest = t.supplier.join(files, F.col("k") == F.col("s_suppkey")).select(F.col("s_suppkey").cast("string").alias("artifact_id"), F.lit("input").alias("role"), F.regexp_extract("path", r"(k=\d+/.*)$", 1).alias("uri"), F.lit(None).cast("string").alias("md5"), digest.alias("sha256"), F.length(line).cast("long").alias("size_bytes"))
+    return verify_manifest(t.spark, manifest, path).groupBy("status", F.col("sha256_ok").isNotNull().alias("checked")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_KMERS = """WITH q AS (SELECT doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTNN') AS s FROM documents),
+    k AS (SELECT DISTINCT doc_id, unnest([substr(s, i, 12) FOR i IN range(1, length(s) - 10)]) AS kmer FROM q), n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY 1),
+    rare AS (SELECT kmer FROM k WHERE doc_id % 10 > 1 GROUP BY 1 HAVING count(*) <= 20),
+    c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM k a JOIN rare USING (kmer) JOIN k b USING (kmer) WHERE a.doc_id % 10 <= 1 AND b.doc_id % 10 > 1),
+    j AS (SELECT a, b, count(*) AS common FROM c JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b AND y.kmer = x.kmer GROUP BY 1, 2),
+    h AS (SELECT a, b, common / (na.n + nb.n - common) AS jaccard, row_number() OVER (PARTITION BY a ORDER BY common / (na.n + nb.n - common) DESC, b) AS p FROM j JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b)"""
+
+
+@query("b13_nearest_record", f"{_KMERS} SELECT d.doc_id, b AS nearest, round(jaccard, 9) AS jaccard FROM documents d LEFT JOIN h ON a = d.doc_id AND p = 1 WHERE d.doc_id % 10 <= 1")
+def b13(t: Tables) -> DataFrame:
+    """Records of the test part against those of the train part."""
+    from tidemark.operators.similarity import nearest
+
+    s = sequences(t)
+    return nearest(s.where("doc_id % 10 <= 1"), s.where("doc_id % 10 > 1"), "doc_id", "seq").withColumn("jaccard", r("jaccard"))
+
+
 @query("b12_similarity_clusters")
 def b12(t: Tables) -> DataFrame:
-    """Sequences that share content, as components of star edges by content hash."""
-    from tidemark.operators.graph import connected_components, star_edges
+    """Clusters of whole sequences by shared k-mers, with the stable id of each and its size."""
+    from pyspark.sql import Window
+
+    from tidemark.functions.hashing import group_id
+    from tidemark.operators.similarity import clusters
 
-    s = sequences(t).select("doc_id", F.sha2(F.substring("seq", 1, 200), 256).alias("h"))
-    return connected_components(star_edges(s, "h", "doc_id"))
+    c = clusters(sequences(t), "doc_id", "seq")
+    return c.select(group_id(F.col("representative").cast("string")).alias("cluster"), "representative", "member", F.count(F.lit(1)).over(Window.partitionBy("representative")).alias("size"))
 
 
 @query("p_registry_stream_plan", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 1 AND l_returnflag <> 'N'")

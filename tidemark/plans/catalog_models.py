@@ -134,11 +134,7 @@ def h14(t: Tables) -> DataFrame:
 @query("q07_candidate_pool", f"WITH lo AS (SELECT l_linestatus, least(quantile_cont(l_discount * 10, 0.25), 0.5) AS low FROM lineitem GROUP BY 1), s AS (SELECT l.l_linestatus || '::' || CASE WHEN l_discount * 10 > 0.5 THEN 'high' WHEN l_discount * 10 <= low THEN 'low' END || '::' || l_returnflag AS stratum, l_partkey FROM lineitem l JOIN lo USING (l_linestatus)), d AS (SELECT DISTINCT stratum, l_partkey FROM s WHERE stratum IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {_h('l_partkey', 1)}, l_partkey) AS place FROM d) SELECT stratum, l_partkey, CAST(place AS INTEGER) AS place FROM k WHERE place <= 30")
 def q07(t: Tables) -> DataFrame:
     rows = t.lineitem.select("l_linestatus", (F.col("l_discount") * 10).alias("score"), "l_returnflag", "l_partkey")
-    low = rows.groupBy("l_linestatus").agg(F.least(F.percentile("score", F.lit(0.25)), F.lit(0.5)).alias("low"))
-    from tidemark.functions.labels import stratum, threshold_label
-
-    s = rows.join(F.broadcast(low), "l_linestatus").select(stratum(F.col("l_linestatus"), threshold_label(F.col("score"), 0.5, F.col("low")), F.col("l_returnflag")).alias("stratum"), "l_partkey").where("stratum IS NOT NULL").distinct()
-    return S.capped(s, ["stratum"], "l_partkey", 30, 1).select("stratum", "l_partkey", "place")
+    return P.candidate_pool(rows, "l_partkey", "l_linestatus", "score", "l_returnflag", 30, 1).select("stratum", "l_partkey", "place")
 
 
 @query("q08_frozen_benchmark", f"{_MATCH} SELECT p_partkey, p_type, label, CASE WHEN {_U32.format(h=_h('(p_partkey // 4)', 5))} < 0.70 THEN 'train' WHEN {_U32.format(h=_h('(p_partkey // 4)', 5))} < 0.85 THEN 'validation' ELSE 'test' END AS split FROM k")
@@ -232,20 +228,41 @@ def b05(t: Tables) -> DataFrame:
     return u.withColumn("share", r(F.col("n") / F.sum("n").over(Window.partitionBy("g"))))
 
 
-@query("b06_gc_by_position", f"{_SEQ}, k AS (SELECT doc_id, [substr(s, i, 1) FOR i IN range(1, length(s) + 1) IF i % 3 = 1] AS a FROM q) SELECT doc_id, round(coalesce(len([x FOR x IN a IF x IN ('G', 'C')]) / nullif(len([x FOR x IN a IF x <> 'N']), 0), 0), 9) AS gc1 FROM k")
+_GC = ", ".join(f"round(coalesce(len([x FOR x, i IN a IF (i - 1) % 3 = {p} AND x IN ('G', 'C')]) / nullif(len([x FOR x, i IN a IF (i - 1) % 3 = {p} AND x <> 'N']), 0), 0), 9) AS gc{p + 1}" for p in range(3))
+
+
+@query("b06_gc_by_position", f"{_SEQ}, k AS (SELECT doc_id, string_split(s, '') AS a FROM q) SELECT doc_id, {_GC} FROM k")
 def b06(t: Tables) -> DataFrame:
-    return sequences(t).select("doc_id", r(B.gc_by_position(F.col("seq"))["gc1"]).alias("gc1"))
+    return sequences(t).select("doc_id", *(r(c).alias(k) for k, c in B.gc_by_position(F.col("seq")).items()))
+
+
+_AA = ", ".join(f"round(coalesce((length(p) - length(replace(p, '{a}', ''))) / nullif(length(p), 0), 0), 9) AS aa_{a.lower()}" for a in B.PROTEIN_LETTERS)
 
 
-@query("b07_composition", f"{_codon_sql()} SELECT doc_id, round(coalesce((length(p) - length(replace(p, 'A', ''))) / nullif(length(p), 0), 0), 9) AS aa_a, round(coalesce((length(p) - length(replace(p, 'W', ''))) / nullif(length(p), 0), 0), 9) AS aa_w FROM d")
+@query("b07_composition", f"{_codon_sql()} SELECT doc_id, {_AA} FROM d")
 def b07(t: Tables) -> DataFrame:
-    x = B.protein_composition(F.col("p"))
-    return sequences(t).select("doc_id", B.translated(F.col("seq")).alias("p")).select("doc_id", r(x["aa_A"]).alias("aa_a"), r(x["aa_W"]).alias("aa_w"))
+    p = sequences(t).select("doc_id", B.translated(F.col("seq")).alias("p"))
+    return p.select("doc_id", *(r(c).alias(k.lower()) for k, c in B.protein_composition(F.col("p")).items()))
 
 
-@query("b08_kmer_spectrum", f"{_SEQ}, k AS (SELECT doc_id, k, unnest([substr(s, i, k) FOR i IN range(1, length(s) - k + 2)]) AS kmer FROM q, (SELECT unnest([1, 2, 3]) AS k)), c AS (SELECT doc_id, k, kmer, count(*) AS n FROM k WHERE NOT regexp_matches(kmer, '[^ACGT]') GROUP BY ALL) SELECT doc_id, k, kmer, n, round(n / sum(n) OVER (PARTITION BY doc_id, k), 9) AS share FROM c")
+@query("b08_kmer_spectrum", f"""{_SEQ}, k AS (SELECT doc_id, k, unnest([substr(s, i, k) FOR i IN range(1, length(s) - k + 2)]) AS kmer FROM q, (SELECT unnest(range(1, 7)) AS k)),
+    c AS (SELECT doc_id, k, kmer, count(*) AS n FROM k WHERE NOT regexp_matches(kmer, '[^ACGT]') GROUP BY ALL),
+    x AS (SELECT *, n / sum(n) OVER (PARTITION BY doc_id, k) AS share FROM c)
+    SELECT doc_id, CAST(k AS INTEGER) AS k, count(*) AS n_kmers, CAST(sum(n) AS BIGINT) AS n_valid, round(max(share), 9) AS largest_share, sha256(string_agg(kmer || ':' || CAST(n AS VARCHAR), ',' ORDER BY kmer)) AS spectrum_sha256 FROM x GROUP BY 1, 2""")
 def b08(t: Tables) -> DataFrame:
-    return B.kmer_spectrum(sequences(t), "doc_id", "seq", range(1, 4)).withColumn("share", r("share"))
+    """The whole spectrum of each record and k = 1..6 as a digest, its size, and its largest share."""
+    c = B.kmer_counts(sequences(t), "doc_id", "seq", range(1, 7)).where(F.size("kmers") > 0)
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    text = F.array_join(F.zip_with("kmers", "counts", lambda k, n: F.concat(k, F.lit(":"), n.cast("string"))), ",")
+    return c.select("doc_id", "k", F.size("kmers").cast("long").alias("n_kmers"), total.alias("n_valid"), r(F.array_max("counts") / total).alias("largest_share"), F.sha2(text, 256).alias("spectrum_sha256"))
+
+
+@query("b08_kmer_features", f"""{_SEQ}, k AS (SELECT doc_id, k, unnest([substr(s, i, k) FOR i IN range(1, length(s) - k + 2)]) AS kmer FROM q, (SELECT unnest(range(1, 7)) AS k)),
+    c AS (SELECT doc_id, k, kmer, count(*) AS n FROM k WHERE NOT regexp_matches(kmer, '[^ACGT]') GROUP BY ALL),
+    x AS (SELECT *, n / sum(n) OVER (PARTITION BY doc_id, k) AS share FROM c) SELECT CAST(k AS INTEGER) AS k, kmer, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_records, round(avg(share), 8) AS mean_share FROM x GROUP BY 1, 2""")
+def b08f(t: Tables) -> DataFrame:
+    s = B.kmer_spectrum(sequences(t), "doc_id", "seq", range(1, 7))
+    return s.groupBy("k", "kmer").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_records"), r(F.avg("share"), 8).alias("mean_share"))
 
 
 @query("b09_content_groups", "SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -314,10 +331,12 @@ def e01(t: Tables) -> DataFrame:
 
 @query("e02_nested_models")
 def e02(t: Tables) -> DataFrame:
-    rows = t.lineitem.select((F.col("l_returnflag") == "R").cast("double").alias("y"), "l_discount", "l_quantity", "l_tax", "l_linestatus").dropna()
-    specs = {"M0": (["l_discount"], []), "M1": (["l_discount", "l_quantity"], []), "M2": (["l_discount", "l_quantity", "l_tax"], ["l_linestatus"])}
-    out = [E.logistic(rows, "y", n, c).withColumn("model", F.lit(k)) for k, (n, c) in specs.items()]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    """M0-M4 on the same complete cases, M5 with the 20 most frequent brands, M6 on the rows of a sensitivity filter."""
+    brands = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    rows = t.lineitem.join(brands, "l_partkey").select((F.col("l_returnflag") == "R").cast("double").alias("y"), "l_discount", "l_quantity", "l_tax", (F.col("l_extendedprice") / 10_000).alias("price"), "l_linestatus", "p_brand")
+    numeric = ["l_discount", "l_quantity", "l_tax", "price"]
+    specs = {"M0": (numeric[:1], []), "M1": (numeric[:2], []), "M2": (numeric[:3], []), "M3": (numeric, []), "M4": (numeric, ["l_linestatus"])}
+    return E.nested_models(rows, "y", specs, category="p_brand", top=20, sensitivity=F.col("l_quantity") > 5)
 
 
 @query("e03_ols", "SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem")
@@ -341,7 +360,7 @@ def e05(t: Tables) -> DataFrame:
 
 @query("e06_bootstrap_mean")
 def e06(t: Tables) -> DataFrame:
-    return E.bootstrap_mean(t.events, "value", 100)
+    return E.bootstrap_mean(t.events, "value", 500)
 
 
 @query("e07_rank_sum", "WITH s AS (SELECT l_quantity AS v, l_returnflag AS g FROM lineitem WHERE l_returnflag IN ('A', 'R')), k AS (SELECT g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM s), c AS (SELECT count(*) FILTER (g = 'A')::DOUBLE AS n1, count(*) FILTER (g = 'R')::DOUBLE AS n2, sum(r) FILTER (g = 'A') AS r1 FROM k) SELECT n1, n2, round(r1 - n1 * (n1 + 1) / 2, 3) AS u, round(2 * (r1 - n1 * (n1 + 1) / 2) / (n1 * n2) - 1, 9) AS cliffs_delta FROM c")
@@ -353,7 +372,7 @@ def e07(t: Tables) -> DataFrame:
 @query("e08_paired_bootstrap")
 def e08(t: Tables) -> DataFrame:
     rows = t.lineitem.select(F.col("l_suppkey").alias("grp"), (F.col("l_returnflag") == "R").cast("int").alias("y"), F.col("l_discount").alias("a"), F.col("l_tax").alias("b"))
-    return E.delta_summary(E.paired_bootstrap(rows, "grp", "a", "b", "y", 20).withColumn("task", F.lit("returned")), ["task"])
+    return E.delta_summary(E.paired_bootstrap(rows, "grp", "a", "b", "y", 2_000, least=1_000).withColumn("task", F.lit("returned")), ["task"])
 
 
 @query("e10_best_single", f"{_CURVE.replace('l_discount AS p', 'l_discount AS p')}, a AS (SELECT g, sum((fp - fp0) * (tp + tp0) / 2) / (max(pos) * max(neg)) AS auroc FROM l GROUP BY g) SELECT g, round(auroc, 9) AS auroc FROM a ORDER BY auroc DESC, g LIMIT 1")
@@ -366,6 +385,13 @@ def e11(t: Tables) -> DataFrame:
     return t.events.groupBy((F.col("user_id") % 5).alias("run"), "event_type").agg(r(F.avg("value"), 8).alias("mean"), r(F.stddev_samp("value"), 8).alias("sd"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
+@query("e11_run_intervals")
+def e11b(t: Tables) -> DataFrame:
+    """Mean over five runs with its bootstrap interval; runs must have the same keys."""
+    per = t.events.groupBy((F.col("user_id") % 5).alias("run"), "event_type").agg(F.avg("value").alias("value"))
+    return E.run_summary(per, "run", ["event_type"], "value")
+
+
 # --- vectors and open-set scores
 
 _V = "WITH v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings)"
@@ -424,16 +450,9 @@ def o08(t: Tables) -> DataFrame:
 
 @query("o09_open_set_pilot")
 def o09(t: Tables) -> DataFrame:
-    """Class holdout, group safety, roles, distance scores, ranking metrics of each score."""
-    parts = S.class_holdout(t.embeddings, "label", 20, 4)
-    rows = t.embeddings.join(F.broadcast(parts.select("label", "part")), "label").withColumn("grp", F.floor(F.col("vec_id") / 4))
-    safe = S.group_safe(rows, "grp", "part").where("reason IS NULL").withColumn("role", S.role_of(F.col("grp"), 4))
-    train = safe.where("part = 'id' AND role = 'train'")
-    scores = O.distance_scores(safe.where("role = 'test' OR part <> 'id'"), "vec_id", "embedding", O.distance_state(train, "label", "embedding"), "label")
-    names = ["mahalanobis", "relative_mahalanobis", "prototype_cosine"]
-    long = scores.select("vec_id", F.inline(F.array(*(F.struct(F.lit(n).alias("method"), F.col(n).alias("score")) for n in names))))
-    truth = safe.select("vec_id", (F.col("part") != "id").cast("int").alias("y"))
-    return M.ranking(long.join(truth, "vec_id"), ["method"], "score", "y")
+    """Class holdout, group safety, roles, scaling, components, classifier, all seven detectors in one long table, ranking metrics of each."""
+    scores, truth = P.open_set_scores(t.embeddings, "vec_id", "embedding", "label", F.floor(F.col("vec_id") / 4), least=20, seed=4, components=16)
+    return M.ranking(scores.join(truth, "vec_id"), ["method"], "score", "y")
 
 
 # --- models and inference
@@ -460,7 +479,7 @@ def l03(t: Tables) -> DataFrame:
 @query("l04_selected_logistic")
 def l04(t: Tables) -> DataFrame:
     rows = t.embeddings.select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("y"), S.split_of(F.floor(F.col("vec_id") / 4), 3).alias("split"))
-    out, _ = L.selected_logistic(rows, "embedding", "y", "split", grid=(0.1, 1.0))
+    out, _ = L.selected_logistic(rows, "embedding", "y", "split")
     return M.ranking(out.where("split = 'test'"), ["split"], "probability", "y")
 
 
@@ -469,10 +488,83 @@ def l05(t: Tables) -> DataFrame:
     return L.class_weights(t.embeddings, "label").withColumn("weight", r("weight"))
 
 
-@query("l07_permuted_labels", "SELECT l_linestatus, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2")
+@query("l05_multiclass")
+def l05b(t: Tables) -> DataFrame:
+    """Accuracy by class of the multinomial classifier on rows that it wasn't fitted on."""
+    train = F.col("vec_id") % 5 != 0
+    z = L.scaled_vectors(t.embeddings, "embedding", train, "z")
+    out = L.multiclass(z, "z", "label", train).where(~train)
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("predicted") == F.col("label").cast("string")).cast("int")).alias("accuracy"))
+
+
+def _halves(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return tuple(t.embeddings.select("vec_id", F.slice("embedding", start, 32).alias("embedding")) for start in (1, 33))
+
+
+@query("l06_fusion_variants", "WITH e AS (SELECT count(*) AS n FROM embeddings) SELECT variant, n, width FROM e, (VALUES ('native', 64), ('separate', 16), ('joint', 8), ('balanced', 8)) AS v(variant, width)")
+def l06(t: Tables) -> DataFrame:
+    v = L.fusion_variants(*_halves(t), "vec_id", "embedding", F.col("vec_id") % 5 != 0, 8)
+    return v.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width"))
+
+
+_ROW_KEY = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT))"
+
+
+@query("l07_permuted_labels", f"""WITH s AS (SELECT {_ROW_KEY} AS k, l_linestatus, l_returnflag FROM lineitem),
+    a AS (SELECT *, row_number() OVER (PARTITION BY l_linestatus ORDER BY k) AS i FROM s), b AS (SELECT l_linestatus, l_returnflag AS dealt, row_number() OVER (PARTITION BY l_linestatus ORDER BY {_h('k', 3)}, k) AS i FROM s)
+    SELECT a.l_linestatus, l_returnflag, dealt, count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(k), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM a JOIN b USING (l_linestatus, i) GROUP BY ALL""")
 def l07(t: Tables) -> DataFrame:
-    rows = t.lineitem.withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    return L.permuted_labels(rows.select("k", "l_linestatus", "l_returnflag"), "k", "l_returnflag", "l_linestatus", 3).groupBy("l_linestatus", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    """Which label each row is dealt: rows by old and new label, and a digest of their keys."""
+    rows = t.lineitem.select(F.expr(_ROW_KEY).alias("k"), "l_linestatus", "l_returnflag")
+    dealt = L.permuted_labels(rows, "k", "l_returnflag", "l_linestatus", 3).withColumnRenamed("l_returnflag", "dealt").join(rows.select("k", "l_returnflag"), "k")
+    return dealt.groupBy("l_linestatus", "l_returnflag", "dealt").agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(F.sha2("k", 256), 1, 8), 16, 10).cast("long")).alias("digest"))
+
+
+@query("l07_null_controls")
+def l07b(t: Tables) -> DataFrame:
+    """Models of permuted labels and of random features, on rows kept aside: both must be near chance."""
+    rows = t.embeddings.select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("y"), S.split_of(F.floor(F.col("vec_id") / 4), 3).alias("split"))
+    dealt = L.permuted_labels(rows.where("split = 'train'"), "vec_id", "y", "split", 5).unionByName(rows.where("split <> 'train'"))
+    noise = L.random_features(rows.drop("embedding"), 8, 5, "embedding")
+    out = []
+    for name, d in (("permuted_labels", dealt), ("random_features", noise)):
+        scored, _ = L.selected_logistic(d, "embedding", "y", "split", grid=(1.0,))
+        test = scored.where("split = 'test'")
+        m = M.ranking(test, ["split"], "probability", "y").select("auroc", "average_precision")
+        out.append(L.near_chance(m, test.agg(F.avg("y")).first()[0] or 0.5).withColumn("control", F.lit(name)))
+    return out[0].unionByName(out[1])
+
+
+@query("l08_aligned_features", "SELECT doc_id, quality, length(text) AS n_letters, len(string_split(text, ' ')) AS n_words FROM labels JOIN documents USING (doc_id)")
+def l08(t: Tables) -> DataFrame:
+    features = t.documents.select("doc_id", F.length("text").cast("long").alias("n_letters"), F.size(F.split("text", " ")).cast("long").alias("n_words"))
+    return L.aligned_features(t.labels.select("doc_id", "quality"), features, "doc_id")
+
+
+@query("l09_predictions")
+def l09(t: Tables) -> DataFrame:
+    rows = t.embeddings.select("vec_id", F.floor(F.col("vec_id") / 4).alias("grp"), "embedding", (F.col("label") < 5).cast("int").alias("y"), S.split_of(F.floor(F.col("vec_id") / 4), 3).alias("split"))
+    scored, c = L.selected_logistic(rows, "embedding", "y", "split", grid=(0.1, 1.0))
+    return L.predictions(scored, "vec_id", "grp", "y", "probability", "split", task="low_label", representation="native", config={"model": "logistic", "C": c})
+
+
+_RESULTS = "WITH a AS (SELECT event_type AS task, user_id % 4 AS method, avg(value) AS v FROM events GROUP BY 1, 2), s AS (SELECT task, method, v, 'main' AS scope FROM a WHERE method < 3 UNION ALL SELECT task, method, v + 1, 'rerun' FROM a WHERE method > 1), k AS (SELECT *, row_number() OVER (PARTITION BY task, method ORDER BY scope) AS p FROM s WHERE isfinite(v)), c AS (SELECT task, method, v, scope FROM k WHERE p = 1)"
+
+
+def _results(t: Tables) -> DataFrame:
+    a = t.events.groupBy(F.col("event_type").alias("task"), (F.col("user_id") % 4).alias("method")).agg(F.avg("value").alias("v"))
+    return L.canonical_results({"main": a.where("method < 3"), "rerun": a.where("method > 1").withColumn("v", F.col("v") + 1)}, ["task", "method"], "v")
+
+
+@query("l10_canonical_results", f"{_RESULTS} SELECT task, method, round(v, 8) AS v, scope FROM c")
+def l10(t: Tables) -> DataFrame:
+    return _results(t).withColumn("v", r("v", 8))
+
+
+@query("l10_master_table", f"{_RESULTS}, n AS (SELECT event_type AS task, count(*) AS n_events FROM events GROUP BY 1) SELECT c.task, arg_max(method, v) AS best_method, round(max(v), 8) AS best_v, arg_max(method, v) FILTER (method < 2) AS classical_method, round(max(v) FILTER (method < 2), 8) AS classical_v, round(max(v) - max(v) FILTER (method < 2), 8) AS margin, max(n_events) AS n_events FROM c LEFT JOIN n ON c.task = n.task GROUP BY c.task")
+def l10b(t: Tables) -> DataFrame:
+    support = t.events.groupBy(F.col("event_type").alias("task")).agg(F.count(F.lit(1)).alias("n_events"))
+    return L.master_table(_results(t), ["task"], "method", "v", [0, 1], support).withColumns({c: r(c, 8) for c in ("best_v", "classical_v", "margin")})
 
 
 @query("i01_embedding_job")

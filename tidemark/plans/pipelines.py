@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.labels import function_flags, stratum, threshold_label
+from tidemark.functions.labels import conflict, extracted, function_flags, lineage_ranks, stratum, threshold_label
+from tidemark.operators import mapping as M
 from tidemark.operators import matrix as X
+from tidemark.operators import models as L
+from tidemark.operators import ood as O
 from tidemark.operators import splits as S
+from tidemark.operators.shared import reliable
 
 
 def registry(rows: DataFrame, representative: Column, annotations: list[str], category: str, single: str) -> DataFrame:
@@ -15,18 +19,61 @@ def registry(rows: DataFrame, representative: Column, annotations: list[str], ca
     return rows.where(representative).withColumns(function_flags(annotations, category, single))
 
 
-def phenotype(rows: DataFrame, family: list[str], strong: Column) -> DataFrame:
-    """Top variable of a column family, its negatives, and a score flag."""
-    return rows.withColumns({"top": X.best_two(family)["best_name"], "n_negative": X.row_counts(family)["n_negative"], "strong": strong})
+def phenotype(rows: DataFrame, groups: dict[str, list[str]], r2: Column, fraction: Column, limits: dict[str, float], strong: float = 0.50) -> DataFrame:
+    """Top variable, negatives, score of each group, dominant group, and whether R2 passes the limit of the fraction and the strong one."""
+    family = [c for columns in groups.values() for c in columns]
+    scores = {f"score_{g}": s for g, s in X.group_scores(groups).items()}
+    limit = F.element_at(F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)), fraction)
+    return rows.withColumns({"top": X.best_two(family)["best_name"], "n_negative": X.row_counts(family)["n_negative"], **scores, "dominant": X.driver_labels(groups)["rule_c"], "predictable": r2 > limit, "strong": r2 > strong})
+
+
+def taxonomy_covariates(records: DataFrame, lineages: DataFrame, group: str, name: str, pattern: str, domain: str, ranks: int) -> DataFrame:
+    """By group and rank: modal value, coverage, purity, rows, annotated rows, and the group's share of domain conflicts.
+
+    The contig key is cut from the record's name, its lineage (contig, lineage) joined where there is
+    one, and the first rank compared with the record's stored domain.
+    """
+    keyed = records.withColumn("contig", extracted(F.col(name), pattern))
+    joined = keyed.join(lineages, "contig", "left")
+    parts = joined.withColumns({f"rank{i}": c for i, c in enumerate(lineage_ranks(F.col("lineage"), ranks))})
+    parts = parts.withColumn("conflicts", conflict(F.col(domain), F.col("rank0")))
+    columns = [f"rank{i}" for i in range(ranks)]
+    wide = M.group_taxonomy(parts, group, columns, {"conflict_share": F.col("conflicts")})
+    filled = parts.groupBy(group).agg(*(F.count_if(F.col(c) != "").alias(f"{c}_annotated") for c in columns))
+    one = lambda c: F.struct(F.lit(c).alias("rank"), F.col(f"{c}_modal").alias("modal"), F.col(f"{c}_coverage").alias("coverage"), F.col(f"{c}_purity").alias("purity"), F.col("n").alias("n_rows"), F.col(f"{c}_annotated").alias("n_annotated"), F.col("conflict_share"))
+    return wide.join(filled, group).select(group, F.inline(F.array(*map(one, columns))))
 
 
 def candidate_pool(rows: DataFrame, key: str, fraction: str, score: str, label: str, cap: int, seed: int) -> DataFrame:
     """Rows with a stratum of fraction, score level and label, at most ``cap`` of each by hash order."""
-    low = rows.groupBy(fraction).agg(F.percentile(score, F.lit(0.25)).alias("__low"))
-    levelled = rows.join(low, fraction).withColumn("stratum", stratum(F.col(fraction), threshold_label(F.col(score), 0.5, F.least("__low", F.lit(0.5))), F.col(label))).drop("__low")
-    return S.capped(levelled.where("stratum IS NOT NULL"), ["stratum"], key, cap, seed)
+    low = rows.groupBy(fraction).agg(F.least(F.percentile(score, F.lit(0.25)), F.lit(0.5)).alias("__low"))
+    levelled = rows.join(low, fraction).withColumn("stratum", stratum(F.col(fraction), threshold_label(F.col(score), 0.5, F.col("__low")), F.col(label))).drop("__low")
+    return S.capped(levelled.where("stratum IS NOT NULL").select("stratum", key).distinct(), ["stratum"], key, cap, seed)
 
 
 def frozen_benchmark(rows: DataFrame, key: str, group: str, cell: list[str], label: str, values: tuple[str, str], seed: int) -> DataFrame:
     """Matched rows with a leakage-free split by group."""
     return S.matched(rows, cell, label, values, key, seed).withColumn("split", S.split_of(F.col(group), seed))
+
+
+def open_set_scores(rows: DataFrame, key: str, vector: str, label: str, group: Column, *, least: int, seed: int, components: int) -> tuple[DataFrame, DataFrame]:
+    """(key, role, method, score) of seven detectors on the rows kept aside, and (key, y) with y = 1 for held-out classes.
+
+    Classes are held out and roles given by hash, groups that span parts go, and scaling, components
+    and classifier are fitted on the train rows of the known classes.
+    """
+    parts = S.class_holdout(rows, label, least, seed)
+    named = rows.join(F.broadcast(parts.select(label, "part")), label).withColumn("grp", group)
+    safe = S.group_safe(named, "grp", "part").where("reason IS NULL").withColumn("role", S.role_of(F.col("grp"), seed))
+    train = (F.col("part") == "id") & (F.col("role") == "train")
+    z = L.scaled_vectors(safe, vector, train, "__z")
+    x = reliable(L.multiclass(L.pca(z, "__z", train, components, "pcs")[0], "pcs", label, train, "__logits").select(key, label, "part", "role", "pcs", "__logits"))
+    held = x.where(~train)
+    fitted = x.where(train)
+    logits = held.select(key, O.msp(F.col("__logits")).alias("msp"), O.max_logit(F.col("__logits")).alias("max_logit"), O.energy(F.col("__logits")).alias("energy"))
+    distances = O.distance_scores(held, key, "pcs", O.distance_state(fitted, label, "pcs"), label)
+    near = O.nearest_cosine(held, fitted, key, "pcs")
+    wide = held.select(key, "part", "role").join(logits, key).join(distances, key).join(near, key)
+    methods = ["msp", "max_logit", "energy", "mahalanobis", "relative_mahalanobis", "prototype_cosine", "knn_cosine"]
+    scores = wide.select(key, "role", F.inline(F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).alias("score")) for m in methods))))
+    return scores, held.select(key, (F.col("part") != "id").cast("int").alias("y"))

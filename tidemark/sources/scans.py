@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import tarfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +14,23 @@ from pyspark.sql import types as T
 
 
 def delimited(spark: SparkSession, path: str, columns: list[str], *, sep: str = "\t", header: bool = True, select: list[str] | None = None, encoding: str = "UTF-8", limit: int | None = None) -> DataFrame:
-    """All columns as text; empty fields stay empty; short rows are padded with nulls."""
+    """All columns as text; empty fields and those that short rows lack are empty."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     df = spark.read.schema(schema).options(sep=sep, header=header, encoding=encoding, mode="PERMISSIVE", maxCharsPerColumn=10_000_000, enforceSchema=True).csv(path)
     df = df.select(*(F.coalesce(c, F.lit("")).alias(c) for c in (select or columns)))
     return df if limit is None else df.limit(limit)
 
 
+def lenient(spark: SparkSession, path: str, columns: list[str], *, sep: str = "\t", header: bool = True, limit: int | None = None) -> DataFrame:
+    """All columns as text of unquoted lines: empty fields stay empty, short rows are padded with nulls, further fields are left out, a line may be as long as it likes."""
+    lines = spark.read.text(path)
+    if header:
+        lines = lines.where(F.col("value") != sep.join(columns))
+    cells = F.split("value", f"\\Q{sep}\\E", -1)
+    df = lines.select(*(F.get(cells, F.lit(i)).alias(c) for i, c in enumerate(columns)))
+    return df if limit is None else df.limit(limit)
+
+
 def matrix(spark: SparkSession, path: str, key: str, samples: list[str], *, sep: str = "\t") -> DataFrame:
     """key and one array of doubles, in the order of the samples."""
     schema = T.StructType([T.StructField(key, T.StringType()), *(T.StructField(s, T.DoubleType()) for s in samples)])
@@ -27,16 +38,27 @@ def matrix(spark: SparkSession, path: str, key: str, samples: list[str], *, sep:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """id (first word of the header) and seq (lines joined); text before the first header raises."""
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("r"), F.col("value").startswith(">").alias("first"), F.col("_metadata.file_block_start").alias("start"))
-    checked = raw.withColumn("r", F.when((F.col("start") == 0) & ~F.col("first") & F.lit(False), F.raise_error(F.lit("text before the first header"))).otherwise(F.col("r")))
+    """id (first word of the header) and seq (lines joined); text before the first header of a file raises.
+
+    A file's first record alone begins with the header mark (or is blank, where the file begins with
+    a line end), so a file without such a record has text before it; one pass over the records tells.
+    """
+    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    headed = raw.groupBy("file").agg(F.bool_or(F.col("value").startswith(">") | (F.trim("value") == "")).alias("headed"))
+    if (bad := headed.where("NOT headed").first()) is not None:
+        raise ValueError(f"text before the first header of {bad['file']}")
+    records = raw.select(F.regexp_replace("value", "^>", "").alias("r"))
     head = F.regexp_extract("r", r"^([^\n]*)", 1)
-    return checked.where(F.length(F.trim("r")) > 0).select(F.regexp_extract(head, r"^\s*(\S+)", 1).alias("id"), F.regexp_replace(F.regexp_replace("r", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
+    return records.where(F.length(F.trim("r")) > 0).select(F.regexp_extract(head, r"^\s*(\S+)", 1).alias("id"), F.regexp_replace(F.regexp_replace("r", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
 
 
-def vector_shards(spark: SparkSession, *paths: str) -> DataFrame:
-    """id, embedding of Parquet shards in several folders; repeated ids or several widths raise on a check by the caller (vector_contract)."""
-    return spark.read.parquet(*paths).select("id", "embedding")
+def vector_shards(spark: SparkSession, *paths: str, key: str = "id", vector: str = "embedding") -> DataFrame:
+    """key and vector of Parquet shards in several folders; null or repeated keys, null vectors and several widths are an error."""
+    df = reduce(DataFrame.unionByName, (spark.read.parquet(p).select(key, vector) for p in paths))
+    facts = df.agg(F.count_if(F.col(key).isNull() | F.col(vector).isNull()).alias("nulls"), F.count(key).alias("n"), F.countDistinct(key).alias("ids"), F.min(F.size(vector)).alias("a"), F.max(F.size(vector)).alias("b")).first()
+    if facts["nulls"] or facts["n"] != facts["ids"] or facts["a"] != facts["b"]:
+        raise ValueError(f"{facts['nulls']} nulls, {facts['n'] - facts['ids']} repeated keys, widths {facts['a']} to {facts['b']}")
+    return df
 
 
 def json_status(spark: SparkSession, root: str) -> DataFrame:
@@ -53,8 +75,9 @@ def tabular_profile(spark: SparkSession, path: str, sep: str = "\t") -> DataFram
 
 
 def sequence_profile(records: DataFrame) -> DataFrame:
-    """Sequences, residues, and the longest record's length."""
-    return records.agg(F.count(F.lit(1)).alias("sequences"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("residues"), F.max(F.length("seq")).alias("longest"))
+    """Sequences, residues, the longest record's length, and of the first record its id and first 100 residues."""
+    one = records.withColumn("__n", F.monotonically_increasing_id()).agg(F.count(F.lit(1)).alias("sequences"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("residues"), F.max(F.length("seq")).alias("longest"), F.min_by(F.struct("id", F.substring("seq", 1, 100).alias("p")), "__n").alias("f"))
+    return one.select("sequences", "residues", "longest", F.col("f.id").alias("first_id"), F.col("f.p").alias("preview"))
 
 
 def files(spark: SparkSession, root: str, exclude: str | None = None) -> DataFrame:
