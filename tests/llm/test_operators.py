@@ -160,6 +160,23 @@ def test_jaccard_pairs_across_band_edges_share_a_live_bucket(n, percent, deletio
     assert tried > 100
 
 
+def test_jaccard_sketches_bound_the_difference(spark):
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 2**64, 9000, dtype=np.uint64)
+    cuts = [(0, 500), (20, 520), (0, 520), (0, 1020), (0, 1030), (100, 1130), (0, 4000), (300, 4400), (4500, 8700), (0, 4100)]
+    sets = [np.sort(pool[a:b]) for a, b in cuts]
+    flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+    words, counts = jaccard_join.wide_sketches(flat, sizes)
+    ends = np.cumsum(counts)
+    rows = [(i, int(n), words[e - c : e].tolist()) for i, (n, c, e) in enumerate(zip(sizes, counts, ends, strict=True))]
+    classes = spark.createDataFrame(rows, "cls long, size long, wide array<long>")
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+    kept = {tuple(r)[:2] for r in jaccard_join._bounded(spark.createDataFrame(pairs, "a long, b long"), classes, "wide", 80).collect()}
+    jac = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    assert kept >= {(i, j) for i, j in pairs if jac(sets[i], sets[j]) >= 0.8}
+    assert not kept & {(i, j) for i, j in pairs if min(sizes[i], sizes[j]) > 1024 and jac(sets[i], sets[j]) < 0.5}
+
+
 def test_jaccard_own_deletions_probe_when_members_meet():
     role, zeros = np.array([3, 0, 2, 3, 1]), np.zeros((5, 16), np.uint64)
     i, j = np.triu_indices(5, 1)

@@ -183,6 +183,17 @@ def sketches(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sizes), SKETCH // 64)
 
 
+def wide_sketches(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity in two to four places for each element, a power of two, of sets over SKETCH / 2: 64-bit words, and how many each set has (0 for the others)."""
+    places = np.where(sizes > SKETCH // 2, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 2))).astype(np.int64), 0)
+    start = np.cumsum(places) - places
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    x, of = flat[places[of] > 0], of[places[of] > 0]
+    at = start[of] + ((x >> np.uint64(5)).astype(np.int64) & (places[of] - 1))
+    odd = np.bincount(at, minlength=int(places.sum())) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64), places // 64
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], n: int, cache: Words) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Some rows, and the shingles of their texts."""
     for some in slices(batches, CHUNK):
@@ -198,18 +209,17 @@ def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def _sets(documents: DataFrame, n: int) -> DataFrame:
-    """doc_id, th, n_shingles, a 128-bit hash of the set, and its sketch."""
+    """doc_id, th, n_shingles, a 128-bit hash of the set, its sketch, and for a large set a wide one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, flat, sizes in _chunks(batches, n, Words()):
             end = np.cumsum(sizes)
             same = [xxhash.xxh3_128_digest(flat[e - k : e].tobytes()) for e, k in zip(end, sizes, strict=True)]
             bits = sketches(flat, sizes)
-            yield pa.RecordBatch.from_arrays(
-                [some["doc_id"], some["th"], pa.array(sizes), pa.array(same, pa.binary()), _lists(bits.ravel(), np.full(len(bits), SKETCH // 64))], ["doc_id", "th", "n_shingles", "same", "sketch"]
-            )
+            columns = [some["doc_id"], some["th"], pa.array(sizes), pa.array(same, pa.binary()), _lists(bits.ravel(), np.full(len(bits), SKETCH // 64)), _lists(*wide_sketches(flat, sizes))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "n_shingles", "same", "sketch", "wide"])
 
-    return documents.mapInArrow(run, "doc_id long, th long, n_shingles long, same binary, sketch array<long>")
+    return documents.mapInArrow(run, "doc_id long, th long, n_shingles long, same binary, sketch array<long>, wide array<long>")
 
 
 def _frequent(drawn: DataFrame, n: int) -> np.ndarray:
@@ -367,13 +377,21 @@ def _bucket_pairs(key: np.ndarray, doc: np.ndarray, tag: np.ndarray, parted: int
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, sketch: str, percent: int) -> DataFrame:
-    """The pairs whose sizes and sketches allow the threshold: a, b, size_a, size_b."""
+    """The pairs whose sizes and sketches allow the threshold: a, b, size_a, size_b.
+
+    Of sketches of different widths the wider one is folded; sets without a sketch pass.
+    """
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("size").alias(f"size_{x}"), F.col(sketch).alias(f"sketch_{x}"))
     known = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     close = F.lit(percent) * F.greatest("size_a", "size_b") <= 100 * F.least("size_a", "size_b")
-    bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    half = lambda x: F.size(x) / 2
+    fold = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x).cast("int")), F.slice(x, half(x).cast("int") + 1, half(x).cast("int")), lambda u, v: u.bitwiseXOR(v))
+    as_wide = lambda x, y: F.when(F.size(x) > F.size(y), fold(x)).otherwise(F.col(x))
+    differ = F.zip_with(as_wide("sketch_a", "sketch_b"), as_wide("sketch_b", "sketch_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    bits = F.aggregate(differ, F.lit(0), lambda s, x: s + x)
     # |x ^ y| <= (100 - p) / (100 + p) * (|x| + |y|) for a linked pair
-    return known.where(close).where(bits * (100 + percent) <= (100 - percent) * (F.col("size_a") + F.col("size_b"))).select("a", "b", "size_a", "size_b")
+    allowed = bits * (100 + percent) <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
+    return known.where(close).where((F.size("sketch_a") == 0) | (F.size("sketch_b") == 0) | allowed).select("a", "b", "size_a", "size_b")
 
 
 def _some(table: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -508,10 +526,10 @@ def _labelled(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, bo
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     documents, sized, renamed = _named(documents, cut(_sets(documents, n)))
     first = sized.where("n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("cls"))
-    members = cut(sized.join(first, "same", "left").select("doc_id", "told", "th", "n_shingles", F.coalesce("cls", "doc_id").alias("cls"), F.when(F.col("cls") == F.col("doc_id"), F.col("sketch")).alias("sketch")))
+    members = cut(sized.join(first, "same", "left").select("doc_id", "told", "th", "n_shingles", F.coalesce("cls", "doc_id").alias("cls"), *(F.when(F.coalesce("cls", "doc_id") == F.col("doc_id"), F.col(c)).alias(c) for c in ("sketch", "wide"))))
     words = SKETCH // 64
     folded = F.array(*(F.expr(" ^ ".join(f"sketch[{i + 4 * k}]" for k in range(words // 4))) for i in range(4)))
-    classes = cut(members.where("sketch IS NOT NULL").dropDuplicates(["cls"]).select("cls", F.col("n_shingles").alias("size"), "sketch", folded.alias("folded")))
+    classes = cut(members.where("sketch IS NOT NULL AND n_shingles > 0").dropDuplicates(["cls"]).select("cls", F.col("n_shingles").alias("size"), "sketch", "wide", folded.alias("folded")))
     moved = members.where("doc_id <> cls").select("doc_id", F.col("cls").alias("of")).distinct()
 
     total = members.count()
@@ -526,7 +544,8 @@ def _labelled(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, bo
 
     pairs = of_class(of_class(found.where("kind = 0").select("a", "b"), "a"), "b").where("a <> b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    stars = cut(_bounded(_bounded(pairs, classes, "folded", percent), classes, "sketch", percent))
+    stars = _bounded(_bounded(pairs, classes, "folded", percent), classes, "sketch", percent)
+    stars = cut(_bounded(stars, classes, "wide", percent))
     rows = cut(of_class(found.where("kind = 1").select("key", F.col("a").alias("cls"), F.col("b").alias("role")), "cls").distinct())
     linked = _verified(stars, _sets_of(documents, stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct(), n), percent)
     joined = cut(connected_components(linked, "a", "b"))
@@ -535,7 +554,7 @@ def _labelled(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, bo
         now = rows.join(joined.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         apart = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
         rows = cut(now.join(apart, "key").select("key", "cls", "role", "component", "n"))
-        met = cut(_meet(rows.join(classes, "cls").select(*COLUMNS, "n"), percent, leaders=leaders))
+        met = cut(_bounded(_meet(rows.join(classes, "cls").select(*COLUMNS, "n"), percent, leaders=leaders), classes, "wide", percent))
         rows = rows.select("key", "cls", "role")
         more = _verified(met, _sets_of(documents, met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct(), n), percent)
         # the new links join components
