@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, line_dedup, packing, pii, suffix_dedup, topk
+from tests.llm.held_out_pages import PAGES
 from tidemark.llm.queries import QUERIES
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -310,6 +311,12 @@ def test_deep_shallow_sorts():
         assert common[k] == next((i for i in range(100) if x[i] != y[i]), 100)
 
 
+def test_suffix_dedup_clashing_columns_and_ids(spark):
+    clash = [(2**63 - 1, "x" * 300, 1, "a", b"k"), (None, "x" * 300, 1, "a", b"k")]
+    out = suffix_dedup.report(spark.createDataFrame(clash, "doc_id long, text string, id int, th string, kept binary")).collect()
+    assert sorted((r.doc_id is None, r.n_bytes, r.n_removed) for r in out) == [(False, 300, 299), (True, 300, 299)] or {r.doc_id for r in out} == {None, 2**63 - 1}
+
+
 def test_suffix_dedup_odd_rows(odd, empty):
     out = suffix_dedup.report(odd)
     assert out.count() == len(ODD) and suffix_dedup.report(empty).count() == 0
@@ -393,6 +400,13 @@ def test_chat_equal_conversations_and_empty(spark):
     assert chat_format.maximal(spark.createDataFrame([], s)).count() == 0
 
 
+def test_chat_long_conversation_and_clashing_columns(spark):
+    s = "conv_id long, turn long, role string, text string, turns int, whole string"
+    data = [(c, t, "user", f"turn {t}", 1, "w") for c, n in ((1, 400), (2, 399)) for t in range(n)]
+    out = chat_format.maximal(spark.createDataFrame(data, s)).collect()
+    assert [(r.conv_id, r.n_turns, r.n_collapsed) for r in out] == [(1, 400, 0)] and out[0].rendered.count("<|end|>") == 400
+
+
 # --- personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -544,6 +558,11 @@ def test_packing_statistics_and_shards(spark):
     assert windows.mean() > 0.8
 
 
+def test_packing_clashing_columns(odd):
+    clash = odd.withColumns({"ids": F.lit(1), "k0": F.lit(2), "tie": F.lit(3), "start": F.lit(4)})
+    assert packing.pieces(clash).columns == [c.split()[0] for c in packing.PIECES.split(", ")]
+
+
 def test_packing_odd_rows(odd, empty):
     assert packing.pieces(odd).where("start = 0").count() == len(ODD) and packing.pieces(empty).count() == 0
 
@@ -614,6 +633,61 @@ def test_language_accuracy(spark):
     assert good.a > 0.97 and good.k > 0.99
 
 
+def test_language_posterior_brute_force(spark):
+    """The posterior of each row against the formula, worked out row by row."""
+    rng = random.Random(41)
+    words = {"aa": ["kala", "mako", "lima", "sato"], "bb": ["strutz", "grein", "pfalt", "schon"], "cc": ["yvoix", "quelle", "jour", "beau"]}
+    data = []
+    for i in range(90):
+        k = rng.choice(list(words))
+        text = " ".join(rng.choice(words[k]) for _ in range(rng.randrange(1, 12)))
+        data.append((i, text if i % 17 else None, rng.choice([k, k, k, None, "aa"]), rng.choice([None, k[:1], "x"]), rng.choice(["h1.s.org", "h2.s.org", "h3.t.org", None])))
+    df = spark.createDataFrame(data, "i long, text string, lang string, suffix string, host string")
+    languages, table = language_id.fit(df, "text", "lang")
+    names = [*languages, "und"]
+    got = {r.i: r for r in language_id.identify(df, declared="lang", suffix="suffix", host="host").collect()}
+    table = table.astype(np.float32)
+    scores = {}
+    for i, text, *_ in data:
+        g = language_id.grams(text)
+        if len(g):
+            power = min(1.0, language_id.EVIDENCE / len(g))
+            scores[i] = np.array([*(float(row[g].sum() * power) for row in table), -np.log(language_id.BUCKETS) * len(g) * power])
+    best = {i: int(np.argmax(s[:-1])) for i, s in scores.items()}
+    seen = [row for row in data if row[0] in scores]
+    n = lambda test: np.array([sum(best[row[0]] == k and test(row) for row in seen) for k in range(len(languages))], float)
+    root = (n(lambda r: True) + 1) / (len(seen) + len(languages)) * (1 - language_id.UND_PRIOR)
+    w = language_id.HOST_WEIGHT
+    for i, _, declared, suffix, host in data:
+        if i not in scores:
+            assert got[i]["__lang"] == "und" and not got[i]["__accepted"]
+            continue
+        prior = root
+        if host is not None:
+            site = n(lambda r: r[4] is not None and r[4].split(".")[1] == host.split(".")[1])
+            site = (site + w * root) / (site.sum() + w * (1 - language_id.UND_PRIOR))
+            own = n(lambda r: r[4] == host)
+            prior = (own + w * site) / (own.sum() + w) * (1 - language_id.UND_PRIOR)
+        logs = np.log(np.r_[prior, language_id.UND_PRIOR]) + scores[i]
+        for at, value in ((2, declared), (3, suffix)):
+            values = {r[at] for r in seen} - {None}
+            if value in values:
+                flat = 1 / (len(values) + 1)
+                rates = (n(lambda r: r[at] == value) + language_id.RATE_WEIGHT * flat) / (n(lambda r: r[at] is not None) + language_id.RATE_WEIGHT)
+                logs = logs + np.log(np.r_[rates, flat])
+        p = np.exp(logs - logs.max())
+        p /= p.sum()
+        assert got[i]["__lang"] == names[int(np.argmax(p))] and abs(got[i]["__p"] - p.max()) < 1e-6
+
+
+def test_language_declared_without_model(spark, monkeypatch):
+    """A declared language beyond those that get a model isn't lost."""
+    monkeypatch.setattr(language_id, "LANGUAGES", 1)
+    data = [(i, "the cat sat on the mat and ran", "en", "a") for i in range(20)] + [(90, "бгд жзи " * 9, "xx", "b"), (91, "бгд жзи " * 9, None, "b")]
+    out = {r.doc_id: (r["__lang"], r["__accepted"]) for r in language_id.identify(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()}
+    assert out[0] == ("en", True) and out[90] == ("xx", True) and out[91] == ("und", False)
+
+
 def test_language_odd_rows(odd, empty):
     out = language_id.identify(odd.withColumns({"score": F.lit(1), "rank": F.lit(2)}))
     assert out.count() == len(ODD) and not out.where("doc_id IN (1, 2, 3)").where("__accepted").count()
@@ -652,6 +726,29 @@ def test_html_labelled_pages_are_learnt():
     assert wrong <= 0.02 * total
 
 
+def test_html_held_out_pages():
+    """Exact main texts of pages that the model hasn't seen."""
+    m = html_extract.Model()
+    got = [html_extract.extract(source, m) for source, _ in PAGES]
+    assert sum(g == text for g, (_, text) in zip(got, PAGES, strict=True)) >= len(PAGES) - 1
+
+
+def test_html_markup():
+    m = html_extract.Model()
+    text = lambda source: html_extract.extract(source, m)
+    assert text("<main><svg width=1 /><p>a</p><svg><text>no</text></svg><p>b</p></main>") == "a\nb"
+    assert text("<main><video-player><p>a</p></video-player><template><p>no</p></template><p>b</p></main>") == "a\nb"
+    assert text("<main><p title=it's>a</p><p data-x='<p>' title=\"a>b\">b</p><p =x>c</p></main>") == "a\nb\nc"
+    assert text("<main><svg><path d='x'><p>a</p></main><script>if (a < b) {}</script >") == "a"
+    assert text("<main><p data-role='menu'>a</p></main>") == "a"
+
+
+def test_html_empty_and_clashing_columns(spark):
+    s = "page_id long, url string, html string, text string, n_chars int"
+    assert html_extract.report(spark.createDataFrame([], s)).count() == 0
+    assert [tuple(r) for r in html_extract.report(spark.createDataFrame([(None, None, "<p>é", "old", 7)], s)).collect()] == [(None, None, "é", 1)]
+
+
 def test_html_marginals_equal_enumeration():
     m = html_extract.Model()
     page = html_extract.Page("<body><nav>a</nav><div><p>b</p></div></body>")

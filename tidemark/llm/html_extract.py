@@ -82,6 +82,8 @@ LABELLED = (
     f'<html data-l="1"><body class="has-cookie-banner"><div id="page-ad-free"><article class="article-share-body">{TEXT}<p>And an end.</p></article><div class="share-bar" data-l="0"><a>Post it</a></div></div></body></html>',
     '<html data-l="1"><body><div class="post-share-text"><p>The only text of a page, in a part whose name also has a word of frames.</p></div></body></html>',
     '<html data-l="1"><body><nav data-l="0"><ul><li><a>Home</a></li><li><a>About us</a></li></ul></nav></body></html>',
+    f'<html data-l="1"><body><article><h2>How to do it</h2>{TEXT}<ol><li>Take it</li><li>Turn it around</li><li>Put it back</li></ol><p>Then go on.</p><ul><li>That</li></ul></article></body></html>',
+    f'<html data-l="1"><body><nav data-l="0"><ul><li><a>Home</a></li></ul></nav><article><p>What it takes:</p><ul><li>an egg</li><li>some flour, and <a>salt</a></li></ul><p>Mix it.</p></article><footer data-l="0"><ul><li><a>Imprint</a></li></ul></footer></body></html>',
     '<html data-l="1"><body><div class="login" data-l="0"><form><label>Name</label><p>Please log in to read on.</p><button>Go</button></form></div></body></html>',
     '<html data-l="1"><body><div id="cookie-consent" data-l="0"><p>This site keeps cookies. By going on you agree to them.</p></div></body></html>',
 )
