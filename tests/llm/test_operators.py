@@ -588,8 +588,10 @@ def test_topk_stops_early():
     centres = rng.normal(size=(20, 32)) * 400
     x = np.floor(np.repeat(centres, 200, 0) + rng.normal(size=(4000, 32)) * 20)
     pivots = centres
-    to, norm = topk._distances(x, pivots), (x * x).sum(1)
-    at, done = topk.best(x[0], topk.bounds(norm[:1], to[:1], norm, to)[0], x, np.arange(4000), 5)
+    place, rest = topk.coordinates(x, topk.spanned(pivots))
+    upper = topk.bounds(place[:60], rest[:60], place, rest)
+    assert (upper >= x[:60] @ x.T).all()
+    at, done = topk.best(x[0], upper[0], x, np.arange(4000), 5)
     s = x @ x[0]
     assert list(at) == list(np.lexsort((np.arange(4000), -s))[:5]) and done < 4000
 

@@ -1,15 +1,18 @@
-"""Exact top-k by inner product with a pivot table (LAESA).
+"""Exact top-k by inner product with a pivot table.
 
-|q-x|^2 = |q|^2 + |x|^2 - 2<q,x>, so a lower bound of the distance bounds the score from above.
-The pivot table holds every vector's distances to a fixed set of pivots, computed once;
-max_p |d(q,p) - d(x,p)| bounds d(q,x) from below.  A query takes candidates in the order of their
-upper bounds and stops when the next bound is under its k-th score, so no candidate that could enter
-is left out.
+The pivot table holds what every vector's distances to a fixed set of pivots, computed once, say of
+its place: together with its norm they fix its coordinates in the space that the pivots span and its
+distance from that space.  Two vectors with the coordinates a and b and the distances r and s from
+it have at least the distance that |a - b|^2 + (r - s)^2 gives; no larger lower bound follows from
+the distances to all pivots, so this is the largest of any (it is never less than the difference of
+two distances to one pivot).  For inner products it reads <q,x> <= <a,b> + r s.  A query takes
+candidates in the order of these bounds and stops when the next bound is under its k-th score, so no
+candidate that could enter is left out.
 
 Vectors are dealt out in blocks by their nearest pivot, queries likewise.  First each query meets
 one block of its own neighbourhood; its k-th score there goes along to all others.  A pair of a
-block of queries and a block of vectors is left out if the ranges of their pivot distances show that
-no score can reach; each other pair is a group of its own, of bounded size.
+block of queries and a block of vectors is left out if the ranges of their coordinates show that no
+score can reach; each other pair is a group of its own, of bounded size.
 
 Pivots are a bounded sample (PIVOTS vectors, farthest-first out of SAMPLE rows with the smallest
 hashes); they change the work, never the result.
@@ -31,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, slices
 
-PIVOTS, SAMPLE = 32, 2_000
+PIVOTS, SAMPLE = 48, 2_000
 #: Rows of a block of vectors, and of a block of queries; queries whose bounds are held at once.
 VECTORS, QUERIES, TOGETHER = 4_096, 2_048, 256
 OUT = "query long, query_id long, vec_id long, score long"
@@ -73,31 +76,46 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * (x @ p.T)))
 
 
+def spanned(pivots: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of what the pivots span, as columns."""
+    if not len(pivots):
+        return np.zeros((pivots.shape[1], 0))
+    basis, sizes, _ = np.linalg.svd(pivots.T, full_matrices=False)
+    return basis[:, sizes > 1e-9 * max(sizes[0], 1e-300)]
+
+
+def coordinates(x: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates in the span, and distances from it."""
+    width = max(x.shape[1], len(basis))
+    at = np.pad(x, ((0, 0), (0, width - x.shape[1]))) @ np.pad(basis, ((0, width - len(basis)), (0, 0)))
+    return at, np.sqrt(np.maximum(0, (x * x).sum(1) - (at * at).sum(1)))
+
+
 def pivot_table(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """row, vec_id, q, norm (squared), to (distances to the pivots), near (the nearest pivot); kept in the shared folder."""
-    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+    """row, vec_id, q, at (coordinates by the pivots), rest (distance from their span), near (the nearest pivot); kept in the shared folder."""
+    shared = vectors.sparkSession.sparkContext.broadcast((pivots, spanned(pivots)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        pivots, basis = shared.value
+        for batch in slices(batches, 2_000):
             rows = batch["q"].to_pylist()
             x = _matrix(rows, max(map(len, rows)))
-            to = _distances(x, pivots)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * to.shape[1]), pa.array(to.ravel()))
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["q"], pa.array((x * x).sum(1)), flat, pa.array(to.argmin(1).astype(np.int32))], ["vec_id", "q", "norm", "to", "near"])
+            at, rest = coordinates(x, basis)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * at.shape[1]), pa.array(at.ravel()))
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["q"], flat, pa.array(rest), pa.array(_distances(x, pivots).argmin(1).astype(np.int32))], ["vec_id", "q", "at", "rest", "near"])
 
-    table = vectors.select("vec_id", "q").mapInArrow(run, "vec_id long, q array<long>, norm double, to array<double>, near int")
+    table = vectors.select("vec_id", "q").mapInArrow(run, "vec_id long, q array<long>, at array<double>, rest double, near int")
     return cut(cut(table).withColumn("row", F.monotonically_increasing_id()))
 
 
-def bounds(q_norm: np.ndarray, q_to: np.ndarray, norm: np.ndarray, to: np.ndarray) -> np.ndarray:
+#: What rounding may take off a bound, as a share of the product of norms, and as such.
+SLACK, LEAST = 1e-9, 1e-3
+
+
+def bounds(q_at: np.ndarray, q_rest: np.ndarray, at: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """Upper bounds of the scores of queries (rows) and vectors (columns)."""
-    low = np.zeros((len(q_norm), len(norm)))
-    for p in range(q_to.shape[1]):
-        np.maximum(low, np.abs(q_to[:, p, None] - to[None, :, p]), out=low)
-    return (q_norm[:, None] + norm[None] - np.maximum(0, low - 1e-6) ** 2) / 2 + 1e-3
+    norms = np.sqrt((q_at * q_at).sum(1) + q_rest**2)[:, None] * np.sqrt((at * at).sum(1) + rest**2)[None]
+    return q_at @ at.T + q_rest[:, None] * rest[None] + SLACK * norms + LEAST
 
 
 def best(q: np.ndarray, bound: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floor: float = -np.inf, step: int = 256) -> tuple[np.ndarray, int]:
@@ -121,11 +139,11 @@ def _search(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     if len(left) and len(right):
         width = max(*map(len, left["q"]), *map(len, right["q"]))
         x, ids = _matrix(right["q"].to_numpy(), width), right["vec_id"].fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
-        absent, row, to, norm = right["vec_id"].isna().to_numpy(), right["row"].to_numpy(), np.stack(right["to"].to_numpy()), right["norm"].to_numpy()
+        absent, row, at_all, rest = right["vec_id"].isna().to_numpy(), right["row"].to_numpy(), np.stack(right["at"].to_numpy()), right["rest"].to_numpy()
         for start in range(0, len(left), TOGETHER):
             part = left.iloc[start : start + TOGETHER]
             qs = _matrix(part["q"].to_numpy(), width)
-            upper = bounds(part["norm"].to_numpy(), np.stack(part["to"].to_numpy()), norm, to)
+            upper = bounds(np.stack(part["at"].to_numpy()), part["rest"].to_numpy(), at_all, rest)
             for i, (own, query, floor) in enumerate(zip(part["row"], part["vec_id"], part["floor"], strict=True)):
                 upper[i, row == own] = -np.inf
                 at, _ = best(qs[i], upper[i], x, ids, k, floor)
@@ -148,11 +166,10 @@ def _dealt(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
     return rows.withColumn(name, F.floor(place * blocks / start).cast("int")), blocks
 
 
-def _ranges(rows: DataFrame, name: str, pivots: int) -> DataFrame:
-    """Of each block: the least and the most distance to each pivot, the largest norm."""
-    at = lambda f, p: f(F.col("to")[p])
-    low, high = (F.array(*(at(f, p) for p in range(pivots))) if pivots else F.array().cast("array<double>") for f in (F.min, F.max))
-    return rows.groupBy(name).agg(low.alias(f"{name}_low"), high.alias(f"{name}_high"), F.max("norm").alias(f"{name}_norm"))
+def _ranges(rows: DataFrame, name: str, width: int) -> DataFrame:
+    """Of each block: the least and the largest of each coordinate, and the largest distance from the span."""
+    low, high = (F.array(*(f(F.col("at")[p]) for p in range(width))) if width else F.array().cast("array<double>") for f in (F.min, F.max))
+    return rows.groupBy(name).agg(low.alias(f"{name}_low"), high.alias(f"{name}_high"), F.max("rest").alias(f"{name}_rest"))
 
 
 def _other(table: DataFrame, *columns: str) -> DataFrame:
@@ -166,16 +183,19 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5) -> DataFrame:
     table, _ = _dealt(pivot_table(vectors, pivots), VECTORS, "vb")
     queries, _ = _dealt(table.where(F.col("vec_id").isNotNull() & is_query).dropDuplicates(["vec_id", "q"]).drop("vb"), QUERIES, "qb")
     queries = cut(queries.join(table.select("row", "vb"), "row"))
-    side = ["row", "vec_id", "q", "norm", "to"]
+    side = ["row", "vec_id", "q", "at", "rest"]
     first = queries.select("vb", *side, F.lit(float("-inf")).alias("floor")).groupBy("vb").cogroup(_other(table, "vb", *side).groupBy("x_vb"))
     at_home = first.applyInPandas(lambda a, b: _search(a, b, k), OUT).groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("floor"))
     queries = cut(queries.drop("vb").join(at_home.withColumnRenamed("query", "row"), "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))))
 
-    asked = _ranges(queries, "qb", len(pivots)).join(queries.groupBy("qb").agg(F.min("floor").alias("least")), "qb")
-    gaps = F.zip_with(F.zip_with("qb_low", "vb_high", lambda a, b: a - b), F.zip_with("vb_low", "qb_high", lambda a, b: a - b), lambda a, b: F.greatest(a, b))
-    low = F.greatest(F.lit(0.0), F.coalesce(F.array_max(gaps), F.lit(0.0)) - 1e-6)
+    width = spanned(pivots).shape[1]
+    asked = _ranges(queries, "qb", width).join(queries.groupBy("qb").agg(F.min("floor").alias("least")), "qb")
+    ends = F.arrays_zip("qb_low", "qb_high", "vb_low", "vb_high")
+    most = F.aggregate(ends, F.lit(0.0), lambda a, x: a + F.greatest(*(x[q] * x[v] for q in ("qb_low", "qb_high") for v in ("vb_low", "vb_high"))))
+    largest = F.aggregate(ends, F.lit(0.0), lambda a, x: a + F.greatest(*(F.abs(x[q] * x[v]) for q in ("qb_low", "qb_high") for v in ("vb_low", "vb_high"))))
+    rests = F.col("qb_rest") * F.col("vb_rest")
     # blocks against blocks: a pair stays unless its ranges exclude it
-    pairs = asked.join(_ranges(table, "vb", len(pivots)), (F.col("qb_norm") + F.col("vb_norm") - low * low) / 2 + 1e-3 >= F.col("least")).select("qb", "vb")
+    pairs = asked.join(_ranges(table, "vb", width), most + rests + 2 * SLACK * (largest + rests) + LEAST >= F.col("least")).select("qb", "vb")
     pairs = cut(pairs)
     left = queries.join(pairs, "qb").select("qb", "vb", *side, "floor").groupBy("qb", "vb")
     right = _other(table.join(pairs, "vb"), "qb", "vb", *side).groupBy("x_qb", "x_vb")
