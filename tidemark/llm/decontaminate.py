@@ -14,10 +14,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import over_texts
+from tidemark.llm.common import over_texts, slices
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Words of one automaton at most; a larger benchmark is cut into several automata.
@@ -152,60 +152,65 @@ def hits(documents: DataFrame, benchmark: DataFrame, *, window: int = 13, id_col
     The items are read in blocks of at most BLOCK_WORDS words; each block is one broadcast
     automaton of that bounded size, and a text is streamed through the blocks one after another.
     """
-    sc = documents.sparkSession.sparkContext
+    *first, last = _blocks(benchmark, id_col, text_col, window)
+    return _through(_before(documents, first, text_col, into), last, text_col, into)
+
+
+def _before(documents: DataFrame, automata: list[SuffixAutomaton], text_col: str, into: str) -> DataFrame:
+    """The documents with the hits of some automata, or null where there are none."""
     out = documents.withColumn(into, F.lit(None).cast(f"struct<{HITS.replace(' long', ':long').replace('items ', 'items:').replace('spans ', 'spans:')}>"))
-    for automaton in _blocks(benchmark, id_col, text_col, window):
-        out = out.withColumn(into, _through(sc.broadcast(automaton))(F.col(text_col), F.col(into)))
+    for automaton in automata:
+        out = _through(out, automaton, text_col, into)
     return out
 
 
-def _through(shared):
-    def through(texts: list, before: list) -> list:
-        automaton = shared.value
-        rows = []
-        for text, old in zip(texts, before, strict=True):
-            words = words_of(text)
-            spans, items = automaton.scan(words)
-            if old is not None:
-                items = items.union(old["items"])
-                spans += [(x["start"], x["end"]) for x in old["spans"]]
-            spans = merged(spans) if spans else spans
-            rows.append({"n_words": len(words), "n_hit": sum(e - s for s, e in spans), "items": sorted(items), "spans": [{"start": s, "end": e} for s, e in spans]})
-        return rows
+def _scanned(automaton: SuffixAutomaton, text: str | None, old: dict | None) -> dict:
+    """A text's hits, with those of earlier blocks."""
+    words = words_of(text)
+    spans, items = automaton.scan(words)
+    if old is not None:
+        items = items.union(old["items"])
+        spans += [(x["start"], x["end"]) for x in old["spans"]]
+    spans = merged(spans) if spans else spans
+    return {"n_words": len(words), "n_hit": sum(e - s for s, e in spans), "items": sorted(items), "spans": [{"start": s, "end": e} for s, e in spans]}
 
-    return over_texts(through, HITS, ARROW)
 
+def _through(documents: DataFrame, automaton: SuffixAutomaton, text_col: str, into: str) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast(automaton)
+    run = lambda texts, before: [_scanned(shared.value, t, old) for t, old in zip(texts, before, strict=True)]
+    return documents.withColumn(into, over_texts(run, HITS, ARROW)(F.col(text_col), F.col(into)))
 
-def contaminated(hit: str = "hits", coverage: float = 0.05) -> Column:
-    """Over the coverage limit: hit words are at least this share of all words."""
-    return (F.col(f"{hit}.n_hit") > 0) & (F.col(f"{hit}.n_hit") >= F.lit(coverage) * F.col(f"{hit}.n_words"))
 
-
-def _without_spans(texts: list, hit: list, longest: list) -> list:
+def _without_spans(text: str, spans: list[dict], longest: int) -> str:
     """The text without its hit runs of over ``longest`` words."""
-    out = []
-    for text, spans, most in zip(texts, hit, longest, strict=True):
-        long = [] if spans is None else [x for x in spans["spans"] if x["end"] - x["start"] > most]
-        if text is not None and long:
-            raw = text.encode("utf-8", "surrogatepass")
-            at = [m.span() for m in WORD.finditer(raw.lower())]
-            kept, last = [], 0
-            for x in long:
-                kept.append(raw[last : at[x["start"]][0]])
-                last = at[x["end"] - 1][1]
-            text = b"".join([*kept, raw[last:]]).decode("utf-8", "surrogatepass")
-        out.append(text)
-    return out
+    raw = text.encode("utf-8", "surrogatepass")
+    at = [m.span() for m in WORD.finditer(raw.lower())]
+    kept, last = [], 0
+    for x in spans:
+        if x["end"] - x["start"] > longest:
+            kept.append(raw[last : at[x["start"]][0]])
+            last = at[x["end"] - 1][1]
+    return b"".join([*kept, raw[last:]]).decode("utf-8", "surrogatepass")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = 13, coverage: float = 0.05, longest_span: int = 50) -> DataFrame:
-    """The documents under the coverage limit, without hit runs of over ``longest_span`` words."""
+    """The documents under the coverage limit, without hit runs of over ``longest_span`` words; the last block's pass decides and cuts."""
     tmp = "__hits"
-    scanned = hits(documents, benchmark, window=window, into=tmp)
-    kept = scanned.where(~contaminated(tmp, coverage))
-    long = F.exists(F.col(f"{tmp}.spans"), lambda x: x["end"] - x["start"] > longest_span)
-    text = F.when(long, over_texts(_without_spans, "string", pa.string())(F.col("text"), F.col(tmp), F.lit(longest_span))).otherwise(F.col("text"))
-    return kept.withColumn("text", text).select(*documents.columns)
+    *first, last = _blocks(benchmark, "item_id", "text", window)
+    shared, names = documents.sparkSession.sparkContext.broadcast(last), documents.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts, keep = batch["text"].to_pylist(), []
+            for i, (text, old) in enumerate(zip(texts, batch[tmp].to_pylist(), strict=True)):
+                hit = _scanned(shared.value, text, old)
+                keep.append(not (hit["n_hit"] > 0 and hit["n_hit"] >= coverage * hit["n_words"]))
+                if keep[-1] and any(x["end"] - x["start"] > longest_span for x in hit["spans"]):
+                    texts[i] = _without_spans(text, hit["spans"], longest_span)
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
+
+    return _before(documents, first, "text", tmp).mapInArrow(run, documents.schema)
 
 
 def report(documents: DataFrame, benchmark: DataFrame, *, window: int = 13) -> DataFrame:
