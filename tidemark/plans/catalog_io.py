@@ -86,6 +86,34 @@ def s10(t: Tables) -> DataFrame:
     return scans.json_status(t.spark, path)
 
 
+@query("s11_header_repair", "SELECT CAST(s_suppkey AS VARCHAR) AS k, CASE WHEN s_suppkey % 4 > 0 THEN s_acctbal END AS balance, CAST(s_nationkey AS DOUBLE) AS nation FROM supplier")
+def s11(t: Tables) -> DataFrame:
+    """A table whose header lacks its first column."""
+    path = scratch(t, "supplier.tsv")
+    balance = F.when(F.col("s_suppkey") % 4 > 0, F.col("s_acctbal").cast("string")).otherwise("NA")
+    rows = t.supplier.select(F.concat_ws("\t", F.col("s_suppkey").cast("string"), balance, F.col("s_nationkey").cast("string")).alias("value"))
+    t.spark.createDataFrame([("balance\tnation",)], "value string").union(rows).coalesce(1).write.text(path)
+    return scans.repaired_table(t.spark, path, "k")
+
+
+@query("s13_sequence_profile", "WITH q AS (SELECT length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n FROM documents) SELECT count(*) AS sequences, CAST(sum(n) AS BIGINT) AS residues, CAST(max(n) AS INTEGER) AS longest FROM q WHERE n > 0")
+def s13(t: Tables) -> DataFrame:
+    path = scratch(t, "records")
+    s = sequences(t).where("seq <> ''").select(F.col("doc_id").cast("string").alias("id"), "seq")
+    sinks.fasta_subsets(s, s.select("id", F.lit("all").alias("subset")), path)
+    return scans.sequence_profile(scans.fasta(t.spark, f"{path}/subset=all")).select("sequences", "residues", "longest")
+
+
+@query("s14_file_inventory", "SELECT CAST(r_regionkey AS VARCHAR) AS folder, sha256('region ' || r_name || chr(10)) AS sha256, md5('region ' || r_name || chr(10)) AS md5, CAST(length(r_name) + 8 AS BIGINT) AS bytes FROM region")
+def s14(t: Tables) -> DataFrame:
+    """The files under a root with sizes and digests, others excluded by name."""
+    path = scratch(t, "inventory")
+    t.region.select("r_regionkey", F.concat(F.lit("region "), "r_name").alias("value")).write.partitionBy("r_regionkey").text(path)
+    listed = scans.files(t.spark, path, exclude=r"_SUCCESS|\.crc").select("path", F.col("bytes").alias("listed"))
+    found = scans.file_digests(t.spark, path).join(listed, "path").where("bytes = listed")
+    return found.select(F.regexp_extract("path", r"r_regionkey=(\d+)/", 1).alias("folder"), "sha256", "md5", "bytes")
+
+
 @query("s12_tabular_profile", "SELECT count(*) AS rows, 0::BIGINT AS odd_rows FROM customer")
 def s12(t: Tables) -> DataFrame:
     path = scratch(t, "customer.tsv")
