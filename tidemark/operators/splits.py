@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +14,30 @@ def hash_order(seed: int, key: str) -> list[Column]:
     return [stable_hash(F.col(key), seed), F.col(key)]
 
 
+def same(left: list[str], right: list[str]) -> Column:
+    """Null-safe equality of columns."""
+    return reduce(Column.__and__, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)), F.lit(True))
+
+
+def placed(df: DataFrame, strata: list[str], key: str, seed: int) -> DataFrame:
+    """Adds ``place``, the rank of a row in its stratum by hash order, from 1.
+
+    A stratum is dealt out by the first digits of the hash: their counts are summed up first, then
+    rows are ranked inside, so a large stratum is many tasks.  Nulls in strata are a value.
+    """
+    rows = df.withColumn("__h", stable_hash(F.col(key), seed)).withColumn("__lead", F.substring("__h", 1, 3))
+    sums = rows.groupBy(*strata, "__lead").agg(F.count(F.lit(1)).alias("__n"))
+    over = Window.partitionBy(*strata).orderBy("__lead").rowsBetween(Window.unboundedPreceding, -1)
+    names = [*(f"__s{i}" for i in range(len(strata))), "__l"]
+    before = sums.withColumn("__before", F.coalesce(F.sum("__n").over(over), F.lit(0))).select(*(F.col(c).alias(n) for c, n in zip([*strata, "__lead"], names, strict=True)), "__before")
+    inside = F.row_number().over(Window.partitionBy(*strata, "__lead").orderBy("__h", key))
+    out = rows.withColumn("__inside", inside).join(before, same([*strata, "__lead"], names))
+    return out.withColumn("place", (F.col("__before") + F.col("__inside")).cast("int")).drop(*names, "__before", "__inside", "__h", "__lead")
+
+
 def capped(df: DataFrame, strata: list[str], key: str, cap: int | Column, seed: int) -> DataFrame:
     """At most ``cap`` rows of each stratum, the first in hash order."""
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(*hash_order(seed, key)))
-    return df.withColumn("place", place).where(F.col("place") <= cap)
+    return placed(df, strata, key, seed).where(F.col("place") <= cap)
 
 
 def split_of(group: Column, seed: int, train: float = 0.70, validation: float = 0.85) -> Column:
@@ -35,16 +57,15 @@ def quantile_bins(df: DataFrame, column: str, bins: int, into: str) -> DataFrame
 
 def matched(df: DataFrame, cell: list[str], label: str, values: tuple[str, str], key: str, seed: int) -> DataFrame:
     """Coarsened exact matching: in each cell as many rows of either label as the rarer one has, first by hash.  Missing cell values are a value of their own."""
-    w = Window.partitionBy(*cell)
-    quota = F.least(*(F.sum(F.when(F.col(label) == v, 1).otherwise(0)).over(w) for v in values))
-    place = F.row_number().over(Window.partitionBy(*cell, label).orderBy(*hash_order(seed, key)))
-    return df.where(F.col(label).isin(*values)).withColumns({"quota": quota, "place": place}).where("place <= quota")
+    rows = df.where(F.col(label).isin(*values))
+    names = [f"__c{i}" for i in range(len(cell))]
+    quotas = rows.groupBy(*(F.col(c).alias(n) for c, n in zip(cell, names, strict=True))).agg(F.least(*(F.count_if(F.col(label) == v) for v in values)).alias("quota"))
+    return placed(rows, [*cell, label], key, seed).join(quotas, same(cell, names)).where("place <= quota").drop(*names)
 
 
 def quota_sample(df: DataFrame, quotas: DataFrame, strata: list[str], key: str, seed: int) -> DataFrame:
     """Rows of each stratum up to its quota, in hash order."""
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(*hash_order(seed, key)))
-    return df.withColumn("place", place).join(quotas, strata).where("place <= quota")
+    return placed(df, strata, key, seed).join(quotas, strata).where("place <= quota")
 
 
 def split_quotas(total: Column) -> dict[str, Column]:
