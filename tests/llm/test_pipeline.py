@@ -2,9 +2,10 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_operators import brute_components, brute_hits
+from tests.llm.test_operators import DOC, ODD, brute_components, brute_hits
 from tidemark.llm.common import table
 from tidemark.llm.queries import QUERIES, SQL
 
@@ -41,3 +42,20 @@ def test_stages(spark, sf, tmp_path):
         if name == "packing":
             assert after == set(before)
         docs = out
+
+
+def test_stages_on_odd_rows(spark, sf, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, extra columns with clashing names; and an empty table."""
+    clash = {"cls": F.lit(1), "key": F.lit(2), "th": F.lit(3), "hits": F.lit("x"), "lines": F.lit(4), "ids": F.lit(5), "__label": F.lit("l")}
+    odd = spark.createDataFrame([*ODD, (7, "the cat sat on the mat", "en", "b", 22), (8, "the cat sat on the mat", "en", "b", 22), (None, None, None, None, None)], DOC).withColumns(clash)
+    for name, docs in (("odd", odd), ("empty", odd.limit(0))):
+        columns = docs.columns
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, sf).write.parquet(f"{tmp_path}/{name}{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
+        if name == "odd":
+            kept = {r.doc_id for r in docs.collect()}
+            assert {4, 5, 6, 7} <= kept and not kept & {1, 2, 3, 8}
+        else:
+            assert docs.count() == 0
