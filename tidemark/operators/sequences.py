@@ -90,9 +90,10 @@ def kmer_counts(df: DataFrame, key: str, s: str, sizes: range) -> DataFrame:
     value[np.frombuffer(b"ACGT", dtype=np.uint8)] = np.arange(4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = {k: pa.array(["".join(x) for x in product("ACGT", repeat=k)]) for k in sizes}
+        names = pa.array(["".join(x) for k in range(1, sizes[-1] + 1) for x in product("ACGT", repeat=k)])
+        first = {k: sum(4**j for j in range(1, k)) for k in sizes}
         for batch in batches:
-            keys, found, counts = [], [], []
+            keys, found, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, text in enumerate(batch[1].to_pylist()):
                 base = value[np.frombuffer((text or "").encode("ascii", "replace"), dtype=np.uint8)]
                 code = base
@@ -104,13 +105,12 @@ def kmer_counts(df: DataFrame, key: str, s: str, sizes: range) -> DataFrame:
                         n = np.bincount(code[code >= 0], minlength=4**k)
                         at = np.flatnonzero(n)
                         keys.append((i, k))
-                        found.append(names[k].take(pa.array(at)))
+                        found.append(at + first[k])
                         counts.append(n[at])
-            ends = pa.array(np.r_[0, np.cumsum([len(c) for c in counts])].astype(np.int32))
-            at, k = (np.array(x, dtype=np.int64) for x in zip(*keys, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [batch[0].take(pa.array(at)), pa.array(k.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.concat_arrays(found)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(counts)))], [key, "k", "kmers", "counts"]
-            )
+            ends = pa.array(np.cumsum([len(c) for c in counts]).astype(np.int32))
+            at, k = np.array(keys, dtype=np.int64).reshape(-1, 2).T
+            columns = [batch[0].take(pa.array(at)), pa.array(k.astype(np.int32)), pa.ListArray.from_arrays(ends, names.take(pa.array(np.concatenate(found)))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(counts)))]
+            yield pa.RecordBatch.from_arrays(columns, [key, "k", "kmers", "counts"])
 
     return df.select(key, s).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, k int, kmers array<string>, counts array<long>")
 

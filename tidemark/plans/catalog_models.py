@@ -251,7 +251,8 @@ def b07(t: Tables) -> DataFrame:
     SELECT doc_id, CAST(k AS INTEGER) AS k, count(*) AS n_kmers, CAST(sum(n) AS BIGINT) AS n_valid, round(max(share), 9) AS largest_share, sha256(string_agg(kmer || ':' || CAST(n AS VARCHAR), ',' ORDER BY kmer)) AS spectrum_sha256 FROM x GROUP BY 1, 2""")
 def b08(t: Tables) -> DataFrame:
     """The whole spectrum of each record and k = 1..6 as a digest, its size, and its largest share."""
-    c = B.kmer_counts(sequences(t), "doc_id", "seq", range(1, 7)).where(F.size("kmers") > 0)
+    # the work on a record outweighs its way through a shuffle, and a file of one row group would be one task
+    c = B.kmer_counts(sequences(t).repartition("doc_id"), "doc_id", "seq", range(1, 7)).where(F.size("kmers") > 0)
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
     text = F.array_join(F.zip_with("kmers", "counts", lambda k, n: F.concat(k, F.lit(":"), n.cast("string"))), ",")
     return c.select("doc_id", "k", F.size("kmers").cast("long").alias("n_kmers"), total.alias("n_valid"), r(F.array_max("counts") / total).alias("largest_share"), F.sha2(text, 256).alias("spectrum_sha256"))
