@@ -139,7 +139,10 @@ def _parts(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _keyed(documents: DataFrame, *columns: str) -> DataFrame:
-    return documents.select(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("id"), F.xxhash64("text").alias("th"), "text", *columns)
+    """id, th, text: the key (id, th) names one text.  th is the text's hash where an id has several texts (null ids are one), else 0, which takes no room."""
+    d = documents.select(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("id"), F.xxhash64("text").alias("th"), "text", *columns)
+    several = d.groupBy("id").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").limit(1).count()
+    return d if several else d.withColumn("th", F.lit(0).cast("long"))
 
 
 def _anchors(keyed: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -396,10 +399,9 @@ def _sorted_windows(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("gram").sortWithinPartitions("gram").mapInPandas(run, "id long, th long, start long, end long")
 
 
-def repeats(documents: DataFrame) -> DataFrame:
-    """id, th, spans: the bytes of each document that repeated windows cover, overlaps included."""
-    keyed = _keyed(documents)
-    frequent = _frequent_grams(keyed, documents.count())
+def repeats(keyed: DataFrame) -> DataFrame:
+    """id, th, spans: the bytes of each document (id, th, text) that repeated windows cover, overlaps included."""
+    frequent = _frequent_grams(keyed, keyed.count())
     resolved = cut(_resolved(_anchors(keyed, frequent)))
     found = _covered(resolved).union(_sorted_windows(_contexts(keyed, resolved)))
     if len(frequent):
@@ -432,6 +434,7 @@ def _cut_out(with_bytes: bool):
 
 def report(documents: DataFrame, *, with_bytes: bool = False) -> DataFrame:
     """One row for each document: bytes, removed bytes and runs, and the hash of what is left (``with_bytes``: what is left itself)."""
-    joined = _keyed(documents, "doc_id").join(repeats(documents), ["id", "th"], "left")
+    keyed = _keyed(documents, "doc_id")
+    joined = keyed.join(repeats(keyed.select("id", "th", "text")), ["id", "th"], "left")
     out = joined.withColumn("r", _cut_out(with_bytes)(F.col("text"), F.col("spans")))
     return out.select("doc_id", "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256", *(["r.kept"] if with_bytes else []))
