@@ -434,7 +434,10 @@ def _cut_out(with_bytes: bool):
 
 def report(documents: DataFrame, *, with_bytes: bool = False) -> DataFrame:
     """One row for each document: bytes, removed bytes and runs, and the hash of what is left (``with_bytes``: what is left itself)."""
-    keyed = _keyed(documents, "doc_id")
+    # the id itself goes along only where it can't be told from the stand-in of a null: else both joins share one shuffle of the texts
+    both = documents.where(F.col("doc_id") == 2**63 - 1).limit(1).count() > 0
+    keyed = _keyed(documents, *(["doc_id"] if both else []))
     joined = keyed.join(repeats(keyed.select("id", "th", "text")), ["id", "th"], "left")
+    joined = joined if both else joined.withColumn("doc_id", F.when(F.col("id") != 2**63 - 1, F.col("id")))
     out = joined.withColumn("r", _cut_out(with_bytes)(F.col("text"), F.col("spans")))
     return out.select("doc_id", "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256", *(["r.kept"] if with_bytes else []))
