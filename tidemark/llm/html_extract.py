@@ -18,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,11 +51,34 @@ TAGS = {"h1": "h", "h2": "h", "h3": "h", "h4": "h", "h5": "h", "h6": "h", "ul":
 KNOWN = frozenset("h list menu control dialog form p li article main nav header footer aside div section body html table td blockquote pre figure".split())
 
 #: A value after "=" is quoted, or runs to the next blank or the tag's end, quotes inside included.
-ATTRS = r"(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^>=]|=)*+"
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW.split())})(?=[\s/>]){ATTRS}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({ATTRS})>|<[!?/][^>]*(?:>|\Z)|([^<]++|<)",
-    re.DOTALL | re.IGNORECASE,
-)
+ATTRS = r"(?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^>=]|=)*+"
+
+
+def _tokens(attrs: str) -> re.Pattern:
+    return re.compile(
+        rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW.split())})(?=[\s/>]){attrs}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({attrs})>|<[!?/][^>]*(?:>|\Z)|([^<]++|<)",
+        re.DOTALL | re.IGNORECASE,
+    )
+
+
+#: After a tag whose attributes run to the page's end, tags end with the next ">"; after the last one there are none.
+TOKEN, PLAIN, REST = _tokens(ATTRS), _tokens("[^>]*+"), re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>]*(?:>|\Z)|([^<]++|<)", re.DOTALL)
+
+
+def tokens(source: str) -> Iterator[tuple[str | None, bool, str | None, str]]:
+    """(text, closing, name, attributes) of each piece of text or tag, in time linear in the page."""
+    at, last, pattern = 0, source.rfind(">"), TOKEN
+    while at < len(source):
+        if at > last:
+            yield from ((m[1], False, None, "") for m in REST.finditer(source, at))
+            return
+        m = pattern.match(source, at)
+        at = m.end()
+        yield m[5], bool(m[2]), m[3], m[4]
+        if m[5] == "<" and pattern is TOKEN and source[at : at + 1].isalpha():
+            pattern = PLAIN
+
+
 NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
 
@@ -97,16 +121,25 @@ class Page:
         own, linked = [0], [0]
         self.pieces: list[tuple[int, int, str]] = []
         stack: list[tuple[str, int]] = [("html", 0)]
+        places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of a name in the stack
+        bounds = [0]
         block, links, hidden = 0, 0, 0
 
         def close(i: int) -> None:
             nonlocal links, hidden
-            links -= sum(t == "a" for t, _ in stack[i:])
-            hidden -= sum(t in HIDDEN for t, _ in stack[i:])
-            del stack[i:]
+            while len(stack) > i:
+                t, _ = stack.pop()
+                places[t].pop()
+                links -= t == "a"
+                hidden -= t in HIDDEN
+                if t in BOUNDS:
+                    bounds.pop()
+
+        def lowest(names: tuple[str, ...]) -> int:
+            """The place of the innermost open element of these names, or 0."""
+            return max((places[t][-1] for t in names if places[t]), default=0)
 
-        for m in TOKEN.finditer(source):
-            text = m[5]
+        for text, closing, name, attrs in tokens(source):
             if text is not None:
                 if hidden:
                     continue
@@ -116,16 +149,13 @@ class Page:
                 own[node] += size
                 linked[node] += size if links else 0
                 continue
-            name = m[3]
             if name is None:
                 continue
             name = name.lower()
-            if m[2]:
+            if closing:
                 block += name in BLOCK
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        close(i)
-                        break
+                if places[name]:
+                    close(places[name][-1])
                 continue
             if name in VOID:
                 block += name == "hr"
@@ -133,33 +163,30 @@ class Page:
                     self.pieces.append((stack[-1][1], block, " "))
                 continue
             if name == "html":
-                self.attrs[0] = m[4]
+                self.attrs[0] = attrs
                 continue
             block += name in BLOCK
-            if name in BLOCK and hidden:
+            if name in BLOCK and hidden and (drawing := lowest(("svg", "math"))):
                 # a block element ends a drawing or formula that it stands in
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in ("svg", "math"):
-                        close(i)
-                        break
+                close(drawing)
             if ends := CLOSES.get(name):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in ends:
-                        close(i)
-                    elif stack[i][0] in BOUNDS:
-                        break
+                while (i := lowest(ends)) and i >= bounds[-1]:
+                    close(i)
             node = stack[-1][1]
-            if name in BLOCK or NAMED.search(m[4]):
+            if name in BLOCK or NAMED.search(attrs):
                 self.parent.append(node)
                 self.tag.append(name)
-                self.attrs.append(m[4])
+                self.attrs.append(attrs)
                 own.append(0)
                 linked.append(0)
                 node = len(self.parent) - 1
-            if m[4].endswith("/") and name not in BLOCK:
+            if attrs.endswith("/") and name not in BLOCK:
                 continue
             links += name == "a"
             hidden += name in HIDDEN
+            places[name].append(len(stack))
+            if name in BOUNDS:
+                bounds.append(len(stack))
             stack.append((name, node))
         self._features(own, linked)
 
