@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import apart, cut, keyed
 
 KINDS = ("email", "ip", "card", "phone")
-#: Fixed patterns.  Those of the contract, written without repeated groups where Java's would recurse.
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
+#: Fixed patterns.  Those of the contract, written without repeated groups where Java's would recurse.  A match
+#: begins where its first run of characters does, or at the end of the match before: what fails from a run's
+#: start fails from everywhere in it, and no place of a run is tried but the first.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 #: On a text whose blanks and hyphens before anything but a digit are masked.
 CARD, MASKED = r"[0-9][\x20\-0-9]+", r"[\x20\-](?![0-9])"
 PHONE = r"\+[0-9][\x20().0-9\-]+[0-9]"
@@ -43,19 +45,39 @@ SUPPORT, DISCLOSURE = 3, 0.9
 SPAN = "struct<start:int,end:int,s:string>"
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _placed(text: Column, pattern: str | Column) -> Column:
-    """Matches of a pattern with their code point offsets: lengths of the pieces between them, added up."""
+    """Matches of a pattern with their code point offsets: lengths of the pieces between them, added up.
+
+    The pieces are taken in blocks of about the root of their number, first the blocks' lengths and
+    then the pieces of each block, as an array that grows by one is copied each time.
+    """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    walk = F.zip_with(pieces, found, lambda gap, s: F.struct(F.length(gap).alias("gap"), F.length(s).alias("n"), s.alias("s")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    walk = F.zip_with(pieces, found, lambda gap, s: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(s), F.lit(0)).alias("n"), s.alias("s")))
+    none = F.array().cast(f"array<{SPAN}>")
 
     def step(a: Column, x: Column) -> Column:
-        end = a["at"] + x["gap"] + x["n"]
-        span = F.struct((a["at"] + x["gap"]).alias("start"), end.alias("end"), x["s"].alias("s"))
+        start = a["at"] + x["gap"]
+        end = start + x["n"]
+        span = F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s"))
         return F.when(x["s"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out")))
 
-    return F.aggregate(walk, start, step, lambda a: a["out"])
+    def spans_of(block: Column, start: Column) -> Column:
+        return F.aggregate(block, F.struct(start.alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+    def by_blocks(w: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(w))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(w), size), lambda i: F.slice(w, i, size))
+        lengths = lambda bs: F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + x["n"]))
+        starts = lambda ls: F.aggregate(ls, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return _let(blocks, lambda bs: _let(starts(lengths(bs)), lambda at: F.flatten(F.zip_with(bs, F.slice(at, F.lit(1), F.size(bs)), spans_of))))
+
+    return _let(walk, by_blocks)
 
 
 def _luhn(digits: Column) -> Column:
@@ -142,7 +164,7 @@ def disclosing(documents: DataFrame, found: DataFrame) -> DataFrame:
     held = entities(found)
     by_text = held.groupBy("entity", "__th").agg(F.count(F.lit(1)).alias("times"))
     df_entity = by_text.groupBy("entity").agg(F.sum("times").alias("df_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts")
-    outside = F.regexp_replace(F.regexp_replace("text", f"{EMAIL}|{IP}", " "), SECRET, " ")
+    outside = F.regexp_replace(F.regexp_replace("text", f"(?:{EMAIL})|(?:{IP})", " "), SECRET, " ")
     texts = found.groupBy("__th").agg(F.min("text").alias("text")).select("__th", _words(outside).alias("words"))
     pairs = cut(texts.join(by_text.join(df_entity, "entity"), "__th").select("__th", "entity", "df_e", "times", F.explode("words").alias("term")))
     together = pairs.groupBy("entity", "df_e", "term").agg(F.sum("times").alias("df_et"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT)
