@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import hashing, labels, vectors
 from tidemark.operators import contracts, graph, inference, mapping, metrics, models, ood, packages, sequences, similarity, splits, stats
-from tidemark.sources import scans, sinks
+from tidemark.sources import scans, sinks, streams
 
 
 def one(df):
@@ -176,7 +176,7 @@ def test_archive_members(spark, tmp_path):
         info = tarfile.TarInfo("d/m.txt")
         info.size = 2
         tar.addfile(info, io.BytesIO(b"hi"))
-    r = scans.archive_members(spark, str(tmp_path)).first()
+    r = streams.archive_members(spark, str(tmp_path)).first()
     assert (r.member, r.bytes, r.sha256) == ("d/m.txt", 2, hashlib.sha256(b"hi").hexdigest())
 
 
@@ -185,7 +185,7 @@ def test_json_status_and_files(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text(text)
     assert {r.status: r.n for r in scans.json_status(spark, str(tmp_path)).collect()} == {"PASS": 1, "FAIL": 1, None: 1}
     assert scans.files(spark, str(tmp_path)).count() == 3
-    assert hashlib.md5(b"{").hexdigest() in {r.md5 for r in scans.file_digests(spark, str(tmp_path)).collect()}
+    assert hashlib.md5(b"{").hexdigest() in {r.md5 for r in streams.file_digests(spark, str(tmp_path)).collect()}
 
 
 def test_sinks_refuse_and_publish(spark, tmp_path):

@@ -12,7 +12,7 @@ from tidemark.operators.shared import shared_folder
 from tidemark.plans import pipelines as P
 from tidemark.plans.catalog_models import sequences
 from tidemark.plans.registry import Tables, query, r
-from tidemark.sources import scans, sinks
+from tidemark.sources import scans, sinks, streams
 from tidemark.streaming.registry import append_available
 
 
@@ -110,7 +110,7 @@ def s14(t: Tables) -> DataFrame:
     path = scratch(t, "inventory")
     t.region.select("r_regionkey", F.concat(F.lit("region "), "r_name").alias("value")).write.partitionBy("r_regionkey").text(path)
     listed = scans.files(t.spark, path, exclude=r"_SUCCESS|\.crc").select("path", F.col("bytes").alias("listed"))
-    found = scans.file_digests(t.spark, path).join(listed, "path").where("bytes = listed")
+    found = streams.file_digests(t.spark, path).join(listed, "path").where("bytes = listed")
     return found.select(F.regexp_extract("path", r"r_regionkey=(\d+)/", 1).alias("folder"), "sha256", "md5", "bytes")
 
 
@@ -203,7 +203,7 @@ def v04(t: Tables) -> DataFrame:
     path = scratch(t, "artifacts")
     body = F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string"))
     t.supplier.select(F.col("s_suppkey").alias("k"), body.alias("value")).write.partitionBy("k").text(path)
-    files = scans.file_digests(t.spark, path).select("path", F.regexp_extract("path", r"k=(\d+)/", 1).cast("long").alias("k"))
+    files = streams.file_digests(t.spark, path).select("path", F.regexp_extract("path", r"k=(\d+)/", 1).cast("long").alias("k"))
     line = F.concat(body, F.lit("\n"))
     wrong = F.col("s_suppkey") % 5
     digest = F.when(wrong == 1, F.sha2(body, 256)).when(wrong != 4, F.sha2(line, 256))
@@ -211,6 +211,44 @@ def v04(t: Tables) -> DataFrame:
     return verify_manifest(t.spark, manifest, path).groupBy("status", F.col("sha256_ok").isNotNull().alias("checked")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "v03_package_contract",
+    """WITH s AS (SELECT s_suppkey AS k, k AS kind, CASE WHEN s_suppkey % 10 = 3 AND k = 'b' THEN 0 ELSE 1 END AS indexed FROM supplier, (VALUES ('a'), ('b')) v(k))
+    SELECT 'null_fields' AS "check", count(*) FILTER (k % 10 = 4 AND kind = 'a') AS observed, count(*) FILTER (k % 10 = 4 AND kind = 'a') = 0 AS passed FROM s
+    UNION ALL SELECT c, n, n = 0 FROM (SELECT 'other_digests' AS c, count(*) FILTER (k % 10 = 1 AND kind = 'a') AS n FROM s UNION ALL SELECT 'other_sizes', count(*) FILTER (k % 10 = 2 AND kind = 'b') FROM s
+      UNION ALL SELECT 'unlisted_members', count(*) FILTER (indexed = 0) FROM s UNION ALL SELECT 'incomplete_kinds', count(DISTINCT k) FILTER (indexed = 0) FROM s
+      UNION ALL SELECT 'missing_ids', count(DISTINCT k) FILTER (k % 10 = 5) FROM s UNION ALL SELECT 'extra_ids', count(DISTINCT k) FILTER (k % 10 = 6) FROM s
+      UNION ALL SELECT c, 0 FROM (VALUES ('unsafe_members'), ('unexpected_kinds'), ('repeated_keys'), ('missing_members'), ('archives_of_several_digests'), ('other_archive_digests')) z(c))""",
+)
+def v03(t: Tables) -> DataFrame:
+    """Two members for each supplier in an archive for each nation; an index and a reference with known breaches."""
+    from tidemark.operators.packages import verify_packages
+
+    path = scratch(t, "packages")
+    one = t.supplier.select(F.col("s_suppkey").alias("k"), "s_nationkey", "s_name", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("kind"))
+    name = F.concat_ws("/", F.col("k").cast("string"), F.concat("kind", F.lit(".txt")))
+    body = F.concat_ws(" ", F.col("s_name"), F.repeat("kind", F.pmod("k", F.lit(700)).cast("int") + 1))
+    written = streams.write_archives(one.select(F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string"), F.lit(".tar")).alias("archive"), name.alias("member"), body.alias("content")), path)
+    case, kind = F.col("k") % 10, F.col("kind")
+    index = written.withColumns({"k": F.substring_index("member_path", "/", 1).cast("long"), "kind": F.regexp_extract("member_path", r"/(\w)\.", 1)}).where(~((case == 3) & (kind == "b")))
+    index = index.withColumns({
+        "original_sha256": F.when((case == 1) & (kind == "a"), F.sha2(F.lit("other"), 256)).when((case == 4) & (kind == "a"), None).otherwise(F.col("original_sha256")),
+        "original_bytes": F.col("original_bytes") + ((case == 2) & (kind == "b")).cast("long"),
+    })
+    reference = t.supplier.select(F.when(F.col("s_suppkey") % 10 == 6, -F.col("s_suppkey")).otherwise(F.col("s_suppkey")).alias("k"))
+    reference = reference.where("k >= 0").union(t.supplier.where("s_suppkey % 10 = 5").select(-F.col("s_suppkey")))
+    return verify_packages(t.spark, index, path, "k", ["a", "b"], reference)
+
+
+@query("s16_archive_members", "SELECT 'nation-' || s_nationkey || '.tar' AS archive, count(*) AS members, CAST(sum(strlen(s_name)) AS BIGINT) AS bytes, min(sha256(s_name)) AS least_sha256 FROM supplier GROUP BY 1")
+def s16(t: Tables) -> DataFrame:
+    """An archive for each nation with a member for each supplier, read back by ranges of members."""
+    path = scratch(t, "archives")
+    streams.write_archives(t.supplier.select(F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string"), F.lit(".tar")).alias("archive"), F.col("s_suppkey").cast("string").alias("member"), F.col("s_name").alias("content")), path)
+    found = streams.archive_members(t.spark, path)
+    return found.groupBy(F.substring_index("archive", "/", -1).alias("archive")).agg(F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("bytes"), F.min("sha256").alias("least_sha256"))
+
+
 _KMERS = """WITH q AS (SELECT doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTNN') AS s FROM documents),
     k AS (SELECT DISTINCT doc_id, unnest([substr(s, i, 12) FOR i IN range(1, length(s) - 10)]) AS kmer FROM q), n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY 1),
     rare AS (SELECT kmer FROM k WHERE doc_id % 10 > 1 GROUP BY 1 HAVING count(*) <= 20),

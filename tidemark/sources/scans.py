@@ -1,13 +1,9 @@
-"""Scans: delimited text, matrices, sequences, vector shards, JSON documents, file inventories, archives."""
+"""Scans: delimited text, matrices, sequences, vector shards, JSON documents, file listings (contents of any size: streams)."""
 
 from __future__ import annotations
 
-import io
-import tarfile
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,35 +82,11 @@ def files(spark: SparkSession, root: str, exclude: str | None = None) -> DataFra
     return df if exclude is None else df.where(~F.regexp_like("path", F.lit(exclude)))
 
 
-def file_digests(spark: SparkSession, root: str) -> DataFrame:
-    """path, bytes, sha256 and md5 of the files under a root."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return df.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
-
-
 def part_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows and bytes of each part of a Parquet table."""
     return spark.read.parquet(path).select(F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_size").alias("bytes")).groupBy("part", "bytes").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def archive_members(spark: SparkSession, root: str) -> DataFrame:
-    """archive, member, bytes, sha256 of the regular files in the tar archives under a root."""
-    import hashlib
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for path, content in zip(f["path"], f["content"], strict=True):
-                rows = []
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for m in tar:
-                        if m.isfile():
-                            body = tar.extractfile(m).read()
-                            rows.append((path, m.name, len(body), hashlib.sha256(body).hexdigest()))
-                yield pd.DataFrame(rows, columns=["archive", "member", "bytes", "sha256"])
-
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tar*").load(root).select("path", "content").mapInPandas(run, "archive string, member string, bytes long, sha256 string")
-
-
 def repaired_table(spark: SparkSession, path: str, first: str, sep: str = "\t") -> DataFrame:
     """A table whose header may lack its first column: one wider rows get it, mixed widths raise; all but the first column are numbers or null."""
     lines = spark.read.text(path)
