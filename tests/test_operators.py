@@ -289,15 +289,14 @@ def test_nearest_and_clusters_brute_force(spark):
     jac = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
     df = spark.createDataFrame([*enumerate(seqs), (99, None)], "id int, s string")
     train = [i for i in range(len(seqs)) if i % 3]
-    held = {}
-    for i in train:
-        for x in sets[i]:
-            held[x] = held.get(x, 0) + 1
-    got = {r.id: (r.nearest, r.jaccard) for r in similarity.nearest(df.where("id % 3 = 0"), df.where("id % 3 > 0"), "id", "s", rare=5).collect()}
-    for i in range(0, len(seqs), 3):
-        c = [j for j in train if any(held.get(x, 9) <= 5 for x in sets[i] & sets[j])]
-        best = max(c, key=lambda j: (jac(sets[i], sets[j]), -j), default=None)
-        assert got[i][0] == best and (best is None or abs(got[i][1] - jac(sets[i], sets[best])) < 1e-12)
+    for first, hits in ((1, 3), (5, 1), (10**6, 4)):
+        got = {}
+        for r in similarity.nearest(df.where("id % 3 = 0"), df.where("id % 3 > 0"), "id", "s", first=first, growth=2, hits=hits).collect():
+            got.setdefault(r.id, []).append((r.place, r.nearest, r.jaccard))
+        for i in range(0, len(seqs), 3):
+            want = sorted((j for j in train if sets[i] & sets[j]), key=lambda j: (-jac(sets[i], sets[j]), j))[:hits]
+            assert [x[1] for x in sorted(got[i], key=lambda x: x[0] or 0)] == (want or [None])
+            assert all(abs(x[2] - jac(sets[i], sets[x[1]])) < 1e-12 for x in got[i] if want)
     comp = list(range(len(seqs)))
     for a in range(len(seqs)):
         for b in range(a):
@@ -379,7 +378,7 @@ def test_selection_classes_and_controls(spark, two_classes):
     assert m["auroc"] > 0.9 and c in (0.01, 0.1, 1.0, 10.0, 100.0)
     out = models.multiclass(two_classes, "e", "c", F.col("split") == "train").where("split <> 'train'")
     assert out.agg(F.avg((F.col("predicted") == F.col("c")).cast("int"))).first()[0] > 0.85 and len(out.first().logits) == 3
-    noise, _ = models.selected_logistic(models.random_features(two_classes.drop("e"), 4, 1, "e"), "e", "y", "split", grid=(1.0,))
+    noise, _ = models.selected_logistic(models.random_features(two_classes.drop("e"), "id", 4, 1, "e"), "e", "y", "split", grid=(1.0,))
     controls = models.near_chance(metrics.ranking(noise.where("split = 'test'"), [], "probability", "y"), 1 / 3).first()
     assert controls.near_chance and not models.near_chance(spark.createDataFrame([(0.9, 0.9)], "auroc double, average_precision double"), 0.3).first().near_chance
     table = models.predictions(scored, "id", "c", "y", "probability", "split", task="t", representation="native", config={"C": c})

@@ -6,45 +6,35 @@ scores only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.shared import reliable
+from tidemark.operators.contracts import same
+from tidemark.operators.ranges import FEW, running
 
 
 def curve(df: DataFrame, group: list[str], score: str, label: str, weight: Column | None = None) -> DataFrame:
     """tp, fp at each distinct score from high to low, the totals, and tp and fp of the score before and after.
 
-    Without a group the scores are summed up in ranges, so no task holds them all.
+    The scores are summed up in ranges, so no task holds a group.
     """
     w = F.lit(1.0) if weight is None else weight
     by_score = df.where(F.col(score).isNotNull()).groupBy(*group, score).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("__p"), F.sum(F.when(F.col(label) == 1, 0.0).otherwise(w)).alias("__n"))
+    out = running(by_score, group, [score], {"__p": "tp", "__n": "fp"}, descending=True)
+    totals = by_score.groupBy(*group).agg(F.sum("__p").alias("pos"), F.sum("__n").alias("neg"))
     if group:
-        down = Window.partitionBy(*group).orderBy(F.desc(score))
-        run, whole = down.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*group)
-        out = by_score.withColumns({"tp": F.sum("__p").over(run), "fp": F.sum("__n").over(run), "pos": F.sum("__p").over(whole), "neg": F.sum("__n").over(whole), "__p1": F.lead("__p").over(down), "__n1": F.lead("__n").over(down)})
+        names = [f"__t{i}" for i in range(len(group))]
+        totals = totals.select(*(F.col(c).alias(n) for c, n in zip(group, names, strict=True)), "pos", "neg")
+        out = out.join(F.broadcast(totals) if totals.limit(FEW + 1).count() <= FEW else totals, same(group, names)).drop(*names)
     else:
-        out = running_sums(by_score, score, {"__p": "tp", "__n": "fp"}, descending=True)
-        out = out.crossJoin(F.broadcast(by_score.agg(F.sum("__p").alias("pos"), F.sum("__n").alias("neg"))))
+        out = out.crossJoin(F.broadcast(totals))
     before = {"tp0": F.col("tp") - F.col("__p"), "fp0": F.col("fp") - F.col("__n"), "tp1": F.col("tp") + F.col("__p1"), "fp1": F.col("fp") + F.col("__n1")}
     return out.withColumns(before).drop("__p1", "__n1")
 
 
 def running_sums(df: DataFrame, order: str, sums: dict[str, str], *, descending: bool = False) -> DataFrame:
-    """Adds running sums of columns in the order of another (of distinct values), under the names given, and each column's next value (``__p`` gives ``__p1``).
-
-    The rows are dealt out in ranges; the sums of whole ranges are added up first, then those inside.
-    """
-    by = F.desc(order) if descending else F.asc(order)
-    ranged = reliable(df.repartitionByRange(by).withColumn("__part", F.spark_partition_id()))
-    ends = F.max_by if descending else F.min_by
-    parts = ranged.groupBy("__part").agg(*(F.sum(c).alias(f"__sum{c}") for c in sums), *(ends(c, order).alias(f"__first{c}") for c in sums))
-    over = Window.orderBy("__part")
-    before = parts.select("__part", *(F.coalesce(F.sum(f"__sum{c}").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias(f"__before{c}") for c in sums), *(F.lead(f"__first{c}").over(over).alias(f"__next{c}") for c in sums))
-    inside = Window.partitionBy("__part").orderBy(by)
-    out = ranged.join(F.broadcast(before), "__part")
-    out = out.withColumns({name: F.col(f"__before{c}") + F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)) for c, name in sums.items()} | {f"{c}1": F.coalesce(F.lead(c).over(inside), F.col(f"__next{c}")) for c in sums})
-    return out.drop("__part", *(f"__{k}{c}" for k in ("before", "next") for c in sums))
+    """Adds running sums of columns in the order of another (of distinct values), under the names given, and each column's next value (``__p`` gives ``__p1``)."""
+    return running(df, [], [order], sums, descending=descending)
 
 
 def ranking(df: DataFrame, group: list[str], score: str, label: str, weight: Column | None = None, recall: float = 0.95) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import stable_hash
 from tidemark.operators.contracts import ContractError, checked_join
 from tidemark.operators.metrics import ranking
+from tidemark.operators.ranges import ranked
 
 
 def scaled(df: DataFrame, columns: list[str], train) -> DataFrame:
@@ -157,16 +159,17 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def permuted_labels(df: DataFrame, key: str, label: str, by: str, seed: int) -> DataFrame:
-    """Labels dealt anew within ``by``: the i-th row by key gets the label of the i-th row by hash."""
-    w = Window.partitionBy(by)
-    a = df.withColumn("__i", F.row_number().over(w.orderBy(key)))
-    b = df.select(by, label, key).withColumn("__i", F.row_number().over(w.orderBy(stable_hash(F.col(key), seed), key))).select(by, "__i", F.col(label).alias("__new"))
+    """Labels dealt anew within ``by``: the i-th row by key gets the label of the i-th row by hash.  Rows are placed in ranges, so a large ``by`` is many tasks."""
+    a = ranked(df, [by], [key], "__i")
+    b = ranked(df.select(by, label, key).withColumn("__h", stable_hash(F.col(key), seed)), [by], ["__h", key], "__i").select(by, "__i", F.col(label).alias("__new"))
     return a.join(b, [by, "__i"]).drop("__i", label).withColumnRenamed("__new", label)
 
 
-def random_features(df: DataFrame, width: int, seed: int, into: str) -> DataFrame:
-    """A null control: standard normal features that know nothing of the row."""
-    return df.withColumn(into, F.array(*(F.randn(seed + i) for i in range(width))))
+def random_features(df: DataFrame, key: str, width: int, seed: int, into: str) -> DataFrame:
+    """A null control: standard normal features by the hash of the key and the place (Box and Muller), which know nothing else of the row."""
+    uniform = lambda i, part: (F.pmod(F.xxhash64(key, F.lit(seed), i, F.lit(part)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    normal = lambda i: F.sqrt(-2 * F.log(uniform(i, 0))) * F.cos(2 * math.pi * uniform(i, 1))
+    return df.withColumn(into, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), normal))
 
 
 def near_chance(metrics: DataFrame, prevalence: float, within: float = 0.1) -> DataFrame:

@@ -80,33 +80,43 @@ def protein_composition(s: Column) -> dict[str, Column]:
     return {f"aa_{a}": F.coalesce(F.try_divide(letters(s, a), n), F.lit(0.0)) for a in PROTEIN_LETTERS}
 
 
+#: The bases of a k-mer's number, in order.
+_BASE = np.full(256, -1, dtype=np.int64)
+_BASE[np.frombuffer(b"ACGT", dtype=np.uint8)] = np.arange(4)
+
+
+def kmer_codes(text: str | None, sizes: range) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each size: k, the k-mers of valid bases that occur, as numbers in base four and in order, and how often.
+
+    A k-mer's number is made from that of the size before it, so a record takes time in proportion to its length.
+    """
+    base = _BASE[np.frombuffer((text or "").encode("ascii", "replace"), dtype=np.uint8)]
+    code = base
+    for k in range(1, sizes[-1] + 1):
+        if k > 1:
+            head, tail = code[: max(0, len(base) - k + 1)], base[k - 1 :]
+            code = np.where((head < 0) | (tail < 0), -1, head * 4 + tail)
+        if k in sizes:
+            n = np.bincount(code[code >= 0], minlength=4**k)
+            at = np.flatnonzero(n)
+            yield k, at, n[at]
+
+
 def kmer_counts(df: DataFrame, key: str, s: str, sizes: range) -> DataFrame:
     """key, k, kmers, counts: of each record and size the k-mers of valid bases that occur, in order, and how often.
 
-    A k-mer is a number in base four, made from that of the size before it, so a record takes time in
-    proportion to its length.  Null and short records give empty rows.
+    Null and short records give empty rows.
     """
-    value = np.full(256, -1, dtype=np.int64)
-    value[np.frombuffer(b"ACGT", dtype=np.uint8)] = np.arange(4)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(["".join(x) for k in range(1, sizes[-1] + 1) for x in product("ACGT", repeat=k)])
         first = {k: sum(4**j for j in range(1, k)) for k in sizes}
         for batch in batches:
             keys, found, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, text in enumerate(batch[1].to_pylist()):
-                base = value[np.frombuffer((text or "").encode("ascii", "replace"), dtype=np.uint8)]
-                code = base
-                for k in range(1, sizes[-1] + 1):
-                    if k > 1:
-                        head, tail = code[: max(0, len(base) - k + 1)], base[k - 1 :]
-                        code = np.where((head < 0) | (tail < 0), -1, head * 4 + tail)
-                    if k in sizes:
-                        n = np.bincount(code[code >= 0], minlength=4**k)
-                        at = np.flatnonzero(n)
-                        keys.append((i, k))
-                        found.append(at + first[k])
-                        counts.append(n[at])
+                for k, at, n in kmer_codes(text, sizes):
+                    keys.append((i, k))
+                    found.append(at + first[k])
+                    counts.append(n)
             ends = pa.array(np.cumsum([len(c) for c in counts]).astype(np.int32))
             at, k = np.array(keys, dtype=np.int64).reshape(-1, 2).T
             columns = [batch[0].take(pa.array(at)), pa.array(k.astype(np.int32)), pa.ListArray.from_arrays(ends, names.take(pa.array(np.concatenate(found)))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(counts)))]

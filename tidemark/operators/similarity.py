@@ -24,15 +24,47 @@ def _shared(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return common.withColumn("jaccard", F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))
 
 
-def nearest(queries: DataFrame, train: DataFrame, key: str, seq: str, *, k: int = 12, rare: int = 20) -> DataFrame:
-    """key, nearest, jaccard: for each query the train record of the largest Jaccard index of k-mer sets (ties to the smallest key) out of those that share a k-mer which at most ``rare`` train records hold; null where none does."""
-    q = reliable(kmer_sets(queries, key, seq, k).withColumnRenamed(key, "id"))
-    t = reliable(kmer_sets(train, key, seq, k).withColumnRenamed(key, "id"))
-    few = t.groupBy("kmer").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") <= rare).select("kmer")
-    pairs = q.select(F.col("id").alias("a"), "kmer").join(few, "kmer").join(t.select(F.col("id").alias("b"), "kmer"), "kmer").select("a", "b").distinct()
-    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("jaccard"), "b"))
-    hits = _shared(pairs, q, t).withColumn("place", best).where("place = 1").select(F.col("a").alias(key), F.col("b").alias("nearest"), "jaccard")
-    return queries.select(key).join(hits, key, "left")
+def nearest(queries: DataFrame, train: DataFrame, key: str, seq: str, *, k: int = 12, hits: int = 1, first: int = 20, growth: int = 16) -> DataFrame:
+    """key, place, nearest, jaccard: for each query the ``hits`` train records of the largest Jaccard index of k-mer sets, ties to the smallest key; null where no record shares a k-mer.
+
+    A query's k-mers that train records hold are put in order, those that the fewest hold first.  A
+    record that shares none before place p shares m - p of the m at most, so its index is (m - p) / n at
+    most, n being all of the query's k-mers; sizes that are too far apart bound it as well.  In rounds,
+    k-mers held by up to ``first`` records, then by ``growth`` times as many, and at last by any number,
+    give candidates; from then on a query needs only those k-mers whose bound its last hit doesn't
+    beat.  So k-mers that many records hold are looked up for those queries only that they can still
+    serve, and the result is that of all pairs.
+    """
+    q = kmer_sets(queries, key, seq, k).select(F.col(key).alias("a"), F.col("n").alias("na"), "kmer")
+    t = reliable(kmer_sets(train, key, seq, k).select(F.col(key).alias("b"), F.col("n").alias("nb"), "kmer"))
+    held = t.groupBy("kmer").agg(F.count(F.lit(1)).alias("held"))
+    own = Window.partitionBy("a")
+    q = q.join(held, "kmer").withColumns({"place": F.row_number().over(own.orderBy("held", "kmer")) - 1, "m": F.count(F.lit(1)).over(own)})
+    q = reliable(q.withColumn("most", (F.col("m") - F.col("place")) / F.col("na")).select("a", "na", "kmer", "held", "most"))
+    sets = lambda d, x, n: reliable(d.groupBy(x, n).agg(F.collect_list("kmer").alias(f"s{x}")))
+    sa, sb = sets(q, "a", "na"), sets(t, "b", "nb")
+    best = Window.partitionBy("a").orderBy(F.desc("jaccard"), "b")
+    found = done = None
+    low, high = 0, first
+    while True:
+        more = q.where((F.col("held") > low) & (F.col("held") <= high))
+        if found is None:
+            more = more.withColumn("floor", F.lit(0.0))
+        else:
+            floors = found.where(F.col("place") == hits).select("a", F.col("jaccard").alias("floor"))
+            more = more.join(floors, "a", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))).where("most >= floor")
+        met = more.join(t, "kmer").where(F.least("na", "nb") >= F.col("floor") * F.greatest("na", "nb")).select("a", "b").distinct()
+        pairs = reliable(met if done is None else met.join(done, ["a", "b"], "left_anti"))
+        common = F.size(F.array_intersect("sa", "sb"))
+        scored = pairs.join(sa, "a").join(sb, "b").select("a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("jaccard"))
+        every = scored if found is None else scored.unionByName(found.drop("place"))
+        found = reliable(every.withColumn("place", F.row_number().over(best)).where(F.col("place") <= hits))
+        if high >= 2**62 or not q.where(F.col("held") > high).limit(1).count():
+            break
+        done = pairs if done is None else done.unionByName(pairs)
+        low, high = high, high * growth if high * growth <= 10**6 else 2**62
+    out = found.select(F.col("a").alias(key), "place", F.col("b").alias("nearest"), "jaccard")
+    return queries.select(key).join(out, key, "left")
 
 
 def clusters(records: DataFrame, key: str, seq: str, *, k: int = 12, identity: float = 0.30, coverage: float = 0.80) -> DataFrame:

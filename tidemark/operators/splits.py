@@ -8,17 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import stable_hash, uniform, uniform32
+from tidemark.operators.contracts import same
+from tidemark.operators.ranges import quantiles
 
 
 def hash_order(seed: int, key: str) -> list[Column]:
     return [stable_hash(F.col(key), seed), F.col(key)]
 
 
-def same(left: list[str], right: list[str]) -> Column:
-    """Null-safe equality of columns."""
-    return reduce(Column.__and__, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)), F.lit(True))
-
-
 def placed(df: DataFrame, strata: list[str], key: str, seed: int) -> DataFrame:
     """Adds ``place``, the rank of a row in its stratum by hash order, from 1.
 
@@ -49,7 +46,8 @@ def split_of(group: Column, seed: int, train: float = 0.70, validation: float =
 def quantile_bins(df: DataFrame, column: str, bins: int, into: str) -> DataFrame:
     """Right-closed quantile bins with repeated edges dropped; nulls get the median; one value gives bin 0."""
     probs = [i / bins for i in range(bins + 1)]
-    edges = df.agg(F.percentile(column, F.array(*map(F.lit, probs))).alias("__e"), F.percentile(column, F.lit(0.5)).alias("__m"))
+    names = {f"__q{i}": p for i, p in enumerate(probs)}
+    edges = quantiles(df, [], column, {**names, "__m": 0.5}).select(F.array(*names).alias("__e"), "__m")
     inner = lambda e: F.slice(F.array_distinct(e), 2, F.greatest(F.size(F.array_distinct(e)) - 2, F.lit(0)))
     x = F.coalesce(F.col(column), F.col("__m"))
     return df.crossJoin(F.broadcast(edges)).withColumn(into, F.size(F.filter(inner(F.col("__e")), lambda e: e < x)).cast("int")).drop("__e", "__m")

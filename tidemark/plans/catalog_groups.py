@@ -9,6 +9,7 @@ from tidemark.functions.labels import support_state
 from tidemark.operators import contracts as C
 from tidemark.operators import mapping as M
 from tidemark.operators import matrix as X
+from tidemark.operators.ranges import quantiles, ranked
 from tidemark.plans.catalog_rows import ANNOTATED, annotated
 from tidemark.plans.registry import Tables, query, r
 
@@ -150,8 +151,9 @@ def a13(t: Tables) -> DataFrame:
 
 @query("a14_group_quantiles", "SELECT l_suppkey, count(*) AS n, round(avg(l_quantity), 9) AS mean, round(quantile_cont(l_quantity, 0.5), 9) AS median, round(quantile_cont(l_quantity, 0.25), 9) AS q25, round(quantile_cont(l_quantity, 0.75), 9) AS q75, min(l_quantity) AS least, max(l_quantity) AS most FROM lineitem GROUP BY 1")
 def a14(t: Tables) -> DataFrame:
-    q = lambda p: r(F.percentile("l_quantity", F.lit(p)))
-    return t.lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), r(F.avg("l_quantity")).alias("mean"), q(0.5).alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))
+    facts = t.lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), r(F.avg("l_quantity")).alias("mean"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))
+    q = quantiles(t.lineitem, ["l_suppkey"], "l_quantity", {"median": 0.5, "q25": 0.25, "q75": 0.75})
+    return facts.join(q, "l_suppkey", "left").withColumns({c: r(c) for c in ("median", "q25", "q75")})
 
 
 _MONTHS = "WITH m AS (SELECT l_suppkey, x.month, coalesce(sum(l_quantity), 0) AS q, coalesce(avg(CAST(l_discount > 0 AS INT)), 0) AS d FROM (SELECT DISTINCT l_suppkey FROM lineitem) s CROSS JOIN (SELECT unnest(range(1, 13)) AS month) x LEFT JOIN lineitem l USING (l_suppkey) WHERE month(l_shipdate) = x.month OR l_shipdate IS NULL GROUP BY 1, 2), f AS (SELECT s.l_suppkey, x.month, coalesce(q, 0) AS q, coalesce(d, 0) AS d FROM (SELECT DISTINCT l_suppkey FROM lineitem) s CROSS JOIN (SELECT unnest(range(1, 13)) AS month) x LEFT JOIN m USING (l_suppkey, month))"
@@ -271,8 +273,9 @@ def a28(t: Tables) -> DataFrame:
 @query("a29_size_percentiles", "SELECT lang, round(quantile_cont(length(text), 0.5), 6) AS p50, round(quantile_cont(length(text), 0.9), 6) AS p90, round(quantile_cont(length(text), 0.999), 6) AS p999, round(avg(CAST(length(text) > 4096 AS INT)), 9) AS over FROM documents GROUP BY lang")
 def a29(t: Tables) -> DataFrame:
     n = F.length("text")
-    p = F.percentile(n, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.999)))
-    return t.documents.groupBy("lang").agg(p.alias("p"), r(F.avg((n > 4096).cast("int"))).alias("over")).select("lang", r(F.col("p")[0], 6).alias("p50"), r(F.col("p")[1], 6).alias("p90"), r(F.col("p")[2], 6).alias("p999"), "over")
+    q = quantiles(t.documents, ["lang"], n, {"p50": 0.5, "p90": 0.9, "p999": 0.999})
+    over = t.documents.groupBy(F.col("lang").alias("__lang")).agg(r(F.avg((n > 4096).cast("int"))).alias("over"))
+    return over.join(q, C.same(["__lang"], ["lang"]), "left").select(F.col("__lang").alias("lang"), *(r(c, 6).alias(c) for c in ("p50", "p90", "p999")), "over")
 
 
 _FAMILY = "WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax - 0.04 AS s1, l_discount - 0.05 AS s2, (l_quantity - 25) / 500 AS s3 FROM lineitem)"
@@ -307,8 +310,9 @@ def a33(t: Tables) -> DataFrame:
 
 @query("w05_running_count", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS place FROM lineitem")
 def w05(t: Tables) -> DataFrame:
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.row_number().over(w) - 1).cast("long").alias("place"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    placed = ranked(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "place")
+    return placed.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("place") - 1).alias("place"))
 
 
 @query("w06_partition_count", "SELECT event_id, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events")
@@ -419,8 +423,8 @@ def v14(t: Tables) -> DataFrame:
 
 @query("v15_interval_sanity", "WITH c AS (SELECT l_suppkey, avg(l_quantity) AS m, quantile_cont(l_quantity, 0.025) AS lo, quantile_cont(l_quantity, 0.975) AS hi FROM lineitem GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (m < lo OR m > hi) AS n_outside FROM c")
 def v15(t: Tables) -> DataFrame:
-    c = t.lineitem.groupBy("l_suppkey").agg(F.avg("l_quantity").alias("m"), F.percentile("l_quantity", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
-    return c.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("m") < F.col("p")[0]) | (F.col("m") > F.col("p")[1])).alias("n_outside"))
+    c = t.lineitem.groupBy("l_suppkey").agg(F.avg("l_quantity").alias("m")).join(quantiles(t.lineitem, ["l_suppkey"], "l_quantity", {"low": 0.025, "high": 0.975}), "l_suppkey")
+    return c.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("m") < F.col("low")) | (F.col("m") > F.col("high"))).alias("n_outside"))
 
 
 @query("v16_table_digest")
@@ -445,7 +449,8 @@ def q04(t: Tables) -> DataFrame:
 def q05(t: Tables) -> DataFrame:
     s = X.entropy_specificity(t.lineitem, "l_suppkey", "l_returnflag", "l_quantity").withColumn("specificity", r("specificity"))
     j = C.checked_join(s, t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), ["l_suppkey"])
-    return j.groupBy("s_nationkey").agg(F.count("specificity").alias("n"), r(F.avg("specificity"), 8).alias("mean"), r(F.percentile("specificity", F.lit(0.5)), 8).alias("median"))
+    facts = j.groupBy("s_nationkey").agg(F.count("specificity").alias("n"), r(F.avg("specificity"), 8).alias("mean"))
+    return facts.join(quantiles(j, ["s_nationkey"], "specificity", {"median": 0.5}), "s_nationkey", "left").withColumn("median", r("median", 8))
 
 
 _COVARIATES = """WITH k AS (SELECT c_custkey, c_mktsegment AS g, TRY_CAST(nullif(regexp_extract(c_name, '#0*([1-9][0-9]*)$', 1), '') AS BIGINT) AS contig, CASE c_custkey % 3 WHEN 0 THEN 'AFRICA' WHEN 1 THEN 'Asia ' END AS domain FROM customer),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,11 @@ from tidemark.operators import metrics as M
 from tidemark.operators import models as L
 from tidemark.operators import ood as O
 from tidemark.operators import sequences as B
+from tidemark.operators import sparse as K
 from tidemark.operators import splits as S
 from tidemark.operators import stats as E
+from tidemark.operators.shared import reliable
+from tidemark.operators.ranges import quantiles
 from tidemark.plans import pipelines as P
 from tidemark.plans.registry import Tables, query, r
 
@@ -444,7 +449,7 @@ def o07(t: Tables) -> DataFrame:
 @query("o08_score_summary", f"{_PRED}, v AS (SELECT g, quantile_cont(p, 0.95) AS th FROM s WHERE y = 0 GROUP BY 1) SELECT s.g, th, round(avg(CAST(p > th AS INT)) FILTER (y = 1), 9) AS detected, round(avg(CAST(p > th AS INT)) FILTER (y = 0), 9) AS false_alarm FROM s JOIN v ON s.g = v.g GROUP BY 1, 2")
 def o08(t: Tables) -> DataFrame:
     s = _scores(t)
-    th = s.where("y = 0").groupBy("g").agg(F.percentile("p", F.lit(0.95)).alias("th"))
+    th = quantiles(s.where("y = 0"), ["g"], "p", {"th": 0.95})
     over = (F.col("p") > F.col("th")).cast("int")
     return s.join(F.broadcast(th), "g").groupBy("g", "th").agg(r(F.avg(F.when(F.col("y") == 1, over))).alias("detected"), r(F.avg(F.when(F.col("y") == 0, over))).alias("false_alarm"))
 
@@ -526,7 +531,7 @@ def l07b(t: Tables) -> DataFrame:
     """Models of permuted labels and of random features, on rows kept aside: both must be near chance."""
     rows = t.embeddings.select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("y"), S.split_of(F.floor(F.col("vec_id") / 4), 3).alias("split"))
     dealt = L.permuted_labels(rows.where("split = 'train'"), "vec_id", "y", "split", 5).unionByName(rows.where("split <> 'train'"))
-    noise = L.random_features(rows.drop("embedding"), 8, 5, "embedding")
+    noise = L.random_features(rows.drop("embedding"), "vec_id", 8, 5, "embedding")
     out = []
     for name, d in (("permuted_labels", dealt), ("random_features", noise)):
         scored, _ = L.selected_logistic(d, "embedding", "y", "split", grid=(1.0,))
@@ -542,6 +547,46 @@ def l08(t: Tables) -> DataFrame:
     return L.aligned_features(t.labels.select("doc_id", "quality"), features, "doc_id")
 
 
+@query("l08_classical_sets", f"""{_codon_sql()}, b1 AS (SELECT doc_id, s, string_split(s, '') AS a FROM q),
+    c1 AS (SELECT doc_id, unnest([substr(s, 3 * i + 1, 3) FOR i IN range(0, length(s) // 3)]) AS codon FROM q), u AS (SELECT doc_id, codon, count(*) AS n FROM c1 WHERE NOT regexp_matches(codon, '[^ACGT]') GROUP BY 1, 2),
+    g AS (SELECT doc_id, {_GC} FROM b1), aa AS (SELECT doc_id, {_AA} FROM d),
+    k AS (SELECT doc_id, k, unnest([substr(s, i, k) FOR i IN range(1, length(s) - k + 2)]) AS kmer FROM q, (SELECT unnest(range(1, 7)) AS k)), m AS (SELECT DISTINCT doc_id, k, kmer FROM k WHERE NOT regexp_matches(kmer, '[^ACGT]')),
+    n AS (SELECT doc_id, length(s) AS len, coalesce(({_n('G')} + {_n('C')}) / nullif({_n('A')} + {_n('C')} + {_n('G')} + {_n('T')}, 0), 0) AS gc FROM q)
+    SELECT 'length' AS representation, 1 AS width, count(*) AS n, count(*) AS held, round(sum(len), 4) AS total FROM n
+    UNION ALL SELECT 'gc', 1, count(*), count(*), round(sum(gc), 4) FROM n UNION ALL SELECT 'length_gc', 2, count(*), 2 * count(*), round(sum(len + gc), 4) FROM n
+    UNION ALL SELECT 'codon_67', 67, (SELECT count(*) FROM q), (SELECT count(*) FROM u) + 3 * (SELECT count(*) FROM q), round((SELECT count(DISTINCT doc_id) FROM u) + (SELECT sum(gc1 + gc2 + gc3) FROM g), 4)
+    UNION ALL SELECT 'aa20', 20, count(*), 20 * count(*), round(sum({' + '.join(f'aa_{a.lower()}' for a in B.PROTEIN_LETTERS)}), 4) FROM aa
+    UNION ALL SELECT 'kmer_1_6', 5460, (SELECT count(*) FROM q), count(*), round(count(DISTINCT (doc_id, k)), 4) FROM m""")
+def l08s(t: Tables) -> DataFrame:
+    """The six classical feature sets of all records as sparse rows: by set its width, rows, held places and sum of values."""
+    s = sequences(t)
+    total = F.sum(F.aggregate("values", F.lit(0.0), lambda a, v: a + v))
+    sets = K.classical_sets(s.select("doc_id"), s, "doc_id", "seq")
+    return sets.groupBy("representation", "width").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("indices")).alias("held"), r(total, 4).alias("total"))
+
+
+@query("l05_averaged_sgd")
+def l05c(t: Tables) -> DataFrame:
+    """Accuracy by class of the averaged descent on scaled vectors, on rows that it wasn't fitted on."""
+    train = F.col("vec_id") % 5 != 0
+    z = L.scaled_vectors(t.embeddings, "embedding", train, "values").withColumn("indices", F.sequence(F.lit(0), F.size("values") - 1))
+    found = K.class_scores(z.where(~train), *K.averaged_sgd(z, "vec_id", "label", train, 64))
+    return found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("predicted") == F.col("label").cast("string")).cast("int")).alias("accuracy"))
+
+
+@query("l04_sparse_logistic")
+def l04s(t: Tables) -> DataFrame:
+    """The k-mer shares of labelled records, scaled without centring: the penalty with the best validation, ranked on test rows."""
+    s = sequences(t).join(t.labels.select("doc_id", "quality"), "doc_id")
+    rows = K.kmer_rows(s, "doc_id", "seq").join(s.select("doc_id", F.col("quality").cast("int").alias("y")), "doc_id").withColumn("split", S.split_of(F.col("doc_id"), 3))
+    rows = reliable(K.scaled(rows, F.col("split") == "train", 5460))
+    scored = lambda part, penalty, model: K.class_scores(part, *model).select(F.lit(penalty).alias("penalty"), "y", (F.get("logits", 1) - F.get("logits", 0)).alias("score"))
+    models = {p: K.averaged_sgd(rows, "doc_id", "y", F.col("split") == "train", 5460, penalty=p, epochs=5) for p in (1e-4, 1e-2)}
+    held = reduce(DataFrame.unionByName, (scored(rows.where("split = 'validation'"), p, m) for p, m in models.items()))
+    best = M.ranking(held, ["penalty"], "score", "y").orderBy(F.desc_nulls_last("average_precision"), "penalty").first()["penalty"]
+    return M.ranking(scored(rows.where("split = 'test'"), best, models[best]), ["penalty"], "score", "y")
+
+
 @query("l09_predictions")
 def l09(t: Tables) -> DataFrame:
     rows = t.embeddings.select("vec_id", F.floor(F.col("vec_id") / 4).alias("grp"), "embedding", (F.col("label") < 5).cast("int").alias("y"), S.split_of(F.floor(F.col("vec_id") / 4), 3).alias("split"))
@@ -601,7 +646,8 @@ def i05(t: Tables) -> DataFrame:
 
 @query("i06_context_audit", "SELECT source, round(quantile_cont(length(text), 0.95), 6) AS p95, count(*) FILTER (length(text) > 2048) AS n_over FROM documents GROUP BY 1")
 def i06(t: Tables) -> DataFrame:
-    return t.documents.groupBy("source").agg(r(F.percentile(F.length("text"), F.lit(0.95)), 6).alias("p95"), F.count_if(F.length("text") > 2048).alias("n_over"))
+    over = t.documents.groupBy("source").agg(F.count_if(F.length("text") > 2048).alias("n_over"))
+    return over.join(quantiles(t.documents, ["source"], F.length("text"), {"p95": 0.95}), "source", "left").select("source", r("p95", 6).alias("p95"), "n_over")
 
 
 @query("v08_open_set_invariants", f"{_HOLD}, v AS (SELECT vec_id // 4 AS grp, label, part FROM embeddings JOIN hold USING (label)), n AS (SELECT 'label' AS c, CAST(label AS VARCHAR) AS v, count(DISTINCT part) AS k FROM v GROUP BY 2 UNION ALL SELECT 'grp', CAST(grp AS VARCHAR), count(DISTINCT part) FROM v GROUP BY 2) SELECT c AS \"column\", count(*) AS n_values, count(*) FILTER (k > 1) AS n_crossing FROM n GROUP BY 1")

@@ -9,6 +9,7 @@ from tidemark.functions import hashing as H
 from tidemark.functions import labels as L
 from tidemark.operators import contracts as C
 from tidemark.operators import mapping as M
+from tidemark.operators.ranges import quantiles
 from tidemark.plans.registry import Tables, query, r
 
 #: Annotated rows: three annotation columns with missing tokens, a category and a singleton category.
@@ -103,7 +104,7 @@ def p09(t: Tables) -> DataFrame:
 
 @query("p10_stratum_threshold", "WITH q AS (SELECT l_linestatus, quantile_cont(l_discount, 0.25) AS lim FROM lineitem GROUP BY l_linestatus) SELECT l.l_linestatus, CASE WHEN l_discount <= lim THEN 'low' WHEN l_discount > 0.05 THEN 'high' END AS level, count(*) AS n FROM lineitem l JOIN q ON l.l_linestatus = q.l_linestatus GROUP BY 1, 2")
 def p10(t: Tables) -> DataFrame:
-    q = t.lineitem.groupBy("l_linestatus").agg(F.percentile("l_discount", F.lit(0.25)).alias("lim"))
+    q = quantiles(t.lineitem, ["l_linestatus"], "l_discount", {"lim": 0.25})
     level = F.when(F.col("l_discount") <= F.col("lim"), "low").when(F.col("l_discount") > 0.05, "high")
     return t.lineitem.join(q, "l_linestatus").groupBy("l_linestatus", level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
 

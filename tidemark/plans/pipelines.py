@@ -12,6 +12,7 @@ from tidemark.operators import models as L
 from tidemark.operators import ood as O
 from tidemark.operators import splits as S
 from tidemark.operators.shared import reliable
+from tidemark.operators.ranges import quantiles
 
 
 def registry(rows: DataFrame, representative: Column, annotations: list[str], category: str, single: str) -> DataFrame:
@@ -46,7 +47,7 @@ def taxonomy_covariates(records: DataFrame, lineages: DataFrame, group: str, nam
 
 def candidate_pool(rows: DataFrame, key: str, fraction: str, score: str, label: str, cap: int, seed: int) -> DataFrame:
     """Rows with a stratum of fraction, score level and label, at most ``cap`` of each by hash order."""
-    low = rows.groupBy(fraction).agg(F.least(F.percentile(score, F.lit(0.25)), F.lit(0.5)).alias("__low"))
+    low = quantiles(rows, [fraction], score, {"__q": 0.25}).select(fraction, F.least("__q", F.lit(0.5)).alias("__low"))
     levelled = rows.join(low, fraction).withColumn("stratum", stratum(F.col(fraction), threshold_label(F.col(score), 0.5, F.col("__low")), F.col(label))).drop("__low")
     return S.capped(levelled.where("stratum IS NOT NULL").select("stratum", key).distinct(), ["stratum"], key, cap, seed)
 
