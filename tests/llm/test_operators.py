@@ -373,6 +373,31 @@ def test_line_dedup_short_passages_in_other_text(spark):
     assert got[60][0] == 0 and got[61][0] == 3 and got[64][0] == 0 and sum(n for n, _ in got.values()) > 200
 
 
+def test_line_chunks_survive_shifts(spark):
+    """A long passage is cut alike wherever it stands, but for its first and last chunk."""
+    rng = random.Random(13)
+    passage = [words_like(rng, 6) for _ in range(200)]
+    docs = [(i, "\n".join([words_like(rng, 6) for _ in range(i * 7)] + passage[:100] + ["put in"] * (i == 2) + passage[100:])) for i in range(4)]
+    cuts = {}
+    for r in line_dedup.chunks(line_dedup.line_hashes(spark.createDataFrame(docs, "doc_id long, text string"))).collect():
+        cuts.setdefault(r["__id"], {})[r["k"]] = r["start"] - r["__id"] * 7
+    assert len(cuts[0]) > 30
+    for i in (1, 3):
+        shared = cuts[0].keys() & cuts[i].keys()
+        assert len(shared) >= len(cuts[0]) - 2 and all(cuts[0][k] == cuts[i][k] for k in shared)
+    assert len(cuts[0].keys() & cuts[2].keys()) >= len(cuts[0]) - 4
+
+
+def test_line_pairs_of_copies_are_not_looked_up(spark):
+    rng = random.Random(14)
+    passage = "\n".join(words_like(rng, 6) for _ in range(120))
+    docs = spark.createDataFrame([(i, passage) for i in range(30)], "doc_id long, text string").withColumn("text", F.concat(F.col("doc_id").cast("string"), F.lit("\nown line\n"), "text"))
+    lines = line_dedup.line_hashes(docs)
+    copies = line_dedup._later(line_dedup._again(line_dedup.chunks(lines))).groupBy("__id", "__th").agg(F.collect_set(F.struct("start", "end")).alias("copies"))
+    assert line_dedup.pairs(lines.join(copies, ["__id", "__th"], "left")).count() < 0.45 * 30 * 121
+    assert [r["__removed"] for r in line_dedup.dedup(docs, counts=True).orderBy("doc_id").collect()] == [0] + [121] * 29
+
+
 def test_line_dedup_odd_rows(odd, empty):
     clash = odd.withColumns({"lines": F.lit(1), "h": F.lit(2), "n": F.lit(3)})
     out = line_dedup.dedup(clash)
