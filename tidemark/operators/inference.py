@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import bucket
@@ -44,6 +44,22 @@ def weighted_windows(windows: DataFrame, key: str, vector: str, length: str) ->
     return d.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda t: t["x"]).alias(vector))
 
 
-def vector_index(vectors: DataFrame, key: str, vector: str, shard: str) -> DataFrame:
-    """key, shard, row_index (by key within the shard), dimension."""
-    return vectors.select(key, shard, (F.row_number().over(Window.partitionBy(shard).orderBy(key)) - 1).cast("long").alias("row_index"), F.size(vector).alias("dimension"))
+def vector_index(spark: SparkSession, path: str, key: str, vector: str, *, representation: str, revision: str) -> DataFrame:
+    """key, representation, revision, shard, row, dimension, dtype: where each vector of the Parquet shards under a path is.
+
+    ``shard`` is the file below the path and ``row`` the place in that file, as its readers count, so
+    a vector is found again without its key.  Vectors aren't read, but for their lengths.
+    """
+    stored = spark.read.parquet(path)
+    bare = path.split("://", 1)[-1].removeprefix("file:").rstrip("/")
+    shard = F.regexp_replace(F.substring_index(F.col("_metadata.file_path"), f"{bare}/", -1), "^/+", "")
+    dtype = stored.schema[vector].dataType.elementType.simpleString()
+    return stored.select(key, F.lit(representation).alias("representation"), F.lit(revision).alias("revision"), shard.alias("shard"), F.col("_metadata.row_index").alias("row"), F.size(vector).alias("dimension"), F.lit(dtype).alias("dtype"))
+
+
+def looked_up(spark: SparkSession, path: str, index: DataFrame, key: str, vector: str) -> DataFrame:
+    """key, stored_key, vector: the vectors that an index points at, by file and row."""
+    bare = path.split("://", 1)[-1].removeprefix("file:").rstrip("/")
+    shard = F.regexp_replace(F.substring_index(F.col("_metadata.file_path"), f"{bare}/", -1), "^/+", "")
+    stored = spark.read.parquet(path).select(shard.alias("shard"), F.col("_metadata.row_index").alias("row"), F.col(key).alias("stored_key"), vector)
+    return index.select(key, "shard", "row").join(stored, ["shard", "row"]).select(key, "stored_key", vector)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import running_sums
+from tidemark.operators.shared import reliable
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -128,30 +129,76 @@ def bootstrap_mean(df: DataFrame, value: str, replicates: int = 500, seed: int =
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.count("m").alias("replicates"))
 
 
-def paired_bootstrap(df: DataFrame, group: str, left: str, right: str, label: str, replicates: int, seed: int = 0, least: int = 0) -> DataFrame:
-    """Replicates of the AUROC of two scores on the same resampled groups: r, left, right, delta.
+#: Rows whose weights in all replicates are held at once.
+TOGETHER = 256
+
 
-    A group's weight in a replicate is Poisson(1), seeded by its hash and the same for both scores.
-    Rows are counted by group and score first; a task adds weights up by score, so rows aren't
-    multiplied.  Replicates of one class are skipped; fewer than ``least`` valid ones raise.
+def weighted_auroc(df: DataFrame, group: str, score: str, label: str, replicates: int, seed: int = 0) -> DataFrame:
+    """r, auroc: the AUROC of each replicate, in which a group weighs Poisson(1), seeded by its hash; null where one class has no weight.
+
+    Rows are counted by group and score and sorted by score once, in ranges.  A task walks its range
+    with one running sum of weights for each replicate and sends on one row: the weights of both
+    classes, and the pairs that are in order within the range.  The ranges are then put together in
+    order, so no row is written for a score and a replicate.
     """
-    from tidemark.operators.metrics import ranking
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            drawn = {h: np.random.Generator(np.random.Philox(h & 0x7FFFFFFFFFFFFFFF)).poisson(1, replicates) for h in b["h"].unique()}
-            for score, rows in b.groupby("score"):
-                p, n = np.zeros(replicates), np.zeros(replicates)
-                for h, pos, neg in zip(rows["h"], rows["pos"], rows["neg"], strict=True):
-                    p += drawn[h] * pos
-                    n += drawn[h] * neg
-                yield pd.DataFrame({"r": np.tile(np.arange(replicates), 2), "score": score, "y": np.repeat([1, 0], replicates), "w": np.concatenate([p, n])}).query("w > 0")
-
-    def side(score: str, name: str) -> DataFrame:
-        counts = df.where(F.col(score).isNotNull()).groupBy(F.xxhash64(group, F.lit(seed)).alias("h"), F.col(score).cast("double").alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-        weighed = counts.repartition("score").mapInPandas(run, "r long, score double, y int, w double").groupBy("r", "score", "y").agg(F.sum("w").alias("w"))
-        return ranking(weighed, ["r"], "score", "y", F.col("w")).where("auroc IS NOT NULL").select("r", F.col("auroc").alias(name))
+    def weights(h: np.ndarray, drawn: dict) -> np.ndarray:
+        """Rows of Poisson draws; those of some thousand groups are kept for the next rows."""
+        if len(drawn) >= 4_096:
+            drawn.clear()
+        for x in set(h.tolist()) - drawn.keys():
+            drawn[x] = np.random.Generator(np.random.Philox(x & 0x7FFFFFFFFFFFFFFF)).poisson(1, replicates).astype(np.float64)
+        return np.stack([drawn[x] for x in h.tolist()])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, drawn, zero = None, {}, np.zeros(replicates)
+        positive, negative, ordered, tie, tie_p, tie_n = zero.copy(), zero.copy(), zero.copy(), None, zero.copy(), zero.copy()
+        for batch in batches:
+            for at in range(0, len(batch), TOGETHER):
+                rows = batch.iloc[at : at + TOGETHER]
+                part = int(rows["part"].iloc[0])
+                w, x = weights(rows["h"].to_numpy(), drawn), rows["score"].to_numpy()
+                starts = np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1])
+                p = np.add.reduceat(w * rows["pos"].to_numpy()[:, None], starts)
+                n = np.add.reduceat(w * rows["neg"].to_numpy()[:, None], starts)
+                if tie == x[0]:
+                    p[0] += tie_p
+                    n[0] += tie_n
+                elif tie is not None:
+                    p, n = np.vstack([tie_p, p]), np.vstack([tie_n, n])
+                # the last score may go on in the next rows
+                tie, tie_p, tie_n, p, n = x[-1], p[-1], n[-1], p[:-1], n[:-1]
+                if len(p):
+                    before = negative + np.cumsum(n, axis=0) - n
+                    ordered += (p * (before + n / 2)).sum(0)
+                    positive, negative = positive + p.sum(0), negative + n.sum(0)
+        if part is not None:
+            ordered += tie_p * (negative + tie_n / 2)
+            yield pd.DataFrame({"part": [part], "positive": [positive + tie_p], "negative": [negative + tie_n], "ordered": [ordered]})
+
+    def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        positive, negative, ordered = np.zeros(replicates), np.zeros(replicates), np.zeros(replicates)
+        for batch in batches:
+            for p, n, u in zip(batch["positive"], batch["negative"], batch["ordered"], strict=True):
+                ordered += np.asarray(u) + np.asarray(p) * negative
+                positive, negative = positive + np.asarray(p), negative + np.asarray(n)
+        both = positive * negative
+        yield pd.DataFrame({"r": np.arange(replicates), "auroc": [float(u / b) if b > 0 else None for u, b in zip(ordered, both, strict=True)]})
+
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.xxhash64(group, F.lit(seed)).alias("h"), F.col(score).cast("double").alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    ranged = counts.repartitionByRange("score").sortWithinPartitions("score", "h").withColumn("part", F.spark_partition_id())
+    parts = reliable(ranged.mapInPandas(walk, "part int, positive array<double>, negative array<double>, ordered array<double>"))
+    # one row for each range, in order, through one task that holds a row
+    return parts.repartition(1).sortWithinPartitions("part").mapInPandas(together, "r long, auroc double")
 
+
+def paired_bootstrap(df: DataFrame, group: str, left: str, right: str, label: str, replicates: int, seed: int = 0, least: int = 0) -> DataFrame:
+    """Replicates of the AUROC of two scores on the same resampled groups: r, left, right, delta.
+
+    A group's weight in a replicate is the same for both scores.  Replicates of one class are skipped;
+    fewer than ``least`` valid ones raise.
+    """
+    side = lambda score, name: weighted_auroc(df, group, score, label, replicates, seed).where("auroc IS NOT NULL").select("r", F.col("auroc").alias(name))
     out = side(left, "left").join(side(right, "right"), "r").withColumn("delta", F.col("left") - F.col("right"))
     if least and (valid := out.count()) < least:
         raise ValueError(f"{valid} valid replicates, {least} are needed")

@@ -249,6 +249,20 @@ def s16(t: Tables) -> DataFrame:
     return found.groupBy(F.substring_index("archive", "/", -1).alias("archive")).agg(F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("bytes"), F.min("sha256").alias("least_sha256"))
 
 
+@query("i05_vector_index", "SELECT vec_id AS id, 'native' AS representation, 'float' AS dtype, CAST(len(embedding) AS INTEGER) AS dimension, true AS found, 0::BIGINT AS row_gaps FROM embeddings")
+def i05(t: Tables) -> DataFrame:
+    """An index of stored shards, with whether file and row lead back to the vector, and the gaps in its shard's rows."""
+    from tidemark.operators import inference as I
+
+    path = scratch(t, "vectors")
+    t.embeddings.select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("part")).write.option("maxRecordsPerFile", 100).partitionBy("part").parquet(path)
+    index = I.vector_index(t.spark, path, "id", "embedding", representation="native", revision="1")
+    back = I.looked_up(t.spark, path, index, "id", "embedding").withColumnRenamed("embedding", "stored").join(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id")
+    found = back.select("id", ((F.col("id") == F.col("stored_key")) & (F.col("stored") == F.col("embedding"))).alias("found"))
+    gaps = index.groupBy("shard").agg((F.max("row") + 1 - F.countDistinct("row")).alias("row_gaps"))
+    return index.join(gaps, "shard").join(found, "id").select("id", "representation", "dtype", "dimension", "found", "row_gaps")
+
+
 _KMERS = """WITH q AS (SELECT doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTNN') AS s FROM documents),
     k AS (SELECT DISTINCT doc_id, unnest([substr(s, i, 12) FOR i IN range(1, length(s) - 10)]) AS kmer FROM q), n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY 1),
     j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM k a JOIN k b USING (kmer) WHERE a.doc_id % 10 <= 1 AND b.doc_id % 10 > 1 GROUP BY 1, 2),

@@ -639,11 +639,6 @@ def i04(t: Tables) -> DataFrame:
     return w.select("l_suppkey", r(F.col("v")[0]).alias("x"))
 
 
-@query("i05_vector_index", "SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS row_index, CAST(len(embedding) AS INTEGER) AS dimension FROM embeddings")
-def i05(t: Tables) -> DataFrame:
-    return I.vector_index(t.embeddings, "vec_id", "embedding", "label")
-
-
 @query("i06_context_audit", "SELECT source, round(quantile_cont(length(text), 0.95), 6) AS p95, count(*) FILTER (length(text) > 2048) AS n_over FROM documents GROUP BY 1")
 def i06(t: Tables) -> DataFrame:
     over = t.documents.groupBy("source").agg(F.count_if(F.length("text") > 2048).alias("n_over"))
