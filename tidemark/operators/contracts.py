@@ -114,3 +114,44 @@ def contiguity(df: DataFrame, shard: str, index: str) -> DataFrame:
 def table_digest(df: DataFrame) -> DataFrame:
     """Order-independent digest of a table: rows and the sum of row hashes."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.xxhash64(F.struct(*df.columns)).cast("decimal(38,0)")).alias("digest"))
+
+
+def _counted(found: dict[str, DataFrame]) -> DataFrame:
+    """check, observed, passed: how many rows each table of breaches has."""
+    each = [d.agg(F.lit(name).alias("check"), F.count(F.lit(1)).alias("observed")) for name, d in found.items()]
+    return reduce(DataFrame.unionByName, each).withColumn("passed", F.col("observed") == 0)
+
+
+def metric_table(results: DataFrame, task: str, method: str, seed: str, metric: str, *, tasks: list[str], seeds: int, predictions: DataFrame, cohort: DataFrame, key: str) -> DataFrame:
+    """check, observed, passed of a table of results (task, method, seed, metric), its predictions (task, method, key) and the cohort (task, key).
+
+    Each result has ``seeds`` different seeds, once each; metrics are finite; the tasks are those named,
+    for each method; a method has one prediction for each key of a task's cohort and no others.
+    """
+    by = [task, method]
+    bad = F.col(metric).isNull() | F.isnan(metric) | (F.abs(F.col(metric)) == float("inf"))
+    wanted = results.select(method).distinct().crossJoin(F.broadcast(results.sparkSession.createDataFrame([(t,) for t in tasks], f"{task} string")))
+    every = results.select(*by).distinct().join(cohort.select(task, key).distinct(), task)
+    return _counted({
+        "other_seeds": results.groupBy(*by).agg(F.countDistinct(seed).alias("d"), F.count(F.lit(1)).alias("n")).where((F.col("d") != seeds) | (F.col("n") != seeds)),
+        "not_finite": results.where(bad),
+        "missing_tasks": wanted.join(results.select(*by).distinct(), by, "left_anti"),
+        "unknown_tasks": results.where(~F.col(task).isin(tasks)),
+        "repeated_predictions": predictions.groupBy(*by, key).count().where("count > 1"),
+        "missing_predictions": every.join(predictions, [*by, key], "left_anti"),
+        "unknown_predictions": predictions.join(every, [*by, key], "left_anti"),
+    })
+
+
+def published_numbers(funnel: DataFrame, stages: list[str], intervals: DataFrame, group: str, required: list[str]) -> DataFrame:
+    """check, observed, passed: stages of a funnel that are not positive or larger than the one before, intervals (low, estimate, high) that don't hold their estimate inside, required groups without an interval."""
+    falls = F.col(stages[-1]) <= 0
+    for a, b in zip(stages, stages[1:], strict=False):
+        falls = falls | (F.col(b) > F.col(a))
+    wanted = intervals.sparkSession.createDataFrame([(g,) for g in required], f"{group} string")
+    inside = (F.col("low") < F.col("estimate")) & (F.col("estimate") < F.col("high"))
+    return _counted({
+        "funnel_order": funnel.where(F.coalesce(falls, F.lit(True))),
+        "estimate_outside": intervals.where(~F.coalesce(inside, F.lit(False))),
+        "missing_groups": wanted.join(intervals, group, "left_anti"),
+    })

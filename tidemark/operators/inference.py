@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import bucket
+from tidemark.operators.sequences import windows
 
 
 def embed(df: DataFrame, key: str, text: str, backend: Callable[[], Callable[[list[str]], list[list[float]]]], *, shards: int, done: DataFrame | None = None, batch: int = 64) -> DataFrame:
@@ -44,6 +45,15 @@ def weighted_windows(windows: DataFrame, key: str, vector: str, length: str) ->
     return d.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda t: t["x"]).alias(vector))
 
 
+def embed_windowed(df: DataFrame, key: str, text: str, backend, *, width: int, shards: int, batch: int = 64) -> DataFrame:
+    """key, windows, embedding: each window of a text is embedded by itself, and a text gets the mean of its windows weighted by their lengths.  A null or empty text has no windows and no row."""
+    parts = windows(df.where(F.col(text).isNotNull()), key, text, width).withColumn("__id", F.concat_ws("#", key, "window"))
+    found = embed(parts, "__id", "part", backend, shards=shards, batch=batch)
+    rows = parts.select("__id", key, F.length("part").alias("__length")).join(found.select("__id", "embedding"), "__id")
+    mean = weighted_windows(rows, key, "embedding", "__length")
+    return mean.join(parts.groupBy(key).agg(F.count(F.lit(1)).alias("windows")), key).select(key, "windows", "embedding")
+
+
 def vector_index(spark: SparkSession, path: str, key: str, vector: str, *, representation: str, revision: str) -> DataFrame:
     """key, representation, revision, shard, row, dimension, dtype: where each vector of the Parquet shards under a path is.
 

@@ -157,11 +157,54 @@ def v01(t: Tables) -> DataFrame:
     return C.checks(found, {"rows": (F.count(F.lit(1)), rows), "no_key": (F.count_if(F.col("o_orderkey").isNull()), 0)})
 
 
-@query("q03_ecology_tables", "WITH s AS (SELECT l_suppkey, l_linestatus, round(avg(l_discount), 9) AS r2, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT s.l_suppkey, l_linestatus, r2, n, r2 > CASE WHEN l_linestatus = 'F' THEN 0.05 ELSE 0.0505 END AS passes, s_nationkey FROM s LEFT JOIN supplier ON l_suppkey = s_suppkey")
+@query("q03_ecology_tables", """WITH f AS (SELECT l_suppkey, l_linestatus AS fraction, round(avg(l_discount), 9) AS r2, round(avg(l_tax) - 0.04, 9) AS s1, round(avg(l_discount) - 0.05, 9) AS s2, round((avg(l_quantity) - 25.5) / 50, 9) AS s3 FROM lineitem GROUP BY 1, 2),
+    g AS (SELECT *, greatest(s1, 0) + greatest(s2, 0) AS a, greatest(s3, 0) AS b FROM f)
+    SELECT CAST(l_suppkey AS VARCHAR) AS k, fraction, CASE WHEN s1 >= s2 AND s1 >= s3 THEN 's1' WHEN s2 >= s3 THEN 's2' ELSE 's3' END AS top, CAST(s1 < 0 AS BIGINT) + CAST(s2 < 0 AS BIGINT) + CAST(s3 < 0 AS BIGINT) AS n_negative, round(a, 8) AS score_a, round(b, 8) AS score_b,
+    CASE WHEN greatest(a, b) <= 0 THEN 'unassigned' WHEN a >= b THEN 'a' ELSE 'b' END AS dominant, r2 > CASE WHEN fraction = 'F' THEN 0.05 ELSE 0.0505 END AS predictable, r2 > 0.051 AS strong, s_nationkey FROM g LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 7 > 0) ON s_suppkey = l_suppkey""")
 def q03(t: Tables) -> DataFrame:
-    limits = t.spark.createDataFrame([("F", 0.05), ("O", 0.0505)], "l_linestatus string, lim double")
-    s = t.lineitem.groupBy("l_suppkey", "l_linestatus").agg(r(F.avg("l_discount")).alias("r2"), F.count(F.lit(1)).alias("n"))
-    return s.join(F.broadcast(limits), "l_linestatus").join(t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey", "left").select("l_suppkey", "l_linestatus", "r2", "n", (F.col("r2") > F.col("lim")).alias("passes"), "s_nationkey")
+    """A matrix of scores for each fraction whose header lacks its first column, with phenotypes and the statistics of most keys."""
+    means = t.lineitem.groupBy("l_suppkey", "l_linestatus").agg(r(F.avg("l_discount")).alias("r2"), r(F.avg("l_tax") - 0.04).alias("s1"), r(F.avg("l_discount") - 0.05).alias("s2"), r((F.avg("l_quantity") - 25.5) / 50).alias("s3"))
+    paths = {}
+    for fraction in ("F", "O"):
+        paths[fraction] = scratch(t, f"scores-{fraction}.tsv")
+        rows = means.where(F.col("l_linestatus") == fraction).select(F.concat_ws("\t", F.col("l_suppkey").cast("string"), "r2", "s1", "s2", "s3").alias("value"))
+        lines = t.spark.createDataFrame([("r2\ts1\ts2\ts3", 0)], "value string, place int").union(rows.withColumn("place", F.lit(1)))
+        lines.coalesce(1).sortWithinPartitions("place").select("value").write.text(paths[fraction])
+    stats = t.supplier.where("s_suppkey % 7 > 0").select(F.col("s_suppkey").cast("string").alias("k"), "s_nationkey")
+    out = P.ecology_tables(t.spark, paths, {"a": ["s1", "s2"], "b": ["s3"]}, "r2", {"F": 0.05, "O": 0.0505}, stats, "k")
+    return out.select("k", "fraction", "top", "n_negative", r("score_a", 8).alias("score_a"), r("score_b", 8).alias("score_b"), "dominant", "predictable", (F.col("r2") > 0.051).alias("strong"), "s_nationkey")
+
+
+_ENTITIES = """WITH e AS (SELECT l_linestatus AS fraction, l_orderkey, count(*) FILTER (l_returnflag <> 'R') AS known, count(*) FILTER (l_returnflag = 'R' OR l_quantity > 30) AS unknown, min(l_returnflag) AS category, round(avg(l_discount), 9) AS r2, max(l_tax) > 0.06 AS env FROM lineitem GROUP BY 1, 2),
+    k AS (SELECT *, CASE WHEN known > unknown THEN 'known' WHEN unknown > known THEN 'unknown' END AS g FROM e WHERE category IS DISTINCT FROM 'N' AND known <> unknown)"""
+
+
+@query("q06_group_table", f"""{_ENTITIES},
+    s AS (SELECT fraction, g, count(*) AS n, round(avg(r2), 8) AS mean, round(quantile_cont(r2, 0.25), 8) AS q25, round(quantile_cont(r2, 0.5), 8) AS median, round(quantile_cont(r2, 0.75), 8) AS q75 FROM k GROUP BY 1, 2),
+    o AS (SELECT fraction, count(*) FILTER (g = 'unknown' AND env) AS a, count(*) FILTER (g = 'unknown' AND NOT env) AS b, count(*) FILTER (g = 'known' AND env) AS c, count(*) FILTER (g = 'known' AND NOT env) AS d FROM k GROUP BY 1),
+    ranks AS (SELECT fraction, g, rank() OVER (PARTITION BY fraction ORDER BY r2) + (count(*) OVER (PARTITION BY fraction, r2) - 1) / 2.0 AS r FROM k),
+    u AS (SELECT fraction, sum(r) FILTER (g = 'unknown') AS r1, count(*) FILTER (g = 'unknown')::DOUBLE AS n1, count(*) FILTER (g = 'known')::DOUBLE AS n2 FROM ranks GROUP BY 1)
+    SELECT s.fraction, g AS "group", n, mean, q25, median, q75, round((a + z) * (d + z) / ((b + z) * (c + z)), 8) AS odds_env, round(r1 - n1 * (n1 + 1) / 2, 3) AS u, round(2 * (r1 - n1 * (n1 + 1) / 2) / (n1 * n2) - 1, 8) AS cliffs_delta
+    FROM s JOIN (SELECT *, CASE WHEN least(a, b, c, d) = 0 THEN 0.5 ELSE 0 END AS z FROM o) o USING (fraction) JOIN u USING (fraction)""")
+def q06t(t: Tables) -> DataFrame:
+    """Both groups of each fraction with their quantiles, the rank test and the odds."""
+    unknown = (F.col("l_returnflag") == "R") | (F.col("l_quantity") > 30)
+    e = t.lineitem.groupBy(F.col("l_linestatus").alias("fraction"), "l_orderkey").agg(F.count_if(F.col("l_returnflag") != "R").alias("known"), F.count_if(unknown).alias("unknown"), F.min("l_returnflag").alias("category"), r(F.avg("l_discount")).alias("r2"), (F.max("l_tax") > 0.06).alias("env"))
+    out = P.group_comparison(e, "fraction", "known", "unknown", "category", "N", "r2", ["env"])
+    return out.select("fraction", "group", "n", *(r(c, 8).alias(c) for c in ("mean", "q25", "median", "q75", "odds_env")), r("u", 3).alias("u"), r("cliffs_delta", 8).alias("cliffs_delta"))
+
+
+@query("q09_macro_effects", """WITH c AS (SELECT l_partkey, count(*) AS n, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS b, count(*) FILTER (l_returnflag = 'R') AS c FROM lineitem GROUP BY 1),
+    e AS (SELECT n, a / n AS share, ln(1 + n) AS x, -((CASE WHEN a > 0 THEN a / n * ln(a / n) ELSE 0 END) + (CASE WHEN b > 0 THEN b / n * ln(b / n) ELSE 0 END) + (CASE WHEN c > 0 THEN c / n * ln(c / n) ELSE 0 END)) AS y, CASE WHEN a >= b AND a >= c THEN 'base' ELSE 'other' END AS side FROM c),
+    m AS (SELECT regr_slope(y, x) AS yx, regr_intercept(y, x) AS y0, regr_slope(share, x) AS sx, regr_intercept(share, x) AS s0 FROM e),
+    res AS (SELECT y - y0 - yx * x AS ey, share - s0 - sx * x AS es FROM e, m),
+    k AS (SELECT side, rank() OVER (ORDER BY round(y, 9)) + (count(*) OVER (PARTITION BY round(y, 9)) - 1) / 2.0 AS r FROM e),
+    u AS (SELECT sum(r) FILTER (side = 'base') AS r1, count(*) FILTER (side = 'base')::DOUBLE AS n1, count(*) FILTER (side = 'other')::DOUBLE AS n2 FROM k)
+    SELECT round((SELECT regr_slope(ey, es) FROM res), 6) AS share_beta, n1, n2, round(2 * (r1 - n1 * (n1 + 1) / 2) / (n1 * n2) - 1, 6) AS cliffs_delta FROM u""")
+def q09m(t: Tables) -> DataFrame:
+    """Entropy of each part's composition against the share of one category and the size, and between parts that it dominates and the others."""
+    m = P.macro_effects(t.lineitem, ["l_partkey"], "l_returnflag", ["A", "N", "R"], ["A"])
+    return m.select(r("share_beta", 6).alias("share_beta"), "n1", "n2", r("cliffs_delta", 6).alias("cliffs_delta"))
 
 
 @query("q06_group_comparison")

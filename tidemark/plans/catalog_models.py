@@ -639,6 +639,18 @@ def i04(t: Tables) -> DataFrame:
     return w.select("l_suppkey", r(F.col("v")[0]).alias("x"))
 
 
+def _letter_shares():
+    """A backend whose vector is the share of two letters, so a text's mean by windows is that of the whole text."""
+    return lambda texts: [[t.count("e") / len(t), t.count("n") / len(t)] for t in texts]
+
+
+@query("i04_windowed_embedding", "SELECT doc_id, CAST(ceil(length(text) / 512) AS BIGINT) AS windows, round((length(text) - length(replace(text, 'e', ''))) / length(text), 6) AS e, round((length(text) - length(replace(text, 'n', ''))) / length(text), 6) AS n FROM documents WHERE length(text) > 0")
+def i04w(t: Tables) -> DataFrame:
+    """Every window of every text through a backend."""
+    found = I.embed_windowed(t.documents, "doc_id", "text", _letter_shares, width=512, shards=8)
+    return found.select("doc_id", "windows", r(F.col("embedding")[0], 6).alias("e"), r(F.col("embedding")[1], 6).alias("n"))
+
+
 @query("i06_context_audit", "SELECT source, round(quantile_cont(length(text), 0.95), 6) AS p95, count(*) FILTER (length(text) > 2048) AS n_over FROM documents GROUP BY 1")
 def i06(t: Tables) -> DataFrame:
     over = t.documents.groupBy("source").agg(F.count_if(F.length("text") > 2048).alias("n_over"))
@@ -655,3 +667,36 @@ def v08(t: Tables) -> DataFrame:
 def v09(t: Tables) -> DataFrame:
     m = t.events.groupBy("user_id", "event_type").agg(F.avg("value").alias("v"))
     return m.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.isnan("v") | (F.abs("v") == float("inf"))).alias("n_not_finite"), F.countDistinct("event_type").alias("n_tasks"))
+
+
+_METRICS = """WITH m AS (SELECT event_type AS task, user_id % 4 AS method, user_id % 5 AS seed, avg(value) AS metric FROM events WHERE NOT (user_id % 4 = 1 AND user_id % 5 = 2 AND event_type = 'view') GROUP BY 1, 2, 3),
+    p AS (SELECT DISTINCT event_type AS task, user_id % 4 AS method, user_id AS k FROM events WHERE user_id % 4 <> 3 OR user_id % 3 > 0), c AS (SELECT DISTINCT event_type AS task, user_id AS k FROM events WHERE user_id % 7 > 0)"""
+
+
+@query("v09_results_contract", f"""{_METRICS}, r AS (SELECT DISTINCT task, method FROM m), w AS (SELECT r.task, method, k FROM r JOIN c USING (task))
+    SELECT c AS "check", n AS observed, n = 0 AS passed FROM (SELECT 'other_seeds' AS c, count(*) AS n FROM (SELECT task, method FROM m GROUP BY 1, 2 HAVING count(DISTINCT seed) <> 5 OR count(*) <> 5)
+      UNION ALL SELECT 'not_finite', count(*) FILTER (metric IS NULL OR NOT isfinite(metric)) FROM m
+      UNION ALL SELECT 'missing_tasks', count(*) FROM (SELECT t.task, method FROM (SELECT DISTINCT method FROM m) CROSS JOIN (VALUES ('view'), ('click'), ('other')) t(task)) x ANTI JOIN r USING (task, method)
+      UNION ALL SELECT 'unknown_tasks', count(*) FILTER (task NOT IN ('view', 'click', 'other')) FROM m
+      UNION ALL SELECT 'repeated_predictions', 0 UNION ALL SELECT 'missing_predictions', count(*) FROM w ANTI JOIN p USING (task, method, k) UNION ALL SELECT 'unknown_predictions', count(*) FROM p ANTI JOIN w USING (task, method, k))""")
+def v09r(t: Tables) -> DataFrame:
+    """Results by task and method with seeds, predictions of them, and the cohort that they should cover."""
+    e = t.events.withColumns({"task": F.col("event_type"), "method": F.col("user_id") % 4, "seed": F.col("user_id") % 5})
+    results = e.where("NOT (method = 1 AND seed = 2 AND task = 'view')").groupBy("task", "method", "seed").agg(F.avg("value").alias("metric"))
+    predictions = e.where("method <> 3 OR user_id % 3 > 0").select("task", "method", F.col("user_id").alias("k")).distinct()
+    cohort = e.where("user_id % 7 > 0").select("task", F.col("user_id").alias("k"))
+    return C.metric_table(results, "task", "method", "seed", "metric", tasks=["view", "click", "other"], seeds=5, predictions=predictions, cohort=cohort, key="k")
+
+
+@query("v15_published_numbers", """WITH f AS (SELECT l_suppkey, count(*) AS every, count(*) FILTER (l_returnflag <> 'A') AS broad, count(*) FILTER (l_returnflag = 'R' OR (l_suppkey % 10 = 3 AND l_returnflag = 'A')) AS narrow FROM lineitem GROUP BY 1),
+    i AS (SELECT l_returnflag AS g, l_linenumber AS m, avg(l_quantity) AS estimate, quantile_cont(l_quantity, 0.025) AS low, CASE WHEN l_linenumber = 7 THEN 20 ELSE quantile_cont(l_quantity, 0.975) END AS high FROM lineitem GROUP BY 1, 2)
+    SELECT c AS "check", n AS observed, n = 0 AS passed FROM (SELECT 'funnel_order' AS c, count(*) FILTER (narrow <= 0 OR broad > every OR narrow > broad) AS n FROM f
+      UNION ALL SELECT 'estimate_outside', count(*) FILTER (NOT (low < estimate AND estimate < high)) FROM i UNION ALL SELECT 'missing_groups', 1)""")
+def v15n(t: Tables) -> DataFrame:
+    """Funnels of each supplier, intervals of each flag and line, and a required group that isn't there."""
+    flag = F.col("l_returnflag")
+    funnel = t.lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("every"), F.count_if(flag != "A").alias("broad"), F.count_if((flag == "R") | ((F.col("l_suppkey") % 10 == 3) & (flag == "A"))).alias("narrow"))
+    limits = quantiles(t.lineitem, ["l_returnflag", "l_linenumber"], "l_quantity", {"low": 0.025, "high": 0.975})
+    i = t.lineitem.groupBy("l_returnflag", "l_linenumber").agg(F.avg("l_quantity").alias("estimate")).join(limits, ["l_returnflag", "l_linenumber"])
+    i = i.withColumn("high", F.when(F.col("l_linenumber") == 7, 20.0).otherwise(F.col("high")))
+    return C.published_numbers(funnel, ["every", "broad", "narrow"], i, "l_returnflag", ["A", "N", "R", "X"])

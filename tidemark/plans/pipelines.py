@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.labels import conflict, extracted, function_flags, lineage_ranks, stratum, threshold_label
+from tidemark.functions.labels import conflict, dominance, extracted, function_flags, lineage_ranks, stratum, threshold_label
 from tidemark.operators import mapping as M
 from tidemark.operators import matrix as X
 from tidemark.operators import models as L
 from tidemark.operators import ood as O
 from tidemark.operators import splits as S
-from tidemark.operators.shared import reliable
+from tidemark.operators.contracts import checked_join
+from tidemark.operators.matrix import composition
 from tidemark.operators.ranges import quantiles
+from tidemark.operators.shared import reliable
+from tidemark.operators.stats import odds_ratio, ols, rank_sum
+from tidemark.sources import scans
 
 
 def registry(rows: DataFrame, representative: Column, annotations: list[str], category: str, single: str) -> DataFrame:
@@ -78,3 +84,37 @@ def open_set_scores(rows: DataFrame, key: str, vector: str, label: str, group: C
     methods = ["msp", "max_logit", "energy", "mahalanobis", "relative_mahalanobis", "prototype_cosine", "knn_cosine"]
     scores = wide.select(key, "role", F.inline(F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).alias("score")) for m in methods))))
     return scores, held.select(key, (F.col("part") != "id").cast("int").alias("y"))
+
+
+def ecology_tables(spark, matrices: dict[str, str], groups: dict[str, list[str]], r2: str, limits: dict[str, float], stats: DataFrame, key: str) -> DataFrame:
+    """Matrices of scores by fraction (fraction to path; the header may lack its first column), read and repaired, with phenotypes and the statistics of ``stats`` where there are any; the fraction is a column."""
+    one = lambda fraction, path: scans.repaired_table(spark, path, key).withColumn("fraction", F.lit(fraction))
+    rows = reduce(DataFrame.unionByName, (one(f, p) for f, p in matrices.items()))
+    return checked_join(phenotype(rows, groups, F.col(r2), F.col("fraction"), limits), stats, [key], "left", "many_to_one")
+
+
+def group_comparison(rows: DataFrame, fraction: str, known: str, unknown: str, category: str, excluded: str, value: str, flags: list[str]) -> DataFrame:
+    """fraction, group, n, mean, q25, median, q75, and of both groups together cliffs_delta, u and an odds ratio for each flag.
+
+    Rows of the excluded category go (a null one stays); a row belongs to the larger of its two counts,
+    and to neither if they are equal.  Odds are those of the unknown group over those of the known one.
+    """
+    kept = rows.where(~F.col(category).eqNullSafe(excluded)).withColumn("group", dominance(F.coalesce(known, F.lit(0)), F.coalesce(unknown, F.lit(0)), ("known", "unknown"))).where("group IS NOT NULL")
+    kept = reliable(kept.select(fraction, "group", value, *flags))
+    facts = kept.groupBy(fraction, "group").agg(F.count(value).alias("n"), F.avg(value).alias("mean")).join(quantiles(kept, [fraction, "group"], value, {"q25": 0.25, "median": 0.5, "q75": 0.75}), [fraction, "group"], "left")
+    cell = lambda g, flag, yes: F.count_if((F.col("group") == g) & (F.col(flag) if yes else ~F.col(flag))).alias(f"{flag}_{g}_{yes}")
+    cells = kept.groupBy(fraction).agg(*(cell(g, f, yes) for f in flags for g in ("unknown", "known") for yes in (True, False)))
+    odds = cells.select(fraction, *(odds_ratio(F.col(f"{f}_unknown_True"), F.col(f"{f}_unknown_False"), F.col(f"{f}_known_True"), F.col(f"{f}_known_False")).alias(f"odds_{f}") for f in flags))
+    names = [r[0] for r in kept.select(fraction).distinct().orderBy(fraction).collect()]  # one for each fraction
+    ranks = reduce(DataFrame.unionByName, (rank_sum(kept.where(F.col(fraction) == x), value, "group", ("unknown", "known")).select(F.lit(x).alias(fraction), "u", "cliffs_delta") for x in names)) if names else None
+    out = facts.join(odds, fraction)
+    return out.join(ranks, fraction) if ranks is not None else out.withColumns({"u": F.lit(None).cast("double"), "cliffs_delta": F.lit(None).cast("double")})
+
+
+def macro_effects(rows: DataFrame, keys: list[str], category: str, values: list[str], base: list[str]) -> DataFrame:
+    """Composition of each key's rows, then one row: least squares of the entropy (to nine digits, so that equal compositions tie) on the log of the size and the share of ``base`` categories, and the rank test of keys that those dominate against the others."""
+    c = composition(rows, keys, category, values)
+    c = reliable(c.select(F.round("entropy", 9).alias("entropy"), F.log1p("n").alias("log_n"), sum((F.col(f"share_{values.index(b)}") for b in base), F.lit(0.0)).alias("share"), F.when(F.col("dominant").isin(base), "base").otherwise("other").alias("side")))
+    fit = ols(c, "entropy", ["share", "log_n"])
+    ranks = rank_sum(c, "entropy", "side", ("base", "other"))
+    return ranks.select(*(F.lit(fit[t][k]).alias(f"{t}_{k}") for t in ("intercept", "share", "log_n") for k in ("beta", "se")), "n1", "n2", "u", "cliffs_delta")
