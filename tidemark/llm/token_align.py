@@ -3,8 +3,9 @@
 A text is encoded by two vocabularies over the same bytes.  The byte offsets where tokens of each end
 are two rising arrays; where both hold an offset, a group ends.  Groups of one token each are the
 rule and stand on a diagonal: the ends at (i, j), (i + 1, j + 1), ... are equal as long as the index
-shift j - i holds.  So stretches are compared at the current shift, in lengths that double while they
-agree and halve where they don't, and a run is passed in a logarithmic number of comparisons.  Where
+shift j - i holds.  So stretches are compared at the current shift, after the first few ends in lengths
+that double while they agree and halve where they don't, and a run is passed in a logarithmic number of
+comparisons.  Where
 the ends differ, the tokens of the irregular group are walked one by one to the next common end, and
 the shift is what it then is.  The walk meets each overlapping pair of tokens once; on a diagonal the
 pairs are the groups themselves.
@@ -25,10 +26,12 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,6 +44,10 @@ FIRST, SECOND = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 WIDTH = 1 << 15
 #: Pairs of ids that are broadcast at most (12 bytes each); pairs that a task adds up before it sends them on.
 FEW, HELD = 2_000_000, 2_000_000
+#: Ends that are compared one by one before the steps double.
+FIRST_STEP = 8
+#: Characters of texts whose groups are written at once.
+TOGETHER = 4_000_000
 #: Documents of a chunk, and their distinct pairs.
 CHUNK, CHUNK_PAIRS = 2_000, 2_000_000
 STATE = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, chunk long, pairs binary"
@@ -48,16 +55,16 @@ OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long
 
 
 class Vocabulary:
-    """Texts to ids, and the bytes of each id."""
+    """Texts to arrays of ids, and the bytes, the sizes and the names of each id."""
 
     def __init__(self, encode, tokens: list[bytes]):
-        self.encode, self.tokens = encode, tokens
+        self.encode = encode
+        self.tokens = np.array(tokens, dtype=object)
         self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
-        self.names = [str(i) for i in range(len(tokens))]
+        self.names = pa.array(map(str, range(len(tokens))), pa.string())
 
-    def bytes(self, ids: list[int]) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids])
+    def bytes(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.tokens[ids].tolist())
 
 
 @cache
@@ -78,87 +85,104 @@ def vocabularies(first: str = FIRST, second: str = SECOND) -> tuple[Vocabulary,
     own = tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(second))
     held = [bytes([int(p[3:-1], 16)]) if pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, pieces.id_to_piece(i)) for i in range(pieces.get_piece_size()))]
-    return Vocabulary(lambda t: own.encode_ordinary(" " + t), tokens), Vocabulary(lambda t: pieces.encode(t, num_threads=1), held)
+    by_bytes = Vocabulary(lambda t: own.encode_to_numpy(" " + t, disallowed_special=()), tokens)
+    return by_bytes, Vocabulary(lambda t: np.array(pieces.encode(t, num_threads=1), dtype=np.uint32), held)
 
 
-def diagonal(a: list[int], b: list[int], i: int, j: int) -> int:
-    """How many ends from (i, j) on are equal at this shift; those at (i, j) are."""
-    run, step = 1, 2
-    while a[i + run : i + run + step] == b[j + run : j + run + step]:
-        if i + run >= len(a):
-            return len(a) - i
-        run += step
-        step *= 2
-    while step > 1:
-        step //= 2
-        if a[i + run : i + run + step] == b[j + run : j + run + step]:
-            run += step
-    return min(run, len(a) - i, len(b) - j)
+def stretches(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """Stretches of linked tokens, as lists of i, j and lengths: from (i, j) on, both ids step by one for each link.
 
-
-def stretches(a: list[int], b: list[int]) -> list[tuple[int, int, int, bool]]:
-    """Stretches of linked tokens (i, j, length, ends): from (i, j) on, both ids step by one for each link.
-
-    With ``ends`` each link is a group of its own or the last one of an irregular group; a link inside an
-    irregular group is a stretch of length 1 without it.  Both arrays end with the same offset.
+    Each link of a stretch is a group of its own or the last one of an irregular group; a link inside an
+    irregular group has the length 0.  Both arrays end with the same offset.
     """
-    out = []
-    put = out.append
+    out = [], [], []
+    put_i, put_j, put = (x.append for x in out)
     i = j = 0
     n = len(a)
+    a, b = [*a, -1], [*b, -2]  # what stands behind the last ends differs
     while i < n:
         x, y = a[i], b[j]
         while x != y:
-            put((i, j, 1, False))
+            put_i(i)
+            put_j(j)
+            put(0)
             if x < y:
                 i += 1
                 x = a[i]
             else:
                 j += 1
                 y = b[j]
-        run = diagonal(a, b, i, j)
-        put((i, j, run, True))
+        run = 1
+        while run < FIRST_STEP and a[i + run] == b[j + run]:
+            run += 1
+        if run == FIRST_STEP:
+            step = FIRST_STEP
+            while i + run < n and a[i + run : i + run + step] == b[j + run : j + run + step]:
+                run += step
+                step *= 2
+            while step > 1:
+                step //= 2
+                if a[i + run : i + run + step] == b[j + run : j + run + step]:
+                    run += step
+            run = min(run, n - i)
+        put_i(i)
+        put_j(j)
+        put(run)
         i += run
         j += run
     return out
 
 
-def laid_out(found: list[tuple[int, int, int, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def laid_out(found: tuple[list[int], list[int], list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The linked tokens of both arrays in order, and which links end a group."""
-    i, j, size, ends = (np.array(c) for c in zip(*found, strict=True))
+    i, j, runs = (np.array(c) for c in found)
+    size = np.maximum(runs, 1)
     within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    return np.repeat(i, size) + within, np.repeat(j, size) + within, np.repeat(ends, size)
+    return np.repeat(i, size) + within, np.repeat(j, size) + within, np.repeat(runs > 0, size)
 
 
-def listed(first: list[str], second: list[str], found: list[tuple[int, int, int, bool]]) -> str:
-    """The groups as text: ids of one vocabulary, a bar, ids of the other; groups apart by semicolons."""
-    out, p, q = [], 0, 0
-    for i, j, size, ends in found:
-        if ends:
-            out.append(f"{','.join(first[p : i + 1])}|{','.join(second[q : j + 1])}")
-            if size > 1:
-                out += map("|".join, zip(first[i + 1 : i + size], second[j + 1 : j + size]))  # noqa: B905
-            p, q = i + size, j + size
-    return ";".join(out)
+class Aligned(NamedTuple):
+    """Ids of both vocabularies, where groups end in either, the links, and the distinct linked pairs with how often they occur."""
 
+    a: np.ndarray
+    b: np.ndarray
+    ends_a: np.ndarray
+    ends_b: np.ndarray
+    n_links: int
+    pairs: np.ndarray
+    times: np.ndarray
 
-def aligned(text: str | None):
-    """n_a, n_b, n_groups, n_links, the groups' digest, and the distinct pairs of ids with how often they are linked."""
-    none = np.zeros(0, dtype=np.uint32)
+
+def aligned(text: str | None) -> Aligned | None:
+    """None where a text has no tokens."""
     if not text:
-        return 0, 0, 0, 0, "", none, none
+        return None
     first, second = vocabularies()
     whole = (" " + text).encode()
     a, b = first.encode(text), second.encode(text)
-    if first.bytes(a) != whole or second.bytes(b) != whole:
-        return 0, 0, 0, 0, "", none, none
-    ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-    found = stretches(first.sizes[ids_a].cumsum().tolist(), second.sizes[ids_b].cumsum().tolist())
-    la, lb, ends = laid_out(found)
-    names_a, names_b = first.names, second.names
-    digest = hashlib.sha256(listed([names_a[x] for x in a], [names_b[x] for x in b], found).encode()).hexdigest()
-    pairs, times = np.unique((ids_a[la] * WIDTH + ids_b[lb]).astype(np.uint32), return_counts=True)
-    return len(a), len(b), int(ends.sum()), len(la), digest, pairs, times.astype(np.uint32)
+    ends_a, ends_b = first.sizes[a].cumsum(), second.sizes[b].cumsum()
+    # tokens of the byte-level vocabulary are cut from the bytes themselves
+    if not len(b) or ends_a[-1] != len(whole) or ends_b[-1] != len(whole) or second.bytes(b) != whole:
+        return None
+    la, lb, ends = laid_out(stretches(ends_a.tolist(), ends_b.tolist()))
+    pairs, times = np.unique(a[la] * np.uint32(WIDTH) + b[lb], return_counts=True)
+    return Aligned(a, b, la[ends] + 1, lb[ends] + 1, len(la), pairs, times.astype(np.uint32))
+
+
+def listed(found: list[Aligned]) -> list[str]:
+    """The groups of each as text: ids of one vocabulary, a bar, ids of the other; groups apart by semicolons."""
+    if not found:
+        return []
+
+    def side(vocabulary: Vocabulary, ids: list[np.ndarray], ends: list[np.ndarray]) -> pa.Array:
+        before = np.cumsum([0, *map(len, ids)])
+        offsets = np.concatenate([[0], *(e + n for e, n in zip(ends, before, strict=False))])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), vocabulary.names.take(pa.array(np.concatenate(ids)))), ",")
+
+    first, second = vocabularies()
+    groups = pc.binary_join_element_wise(side(first, [x.a for x in found], [x.ends_a for x in found]), side(second, [x.b for x in found], [x.ends_b for x in found]), "|")
+    offsets = np.cumsum([0, *(len(x.ends_a) for x in found)])
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), groups), ";").to_pylist()
 
 
 def _packed(pairs: np.ndarray, times: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
@@ -177,15 +201,34 @@ def alignments(documents: DataFrame) -> DataFrame:
         press, chunk, rows, held = zstandard.ZstdCompressor(1), TaskContext.get().partitionId() << 32, 0, 0
         names = [c.split()[0] for c in STATE.split(", ")]
         kinds = [pa.int64()] * 5 + [pa.string(), pa.int64(), pa.binary()]
-        for batch in slices(batches, 200):
+        waiting: list[tuple] = []
+
+        def sent() -> pa.RecordBatch:
+            nonlocal chunk, rows, held
+            texts = iter(listed([x for _, x in waiting if x is not None]))
             out = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                *said, pairs, times = aligned(text)
-                out.append((doc, *said, chunk, _packed(pairs, times, press) if len(pairs) else None))
-                rows, held = rows + 1, held + len(pairs)
+            for doc, x in waiting:
+                if x is None:
+                    out.append((doc, 0, 0, 0, 0, "", chunk, None))
+                else:
+                    out.append((doc, len(x.a), len(x.b), len(x.ends_a), x.n_links, hashlib.sha256(next(texts).encode()).hexdigest(), chunk, _packed(x.pairs, x.times, press)))
+                    held += len(x.pairs)
+                rows += 1
                 if rows >= CHUNK or held >= CHUNK_PAIRS:
                     chunk, rows, held = chunk + 1, 0, 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+        for batch in slices(batches, 200):
+            size = 0
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                waiting.append((doc, aligned(text)))
+                size += len(text or "")
+                if size >= TOGETHER:
+                    yield sent()
+                    waiting, size = [], 0
+            if waiting:
+                yield sent()
+                waiting = []
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, STATE)
 
