@@ -307,6 +307,27 @@ def test_nearest_and_clusters_brute_force(spark):
     assert hashing.group_id(F.lit("a"))._jc.toString() and spark.range(1).select(hashing.group_id(F.lit("a")).alias("g")).first().g == "GROUP_" + hashlib.sha256(b"a").hexdigest()[:16]
 
 
+def test_clusters_lose_no_link_to_hubs(spark):
+    """Pairs whose shared k-mers are all held by many other records that come first in every order, too."""
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    seqs = []
+    for _ in range(12):
+        shared = letters(90)
+        seqs += [letters(8) + shared + letters(8), letters(8) + shared + letters(8)]
+        seqs += [letters(150) + shared[i : i + 30] + letters(150) for i in range(0, 61, 6) for _ in range(3)]  # hubs hold parts of it only
+    sets = [{s[i : i + 12] for i in range(len(s) - 11)} for s in seqs]
+    comp = list(range(len(seqs)))
+    for a in range(len(seqs)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if n and n / len(sets[a] | sets[b]) >= 0.3 and n >= 0.8 * min(len(sets[a]), len(sets[b])):
+                x, y = comp[a], comp[b]
+                comp = [min(x, y) if c in (x, y) else c for c in comp]
+    assert len(set(comp)) < len(comp)
+    assert {r.member: r.representative for r in similarity.clusters(spark.createDataFrame(list(enumerate(seqs)), "id int, s string"), "id", "s").collect()} == dict(enumerate(comp))
+
+
 def test_ranged_curve_equals_grouped(spark):
     rng = random.Random(9)
     df = spark.createDataFrame([(rng.randrange(2), rng.randrange(400) / 7, 1) for _ in range(3000)], "y int, s double, g int")

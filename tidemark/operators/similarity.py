@@ -16,12 +16,11 @@ def kmer_sets(records: DataFrame, key: str, seq: str, k: int) -> DataFrame:
     return sets.select(key, F.size("s").alias("n"), F.explode("s").alias("kmer"))
 
 
-def _shared(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """a, b, common, na, nb, jaccard of candidate pairs (a, b) of two tables of k-mer sets (id, n, kmer)."""
-    a = pairs.join(left.select(F.col("id").alias("a"), F.col("n").alias("na"), "kmer"), "a")
-    both = a.join(right.select(F.col("id").alias("b"), F.col("n").alias("nb"), "kmer"), ["b", "kmer"])
-    common = both.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
-    return common.withColumn("jaccard", F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))
+def _scored(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """a, b, na, nb, common, jaccard of pairs (a, b), from the whole k-mer sets of either side (a, na, sa; b, nb, sb)."""
+    common = F.size(F.array_intersect("sa", "sb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", common.alias("common"))
+    return both.withColumn("jaccard", F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))
 
 
 def nearest(queries: DataFrame, train: DataFrame, key: str, seq: str, *, k: int = 12, hits: int = 1, first: int = 20, growth: int = 16) -> DataFrame:
@@ -55,8 +54,7 @@ def nearest(queries: DataFrame, train: DataFrame, key: str, seq: str, *, k: int
             more = more.join(floors, "a", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))).where("most >= floor")
         met = more.join(t, "kmer").where(F.least("na", "nb") >= F.col("floor") * F.greatest("na", "nb")).select("a", "b").distinct()
         pairs = reliable(met if done is None else met.join(done, ["a", "b"], "left_anti"))
-        common = F.size(F.array_intersect("sa", "sb"))
-        scored = pairs.join(sa, "a").join(sb, "b").select("a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("jaccard"))
+        scored = _scored(pairs, sa, sb).select("a", "b", "jaccard")
         every = scored if found is None else scored.unionByName(found.drop("place"))
         found = reliable(every.withColumn("place", F.row_number().over(best)).where(F.col("place") <= hits))
         if high >= 2**62 or not q.where(F.col("held") > high).limit(1).count():
@@ -70,20 +68,53 @@ def nearest(queries: DataFrame, train: DataFrame, key: str, seq: str, *, k: int
 def clusters(records: DataFrame, key: str, seq: str, *, k: int = 12, identity: float = 0.30, coverage: float = 0.80) -> DataFrame:
     """(representative, member): components of records whose k-mer sets have a Jaccard index of ``identity`` and cover ``coverage`` of the shorter one; the representative is the smallest key.
 
-    Equal sequences are one from the start.  Candidates are the records that hold a k-mer against
-    the first of them in one of three orders, so a k-mer of many records makes no more pairs than
-    rows; two records that meet no common one this way are not compared.  Records shorter than k
-    are clusters of their own, but for equal ones.
+    Equal sequences are one from the start.  A set's k-mers are put in order, those that the
+    fewest records hold first, and two sets that are close share one among the first
+    n - ceil(coverage n) + 1 of the shorter and n - ceil(identity n) + 1 of the longer; how many they
+    can share from their first common one on must reach both bounds.  The records that hold such a
+    k-mer meet the first of them in one of three orders, which joins most of a family at a cost in
+    proportion to the rows; then those of different components so far meet, so no link is lost.  Records shorter than k are clusters of their own, but for equal ones.
     """
     named = records.select(F.col(key).alias("id"), F.col(seq).alias("seq")).where("seq IS NOT NULL").withColumns({"h": F.sha2("seq", 256)})
     first = named.groupBy("h").agg(F.min("id").alias("first"))
     members = reliable(named.join(first, "h").select("id", "first", "seq"))
     sets = reliable(kmer_sets(members.where("id = first").select("id", "seq"), "id", "seq", k))
-    orders = [F.xxhash64("id", F.lit(seed)) for seed in (0, 1, 2)]
-    leaders = sets.groupBy("kmer").agg(*(F.min_by("id", o).alias(f"l{i}") for i, o in enumerate(orders)))
-    met = sets.select("id", "kmer").join(leaders, "kmer").select("id", F.explode(F.array("l0", "l1", "l2")).alias("other")).where("id <> other")
-    pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    close = _shared(pairs, sets, sets).where((F.col("jaccard") >= identity) & (F.col("common") >= coverage * F.least("na", "nb"))).select("a", "b")
-    joined = connected_components(close, "a", "b")
+    whole = reliable(sets.groupBy("id", "n").agg(F.collect_list("kmer").alias("s")))
+    side = lambda x: whole.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        return _scored(pairs, side("a"), side("b")).where((F.col("jaccard") >= identity) & (F.col("common") >= coverage * F.least("na", "nb"))).select("a", "b")
+
+    held = sets.groupBy("kmer").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    # k-mers of one record come first in the order and make no pair
+    counted = sets.join(held, "kmer", "left").withColumn("held", F.coalesce("held", F.lit(1)))
+    counted = counted.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("held", "kmer")))
+    upto = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    early = counted.where((F.col("held") > 1) & (F.col("place") <= F.greatest(upto(identity), upto(coverage))))
+    early = reliable(early.select("kmer", "id", "n", "place", (F.col("place") <= upto(coverage)).alias("first")))
+
+    def meeting(shorter: DataFrame, longer: DataFrame, on: list[str]) -> DataFrame:
+        """Pairs (a, b) of rows (kmer, id, n, place) of the shorter and the longer record that can still share enough from this k-mer on."""
+        x, y = (d.select(*on, F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("place").alias(f"at{s}")) for d, s in ((shorter, "a"), (longer, "b")))
+        left = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) + 1
+        both = x.join(y, on).where((F.col("a") != F.col("b")) & (F.col("na") <= F.col("nb")) & (left >= coverage * F.col("na") - 1e-9) & (left >= identity / (1 + identity) * (F.col("na") + F.col("nb")) - 1e-9))
+        return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    orders = [F.struct("n", F.xxhash64("id", F.lit(seed)), "id") for seed in (0, 1)]
+    row = F.struct("id", "n", "place")
+    leaders = early.where("first").groupBy("kmer").agg(*(F.min_by(row, o).alias(f"l{i}") for i, o in enumerate(orders)), F.min_by(row, F.xxhash64("id")).alias("l2"))
+    leaders = leaders.select("kmer", F.inline(F.array_distinct(F.array("l0", "l1", "l2"))))
+    met = reliable(meeting(leaders, early, ["kmer"]))
+    linked = reliable(close(met))
+    joined = connected_components(linked, "a", "b")
+
+    placed = reliable(early.join(joined, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"))
+    parts = lambda rows, x: rows.select("kmer", F.col("part").alias(x)).distinct()
+    apart = parts(placed.where("first"), "pa").join(parts(placed, "pb"), "kmer").where("pa <> pb")
+    shorter = apart.join(placed.where("first").withColumnRenamed("part", "pa"), ["kmer", "pa"])
+    crossing = meeting(shorter, placed.withColumnRenamed("part", "pb"), ["kmer", "pb"]).join(met, ["a", "b"], "left_anti")
+    more = reliable(close(crossing))
+    if more.limit(1).count():
+        joined = connected_components(linked.unionByName(more), "a", "b")
     out = members.join(joined.withColumnRenamed("id", "first"), "first", "left")
     return out.select(F.coalesce("component", "first").alias("representative"), F.col("id").alias("member"))

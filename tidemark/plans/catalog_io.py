@@ -321,7 +321,14 @@ def b13(t: Tables) -> DataFrame:
     return nearest(s.where("doc_id % 10 <= 1"), s.where("doc_id % 10 > 1"), "doc_id", "seq", hits=10).withColumn("jaccard", r("jaccard"))
 
 
-@query("b12_similarity_clusters")
+_CLUSTERS = """WITH RECURSIVE q AS (SELECT doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTNN') AS s FROM documents WHERE text IS NOT NULL),
+    k AS (SELECT DISTINCT doc_id, unnest([substr(s, i, 12) FOR i IN range(1, length(s) - 10)]) AS kmer FROM q), n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY 1),
+    j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM k a JOIN k b USING (kmer) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM j JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE common / (na.n + nb.n - common) >= 0.3 AND common >= 0.8 * least(na.n, nb.n) UNION SELECT x.doc_id, y.doc_id FROM q x JOIN q y ON x.s = y.s AND x.doc_id < y.doc_id),
+    e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(id, c) AS (SELECT doc_id, doc_id FROM q UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a), m AS (SELECT id, min(c) AS c FROM r GROUP BY id)"""
+
+
+@query("b12_similarity_clusters", f"{_CLUSTERS} SELECT 'GROUP_' || substr(sha256(CAST(c AS VARCHAR)), 1, 16) AS cluster, c AS representative, id AS member, count(*) OVER (PARTITION BY c) AS size FROM m")
 def b12(t: Tables) -> DataFrame:
     """Clusters of whole sequences by shared k-mers, with the stable id of each and its size."""
     from pyspark.sql import Window
