@@ -64,7 +64,12 @@ def h04(t: Tables) -> DataFrame:
     return S.matched(c, ["p_type"], "label", ("big", "small"), "p_partkey", 5).select("p_partkey", "p_type", "label")
 
 
-@query("h05_nested_selection")
+@query("h05_nested_selection", f"""WITH RECURSIVE g AS (SELECT l_orderkey, count(*) AS size FROM lineitem GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY {_h('l_orderkey', 9)}, l_orderkey) AS i FROM g),
+    t AS (SELECT CAST(sum(size) // 10 AS BIGINT) AS first, CAST(sum(size) // 4 AS BIGINT) AS second FROM g),
+    a AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS have, false AS taken UNION ALL SELECT o.i, a.have + CASE WHEN a.have + o.size <= t.first THEN o.size ELSE 0 END, a.have + o.size <= t.first FROM a JOIN o ON o.i = a.i + 1, t),
+    rest AS (SELECT o.*, row_number() OVER (ORDER BY o.i) AS j FROM o JOIN a USING (i) WHERE NOT taken),
+    b AS (SELECT CAST(0 AS BIGINT) AS j, (SELECT max(have) FROM a) AS have, false AS taken UNION ALL SELECT rest.j, b.have + CASE WHEN b.have + rest.size <= t.second THEN rest.size ELSE 0 END, b.have + rest.size <= t.second FROM b JOIN rest ON rest.j = b.j + 1, t)
+    SELECT l_orderkey, size, 0 AS level FROM o JOIN a USING (i) WHERE taken UNION ALL SELECT l_orderkey, size, 1 FROM rest JOIN b USING (j) WHERE taken""")
 def h05(t: Tables) -> DataFrame:
     groups = t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("size"))
     total = groups.agg(F.sum("size")).first()[0]
@@ -507,10 +512,12 @@ def _halves(t: Tables) -> tuple[DataFrame, DataFrame]:
     return tuple(t.embeddings.select("vec_id", F.slice("embedding", start, 32).alias("embedding")) for start in (1, 33))
 
 
-@query("l06_fusion_variants", "WITH e AS (SELECT count(*) AS n FROM embeddings) SELECT variant, n, width FROM e, (VALUES ('native', 64), ('separate', 16), ('joint', 8), ('balanced', 8)) AS v(variant, width)")
+@query("l06_fusion_variants", "WITH e AS (SELECT count(*) AS n, round(sum(list_sum([CAST(x AS DOUBLE) FOR x IN embedding])), 4) AS total, round(sum(list_sum([CAST(x AS DOUBLE) * (i + vec_id % 7) FOR x, i IN embedding])), 3) AS placed FROM embeddings) SELECT variant, n, width, CASE WHEN variant = 'native' THEN total END AS total, CASE WHEN variant = 'native' THEN placed END AS placed FROM e, (VALUES ('native', 64), ('separate', 16), ('joint', 8), ('balanced', 8)) AS v(variant, width)")
 def l06(t: Tables) -> DataFrame:
     v = L.fusion_variants(*_halves(t), "vec_id", "embedding", F.col("vec_id") % 5 != 0, 8)
-    return v.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width"))
+    whole = F.when(F.col("variant") == "native", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x))
+    placed = F.when(F.col("variant") == "native", F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1 + F.col("vec_id") % 7)), F.lit(0.0), lambda a, x: a + x))
+    return v.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width"), r(F.sum(whole), 4).alias("total"), r(F.sum(placed), 3).alias("placed"))
 
 
 _ROW_KEY = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT))"
