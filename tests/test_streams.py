@@ -10,7 +10,7 @@ import tarfile
 import pytest
 
 from tidemark.operators import packages
-from tidemark.sources import streams
+from tidemark.sources import scans, streams
 
 
 def archive(path, members, mode="w"):
@@ -76,3 +76,13 @@ def test_archives_are_written_and_verified(spark, tmp_path):
     assert checks(index, kinds="abc") == {"incomplete_kinds": 9}
     assert checks(index, kinds="a") == {"unexpected_kinds": 9}
     assert checks(index.where("id <> 'u2'")) == {"missing_ids": 1, "unlisted_members": 2}
+
+
+def test_a_row_that_says_what_the_header_says(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("a\tb\nx\t1\na\tb\ny\t2\n")
+    got = scans.repaired_table(spark, str(tmp_path / "t.tsv"), "k").collect()
+    assert [tuple(r) for r in got] == [("x", 1.0), ("a", None), ("y", 2.0)]
+    (tmp_path / "u.tsv").write_text("b\nx\t1\ny\t\n")
+    assert [r.asDict() for r in scans.repaired_table(spark, str(tmp_path / "u.tsv"), "k").collect()] == [{"k": "x", "b": 1.0}, {"k": "y", "b": None}]
+    (tmp_path / "h.tsv").write_text("a\tb\n")
+    assert scans.repaired_table(spark, str(tmp_path / "h.tsv"), "k").columns == ["a", "b"]

@@ -88,15 +88,19 @@ def part_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def repaired_table(spark: SparkSession, path: str, first: str, sep: str = "\t") -> DataFrame:
-    """A table whose header may lack its first column: one wider rows get it, mixed widths raise; all but the first column are numbers or null."""
-    lines = spark.read.text(path)
-    header = lines.first()["value"].split(sep)
-    body = lines.where(F.col("value") != sep.join(header))
-    widths = [r["w"] for r in body.select(F.size(F.split("value", sep)).alias("w")).distinct().limit(3).collect()]
-    if widths == [len(header) + 1]:
+    """A table whose header may lack its first column: one wider rows get it, mixed widths raise; all but the first column are numbers or null.
+
+    The header is the first line of the file by its place, so a later line that says the same is a row.
+    """
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("place"), F.size(F.split("value", f"\\Q{sep}\\E", -1)).alias("width"))
+    head = lines.agg(F.min_by("value", "place").alias("value"), F.min("place").alias("place")).first()
+    header = head["value"].split(sep)
+    body = lines.where((F.col("place.block") != head["place"]["block"]) | (F.col("place.n") != head["place"]["n"]))
+    least, most = body.agg(F.min("width"), F.max("width")).first()
+    if least == most == len(header) + 1:
         header = [first, *header]
-    elif widths not in ([len(header)], []):
-        raise ValueError(f"rows have {sorted(widths)} fields, the header {len(header)}")
-    cells = F.split("value", sep)
+    elif least is not None and (least, most) != (len(header), len(header)):
+        raise ValueError(f"rows have {least} to {most} fields, the header {len(header)}")
+    cells = F.split("value", f"\\Q{sep}\\E", -1)
     number = lambda i: F.expr(f"try_cast(nullif(nullif(nullif(cells[{i}], 'NA'), 'NaN'), '') as double)")
     return body.select(cells.alias("cells")).select(F.col("cells")[0].alias(header[0]), *(number(i).alias(c) for i, c in enumerate(header) if i))
