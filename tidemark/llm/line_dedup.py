@@ -30,8 +30,8 @@ from tidemark.llm.common import apart, cut, keyed
 
 #: Lines under the rolling hash; one boundary for so many lines on average.
 ROLL, EVERY = 2, 4
-#: Documents with copies of chunks that are broadcast at most.
-FEW = 200_000
+#: Copies of chunks whose places are broadcast at most (with four more for each document that has any).
+FEW = 1_000_000
 DOC = ["__id", "__th"]
 
 
@@ -85,9 +85,10 @@ def _later(found: DataFrame) -> DataFrame:
 def repeated(documents: DataFrame) -> DataFrame:
     """The spans of lines to remove: __id, __th, start, end."""
     lines = line_hashes(documents)
-    by_chunk = cut(_again(chunks(lines)))
+    by_chunk = cut(_again(cut(chunks(lines))))
     copies = cut(_later(by_chunk).groupBy(*DOC).agg(F.collect_set(F.struct("start", "end")).alias("copies")))
-    by_pair = cut(_again(pairs(lines.join(F.broadcast(copies) if copies.count() <= FEW else copies, DOC, "left"))))
+    few = (copies.agg(F.sum(F.size("copies") + 4)).first()[0] or 0) <= FEW
+    by_pair = cut(_again(pairs(lines.join(F.broadcast(copies) if few else copies, DOC, "left"))))
     found = by_chunk.unionByName(by_pair)
     # texts of the found spans, cut from the documents that hold any
     spans = found.groupBy(*DOC).agg(F.collect_set(F.struct("start", "end", "k")).alias("found"))
