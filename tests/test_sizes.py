@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from tidemark.operators import similarity
+from pyspark.sql import functions as F
+
+from tidemark.operators import sequences, similarity
 
 
 def test_similarity_over_many_blocks(spark, monkeypatch):
@@ -23,3 +25,10 @@ def test_similarity_over_many_blocks(spark, monkeypatch):
     for name, value in (("LETTERS", 900), ("RECORDS", 9), ("ROWS", 1), ("MET", 50)):
         monkeypatch.setattr(similarity, name, value)
     assert found() == whole
+
+
+def test_kmer_totals_are_those_of_the_spectrum(spark):
+    df = spark.createDataFrame([(1, "ACGTNACG"), (2, None), (3, "AC"), (4, "")], "id int, s string")
+    per = sequences.kmer_spectrum(df, "id", "s", range(1, 4)).groupBy("k", "kmer").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("records"), F.avg("share").alias("mean_share"))
+    rows = lambda d: {(r.k, r.kmer): (r.n, r.records, round(r.mean_share, 12)) for r in d.collect()}
+    assert rows(sequences.kmer_totals(df, "s", range(1, 4))) == rows(per)

@@ -85,12 +85,17 @@ _BASE = np.full(256, -1, dtype=np.int64)
 _BASE[np.frombuffer(b"ACGT", dtype=np.uint8)] = np.arange(4)
 
 
+def bases(text: str | None) -> np.ndarray:
+    """The number of each letter among ``ACGT``, -1 for others."""
+    return _BASE[np.frombuffer((text or "").encode("ascii", "replace"), dtype=np.uint8)]
+
+
 def kmer_codes(text: str | None, sizes: range) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of each size: k, the k-mers of valid bases that occur, as numbers in base four and in order, and how often.
 
     A k-mer's number is made from that of the size before it, so a record takes time in proportion to its length.
     """
-    base = _BASE[np.frombuffer((text or "").encode("ascii", "replace"), dtype=np.uint8)]
+    base = bases(text)
     code = base
     for k in range(1, sizes[-1] + 1):
         if k > 1:
@@ -132,6 +137,29 @@ def kmer_spectrum(df: DataFrame, key: str, s: str, sizes: range) -> DataFrame:
     return rows.select(key, "k", "kmer", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
+def kmer_totals(df: DataFrame, s: str, sizes: range) -> DataFrame:
+    """k, kmer, n, records that hold it, mean of their shares: added up in the tasks, so a task sends a row for each k-mer."""
+    first = {k: sum(4**j for j in range(1, k)) for k in sizes}
+    width = sum(4**j for j in range(1, sizes[-1] + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, records, shares = np.zeros(width, np.int64), np.zeros(width, np.int64), np.zeros(width)
+        for batch in batches:
+            for text in batch[0]:
+                for k, at, counts in kmer_codes(text.as_py(), sizes):
+                    places = at + first[k]
+                    n[places] += counts
+                    records[places] += 1
+                    shares[places] += counts / max(1, counts.sum())
+        held = np.flatnonzero(records)
+        names = ["".join(x) for k in range(1, sizes[-1] + 1) for x in product("ACGT", repeat=k)]
+        kmers = [names[i] for i in held]
+        yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in kmers], pa.int32()), pa.array(kmers, pa.string()), pa.array(n[held]), pa.array(records[held]), pa.array(shares[held])], ["k", "kmer", "n", "records", "shares"])
+
+    sums = df.select(s).mapInArrow(run, "k int, kmer string, n long, records long, shares double").groupBy("k", "kmer").agg(*(F.sum(c).alias(c) for c in ("n", "records", "shares")))
+    return sums.select("k", "kmer", "n", "records", (F.col("shares") / F.col("records")).alias("mean_share"))
+
+
 def windows(df: DataFrame, key: str, s: str, width: int) -> DataFrame:
     """Non-overlapping windows of a record: key, window (from 0), part."""
     return df.select(key, F.posexplode(F.regexp_extract_all(F.col(s), F.lit(f"(?s).{{1,{width}}}"), F.lit(0))).alias("window", "part"))
