@@ -32,3 +32,12 @@ def test_kmer_totals_are_those_of_the_spectrum(spark):
     per = sequences.kmer_spectrum(df, "id", "s", range(1, 4)).groupBy("k", "kmer").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("records"), F.avg("share").alias("mean_share"))
     rows = lambda d: {(r.k, r.kmer): (r.n, r.records, round(r.mean_share, 12)) for r in d.collect()}
     assert rows(sequences.kmer_totals(df, "s", range(1, 4))) == rows(per)
+
+
+def test_kmer_counts_in_slices(spark, monkeypatch):
+    """A batch is cut in slices of RECORDS records; slices of a few give what one gives."""
+    df = spark.range(0, 30, 1, 1).select("id", F.expr("substring('ACGTNACGGT', cast(id % 7 as int), 6)").alias("s"))
+    rows = lambda: sorted((r.id, r.k, r.kmers, r.counts) for r in sequences.kmer_counts(df, "id", "s", range(1, 3)).collect())
+    whole = rows()
+    monkeypatch.setattr(sequences, "RECORDS", 7)
+    assert len(whole) == 60 and rows() == whole

@@ -90,6 +90,10 @@ def bases(text: str | None) -> np.ndarray:
     return _BASE[np.frombuffer((text or "").encode("ascii", "replace"), dtype=np.uint8)]
 
 
+#: Records whose k-mers a task holds at once.
+RECORDS = 200
+
+
 def kmer_codes(text: str | None, sizes: range) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of each size: k, the k-mers of valid bases that occur, as numbers in base four and in order, and how often.
 
@@ -116,16 +120,18 @@ def kmer_counts(df: DataFrame, key: str, s: str, sizes: range) -> DataFrame:
         names = pa.array(["".join(x) for k in range(1, sizes[-1] + 1) for x in product("ACGT", repeat=k)])
         first = {k: sum(4**j for j in range(1, k)) for k in sizes}
         for batch in batches:
-            keys, found, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, text in enumerate(batch[1].to_pylist()):
-                for k, at, n in kmer_codes(text, sizes):
-                    keys.append((i, k))
-                    found.append(at + first[k])
-                    counts.append(n)
-            ends = pa.array(np.cumsum([len(c) for c in counts]).astype(np.int32))
-            at, k = np.array(keys, dtype=np.int64).reshape(-1, 2).T
-            columns = [batch[0].take(pa.array(at)), pa.array(k.astype(np.int32)), pa.ListArray.from_arrays(ends, names.take(pa.array(np.concatenate(found)))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(counts)))]
-            yield pa.RecordBatch.from_arrays(columns, [key, "k", "kmers", "counts"])
+            for start in range(0, batch.num_rows, RECORDS):
+                part = batch.slice(start, RECORDS)
+                keys, found, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i, text in enumerate(part[1].to_pylist()):
+                    for k, at, n in kmer_codes(text, sizes):
+                        keys.append((i, k))
+                        found.append(at + first[k])
+                        counts.append(n)
+                ends = pa.array(np.cumsum([len(c) for c in counts]).astype(np.int32))
+                at, k = np.array(keys, dtype=np.int64).reshape(-1, 2).T
+                columns = [part[0].take(pa.array(at)), pa.array(k.astype(np.int32)), pa.ListArray.from_arrays(ends, names.take(pa.array(np.concatenate(found)))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(counts)))]
+                yield pa.RecordBatch.from_arrays(columns, [key, "k", "kmers", "counts"])
 
     return df.select(key, s).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, k int, kmers array<string>, counts array<long>")
 
