@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import sequences, similarity
+from tidemark.operators import sequences, similarity, sparse
 
 
 def test_similarity_over_many_blocks(spark, monkeypatch):
@@ -41,3 +41,9 @@ def test_kmer_counts_in_slices(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(sequences, "RECORDS", 7)
     assert len(whole) == 60 and rows() == whole
+
+
+def test_codon_rows(spark):
+    df = spark.createDataFrame([(1, "ACGACGTTTNAAG"), (2, None)], "id int, s string")
+    got = {r.id: (r.indices, r.values) for r in sparse.codon_rows(df, "id", "s").collect()}
+    assert got[1] == ([6, 63, 64, 65, 66], [2 / 3, 1 / 3, 1 / 4, 2 / 4, 2 / 4]) and got[2] == ([64, 65, 66], [0.0, 0.0, 0.0])

@@ -50,6 +50,27 @@ def kmer_rows(df: DataFrame, key: str, s: str, sizes: range = range(1, 7)) -> Da
     return df.select(key, s).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, indices array<int>, values array<double>")
 
 
+def codon_rows(df: DataFrame, key: str, s: str) -> DataFrame:
+    """key, indices, values: shares of the codons of valid bases in frame that occur, by letter, then the GC shares of the three codon positions at places 64 to 66."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            indices, values = [], []
+            for text in batch[1].to_pylist():
+                base = B.bases(text)
+                frame = base[: len(base) // 3 * 3].reshape(-1, 3)
+                frame = frame[(frame >= 0).all(axis=1)]
+                n = np.bincount(frame @ np.array([16, 4, 1]), minlength=64)
+                held = np.flatnonzero(n)
+                at = [base[p::3] for p in range(3)]
+                gc = [float(np.isin(x, (1, 2)).sum() / max(1, (x >= 0).sum())) for x in at]
+                indices.append([*held.tolist(), 64, 65, 66])
+                values.append([*(n[held] / max(1, len(frame))).tolist(), *gc])
+            yield pa.RecordBatch.from_arrays([batch[0], pa.array(indices, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], [key, "indices", "values"])
+
+    return df.select(key, s).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, indices array<int>, values array<double>")
+
+
 def classical_sets(cohort: DataFrame, records: DataFrame, key: str, s: str) -> DataFrame:
     """key, representation, width, indices, values: the six classical feature sets of exactly the cohort's keys.
 
@@ -63,12 +84,7 @@ def classical_sets(cohort: DataFrame, records: DataFrame, key: str, s: str) -> D
         raise ContractError(f"{n} rows of the cohort have no record")
     rows = records.join(cohort.select(key).distinct(), key, "left_semi").select(key, F.upper(s).alias("s"))
     length, gc = F.length("s"), F.coalesce(B.nucleotide_quality(F.col("s"))["gc"], F.lit(0.0))
-    codons = F.array(*map(F.lit, sorted(B.CODONS)))
-    known = F.filter(B.codons(F.col("s")), lambda c: ~F.regexp_like(c, F.lit("[^ACGT]")))
-    by_codon = rows.select(key, "s", known.alias("known")).select(key, "s", "known", F.explode(F.array_append(F.array_distinct("known"), F.lit(""))).alias("codon"))
-    shares = by_codon.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("codon") != "", F.struct((F.array_position(codons, F.col("codon")) - 1).cast("int").alias("i"), (F.size(F.filter("known", lambda c: c == F.col("codon"))) / F.size("known")).alias("v"))))).alias("c"), F.first("s").alias("s"))
-    positions = F.array(*(F.struct(F.lit(64 + p).alias("i"), c.alias("v")) for p, c in enumerate(B.gc_by_position(F.col("s")).values())))
-    codon = shares.withColumn("c", F.concat("c", positions)).select(key, F.transform("c", lambda x: x["i"]).alias("indices"), F.transform("c", lambda x: x["v"]).alias("values"))
+    codon = codon_rows(rows, key, "s")
     protein = rows.select(key, B.translated(F.col("s")).alias("p"))
     sets = {
         "length": (1, rows.select(key, *dense_row(length))), "gc": (1, rows.select(key, *dense_row(gc))), "length_gc": (2, rows.select(key, *dense_row(length, gc))), "codon_67": (67, codon),
