@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import sequences, similarity, sparse
+from tidemark.operators import models, sequences, similarity, sparse
 
 
 def test_similarity_over_many_blocks(spark, monkeypatch):
@@ -47,3 +47,10 @@ def test_codon_rows(spark):
     df = spark.createDataFrame([(1, "ACGACGTTTNAAG"), (2, None)], "id int, s string")
     got = {r.id: (r.indices, r.values) for r in sparse.codon_rows(df, "id", "s").collect()}
     assert got[1] == ([6, 63, 64, 65, 66], [2 / 3, 1 / 3, 1 / 4, 2 / 4, 2 / 4]) and got[2] == ([64, 65, 66], [0.0, 0.0, 0.0])
+
+
+def test_permuted_labels_keep_the_old_one(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], i % 3) for i in range(60)], "k int, y string, g int")
+    got = models.permuted_labels(df, "k", "y", "g", 3, keep="was").collect()
+    assert {r.k: r.was for r in got} == {i: "ab"[i % 2] for i in range(60)}
+    assert sorted((r.g, r.y) for r in got) == sorted((i % 3, "ab"[i % 2]) for i in range(60)) and any(r.y != r.was for r in got)

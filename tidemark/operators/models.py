@@ -158,11 +158,16 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select(label, (F.col("n") / (F.col("k") * F.col("n_c"))).alias("weight"))
 
 
-def permuted_labels(df: DataFrame, key: str, label: str, by: str, seed: int) -> DataFrame:
-    """Labels dealt anew within ``by``: the i-th row by key gets the label of the i-th row by hash.  Rows are placed in ranges, so a large ``by`` is many tasks."""
+def permuted_labels(df: DataFrame, key: str, label: str, by: str, seed: int, *, keep: str | None = None) -> DataFrame:
+    """Labels dealt anew within ``by``: the i-th row by key gets the label of the i-th row by hash; ``keep`` names a column for the old one.
+
+    Rows are placed in ranges, so a large ``by`` is many tasks.  Those in hash order are the digest's bytes
+    and the label only.
+    """
     a = ranked(df, [by], [key], "__i")
-    b = ranked(df.select(by, label, key).withColumn("__h", stable_hash(F.col(key), seed)), [by], ["__h", key], "__i").select(by, "__i", F.col(label).alias("__new"))
-    return a.join(b, [by, "__i"]).drop("__i", label).withColumnRenamed("__new", label)
+    b = ranked(df.select(by, label, F.unhex(stable_hash(F.col(key), seed)).alias("__h")), [by], ["__h"], "__i").select(by, "__i", F.col(label).alias("__new"))
+    both = a.join(b, [by, "__i"]).drop("__i")
+    return (both.drop(label) if keep is None else both.withColumnRenamed(label, keep)).withColumnRenamed("__new", label)
 
 
 def random_features(df: DataFrame, key: str, width: int, seed: int, into: str) -> DataFrame:

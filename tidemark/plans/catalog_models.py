@@ -530,7 +530,7 @@ _ROW_KEY = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(
 def l07(t: Tables) -> DataFrame:
     """Which label each row is dealt: rows by old and new label, and a digest of their keys."""
     rows = t.lineitem.select(F.expr(_ROW_KEY).alias("k"), "l_linestatus", "l_returnflag")
-    dealt = L.permuted_labels(rows, "k", "l_returnflag", "l_linestatus", 3).withColumnRenamed("l_returnflag", "dealt").join(rows.select("k", "l_returnflag"), "k")
+    dealt = L.permuted_labels(rows, "k", "l_returnflag", "l_linestatus", 3, keep="was").withColumnsRenamed({"l_returnflag": "dealt", "was": "l_returnflag"})
     return dealt.groupBy("l_linestatus", "l_returnflag", "dealt").agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(F.sha2("k", 256), 1, 8), 16, 10).cast("long")).alias("digest"))
 
 
