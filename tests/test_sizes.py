@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import models, sequences, similarity, sparse
+from tidemark.operators import models, sequences, similarity, sparse, splits
 
 
 def test_similarity_over_many_blocks(spark, monkeypatch):
@@ -54,3 +54,7 @@ def test_permuted_labels_keep_the_old_one(spark):
     got = models.permuted_labels(df, "k", "y", "g", 3, keep="was").collect()
     assert {r.k: r.was for r in got} == {i: "ab"[i % 2] for i in range(60)}
     assert sorted((r.g, r.y) for r in got) == sorted((i % 3, "ab"[i % 2]) for i in range(60)) and any(r.y != r.was for r in got)
+
+
+def test_a_selection_of_nothing_is_empty(spark):
+    assert splits.exact_selection(spark.createDataFrame([(1, 2)], "k int, n long"), "k", "n", [0], 1).collect() == []

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import stable_hash, uniform, uniform32
 from tidemark.operators.contracts import same
 from tidemark.operators.ranges import quantiles
+from tidemark.operators.shared import reliable
 
 
 def hash_order(seed: int, key: str) -> list[Column]:
@@ -87,31 +88,29 @@ def exact_selection(groups: DataFrame, key: str, size: str, targets: list[int],
     still fit are added up in order and the longest prefix within the room is accepted.  Each round
     reduces to one row at the driver; a target that no set of groups reaches raises.
     """
-    ordered = groups.withColumn("h", stable_hash(F.col(key), seed)).select(key, size, "h")
-    chosen, have, cond = None, 0, F.lit(True)
+    ordered = reliable(groups.withColumn("h", stable_hash(F.col(key), seed)).select(key, size, "h"))
+    chosen, have = [], 0
     for level, target in enumerate(targets):
+        # what a level takes is at or before its last place, so only earlier levels have to be left out
+        open_ = ordered if not chosen else reliable(ordered.join(reduce(DataFrame.union, chosen), key, "left_anti"))
         last = None
         for _ in range(rounds):
             room = target - have
             if room == 0:
                 break
-            left = ordered.where(cond) if chosen is None else ordered.join(chosen, key, "left_anti")
-            left = left.where((F.col(size) <= room) & (F.col(size) > 0))
+            left = open_.where((F.col(size) <= room) & (F.col(size) > 0))
             if last is not None:
                 left = left.where((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col(key) > last[1])))
-            took = _fitting_prefix(left, key, size, room)
+            took = reliable(_fitting_prefix(left, key, size, room))
             summary = took.agg(F.sum(size).alias("s"), F.max(F.struct("h", key)).alias("last")).first()
             if summary["s"] is None:
                 break
-            took = took.select(key, size, F.lit(level).alias("level"))
-            chosen = took if chosen is None else chosen.union(took)
-            from tidemark.operators.shared import reliable
-
-            chosen = reliable(chosen)
+            chosen.append(took.select(key, size, F.lit(level).alias("level")))
             have, last = have + summary["s"], tuple(summary["last"])
         if have != target:
             raise ValueError(f"groups can't fill {target}: {have}")
-    return chosen
+    none = ordered.select(key, size, F.lit(0).alias("level")).where(F.lit(False))
+    return reduce(DataFrame.union, chosen, none)
 
 
 def _fitting_prefix(left: DataFrame, key: str, size: str, room: int) -> DataFrame:
