@@ -10,6 +10,7 @@ import tarfile
 import pytest
 
 from tidemark.operators import packages
+from tidemark.operators.contracts import ContractError
 from tidemark.sources import scans, streams
 
 
@@ -86,3 +87,15 @@ def test_a_row_that_says_what_the_header_says(spark, tmp_path):
     assert [r.asDict() for r in scans.repaired_table(spark, str(tmp_path / "u.tsv"), "k").collect()] == [{"k": "x", "b": 1.0}, {"k": "y", "b": None}]
     (tmp_path / "h.tsv").write_text("a\tb\n")
     assert scans.repaired_table(spark, str(tmp_path / "h.tsv"), "k").columns == ["a", "b"]
+
+
+def test_a_file_for_each_row(spark, tmp_path, monkeypatch):
+    """Files are written by several tasks and digested by several; a repeated path is an error, as one file would be lost."""
+    monkeypatch.setattr(streams, "FILES", 40)
+    rows = spark.range(100).selectExpr("concat(id % 3, '/', id, '.gz') AS path", "concat('row ', id) AS content")
+    got = streams.write_files(rows, f"file://{tmp_path}")
+    assert {tuple(r) for r in got.collect()} == {(f"{i % 3}/{i}.gz", len(f"row {i}")) for i in range(100)} and got.rdd.getNumPartitions() == 3
+    assert {i: (tmp_path / f"{i % 3}/{i}.gz").read_bytes() for i in range(100)} == {i: f"row {i}".encode() for i in range(100)}
+    assert sorted(len(p.paths) for p in streams.DigestReader(str(tmp_path), streams.SHARE).partitions()) == [20, 40, 40]
+    with pytest.raises(ContractError):
+        streams.write_files(rows.union(rows.limit(1)), str(tmp_path / "again"))

@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tidemark.operators.contracts import ContractError, repeated_keys
 from tidemark.operators.shared import reliable
 
 CHUNK = 8 << 20
 #: Bytes that a task digests: of small files together, of one archive's neighbouring members.  A file or member over it is a task of its own.
 SHARE = 256 << 20
+#: Files that a task writes or digests.
+FILES = 2_000
 
 
 def located(uri: str) -> tuple[fs.FileSystem, str, str]:
@@ -64,7 +67,7 @@ class FileDigests(DataSource):
     """``spark.read.format("file_digests").load(root)``: path, bytes, sha256 and md5 of the files under a root.
 
     The listing alone is the driver's work; names that start with a dot or an underscore are left out,
-    as Spark's own sources do.  A partition is a large file or some small ones.
+    as Spark's own sources do.  A partition is a large file or some small ones, FILES at most.
     """
 
     @classmethod
@@ -89,7 +92,7 @@ class DigestReader(DataSourceReader):
         seen = [f for f in found if f.type == fs.FileType.File and not any(part[0] in "._" for part in f.path.removeprefix(below).split("/") if part)]
         out, size = [Files([])], 0
         for f in sorted(seen, key=lambda f: (-f.size, f.path)):
-            if out[-1].paths and size + f.size > self.share:
+            if out[-1].paths and (size + f.size > self.share or len(out[-1].paths) == FILES):
                 out.append(Files([]))
                 size = 0
             out[-1].paths.append(prefix + f.path)
@@ -218,3 +221,30 @@ def write_archives(members: DataFrame, root: str) -> DataFrame:
 
     rows = members.select("archive", "member", F.col("content").cast("binary").alias("content"))
     return reliable(rows.repartition("archive").sortWithinPartitions("archive", "member").mapInArrow(write, index))
+
+
+def write_files(rows: DataFrame, root: str) -> DataFrame:
+    """Writes rows (path, content) to files below a root, one for each; a repeated path is an error.  Returns path, bytes.
+
+    Tasks write the files themselves, as a commit of Spark's sinks costs the driver time for each of
+    them.  A task that is run again writes the same bytes.
+    """
+    if (bad := repeated_keys(rows, ["path"]).first()) is not None:
+        raise ContractError(f"the path {bad['path']} repeats")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = set()
+        for batch in batches:
+            written = []
+            for name, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                system, path, _ = located(f"{root.rstrip('/')}/{name}")
+                if (folder := path.rsplit("/", 1)[0]) not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(path, compression=None) as stream:
+                    stream.write(content)
+                written.append((name, len(content)))
+            yield _rows(written, "path string, bytes long")
+
+    out = rows.select("path", F.col("content").cast("binary").alias("content"))
+    return reliable(out.repartition(1 + out.count() // FILES, "path").mapInArrow(write, "path string, bytes long"))
