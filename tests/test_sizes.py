@@ -6,7 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import models, sequences, similarity, sparse, splits
+from tidemark.operators import models, sequences, shared, similarity, sparse, splits
+from tidemark.plans.catalog import QUERIES
 
 
 def test_similarity_over_many_blocks(spark, monkeypatch):
@@ -58,3 +59,9 @@ def test_permuted_labels_keep_the_old_one(spark):
 
 def test_a_selection_of_nothing_is_empty(spark):
     assert splits.exact_selection(spark.createDataFrame([(1, 2)], "k int, n long"), "k", "n", [0], 1).collect() == []
+
+
+def test_degrees_are_counted_in_tasks_of_bounded_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS", 1000)
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert QUERIES["g03_degree_summary"](spark, sf).rdd.getNumPartitions() == 1 + n // 1000 > 4

@@ -19,7 +19,7 @@ from tidemark.operators import sequences as B
 from tidemark.operators import sparse as K
 from tidemark.operators import splits as S
 from tidemark.operators import stats as E
-from tidemark.operators.shared import reliable
+from tidemark.operators.shared import filled, reliable
 from tidemark.operators.ranges import quantiles
 from tidemark.plans import pipelines as P
 from tidemark.plans.registry import Tables, query, r
@@ -172,8 +172,10 @@ def g02(t: Tables) -> DataFrame:
 
 @query("g03_degree_summary", "WITH d AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS degree, min(l_suppkey) AS chosen FROM lineitem GROUP BY 1) SELECT l_partkey, degree, degree > 1 AS multi, EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = d.l_partkey AND l.l_suppkey = d.chosen) AS chosen_is_member FROM d")
 def g03(t: Tables) -> DataFrame:
-    d = t.lineitem.groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("degree"), F.min("l_suppkey").alias("chosen"))
-    members = t.lineitem.select("l_partkey", F.col("l_suppkey").alias("chosen")).distinct().withColumn("m", F.lit(True))
+    n = filled(t.lineitem)
+    pairs = t.lineitem.select("l_partkey", "l_suppkey").repartition(n, "l_partkey", "l_suppkey").distinct()
+    d = pairs.groupBy("l_partkey").agg(F.count("l_suppkey").alias("degree"), F.min("l_suppkey").alias("chosen")).repartition(n, "l_partkey", "chosen")
+    members = pairs.select("l_partkey", F.col("l_suppkey").alias("chosen"), F.lit(True).alias("m")).repartition(n, "l_partkey", "chosen")
     return C.checked_join(d, members, ["l_partkey", "chosen"], "left").select("l_partkey", "degree", (F.col("degree") > 1).alias("multi"), F.coalesce("m", F.lit(False)).alias("chosen_is_member"))
 
 
