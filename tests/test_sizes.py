@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -65,3 +66,13 @@ def test_degrees_are_counted_in_tasks_of_bounded_rows(spark, sf, monkeypatch):
     monkeypatch.setattr(shared, "ROWS", 1000)
     n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert QUERIES["g03_degree_summary"](spark, sf).rdd.getNumPartitions() == 1 + n // 1000 > 4
+
+
+def test_only_rows_below_the_cap_are_ranked(spark):
+    """Rows whose first digits of the hash stand beyond the cap go before the ranking; the rows kept are those of all ranks."""
+    df = spark.range(20_000).selectExpr("id AS k", "id % 2 AS g")
+    got = splits.capped(df, ["g"], "k", 5, 3)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"row_number\(\).*< 5\b", plan, re.S), plan
+    whole = splits.placed(df, ["g"], "k", 3).where("place <= 5")
+    assert got.count() == 10 and sorted(got.select("g", "k", "place").collect()) == sorted(whole.select("g", "k", "place").collect())

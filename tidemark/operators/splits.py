@@ -17,25 +17,29 @@ def hash_order(seed: int, key: str) -> list[Column]:
     return [stable_hash(F.col(key), seed), F.col(key)]
 
 
-def placed(df: DataFrame, strata: list[str], key: str, seed: int) -> DataFrame:
+def placed(df: DataFrame, strata: list[str], key: str, seed: int, cap: int | Column | None = None) -> DataFrame:
     """Adds ``place``, the rank of a row in its stratum by hash order, from 1.
 
     A stratum is dealt out by the first digits of the hash: their counts are summed up first, then
-    rows are ranked inside, so a large stratum is many tasks.  Nulls in strata are a value.
+    rows are ranked inside, so a large stratum is many tasks.  Nulls in strata are a value.  With a
+    ``cap``, rows whose digits all stand beyond it go before they are ranked, and rows beyond it after.
     """
     rows = df.withColumn("__h", stable_hash(F.col(key), seed)).withColumn("__lead", F.substring("__h", 1, 3))
     sums = rows.groupBy(*strata, "__lead").agg(F.count(F.lit(1)).alias("__n"))
     over = Window.partitionBy(*strata).orderBy("__lead").rowsBetween(Window.unboundedPreceding, -1)
     names = [*(f"__s{i}" for i in range(len(strata))), "__l"]
     before = sums.withColumn("__before", F.coalesce(F.sum("__n").over(over), F.lit(0))).select(*(F.col(c).alias(n) for c, n in zip([*strata, "__lead"], names, strict=True)), "__before")
+    joined = rows.join(before, same([*strata, "__lead"], names))
+    if cap is not None:
+        joined = joined.where(F.col("__before") < cap)
     inside = F.row_number().over(Window.partitionBy(*strata, "__lead").orderBy("__h", key))
-    out = rows.withColumn("__inside", inside).join(before, same([*strata, "__lead"], names))
-    return out.withColumn("place", (F.col("__before") + F.col("__inside")).cast("int")).drop(*names, "__before", "__inside", "__h", "__lead")
+    out = joined.withColumn("place", (F.col("__before") + inside).cast("int")).drop(*names, "__before", "__h", "__lead")
+    return out if cap is None else out.where(F.col("place") <= cap)
 
 
 def capped(df: DataFrame, strata: list[str], key: str, cap: int | Column, seed: int) -> DataFrame:
     """At most ``cap`` rows of each stratum, the first in hash order."""
-    return placed(df, strata, key, seed).where(F.col("place") <= cap)
+    return placed(df, strata, key, seed, cap)
 
 
 def split_of(group: Column, seed: int, train: float = 0.70, validation: float = 0.85) -> Column:

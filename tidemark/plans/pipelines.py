@@ -16,7 +16,7 @@ from tidemark.operators import splits as S
 from tidemark.operators.contracts import checked_join
 from tidemark.operators.matrix import composition
 from tidemark.operators.ranges import quantiles
-from tidemark.operators.shared import reliable
+from tidemark.operators.shared import filled, reliable
 from tidemark.operators.stats import odds_ratio, ols, rank_sum
 from tidemark.sources import scans
 
@@ -55,7 +55,8 @@ def candidate_pool(rows: DataFrame, key: str, fraction: str, score: str, label:
     """Rows with a stratum of fraction, score level and label, at most ``cap`` of each by hash order."""
     low = quantiles(rows, [fraction], score, {"__q": 0.25}).select(fraction, F.least("__q", F.lit(0.5)).alias("__low"))
     levelled = rows.join(low, fraction).withColumn("stratum", stratum(F.col(fraction), threshold_label(F.col(score), 0.5, F.col("__low")), F.col(label))).drop("__low")
-    return S.capped(levelled.where("stratum IS NOT NULL").select("stratum", key).distinct(), ["stratum"], key, cap, seed)
+    pairs = levelled.where("stratum IS NOT NULL").select("stratum", key).repartition(filled(rows), "stratum", key).distinct()
+    return S.capped(pairs, ["stratum"], key, cap, seed)
 
 
 def frozen_benchmark(rows: DataFrame, key: str, group: str, cell: list[str], label: str, values: tuple[str, str], seed: int) -> DataFrame:
