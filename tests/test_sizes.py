@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import models, sequences, shared, similarity, sparse, splits
+from tidemark.operators import graph, models, sequences, shared, similarity, sparse, splits
 from tidemark.plans.catalog import QUERIES
 
 
@@ -62,6 +62,19 @@ def test_a_selection_of_nothing_is_empty(spark):
     assert splits.exact_selection(spark.createDataFrame([(1, 2)], "k int, n long"), "k", "n", [0], 1).collect() == []
 
 
+def test_steps_of_components_hold_little_in_a_task(spark):
+    """240,000 edges of seven hubs: a task of a step holds under 400 MB of them."""
+    store = spark._jsparkSession.sparkContext().statusStore()
+    listed = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    stages = lambda: (lambda found: [found.apply(i) for i in range(found.size())])(listed())
+    before = {s.stageId() for s in stages()}
+    edges = spark.range(240_000).selectExpr("10000000 + id % 7 AS src", "id AS dst")
+    got = graph.connected_components(edges).groupBy("component").count().collect()
+    assert sorted(r.component for r in got) == list(range(7)) and sum(r["count"] for r in got) == 240_007
+    peak = max(s.peakExecutionMemory() / max(1, s.numCompleteTasks()) for s in stages() if s.stageId() not in before)
+    assert peak < 400 << 20, peak
+
+
 def test_degrees_are_counted_in_tasks_of_bounded_rows(spark, sf, monkeypatch):
     monkeypatch.setattr(shared, "ROWS", 1000)
     n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
