@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph, models, sequences, shared, similarity, sparse, splits
+from tidemark.operators import graph, models, sequences, shared, similarity, sparse, splits, stats
 from tidemark.plans.catalog import QUERIES
 
 
@@ -89,3 +89,19 @@ def test_only_rows_below_the_cap_are_ranked(spark):
     assert re.search(r"row_number\(\).*< 5\b", plan, re.S), plan
     whole = splits.placed(df, ["g"], "k", 3).where("place <= 5")
     assert got.count() == 10 and sorted(got.select("g", "k", "place").collect()) == sorted(whole.select("g", "k", "place").collect())
+
+
+def test_nested_models_share_their_passes(spark):
+    """All models come from a few passes, and are what each one gives fitted by itself."""
+    rng = random.Random(9)
+    rows = [(float(rng.random() < 0.4), rng.gauss(0, 1), rng.gauss(2, 1), rng.choice("abc"), rng.choice("pq")) for _ in range(600)]
+    df = spark.createDataFrame(rows, "y double, x double, z double, c string, k string")
+    spark.sparkContext.setJobGroup("ladder", "")
+    got = stats.nested_models(df, "y", {"M0": (["x"], []), "M1": (["x", "z"], ["c"])}, category="k", sensitivity=F.col("x") > 0).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("ladder"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    alone = {"M0": (df, ["x"], []), "M1": (df, ["x", "z"], ["c"]), "M2": (df, ["x", "z"], ["c", "k"]), "M3": (df.where("x > 0"), ["x", "z"], ["c", "k"])}
+    for name, (d, n, k) in alone.items():
+        want = [(r.term, *(round(v, 6) for v in (r.beta, r.se, r.p))) for r in stats.logistic(d, "y", n, k).collect()]
+        assert [(r.term, *(round(v, 6) for v in (r.beta, r.se, r.p))) for r in got if r.model == name] == want
+    assert jobs < 40, jobs

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,14 +97,77 @@ def nested_models(df: DataFrame, target: str, specs: dict[str, tuple[list[str],
     frequent = [r[0] for r in rows.groupBy(category).count().orderBy(F.desc("count"), category).limit(top).collect()]
     rows = rows.withColumn(category, F.when(F.col(category).isin(frequent), F.col(category)).otherwise("other")).persist()
     try:
-        ladder = [(name, rows, n, k) for name, (n, k) in specs.items()]
-        ladder.append((f"M{len(specs)}", rows, numeric, [*categorical, category]))
+        ladder = [(name, n, k, False) for name, (n, k) in specs.items()]
+        ladder.append((f"M{len(specs)}", numeric, [*categorical, category], False))
         if sensitivity is not None:
-            ladder.append((f"M{len(specs) + 1}", rows.where(sensitivity), numeric, [*categorical, category]))
-        out = [logistic(d, target, n, k).withColumns({"model": F.lit(name), "n": F.lit(d.count())}) for name, d, n, k in ladder]
+            ladder.append((f"M{len(specs) + 1}", numeric, [*categorical, category], True))
+        return _fitted_together(rows, target, ladder, F.lit(False) if sensitivity is None else F.coalesce(sensitivity, F.lit(False)))
     finally:
         rows.unpersist()
-    return reduce(DataFrame.unionByName, out)
+
+
+def _fitted_together(rows: DataFrame, target: str, ladder: list[tuple[str, list[str], list[str], bool]], sensitivity: Column, rounds: int = 50) -> DataFrame:
+    """Logistic models (name, numeric, categorical, whether on the sensitive rows alone) by Newton steps; one pass of the rows is a step of all models that still move."""
+    numbers = list(dict.fromkeys(c for _, n, _, _ in ladder for c in n))
+    kinds = list(dict.fromkeys(c for _, _, k, _ in ladder for c in k))
+    values = {k: sorted(((str(r[0]), r[1]) for r in rows.groupBy(k).agg(F.max(sensitivity)).collect()), reverse=True) for k in kinds}  # a row for each value
+    terms = [*((c, None) for c in numbers), *((k, v) for k in kinds for v, _ in values[k])]
+    names, columns = {}, {}
+    for name, n, k, only in ladder:
+        held = [*((c, None) for c in n), *((c, v) for c in k for v in [v for v, there in values[c] if there or not only][:-1])]
+        names[name] = [c if v is None else f"{c}_{v}" for c, v in held] + ["intercept"]
+        columns[name] = [*(terms.index(t) for t in held), len(terms)]
+    only = {name: o for name, _, _, o in ladder}
+    data = rows.select(F.col(target).cast("double").alias("y"), sensitivity.alias("s"), *(F.col(c).cast("double").alias(f"n{i}") for i, c in enumerate(numbers)), *(F.array_position(F.array(*(F.lit(v) for v, _ in values[k])), F.col(k).cast("string")).cast("int").alias(f"k{i}") for i, k in enumerate(kinds)))
+
+    def sums(beta: dict[str, np.ndarray]) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
+        """By model: rows, gradient and information at its coefficients."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = {m: [0, np.zeros(len(b)), np.zeros((len(b), len(b)))] for m, b in beta.items()}
+            for batch in batches:
+                at = lambda c: batch[c].to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                hot = [at(f"k{i}")[:, None] == np.arange(1, len(values[k]) + 1) for i, k in enumerate(kinds)]
+                whole = np.column_stack([*(at(f"n{i}") for i in range(len(numbers))), *hot, np.ones(batch.num_rows)]).astype(float)
+                target_of, sensitive = at("y"), at("s")
+                for m, b in beta.items():
+                    x, y = whole[:, columns[m]], target_of
+                    if only[m]:
+                        x, y = x[sensitive], y[sensitive]
+                    mu = 1 / (1 + np.exp(-np.clip(x @ b, -700, 700)))
+                    found[m][0] += len(y)
+                    found[m][1] += x.T @ (y - mu)
+                    found[m][2] += x.T @ (x * (mu * (1 - mu))[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([n for n, _, _ in found.values()], pa.int64()), pa.array([np.append(g, h).tolist() for _, g, h in found.values()], pa.list_(pa.float64()))], ["model", "n", "sums"])
+
+        size = max(map(len, beta.values()))
+        parts = data.mapInArrow(run, "model string, n long, sums array<double>")
+        added = parts.groupBy("model").agg(F.sum("n").alias("n"), *(F.sum(F.get("sums", i)).alias(f"s{i}") for i in range(size * (size + 1)))).collect()
+        out = {}
+        for r in added:
+            k = len(beta[r["model"]])
+            flat = np.array([r[f"s{i}"] for i in range(k * (k + 1))])
+            out[r["model"]] = (r["n"], flat[:k], flat[k:].reshape(k, k))
+        return out
+
+    beta, moving, done = {m: np.zeros(len(c)) for m, c in columns.items()}, set(columns), {}
+    for _ in range(rounds):
+        for m, (n, gradient, information) in sums({m: beta[m] for m in columns if m in moving}).items():
+            inverse = np.linalg.pinv(information, hermitian=True)
+            step = inverse @ gradient
+            done[m] = (n, np.sqrt(np.maximum(0, np.diag(inverse))))
+            if np.abs(step).max() <= 1e-9 * (1 + np.abs(beta[m]).max()):
+                moving.discard(m)
+            beta[m] = beta[m] + step
+        if not moving:
+            break
+    out = []
+    for m in columns:
+        n, errors = done[m]
+        for term, b, e in zip(names[m], beta[m].tolist(), errors.tolist(), strict=True):
+            p = math.erfc(abs(b) / e / math.sqrt(2)) if e else float("nan")
+            out.append((term, b, e, math.exp(b), math.exp(b - 1.959964 * e), math.exp(b + 1.959964 * e), p, m, n))
+    return rows.sparkSession.createDataFrame(out, "term string, beta double, se double, odds_ratio double, low double, high double, p double, model string, n long")
 
 
 def bootstrap_mean(df: DataFrame, value: str, replicates: int = 500, seed: int = 0) -> DataFrame:
