@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import metrics, models, ranges, sparse
 from tidemark.operators.contracts import ContractError
+from tidemark.plans.catalog import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -124,6 +125,28 @@ def test_averaged_descent_odd_rows(spark):
     assert {r.id: r.predicted for r in out} == {1: "x", 2: "y", 3: "y"}
 
 
+def test_penalties_share_their_passes(spark, sf, classes):
+    """Models fitted together are those fitted alone, one that stops early too; the query that fits two makes few jobs."""
+    train = F.col("id") % 4 != 0
+    together, labels = sparse.averaged_sgds(classes, "id", "c", train, 4, (1e-4, 1.0), shard=200, epochs=6, tolerance=0.05)
+    for penalty, model in zip((1e-4, 1.0), together, strict=True):
+        alone = sparse.averaged_sgd(classes, "id", "c", train, 4, penalty=penalty, shard=200, epochs=6, tolerance=0.05)
+        assert labels == alone[1] == ["a", "b", "c"] and np.allclose(model, alone[0], rtol=1e-9, atol=1e-12)
+    spark.sparkContext.setJobGroup("sparse", "")
+    assert QUERIES["l04_sparse_logistic"](spark, sf).count() == 1
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("sparse"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 80, jobs
+
+
+def test_class_scores_of_rows_in_slices(spark):
+    rows = [(i, [p for p in range(5) if (i >> p) & 1], [float(i + p) for p in range(5) if (i >> p) & 1]) for i in range(1_200)]
+    model = np.arange(18.0).reshape(6, 3) - 7
+    got = sparse.class_scores(spark.createDataFrame([*rows, (-1, None, None)], "id int, indices array<int>, values array<double>").repartition(1), model, ["a", "b", "c"]).collect()
+    want = {i: model[at].T @ np.array(v) + model[-1] if at else model[-1] for i, at, v in [*rows, (-1, [], [])]}
+    assert len(got) == 1_201 and all(np.allclose(r.logits, want[r.id]) for r in got)
+
+
 def test_random_features_repeat(spark):
     df = spark.range(3_000)
     a = {r.id: r.f for r in models.random_features(df, "id", 3, 1, "f").collect()}

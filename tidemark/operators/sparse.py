@@ -28,8 +28,8 @@ def dense_row(*values: Column) -> list[Column]:
     return [F.sequence(F.lit(0), F.lit(len(values) - 1)).alias("indices"), F.array(*(v.cast("double") for v in values)).alias("values")]
 
 
-def kmer_rows(df: DataFrame, key: str, s: str, sizes: range = range(1, 7)) -> DataFrame:
-    """key, indices, values: shares of the k-mers of valid bases, each size for itself; places by size, then by letter."""
+def kmer_rows(df: DataFrame, key: str, s: str, sizes: range = range(1, 7), keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns to keep, indices, values: shares of the k-mers of valid bases, each size for itself; places by size, then by letter."""
     first = {k: sum(4**j for j in range(sizes[0], k)) for k in sizes}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,9 +45,10 @@ def kmer_rows(df: DataFrame, key: str, s: str, sizes: range = range(1, 7)) -> Da
                         n += len(at)
                     ends.append(ends[-1] + n)
                 offsets = pa.array(np.array(ends, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([part[0], pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(shares)))], [key, "indices", "values"])
+                yield pa.RecordBatch.from_arrays([part[0], *part.columns[2:], pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(shares)))], [key, *keep, "indices", "values"])
 
-    return df.select(key, s).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, indices array<int>, values array<double>")
+    kept = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (key, *keep))
+    return df.select(key, s, *keep).mapInArrow(run, f"{kept}, indices array<int>, values array<double>")
 
 
 def codon_rows(df: DataFrame, key: str, s: str) -> DataFrame:
@@ -94,11 +95,27 @@ def classical_sets(cohort: DataFrame, records: DataFrame, key: str, s: str) -> D
 
 
 def scaled(df: DataFrame, train: Column, width: int) -> DataFrame:
-    """Values over the population deviation of their place on the train rows, zeros included and not centred, so zeros stay; a constant place is left as it is."""
+    """Values over the population deviation of their place on the train rows, zeros included and not centred, so zeros stay; a constant place is left as it is.
+
+    A task adds its rows up and sends a row for each place; the deviations are stored, so that the rows are passed for them once.
+    """
     known = df.where(train)
-    places = known.select(F.explode(F.arrays_zip("indices", "values")).alias("x")).groupBy(F.col("x.indices").alias("i")).agg(F.sum("x.values").alias("s"), F.sum(F.col("x.values") * F.col("x.values")).alias("q"))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, q = 0, np.zeros(width), np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                _, places, values = _matrix(batch, width)
+                n += batch.num_rows
+                s += np.bincount(places, values, minlength=width)[:width]
+                q += np.bincount(places, values * values, minlength=width)[:width]
+        at = np.flatnonzero((s != 0) | (q != 0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(s[at], n)), pa.array(np.append(q[at], 0.0))], ["i", "s", "q"])
+
+    sums = reliable(known.select("indices", "values").mapInArrow(added, "i int, s double, q double").groupBy("i").agg(F.sum("s").alias("s"), F.sum("q").alias("q")))  # place -1 holds the rows
+    places = sums.where("i >= 0")
     deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - F.col("s") * F.col("s") / F.col("n") / F.col("n")))
-    found = places.crossJoin(F.broadcast(known.agg(F.count(F.lit(1)).alias("n")))).select("i", F.when(deviation > 1e-12, deviation).otherwise(1.0).alias("d"))
+    found = places.crossJoin(F.broadcast(sums.where("i < 0").select(F.col("s").alias("n")))).select("i", F.when(deviation > 1e-12, deviation).otherwise(1.0).alias("d"))
     one = found.agg(F.map_from_entries(F.collect_list(F.struct("i", "d"))).alias("__m"))  # a value for each place
     one = one.select(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(1.0))).alias("__d"))
     return df.crossJoin(F.broadcast(one)).withColumn("values", F.zip_with("indices", "values", lambda i, v: v / F.get("__d", i))).drop("__d")
@@ -110,34 +127,43 @@ def _matrix(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray,
     return indices.offsets.to_numpy() - indices.offsets[0].as_py(), indices.flatten().to_numpy(), values.flatten().to_numpy()
 
 
-def averaged_sgd(df: DataFrame, key: str, label: str, train: Column, width: int, *, penalty: float = 1e-4, epochs: int = 20, tolerance: float = 1e-4, shard: int = SHARD, seed: int = 0):
-    """Multinomial regression with balanced class weights by averaged stochastic descent; the weights and the class labels.
+def averaged_sgd(df: DataFrame, key: str, label: str, train: Column, width: int, *, penalty: float = 1e-4, **how):
+    """``averaged_sgds`` with one penalty; the weights and the class labels."""
+    (model,), labels = averaged_sgds(df, key, label, train, width, (penalty,), **how)
+    return model, labels
+
+
+def averaged_sgds(df: DataFrame, key: str, label: str, train: Column, width: int, penalties: tuple[float, ...], *, epochs: int = 20, tolerance: float = 1e-4, shard: int = SHARD, seed: int = 0):
+    """Multinomial regression with balanced class weights by averaged stochastic descent; the weights of each penalty and the class labels.
 
     Rows are dealt to shards of about ``shard`` rows by a hash of their key, and in each epoch a shard
     is passed in the order of another hash, from the model that the epoch starts with.  A shard's model
     is the mean of its steps' models, and the epoch's is the mean of the shards', weighted by their
     rows, so it depends on the rows and not on their partitions.  It stops when an epoch moves no
     weight by more than ``tolerance`` of the largest.  The last row of the weights is the intercept.
+    The penalties share the stored rows, and the passes until they stop.
     """
     known = df.where(train)
     weights = class_weights(known, label).orderBy(F.col(label).cast("string")).collect()  # a row for each class
     labels = [str(r[label]) for r in weights]
     n = known.count()
     if not labels:
-        return np.zeros((width + 1, 0)), []
+        return [np.zeros((width + 1, 0)) for _ in penalties], []
     shards = max(1, -(-n // shard))
     of = F.create_map(*(F.lit(x) for i, c in enumerate(labels) for x in (c, i)))
     rows = known.select(F.xxhash64(key, F.lit(seed)).alias("h"), F.get(F.array(*(F.lit(float(r["weight"])) for r in weights)), of[F.col(label).cast("string")]).alias("w"), of[F.col(label).cast("string")].alias("y"), "indices", "values")
     rows = reliable(rows.withColumn("shard", F.pmod("h", F.lit(shards))).repartition(shards, "shard"))
     norm = rows.agg(F.avg(F.aggregate("values", F.lit(1.0), lambda a, v: a + v * v))).first()[0] or 1.0
     rate = 1.0 / norm
-    model = np.zeros((width + 1, len(labels)))
+    models = [np.zeros((width + 1, len(labels))) for _ in penalties]
 
-    def epoch(start: np.ndarray, number: int, done: int) -> np.ndarray:
+    def epoch(start: np.ndarray, penalty: np.ndarray, number: int) -> np.ndarray:
+        """The models after a pass, beside each other as in ``start``; their penalties, a column of a model each."""
         shared = df.sparkSession.sparkContext.broadcast(start)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, w, mean, seen, step = None, shared.value.copy(), np.zeros_like(shared.value), 0, 0
+            held, place = np.zeros(width, dtype=bool), np.zeros(width, dtype=np.int64)
 
             def sent() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([seen], pa.int64()), pa.array([mean.tobytes()], pa.binary())], ["shard", "n", "model"])
@@ -156,18 +182,20 @@ def averaged_sgd(df: DataFrame, key: str, label: str, train: Column, width: int,
                     for i in range(a, b, STEP):
                         j = min(i + STEP, b)
                         part = slice(starts[i], starts[j])
-                        at, back = np.unique(places[part], return_inverse=True)
+                        held[places[part]] = True
+                        at = np.flatnonzero(held)
+                        held[at], place[at] = False, np.arange(len(at))
                         x = np.zeros((j - i, len(at) + 1))
-                        x[np.repeat(np.arange(j - i), np.diff(starts[i : j + 1])), back] = values[part]
+                        x[np.repeat(np.arange(j - i), np.diff(starts[i : j + 1])), place[places[part]]] = values[part]
                         x[:, -1] = 1
                         at = np.append(at, width)
-                        z = x @ w[at]
-                        p = np.exp(z - z.max(1, keepdims=True))
-                        p /= p.sum(1, keepdims=True)
-                        p[np.arange(j - i), y[i:j]] -= 1
-                        pace = rate / (1 + rate * penalty * (done * shard / STEP + step))
+                        z = (x @ w[at]).reshape(j - i, -1, len(labels))
+                        p = np.exp(z - z.max(2, keepdims=True))
+                        p /= p.sum(2, keepdims=True)
+                        p[np.arange(j - i), :, y[i:j]] -= 1
+                        pace = rate / (1 + rate * penalty * (number * shard / STEP + step))
                         w *= 1 - pace * penalty
-                        w[at] -= pace * (x.T @ (p * weight[i:j, None])) / (j - i)
+                        w[at] -= pace * (x.T @ (p * weight[i:j, None, None]).reshape(j - i, -1)) / (j - i)
                         step += 1
                         mean += (w - mean) / step
                     seen += int(b - a)
@@ -184,12 +212,15 @@ def averaged_sgd(df: DataFrame, key: str, label: str, train: Column, width: int,
         sums = passed.groupBy(F.pmod("shard", F.lit(TOGETHER))).applyInPandas(added, schema).toPandas().sort_values("shard")
         return sum(np.frombuffer(m) for m in sums["model"]).reshape(start.shape) / max(1, sums["n"].sum())
 
+    going = list(range(len(penalties)))
     for number in range(epochs):
-        new = epoch(model, number, number)
-        moved, model = np.abs(new - model).max(), new
-        if moved <= tolerance * np.abs(model).max():
+        if not going:
             break
-    return model, labels
+        new = np.split(epoch(np.hstack([models[i] for i in going]), np.repeat([penalties[i] for i in going], len(labels)), number), len(going), axis=1)
+        moved = {i: np.abs(m - models[i]).max() for i, m in zip(going, new, strict=True)}
+        models = [new[going.index(i)] if i in moved else m for i, m in enumerate(models)]
+        going = [i for i in going if moved[i] > tolerance * np.abs(models[i]).max()]
+    return models, labels
 
 
 def class_scores(df: DataFrame, model: np.ndarray, labels: list[str], into: str = "logits") -> DataFrame:
@@ -198,10 +229,16 @@ def class_scores(df: DataFrame, model: np.ndarray, labels: list[str], into: str
 
     @F.arrow_udf("array<double>")
     def scores(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        w = shared.value
         for indices, values in batches:
-            w = shared.value
-            rows = [w[np.asarray(i)].T @ np.asarray(v) + w[-1] if i else w[-1] for i, v in zip(indices.to_pylist(), values.to_pylist(), strict=True)]
-            yield pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))
+            z = np.tile(w[-1], (len(indices), 1))
+            for a in range(0, len(indices), 500):
+                own = indices.slice(a, 500)
+                row = np.repeat(np.arange(len(own)), np.diff(own.offsets.to_numpy()))
+                at, x = own.flatten().to_numpy(), values.slice(a, 500).flatten().to_numpy()
+                for c in range(w.shape[1]):
+                    z[a : a + len(own), c] += np.bincount(row, x * w[at, c], minlength=len(own))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * w.shape[1], pa.int32()), pa.array(z.ravel()))
 
     out = df.withColumn(into, scores("indices", "values"))
     return out.withColumn("predicted", F.get(F.array(*map(F.lit, labels)), F.array_position(into, F.array_max(into)).cast("int") - 1))
