@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph, matrix, models, sequences, shared, similarity, sparse, splits, stats
+from tidemark.operators import graph, matrix, models, ood, sequences, shared, similarity, sparse, splits, stats
 from tidemark.plans.catalog import QUERIES
 
 
@@ -115,3 +116,21 @@ def test_specificity_with_ties_and_rows_without_a_group(spark):
         got = {r.id: r for r in matrix.entropy_specificity(d, "id", "g", "v").collect()}
         assert all(got[k].dominant == "N" for k in range(40))
         assert (got[50].n_groups, got[50].dominant, got[50].dominant_share) == (3, "A", 0.5)
+
+
+def test_nearest_cosine_over_many_blocks(spark, monkeypatch):
+    """Blocks meet in tasks of their own without a shuffle of pairs; what comes out is brute force, also for fewer rows than k."""
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(300, 5)).astype(np.float32)
+    m[10] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<float>")
+    unit = m.astype(float) / np.maximum(np.linalg.norm(m.astype(float), axis=1, keepdims=True), 1e-300)
+    monkeypatch.setattr(ood, "TILE", 7)
+    for known, k in ((range(100, 300), 10), (range(296, 300), 10)):
+        found = ood.nearest_cosine(df.where("id < 100"), df.where(F.col("id") >= known[0]), "id", "v", k=k, block=30)
+        want = 1 - np.sort(unit[:100] @ unit[known[0] :].T, axis=1)[:, -k:].mean(1)
+        got = {r.id: r.knn_cosine for r in found.collect()}
+        assert len(got) == 100 and all(abs(got[i] - want[i]) < 1e-12 for i in range(100))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Window" not in plan
+    assert ood.nearest_cosine(df.where("id < 100"), df.where("id > 900"), "id", "v").count() == 0

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import cosine, logsumexp, softmax_max
+from tidemark.operators.shared import reliable
 
-#: Classes whose state is broadcast at most.
-CLASSES = 2_000
+#: Classes whose state is broadcast at most; rows of a block of vectors, and of a tile of one.
+CLASSES, BLOCK, TILE = 2_000, 8_192, 1_024
 
 
 def msp(logits: Column) -> Column:
@@ -56,25 +60,51 @@ def distance_scores(df: DataFrame, key: str, vector: str, state: DataFrame, labe
     return both.groupBy(key).agg(F.min(d).alias("mahalanobis"), F.min(d - g).alias("relative_mahalanobis"), (1 - F.max(cosine(F.col("__x"), F.col("mean")))).alias("prototype_cosine"))
 
 
-def nearest_cosine(queries: DataFrame, train: DataFrame, key: str, vector: str, k: int = 10, block: int = 2_048) -> DataFrame:
-    """1 - mean of the k largest cosines, exactly; both sides are dealt out in blocks, each pair of blocks is a group of its own and keeps its k best."""
-    n_train = max(1, -(-train.count() // block))
-    n_query = max(1, -(-queries.count() // block))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_query)).cast("int")).withColumn("tb", every(n_train))
-    t = train.select(F.col(key).alias("t"), F.col(vector).alias("u")).withColumn("ub", F.pmod(F.xxhash64("t", F.lit(1)), F.lit(n_train)).cast("int")).withColumn("pb", every(n_query))
-
-    def unit(v: pd.Series) -> np.ndarray:
-        m = np.stack(v.to_numpy()).astype(float)
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"q": [], "c": []})
-        c = unit(a["v"]) @ unit(b["u"]).T
-        top = -np.partition(-c, min(k, c.shape[1]) - 1, axis=1)[:, :k]
-        return pd.DataFrame({"q": np.repeat(a["q"].to_numpy(), top.shape[1]), "c": top.ravel()})
-
-    local = q.groupBy("qb", "tb").cogroup(t.groupBy("pb", "ub")).applyInPandas(best, f"q {queries.schema[key].dataType.simpleString()}, c double")
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("c")))
-    return local.withColumn("place", place).where(F.col("place") <= k).groupBy("q").agg((1 - F.avg("c")).alias("knn_cosine")).withColumnRenamed("q", key)
+def nearest_cosine(queries: DataFrame, train: DataFrame, key: str, vector: str, k: int = 10, block: int = BLOCK) -> DataFrame:
+    """1 - mean of the k largest cosines, exactly.
+
+    Both sides are dealt out in blocks, whose rows are stored side by side as one value, so a block that
+    meets all blocks of the other side is copied as bytes and not row by row.  A task meets pairs of
+    blocks in tiles of rows; of a tile only what exceeds the k-th best so far is looked at.
+    """
+    n_train, n_query = (max(1, -(-d.count() // block)) for d in (train, queries))
+    kind = queries.schema[key].dataType.simpleString()
+
+    def packed(df: DataFrame, seed: int, n: int, into: str) -> DataFrame:
+        """A row for each block: its place, its keys, and its unit vectors as bytes."""
+
+        def one(rows: pd.DataFrame) -> pd.DataFrame:
+            m = np.stack(rows["v"].to_numpy()).astype(float)
+            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            return pd.DataFrame({"b": [rows["b"].iloc[0]], "k": [rows["k"].to_numpy()], "m": [m.tobytes()]})
+
+        placed = df.select(F.col(key).alias("k"), F.col(vector).alias("v")).withColumn("b", F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(n)).cast("int"))
+        return placed.repartition(n, "b").groupBy("b").applyInPandas(one, f"b int, k array<{kind}>, m binary").select(*(F.col(c).alias(f"{into}{c}") for c in "bkm"))
+
+    q, t = reliable(packed(queries, 42, n_query, "q")), reliable(packed(train, 1, n_train, "t").drop("tk"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys = batch["qk"][i].values
+                a, b = (np.frombuffer(batch[c][i].as_buffer()) for c in ("qm", "tm"))
+                a = a.reshape(len(keys), -1)
+                b = b.reshape(-1, a.shape[1])
+                tops = np.full((len(keys), min(k, len(b))), -np.inf)
+                for x in range(0, len(a), TILE):
+                    top = tops[x : x + TILE]
+                    for y in range(0, len(b), TILE):
+                        c = a[x : x + TILE] @ b[y : y + TILE].T
+                        rows = np.flatnonzero(c.max(1) > top[:, 0])
+                        if len(rows):
+                            both = np.concatenate([top[rows], c[rows]], axis=1)
+                            both = np.partition(both, both.shape[1] - top.shape[1], axis=1)[:, -top.shape[1] :]
+                            top[rows] = np.sort(both, axis=1)
+                ends = np.arange(len(keys) + 1, dtype=np.int32) * tops.shape[1]
+                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(tops.ravel()))], ["q", "c"])
+
+    # every partition of the one side with every one of the other: a task for a few pairs of blocks, nothing broadcast or shuffled
+    local = q.crossJoin(t.hint("shuffle_replicate_nl")).select("qk", "qm", "tm").mapInArrow(best, f"q {kind}, c array<double>")
+    top = F.slice(F.sort_array(F.flatten(F.collect_list("c")), asc=False), 1, k)
+    mean = F.aggregate("c", F.lit(0.0), lambda s, x: s + x) / F.size("c")
+    return local.groupBy("q").agg(top.alias("c")).select(F.col("q").alias(key), (1 - mean).alias("knn_cosine"))

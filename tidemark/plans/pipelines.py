@@ -72,16 +72,17 @@ def open_set_scores(rows: DataFrame, key: str, vector: str, label: str, group: C
     """
     parts = S.class_holdout(rows, label, least, seed)
     named = rows.join(F.broadcast(parts.select(label, "part")), label).withColumn("grp", group)
-    safe = S.group_safe(named, "grp", "part").where("reason IS NULL").withColumn("role", S.role_of(F.col("grp"), seed))
+    safe = reliable(S.group_safe(named, "grp", "part").where("reason IS NULL").withColumn("role", S.role_of(F.col("grp"), seed)))
     train = (F.col("part") == "id") & (F.col("role") == "train")
-    z = L.scaled_vectors(safe, vector, train, "__z")
-    x = reliable(L.multiclass(L.pca(z, "__z", train, components, "pcs")[0], "pcs", label, train, "__logits").select(key, label, "part", "role", "pcs", "__logits"))
+    z = reliable(L.scaled_vectors(safe, vector, train, "__z"))
+    pcs = reliable(L.pca(z, "__z", train, components, "pcs")[0].drop("__z"))
+    x = reliable(L.multiclass(pcs, "pcs", label, train, "__logits").select(key, label, "part", "role", "pcs", "__logits"))
     held = x.where(~train)
     fitted = x.where(train)
     logits = held.select(key, O.msp(F.col("__logits")).alias("msp"), O.max_logit(F.col("__logits")).alias("max_logit"), O.energy(F.col("__logits")).alias("energy"))
     distances = O.distance_scores(held, key, "pcs", O.distance_state(fitted, label, "pcs"), label)
     near = O.nearest_cosine(held, fitted, key, "pcs")
-    wide = held.select(key, "part", "role").join(logits, key).join(distances, key).join(near, key)
+    wide = reliable(held.select(key, "part", "role").join(logits, key).join(distances, key).join(near, key))
     methods = ["msp", "max_logit", "energy", "mahalanobis", "relative_mahalanobis", "prototype_cosine", "knn_cosine"]
     scores = wide.select(key, "role", F.inline(F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).alias("score")) for m in methods))))
     return scores, held.select(key, (F.col("part") != "id").cast("int").alias("y"))
