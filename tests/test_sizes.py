@@ -134,3 +134,33 @@ def test_nearest_cosine_over_many_blocks(spark, monkeypatch):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" in plan and "Window" not in plan
     assert ood.nearest_cosine(df.where("id < 100"), df.where("id > 900"), "id", "v").count() == 0
+
+
+def _shuffled(spark, run) -> int:
+    """Bytes that a run writes to be shuffled."""
+    written = lambda: spark._jsparkSession.sparkContext().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    run()
+    return written() - before
+
+
+def test_clusters_shuffle_no_pairs_of_blocks(spark, monkeypatch):
+    """Many blocks shuffle about what few do; records of few different k-mers among long ones keep their links."""
+    rng = random.Random(9)
+    base = ["".join(rng.choice("ACGT") for _ in range(1_500)) for _ in range(20)]
+    seqs = [s[: len(s) - 40 * i] for s in base for i in range(3)] + ["AC" * 400, "AC" * 700, "AC" * 7 + "G", base[0][:15], base[0][:700] * 2]
+    df = spark.createDataFrame(list(enumerate(seqs)), "id int, s string").cache()
+    run = lambda k=12: sorted(map(tuple, similarity.clusters(df, "id", "s", k=k).collect()))
+    one = _shuffled(spark, run), run(), run(20)
+    monkeypatch.setattr(similarity, "LETTERS", 4_000)
+    many = _shuffled(spark, run), run(), run(20)
+    assert many[1:] == one[1:] and many[0] < 3 * one[0] + 100_000, (one[0], many[0])
+    sets = [{s[i : i + 12] for i in range(len(s) - 11)} for s in seqs]
+    comp = list(range(len(seqs)))
+    for a in range(len(seqs)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if n and n / len(sets[a] | sets[b]) >= 0.3 and n >= 0.8 * min(len(sets[a]), len(sets[b])):
+                x, y = comp[a], comp[b]
+                comp = [min(x, y) if c in (x, y) else c for c in comp]
+    assert {m: c for c, m in one[1]} == dict(enumerate(comp))
