@@ -144,6 +144,20 @@ def _shuffled(spark, run) -> int:
     return written() - before
 
 
+def test_nearest_records_shuffle_no_pairs_of_blocks(spark, monkeypatch):
+    """Many blocks shuffle about what few do, and all pairs still meet; k-mers of 64 bits, too."""
+    rng = random.Random(8)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(1_500)) for _ in range(20)]
+    seqs = [s[i : i + 1_000] + "".join(rng.choice("ACGT") for _ in range(500)) for s in seqs for i in (0, 200, 400)]
+    df = spark.createDataFrame(list(enumerate(seqs)), "id int, s string").cache()
+    run = lambda k=12: sorted(map(tuple, similarity.nearest(df.where("id % 3 = 0"), df.where("id % 3 > 0"), "id", "s", k=k, hits=2).collect()))
+    one = _shuffled(spark, run), run(), run(20)
+    monkeypatch.setattr(similarity, "LETTERS", 6_000)
+    many = _shuffled(spark, run), run(), run(20)
+    assert many[1:] == one[1:] and many[0] < 3 * one[0] + 100_000, (one[0], many[0])
+    assert {(r[0], r[2]) for r in one[2]} == {(i, i + j) for i in range(0, 60, 3) for j in (1, 2)}
+
+
 def test_clusters_shuffle_no_pairs_of_blocks(spark, monkeypatch):
     """Many blocks shuffle about what few do; records of few different k-mers among long ones keep their links."""
     rng = random.Random(9)
