@@ -113,6 +113,23 @@ def test_vector_links_equal_brute_force(spark, monkeypatch):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], VEC)).collect() == []
 
 
+def test_large_labels_lose_no_link(spark, monkeypatch):
+    """Pairs just over the threshold in a label that is cut in several blocks; a label of one block and one of one vector beside it."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(embed_dedup, "BLOCK", 64)
+    monkeypatch.setattr(embed_dedup, "EXACT", 128)
+    x = rng.standard_normal((600, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal(x.shape)
+    y -= (x * y).sum(1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    c = rng.uniform(0.9301, 0.932, 600)[:, None]
+    rows = [(i, v.tolist(), 0 if i % 600 < 560 else 1) for i, v in enumerate(np.concatenate([x, c * x + np.sqrt(1 - c * c) * y]))] + [(5_000, x[0].tolist(), 2)]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, VEC)).collect()}
+    assert len(found) == 1_201 and found[5_000] == (0, 5_000)
+    assert all(found[i] == found[i + 600] == (1, i) for i in range(600))
+
+
 def test_no_pair_falls_short_of_the_count():
     rng = np.random.default_rng(2)
     for width in (1, 2, 3, 7, 64, 200):
